@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.llm import quality_rules
+from tidemark.llm import line_dedup, quality_rules
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op5_quality_rules": quality_rules.query,
+        "op8_line_dedup": line_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_line_dedup": line_dedup.SQL,
+    }
