@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.llm import line_dedup, quality_rules
+from tidemark.llm import line_dedup, quality_rules, source_mixing
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op5_quality_rules": quality_rules.query,
         "op8_line_dedup": line_dedup.query,
+        "op9_source_mixing": source_mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_line_dedup": line_dedup.SQL,
+        "op9_source_mixing": source_mixing.SQL,
     }
