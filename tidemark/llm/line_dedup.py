@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import _mph, _text
 from tidemark.llm._store import keep
@@ -152,7 +153,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = probe(hashes, shards, n_shards, task_probes).distinct().groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("keys"))
     gone = gone.select(F.col("doc").alias(owner), F.transform("keys", lambda x: x["h1"]).alias(dropped + "1"), F.transform("keys", lambda x: x["h2"]).alias(dropped + "2"))
     joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[owner]), "left").drop(owner)
-    schema = docs.schema.add(n_lines, "long").add(n_dropped, "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.llm import line_dedup, quality_rules, source_mixing, token_store
+from tidemark.llm import line_dedup, quality_rules, sentencepiece_codec, source_mixing, token_store
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_token_store": token_store.query,
         "op5_quality_rules": quality_rules.query,
+        "op6_sentencepiece": sentencepiece_codec.query,
         "op8_line_dedup": line_dedup.query,
         "op9_source_mixing": source_mixing.query,
     }
