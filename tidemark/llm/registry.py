@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.llm import line_dedup, quality_rules, sentencepiece_codec, source_mixing, token_store
+from tidemark.llm import block_knn, line_dedup, quality_rules, sentencepiece_codec, source_mixing, token_store
 
 
 def queries() -> dict[str, Callable]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable]:
         "op6_sentencepiece": sentencepiece_codec.query,
         "op8_line_dedup": line_dedup.query,
         "op9_source_mixing": source_mixing.query,
+        "op10_block_knn": block_knn.query,
     }
 
 
@@ -21,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op8_line_dedup": line_dedup.SQL,
         "op9_source_mixing": source_mixing.SQL,
+        "op10_block_knn": block_knn.SQL,
     }
