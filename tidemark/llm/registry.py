@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.llm import block_knn, line_dedup, quality_rules, sentencepiece_codec, source_mixing, token_store
+from tidemark.llm import block_knn, language_id, line_dedup, quality_rules, sentencepiece_codec, source_mixing, token_store
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_token_store": token_store.query,
+        "op3_language_id": language_id.query,
         "op5_quality_rules": quality_rules.query,
         "op6_sentencepiece": sentencepiece_codec.query,
         "op8_line_dedup": line_dedup.query,
