@@ -12,7 +12,9 @@ import numpy as np
 
 from tidemark.llm import _text
 
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 500_000
+#: Chunks that the library encodes at once: its objects are large.
+BATCH_CHUNKS = 4096
 FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -59,9 +61,12 @@ class ChunkEncoder:
         self.pooled = 0
 
     def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        ids = self.encode(chunks)
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for own in ids for x in own), np.uint32, int(counts.sum()))
+        counts, flats = np.zeros(len(chunks), np.int64), []
+        for a in range(0, len(chunks), BATCH_CHUNKS):
+            ids = self.encode(chunks[a : a + BATCH_CHUNKS])
+            counts[a : a + len(ids)] = [len(x) for x in ids]
+            flats.append(np.fromiter((x for own in ids for x in own), np.uint32))
+        flat = np.concatenate(flats)
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
         self.starts = np.insert(self.starts, at, self.pooled + np.cumsum(counts) - counts)
