@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.llm import block_knn, language_id, line_dedup, quality_rules, sentencepiece_codec, source_mixing, token_store
+from tidemark.llm import block_knn, language_id, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, source_mixing, token_store
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable]:
         "op3_language_id": language_id.query,
         "op5_quality_rules": quality_rules.query,
         "op6_sentencepiece": sentencepiece_codec.query,
+        "op7_quality_classifier": quality_classifier.query,
         "op8_line_dedup": line_dedup.query,
         "op9_source_mixing": source_mixing.query,
         "op10_block_knn": block_knn.query,
