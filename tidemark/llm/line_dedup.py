@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import _mph, _text
-from tidemark.llm._store import keep
+from tidemark.llm._store import keep, small_batches
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys in a shard, and probes in a task, about.
@@ -144,6 +144,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents with their columns, their texts without the dropped lines, and n_lines and n_dropped of each. A text
     that loses nothing stays as it was. The id is an integer column; added columns get underscores if their names are
     taken."""
+    small_batches(docs.sparkSession)
     names = [x for x in ("n_lines", "n_dropped", "dropped_keys", "dropped_doc")]
     while set(names) & set(docs.columns):
         names = [x + "_" for x in names]

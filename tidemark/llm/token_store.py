@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import _text
 from tidemark.llm._encode import ChunkEncoder, cuts_before_white
-from tidemark.llm._store import new_path
+from tidemark.llm._store import new_path, small_batches
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 SEGMENT_TOKENS, RANK_BITS, CHUNK_BITS = 1 << 20, 512, 8
@@ -103,6 +103,7 @@ def _encoder(name: str) -> ChunkEncoder:
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encode the texts and write their segments under `path`, in ascending order of (integer) id."""
+    small_batches(docs.sparkSession)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, number = _encoder(tokenizer), TaskContext.get().partitionId(), 0
