@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.llm import block_knn, language_id, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, source_mixing, token_store
+from tidemark.llm import block_knn, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, source_mixing, token_store
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_jaccard_join": jaccard_join.query,
         "op2_token_store": token_store.query,
         "op3_language_id": language_id.query,
         "op5_quality_rules": quality_rules.query,
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_jaccard_join": jaccard_join.SQL,
         "op8_line_dedup": line_dedup.SQL,
         "op9_source_mixing": source_mixing.SQL,
         "op10_block_knn": block_knn.SQL,
