@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.llm import block_knn, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, source_mixing, token_store
+from tidemark.llm import block_knn, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, source_mixing, suffix_dedup, token_store
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
         "op1_jaccard_join": jaccard_join.query,
         "op2_token_store": token_store.query,
         "op3_language_id": language_id.query,
+        "op4_suffix_dedup": suffix_dedup.query,
         "op5_quality_rules": quality_rules.query,
         "op6_sentencepiece": sentencepiece_codec.query,
         "op7_quality_classifier": quality_classifier.query,
