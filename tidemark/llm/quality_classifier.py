@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import _text
-from tidemark.llm._store import small_batches
+from tidemark.llm._store import keep, small_batches
 
 FEATURES, SPECTRUM = 1 << 16, 4
 #: Bound of the fit: labelled texts. Their indices reach the driver, FEATURES * 4 bytes a text at most.
@@ -131,33 +131,38 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
     if not good or not bad:
         return (good / (good + bad) if good + bad else 0.5), np.zeros(FEATURES)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    share = [min(1.0, sample / 2 / bad), min(1.0, sample / 2 / good)]
+    unit = F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    schema = "feature long, good long, bad long, label int, held binary, unit double"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One pass over the texts: the counts of the task's texts, and the features of the texts that are drawn.
         sums = np.zeros((2, FEATURES), np.int64)
         for batch in batches:
-            for label, held in zip(batch.column(1).to_pylist(), indicators(batch.column(0)), strict=True):
+            drawn: list[tuple] = []
+            for label, at, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), indicators(batch.column(0)), strict=True):
                 sums[label][held] += 1
-        at = np.flatnonzero(sums.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[1][at]), pa.array(sums[0][at])], ["feature", "good", "bad"])
+                if at < share[label]:
+                    drawn.append((None, None, None, label, held.astype("<u4").tobytes(), at))
+            yield _rows(drawn, schema)
+        some = np.flatnonzero(sums.any(0))
+        yield _rows([(f, g, b, None, None, None) for f, g, b in zip(some.tolist(), sums[1][some].tolist(), sums[0][some].tolist(), strict=True)], schema)
 
-    sums = known.select("text", "label").mapInArrow(count, "feature long, good long, bad long").groupBy("feature").agg(F.sum("good"), F.sum("bad"))
+    found = keep(known.withColumn("unit", unit).select("text", "label", "unit").mapInArrow(read, schema), "label-features")
     counts = np.zeros((2, FEATURES))
-    for feature, g, b in sums.collect():  # FEATURES rows at most
+    for feature, g, b in found.where(F.col("feature").isNotNull()).groupBy("feature").agg(F.sum("good"), F.sum("bad")).collect():  # FEATURES rows at most
         counts[:, feature] = g, b
     ratios = log_count_ratios(*counts)
+    got = sorted(found.where(F.col("held").isNotNull()).select("unit", "label", "held").limit(2 * sample + 1000).collect())
+    if len({r[1] for r in got}) < 2:
+        return good / (good + bad), ratios
+    return fit_arrays([np.frombuffer(r[2], "<u4").astype(np.int64) for r in got], np.array([r[1] for r in got]), ratios, good / (good + bad)), ratios
 
-    share = F.when(F.col("label") == 1, F.lit(min(1.0, sample / 2 / good))).otherwise(F.lit(min(1.0, sample / 2 / bad)))
-    unit = F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1 << 30)) / float(1 << 30)
-
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [x.astype("<u4").tobytes() for x in indicators(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary()), batch.column(2)], ["label", "held", "unit"])
 
-    drawn = known.withColumn("unit", unit).where(F.col("unit") < share).select("text", "label", "unit").mapInArrow(hold, "label int, held binary, unit double")
-    got = sorted(drawn.limit(2 * sample + 1000).collect(), key=lambda r: (r[2], r[0], r[1]))
-    if len({r[0] for r in got}) < 2:
-        return good / (good + bad), ratios
-    return fit_arrays([np.frombuffer(r[1], "<u4").astype(np.int64) for r in got], np.array([r[0] for r in got]), ratios, good / (good + bad)), ratios
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], [name for name, _ in fields])
 
 
 def predict(docs: DataFrame, model: Model | float, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,5 +187,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    model, ratios = fit(docs.join(labels.where(~held_out), "doc_id"))
+    # Labels grow with the documents, so both sides are dealt by id at every size; the held-out rows go before that.
+    model, ratios = fit(docs.where(~held_out).join(labels.where(~held_out).hint("shuffle_hash"), "doc_id"))
     return predict(docs, model, ratios).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
