@@ -5,11 +5,12 @@ the result names each document's component, the smallest id that links lead to.
 
 1. Texts with equal sets are one class; only classes are compared, so copies cost nothing.
 2. A sketch of fixed size counts how many documents hold each shingle, over all documents, and gives one order for all sets,
-   rare shingles first. Linked sets share a shingle among their first size - ceil(t * size) + 1; those are the tokens.
+   rare shingles first. Linked sets share SHARED shingles (or all that they must share, if that is less) among their first
+   size - ceil(t * size) + SHARED; those are the tokens.
 3. Similar classes become groups: classes with equal min-hash are compared with one of them, their pivot, and those that
    link with it are its group; all others are groups of their own. A group lies within one component by construction.
 4. The token-group matrix says which token is in which group, once a group, whatever its size, with the sizes of its sets. A
-   class meets the groups that share a token and a possible size with it: these are its candidates.
+   class meets the groups that share enough tokens and a possible size with it: these are its candidates.
 5. Groups are stored in blocks of some members with the union of their shingles. |query & union| < ceil(t * |query|) rules
    the block out; only blocks that qualify are opened, and opened until one member links: one link joins two groups.
 6. Components of groups follow from these links, and components of documents from their classes.
@@ -30,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import _text
@@ -38,6 +39,8 @@ from tidemark.llm._components import components
 from tidemark.llm._store import keep, small_batches
 
 SKETCH_BITS, SKETCH_CHUNK, SUM_ROWS = 20, 1 << 14, 64
+#: Tokens that linked sets share. More of them cost as many rows a class and leave fewer classes and candidates.
+SHARED = 12
 #: Members of a block, and queries that a task compares with it, about.
 BLOCK_MEMBERS, TASK_QUERIES = 64, 20_000
 
@@ -54,6 +57,10 @@ class Rule:
         """What a set of this size shares at least with any that it links with."""
         return -(-self.num * size // self.den)
 
+    def tokens_shared(self, size: Column) -> Column:
+        """How many tokens a set of this size shares at least with any that it links with."""
+        return F.least(F.lit(SHARED).cast("long"), F.ceil(size * self.num / self.den).cast("long"))
+
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         if min(len(a), len(b)) * self.den < self.num * max(len(a), len(b)):
             return False
@@ -128,7 +135,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, rule: Rule, sketch:
                     continue
                 classes.append(class_of(own))
                 mins.append(int(_text.mix(own ^ seed).min().view(np.int64)))
-                first = size - rule.least(size) + 1
+                first = min(size, size - rule.least(size) + SHARED)
                 order = np.lexsort((own, counts[own >> np.uint64(64 - SKETCH_BITS)]))[:first]
                 tokens.append(own[order])
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in tokens]))).astype(np.int32)
@@ -150,17 +157,10 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _groups(classes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(class, group): the pivot of its min-hash where they link, else itself."""
+    """(class, n_shingles, group): the pivot of its min-hash where they link, else itself."""
     pivots = classes.groupBy("min_hash").agg(F.min("class").alias("pivot"), F.count("*").alias("n")).where(F.col("n") > 1)
-    pairs = classes.select("class", "min_hash").join(pivots, "min_hash").where(F.col("class") != F.col("pivot")).select("class", "pivot")
-    both = pairs.join(sets, "class").join(sets.select(F.col("class").alias("pivot"), F.col("shingles").alias("other")), "pivot")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [rule.linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(same, pa.bool_())) for k in (0, 1)], ["class", "group"])
-
-    linked = both.select("class", "pivot", "shingles", "other").mapInArrow(run, "class long, group long")
+    pairs = classes.select("class", "min_hash").join(pivots, "min_hash").where(F.col("class") != F.col("pivot")).select("class", F.col("class").alias("own"), F.col("pivot").alias("group"))
+    linked = _opened(pairs, pivots.select(F.col("pivot").alias("class"), F.col("pivot").alias("group")), sets, rule).select(F.col("a").alias("class"), F.col("b").alias("group"))
     return classes.select("class", "n_shingles").join(linked, "class", "left").select("class", "n_shingles", F.coalesce("group", "class").alias("group"))
 
 
@@ -169,7 +169,8 @@ def _candidates(tokens: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
     cells = tokens.join(groups, "class").select("token", "class", "n_shingles", F.col("group").alias("own"))
     matrix = cells.groupBy("token", F.col("own").alias("group")).agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     fits = (F.col("high") * rule.den >= F.col("n_shingles") * rule.num) & (F.col("low") * rule.num <= F.col("n_shingles") * rule.den)
-    return cells.join(matrix, "token").where((F.col("group") < F.col("own")) & fits).select("class", "own", "group").distinct()
+    met = cells.join(matrix, "token").where((F.col("group") < F.col("own")) & fits).groupBy("class", "n_shingles", "own", "group").agg(F.count("*").alias("n"))
+    return met.where(F.col("n") >= rule.tokens_shared(F.col("n_shingles"))).select("class", "own", "group")
 
 
 def _blocks(groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -220,15 +221,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = keep(signatures(docs, "id", "text", rule, shingle_sketch(docs, "text", rule.n)), "signatures")
     named = marked.where((F.col("n_shingles") > 0) & F.col("doc").isNotNull())
     classes = keep(named.groupBy("class").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("min_hash").alias("min_hash")), "classes")
-    # Tokens in one class only lead nowhere.
+    # Tokens in one class only lead nowhere, nor do classes with too few others. Frequent tokens come last in every set, so a
+    # window over a token is short but for sets of nothing else, and those are few classes.
     once = named.join(classes.select("class", "doc"), ["class", "doc"], "left_semi").select("class", F.explode("tokens").alias("token"))
-    of_token = once.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where(F.col("low") != F.col("high"))
-    tokens = keep(once.join(of_token.select("token"), "token", "left_semi").distinct(), "tokens")
-    involved = keep(classes.join(tokens.select("class").distinct(), "class", "left_semi"), "involved")
+    of_token = Window.partitionBy("token")
+    tokens = once.withColumn("low", F.min("class").over(of_token)).withColumn("high", F.max("class").over(of_token)).where(F.col("low") != F.col("high")).select("token", "class")
+    tokens = keep(tokens, "tokens")
+    shared = tokens.groupBy("class").agg(F.count("*").alias("n"))
+    involved = classes.join(shared, "class").where(F.col("n") >= rule.tokens_shared(F.col("n_shingles"))).drop("n")
+    involved = keep(involved, "involved")
     texts = docs.join(involved.select(F.col("doc").alias("id"), "class"), "id").select("class", "text")
     sets = keep(_sets(texts, rule), "shingle-sets")
     groups = keep(_groups(involved, sets, rule), "groups")
-    candidates = keep(_candidates(tokens, groups, rule), "candidates")
+    candidates = keep(_candidates(tokens.distinct(), groups, rule), "candidates")
     roots = components(_opened(candidates, groups, sets, rule))
     placed = groups.select("class", "group").join(roots, groups["group"] == roots["node"], "left").select("class", F.coalesce("root", "group").alias("root"))
     least = placed.join(classes.select("class", "doc"), "class").groupBy("root").agg(F.min("doc").alias("component"))
