@@ -1,7 +1,7 @@
 """Tokens of many texts by way of their distinct chunks.
 
 A text is cut where no token can reach across; each distinct chunk is encoded once by the tokenizers library and the ids are
-put together with numpy. The cache lives for a task and is emptied when it is full. Chunks are told apart by 64-bit hashes.
+put together with numpy. The cache lives as long as the Python worker and is emptied when it is full. Chunks are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ import numpy as np
 
 from tidemark.llm import _text
 
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 1_500_000
+LATE_CHUNKS = 100_000
 #: Chunks that the library encodes at once: its objects are large.
 BATCH_CHUNKS = 4096
+JOINED_CHUNKS = 256
 FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -49,30 +51,84 @@ def cuts_before_space(data: np.ndarray) -> np.ndarray:
 
 
 class ChunkEncoder:
-    """encode: ids of a list of chunks. prefix: what comes before the first chunk of each text that isn't empty."""
+    """encode: ids of a list of texts. prefix: what comes before the first chunk of each text that isn't empty. lengths: the
+    bytes of each id, if ids cover the bytes of a text in order; then chunks that can't touch are encoded many at a time and
+    told apart by their lengths."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], cuts: Callable[[np.ndarray], np.ndarray], prefix: str = ""):
-        self.encode, self.cuts, self.prefix = encode, cuts, prefix
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], cuts: Callable[[np.ndarray], np.ndarray], prefix: str = "", lengths: np.ndarray | None = None):
+        self.encode, self.cuts, self.prefix, self.lengths = encode, cuts, prefix, lengths
         self._empty()
 
     def _empty(self) -> None:
-        self.keys, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool: list[np.ndarray] = []
-        self.pooled = 0
-
-    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        counts, flats = np.zeros(len(chunks), np.int64), []
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        # What was learned lately is kept apart, so that the large arrays are rebuilt rarely.
+        self.known, self.late = none, none
+        self.pool, self.pooled = np.zeros(1 << 16, np.uint32), 0
+
+    @staticmethod
+    def _with(table: tuple, new: tuple) -> tuple:
+        at = np.searchsorted(table[0], new[0])
+        return tuple(np.insert(x, at, y) for x, y in zip(table, new, strict=True))
+
+    def _one_by_one(self, chunks: list[str]) -> tuple[list[int], list[np.ndarray]]:
+        counts, flats = [], []
         for a in range(0, len(chunks), BATCH_CHUNKS):
             ids = self.encode(chunks[a : a + BATCH_CHUNKS])
-            counts[a : a + len(ids)] = [len(x) for x in ids]
+            counts += [len(x) for x in ids]
             flats.append(np.fromiter((x for own in ids for x in own), np.uint32))
-        flat = np.concatenate(flats)
-        at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.starts = np.insert(self.starts, at, self.pooled + np.cumsum(counts) - counts)
-        self.counts = np.insert(self.counts, at, counts)
-        self.pool = [np.concatenate([*self.pool, flat])]
+        return counts, flats
+
+    def _together(self, chunks: list[str]) -> tuple[list[int], list[np.ndarray]]:
+        groups = [chunks[a : a + JOINED_CHUNKS] for a in range(0, len(chunks), JOINED_CHUNKS)]
+        counts, flats = [], []
+        for a in range(0, len(groups), 16):
+            for group, ids in zip(groups[a : a + 16], self.encode(["".join(x) for x in groups[a : a + 16]]), strict=True):
+                ids = np.array(ids, np.uint32)
+                ends = np.cumsum(self.lengths[ids])
+                wanted = np.cumsum([len(x.encode()) for x in group])
+                at = np.searchsorted(ends, wanted)
+                if len(at) and at[-1] == len(ends) - 1 and (ends[at] == wanted).all():
+                    counts += np.diff(at, prepend=-1).tolist()
+                    flats.append(ids)
+                else:
+                    one = self._one_by_one(group)
+                    counts += one[0]
+                    flats += one[1]
+        return counts, flats
+
+    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+        if self.lengths is None:
+            order = np.arange(len(chunks))
+            counts, flats = self._one_by_one(chunks)
+        else:
+            apart = np.array([x[0] in " \t\n\v\f\r" and ("!" <= x[-1] <= "~" or "\xc0" <= x[-1] <= "\u07ff") for x in chunks], bool)
+            order = np.concatenate((np.flatnonzero(apart), np.flatnonzero(~apart)))
+            some = int(apart.sum())
+            counts, flats = self._together([chunks[i] for i in order[:some]])
+            rest = self._one_by_one([chunks[i] for i in order[some:]])
+            counts, flats = counts + rest[0], flats + rest[1]
+        flat, counts = np.concatenate([*flats, np.zeros(0, np.uint32)]), np.array(counts, np.int32)
+        starts = np.zeros(len(chunks), np.int64)
+        sizes = np.zeros(len(chunks), np.int32)
+        starts[order], sizes[order] = self.pooled + np.cumsum(counts) - counts, counts
+        if self.pooled + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool[: self.pooled], np.zeros(max(len(flat), self.pooled), np.uint32)))
+        self.pool[self.pooled : self.pooled + len(flat)] = flat
         self.pooled += len(flat)
+        self.late = self._with(self.late, (keys, starts, sizes))
+        if len(self.late[0]) > LATE_CHUNKS:
+            self.known, self.late = self._with(self.known, self.late), tuple(x[:0] for x in self.late)
+
+    def _look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known, starts, counts) of sorted keys."""
+        found, starts, counts = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for table in (self.known, self.late):
+            if len(table[0]):
+                at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+                hit = table[0][at] == keys
+                found |= hit
+                starts[hit], counts[hit] = table[1][at[hit]], table[2][at[hit]]
+        return found, starts, counts
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
@@ -86,18 +142,17 @@ class ChunkEncoder:
         if self.prefix:
             hashes[first[starts]] ^= FIRST
         keys, sample, place = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE_CHUNKS:
+        if len(self.known[0]) > CACHE_CHUNKS:
             self._empty()
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if new.any():
-            some = sample[new]
+        found, _, _ = self._look_up(keys)
+        if not found.all():
+            some = sample[~found]
             view = memoryview(np.ascontiguousarray(data))
             lead = first[starts[some]]
-            self._learn(keys[new], [(self.prefix if f else "") + str(view[a:b], "utf-8") for a, b, f in zip(starts[some].tolist(), ends[some].tolist(), lead.tolist(), strict=True)])
-        at = np.searchsorted(self.keys, keys)
-        counts = self.counts[at][place]
-        ids = gather(self.pool[0], self.starts[at][place], counts)
+            self._learn(keys[~found], [(self.prefix if f else "") + str(view[a:b], "utf-8") for a, b, f in zip(starts[some].tolist(), ends[some].tolist(), lead.tolist(), strict=True)])
+        _, begins, sizes = self._look_up(keys)
+        counts = sizes[place]
+        ids = gather(self.pool, begins[place], counts)
         sums = np.concatenate(([0], np.cumsum(counts)))
         edges = sums[np.searchsorted(starts, offsets)]
         return ids, np.diff(edges)

@@ -11,6 +11,7 @@ one. `encode` keeps the other columns; added columns get underscores if their na
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
@@ -135,6 +136,12 @@ def load(name: str = MODEL) -> Model:
         return Model.parse(f.read())
 
 
+@functools.lru_cache(maxsize=2)
+def worker_encoder(name: str, threads: int) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """One for each Python worker: what one task has learned serves the next."""
+    return encoder(load(name), threads)
+
+
 def encoder(model: Model, threads: int = THREADS) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Encodes text buffers to (ids of all texts, how many each text has)."""
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -186,7 +193,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(load(model), threads)
+        code = worker_encoder(model, threads)
         for batch in batches:
             ids, counts = code(*_text.text_buffers(batch.column(at)))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids.astype(np.int32)))
@@ -239,7 +246,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed = load(model)
-        code, read = encoder(parsed, threads), Decoder(parsed)
+        code, read = worker_encoder(model, threads), Decoder(parsed)
         for batch in batches:
             data, offsets = _text.text_buffers(batch.column(1))
             view = memoryview(np.ascontiguousarray(data))

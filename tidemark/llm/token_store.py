@@ -15,6 +15,7 @@ empty table gives no segments and an empty result. Further columns are not store
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -93,12 +94,16 @@ class Codes:
         return out
 
 
+@functools.lru_cache(maxsize=2)
 def _encoder(name: str) -> ChunkEncoder:
+    """One for each Python worker: what one task has learned serves the next."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return ChunkEncoder(lambda chunks: [x.ids for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)], cuts_before_white)
+    # A byte is one character of a byte-level piece.
+    lengths = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())], np.int64)
+    return ChunkEncoder(lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], cuts_before_white, lengths=lengths)
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> None:
