@@ -10,8 +10,9 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
 3. Where one hash has several contexts, those that occur once are compared with all the others: a task takes the contexts of
    its hashes in batches; a batch gets its suffix array (order of hash and following bytes), is merge-scanned against the
    array of each level, both sides noting matches of `length` bytes or more, and joins the family; levels of equal size merge.
-4. A hash with more than HOT_CONTEXTS contexts (the edge of a passage that very many documents share) is not compared in
-   pairs: each window of its contexts is hashed, and hashes are counted by Spark, in as many rows as there are windows.
+4. A hash with more than PAIRED contexts (the edge of a passage that many documents share) is not compared in pairs: the
+   windows of its contexts are hashed and counted, which is linear in their number, by its task; with more than
+   HOT_CONTEXTS contexts, which would fill a task, by Spark, in as many rows as there are windows.
 5. Spans go to their documents, which drop them.
 
 Null and empty texts have no bytes. Rows with a null id lose nothing and match nothing. Repeated rows are documents of their
@@ -36,7 +37,7 @@ from tidemark.llm._encode import gather
 from tidemark.llm._store import keep, small_batches
 
 LENGTH, K = 200, 32
-HOT_CONTEXTS, BATCH, PAIRS = 128, 4096, 1 << 14
+PAIRED, HOT_CONTEXTS, BATCH, PAIRS = 32, 20_000, 4096, 1 << 14
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
@@ -177,20 +178,65 @@ def _padded(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in parts), np.uint8).reshape(-1, width), counts
 
 
+def _paired(rows: list[tuple], length: int) -> np.ndarray:
+    """(row, start, end) of matches, by a family of suffix arrays."""
+    family = Family(length)
+    for at in range(0, len(rows), BATCH):
+        some = rows[at : at + BATCH]
+        right, n_right = _padded([x[6][x[4] - x[5] :][:length] for x in some], length)
+        left, n_left = _padded([x[6][: x[4] - x[5]][::-1] for x in some], length)
+        family.add({"key": np.array([x[0] for x in some], np.int64).view(np.uint64), "right": right, "n_right": n_right, "left": left, "n_left": n_left, "row": np.arange(at, at + len(some))})
+    found = np.unique(np.concatenate([*family.found, np.zeros((0, 3), np.int64)]), axis=0)
+    anchor = np.array([x[4] for x in rows], np.int64)[found[:, 0]] if len(found) else found[:, 0]
+    return np.stack([found[:, 0], anchor - found[:, 1], anchor + found[:, 2]], 1)
+
+
+def _window_hashes(parts: list[bytes], keys: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, hash) of every window of some contexts; the hash holds key and place of the anchor. places: of the anchor
+    in its context."""
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.array([len(x) for x in parts], np.int64)
+    counts = sizes - length + 1
+    row = np.repeat(np.arange(len(parts)), counts)
+    offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = (np.cumsum(sizes) - sizes)[row] + offset
+    hashes = _text.span_hashes(data, starts, starts + length) ^ _text.mix(keys[row] + (places[row] - offset).astype(np.uint64))
+    return row, offset, hashes
+
+
+def _counted(rows: list[tuple], length: int) -> np.ndarray:
+    """(row, start, end) of windows that occur twice among the contexts of one hash."""
+    keys = np.array([x[0] for x in rows], np.int64).view(np.uint64)
+    n, first, anchor = (np.array([x[k] for x in rows], np.int64) for k in (1, 5, 4))
+    row, offset, hashes = _window_hashes([x[6] for x in rows], keys, anchor - first, length)
+    _, place = np.unique(hashes, return_inverse=True)
+    twice = np.bincount(place, weights=n[row])[place] > 1
+    return np.stack([row[twice], first[row[twice]] + offset[twice], first[row[twice]] + offset[twice] + length], 1)
+
+
 def _matches(contexts: DataFrame, length: int) -> DataFrame:
     """(doc, text_hash, start, end) of contexts that occur once, from rows sorted by key within their task."""
     names = ["doc", "text_hash", "start", "end"]
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        family = Family(length)
-        for at in range(0, len(rows), BATCH):
-            some = rows[at : at + BATCH]
-            right, n_right = _padded([x[6][x[4] - x[5] :][:length] for x in some], length)
-            left, n_left = _padded([x[6][: x[4] - x[5]][::-1] for x in some], length)
-            family.add({"key": np.array([x[0] for x in some], np.int64).view(np.uint64), "right": right, "n_right": n_right, "left": left, "n_left": n_left, "row": np.arange(at, at + len(some))})
-        found = np.unique(np.concatenate([*family.found, np.zeros((0, 3), np.int64)]), axis=0)
-        out = [(rows[i][2], rows[i][3], rows[i][4] - l, rows[i][4] + r) for i, l, r in found.tolist() if rows[i][1] == 1]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names)
+        keys = np.array([x[0] for x in rows], np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(rows)]
+        few = [i for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a <= PAIRED for i in range(a, b)]
+        found = [_paired([rows[i] for i in few], length)]
+        found[0][:, 0] = np.array(few, np.int64)[found[0][:, 0]] if few else found[0][:, 0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > PAIRED:
+                found.append(_counted(rows[a:b], length) + np.array([a, 0, 0]))
+        spans = np.concatenate(found)
+        spans = spans[np.array([x[1] for x in rows], np.int64)[spans[:, 0]] == 1]
+        if not len(spans):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names)
+        # The union of each row's spans, on one axis with room between the rows.
+        room = int(spans[:, 2].max()) + 1
+        start, end = _merged(spans[:, 0] * room + spans[:, 1], spans[:, 0] * room + spans[:, 2])
+        row = start // room
+        doc, text_hash = (np.array([x[k] for x in rows], np.int64)[row] for k in (2, 3))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, text_hash, start - row * room, end - row * room)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -213,17 +259,8 @@ def _windows(contexts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = batch.column(6).to_pylist()
-            data = np.frombuffer(b"".join(parts), np.uint8)
-            sizes = np.array([len(x) for x in parts], np.int64)
-            counts = sizes - length + 1
-            begins = np.cumsum(sizes) - sizes
-            row = np.repeat(np.arange(len(parts)), counts)
-            within = gather(np.arange(int(counts.max()) if len(counts) else 0), np.zeros(len(counts), np.int64), counts)
-            starts = begins[row] + within
             key, n, doc, text_hash, anchor, first = (batch.column(k).to_numpy() for k in range(6))
-            place = (anchor - first)[row] - within
-            hashes = _text.span_hashes(data, starts, starts + length) ^ _text.mix(key.view(np.uint64)[row] + place.astype(np.uint64))
+            row, within, hashes = _window_hashes(batch.column(6).to_pylist(), key.view(np.uint64), anchor - first, length)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n[row]), pa.array(doc[row]), pa.array(text_hash[row]), pa.array(first[row] + within)], names)
 
     return contexts.select("key", "n", "doc", "text_hash", "anchor", "first", "bytes").mapInArrow(run, ", ".join(f"{x} long" for x in names))
