@@ -1,0 +1,148 @@
+"""Small-sample estimators by series (M1-M16): each series is one group of at most a few hundred points."""
+
+from __future__ import annotations
+
+import itertools
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+ITS_SCHEMA = "series string, break_year int, term string, coef double, se double, low double, high double, n long, lags int, durbin_watson double, reason string"
+TERMS = ("level", "trend", "step", "slope_change")
+
+
+def hac_lags(n: int) -> int:
+    """Lags of the Newey-West estimator: floor(4 (n / 100)^(2/9))."""
+    return int(4 * (n / 100) ** (2 / 9))
+
+
+def design(years: np.ndarray, break_year: int) -> np.ndarray:
+    """1, t, D and D t from the break on, t counted from the first year."""
+    t = years - years.min()
+    d = (years >= break_year).astype(float)
+    return np.stack([np.ones(len(t)), t, d, d * (years - break_year)], 1)
+
+
+def ols_hac(x: np.ndarray, y: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coefficients, their covariance, residuals) with Bartlett weights and the small-sample factor n / (n - k)."""
+    inverse = np.linalg.pinv(x.T @ x)
+    beta = inverse @ x.T @ y
+    e = y - x @ beta
+    u = x * e[:, None]
+    middle = u.T @ u
+    for lag in range(1, lags + 1):
+        cross = u[lag:].T @ u[:-lag]
+        middle += (1 - lag / (lags + 1)) * (cross + cross.T)
+    n, k = x.shape
+    return beta, inverse @ middle @ inverse * (n / max(1, n - k)), e
+
+
+def interrupted_series(df: DataFrame, series: str, year: str, value: str, break_year: int, log: bool = False, offset: float = 0.0, donut: int | None = None, least: int = 3) -> DataFrame:
+    """(series, term, coefficient, HAC interval, …) of a segmented regression for each series; fewer than `least` points on
+    either side give rows with a reason and no numbers. donut: years around the break that are left out."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=["y"]).sort_values("t")
+        if donut is not None:
+            pdf = pdf[(pdf["t"] - break_year).abs() > donut]
+        name = str(pdf["s"].iloc[0]) if len(pdf) else ""
+        t, y = pdf["t"].to_numpy(float), pdf["y"].to_numpy(float)
+        if log:
+            y = np.log(y + offset)
+        before, after = int((t < break_year).sum()), int((t >= break_year).sum())
+        if min(before, after) < least:
+            return pd.DataFrame([(name, break_year, k, None, None, None, None, len(t), None, None, f"{before} points before, {after} after") for k in TERMS], columns=columns)
+        lags = hac_lags(len(t))
+        beta, cov, e = ols_hac(design(t, break_year), y, lags)
+        se = np.sqrt(np.maximum(np.diag(cov), 0))
+        dw = float((np.diff(e) ** 2).sum() / (e @ e)) if e @ e > 0 else None
+        return pd.DataFrame([(name, break_year, k, b, s, b - 1.96 * s, b + 1.96 * s, len(t), lags, dw, None) for k, b, s in zip(TERMS, beta, se, strict=True)], columns=columns)
+
+    columns = [x.split()[0] for x in ITS_SCHEMA.split(", ")]
+    return df.select(F.col(series).alias("s"), F.col(year).alias("t"), F.col(value).cast("double").alias("y")).groupBy("s").applyInPandas(fit, ITS_SCHEMA)
+
+
+def ols_line(x, y) -> list:
+    """Aggregates: slope and intercept of a straight line."""
+    return [F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")]
+
+
+def quasi_poisson(df: DataFrame, series: str, year: str, events: str, exposure: str, break_year: int) -> DataFrame:
+    """(series, term, coef, se, dispersion) of a log-linear model with an offset, by reweighted least squares (M5)."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        x, y, off = design(pdf["t"].to_numpy(float), break_year), pdf["y"].to_numpy(float), np.log(pdf["o"].to_numpy(float))
+        beta = np.zeros(4)
+        beta[0] = np.log(max(y.sum(), 1e-9) / np.exp(off).sum())
+        for _ in range(100):
+            mu = np.exp(np.clip(x @ beta + off, -30, 30))
+            new = np.linalg.pinv(x.T @ (x * mu[:, None])) @ (x.T @ (mu * (x @ beta) + y - mu))
+            done, beta = np.abs(new - beta).max() < 1e-10, new
+            if done:
+                break
+        mu = np.exp(np.clip(x @ beta + off, -30, 30))
+        phi = float(((y - mu) ** 2 / mu).sum() / max(1, len(y) - 4))
+        se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(x.T @ (x * mu[:, None]))) * phi, 0))
+        return pd.DataFrame([(str(pdf["s"].iloc[0]), k, b, s, phi) for k, b, s in zip(TERMS, beta, se, strict=True)], columns=["series", "term", "coef", "se", "dispersion"])
+
+    return df.select(F.col(series).alias("s"), F.col(year).alias("t"), F.col(events).cast("double").alias("y"), F.col(exposure).cast("double").alias("o")).groupBy("s").applyInPandas(fit, "series string, term string, coef double, se double, dispersion double")
+
+
+def simplex_weights(treated: np.ndarray, donors: np.ndarray) -> np.ndarray:
+    """Weights, none below 0 and 1 in sum, with the least squared distance: least squares on every set of up to eight donors
+    with the sum fixed, of which the best without a negative weight is the optimum."""
+    n = donors.shape[1]
+    if n > 8:
+        raise ValueError("more than eight donors")
+    best, found = np.inf, np.full(n, 1 / n)
+    for size in range(1, n + 1):
+        for some in itertools.combinations(range(n), size):
+            d = donors[:, some]
+            system = np.block([[d.T @ d + 1e-12 * np.eye(size), np.ones((size, 1))], [np.ones((1, size)), np.zeros((1, 1))]])
+            w = np.linalg.lstsq(system, np.append(d.T @ treated, 1.0), rcond=None)[0][:size]
+            loss = float(((treated - d @ w) ** 2).sum())
+            if w.min() >= -1e-9 and loss < best - 1e-15:
+                best, found = loss, np.zeros(n)
+                found[list(some)] = np.maximum(w, 0)
+    return found
+
+
+def synthetic_control(panel: DataFrame, unit: str, year: str, value: str, before: int) -> DataFrame:
+    """(unit, donor, weight, rmspe_before, rmspe_after) with every unit treated in turn, the others being its donors (M7, M8,
+    M11). A panel of a few units is one group."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index="t", columns="u", values="y").dropna().sort_index()
+        pre, out = wide.index < before, []
+        for name in wide.columns:
+            others = [c for c in wide.columns if c != name]
+            w = simplex_weights(wide.loc[pre, name].to_numpy(), wide.loc[pre, others].to_numpy())
+            gap = wide[name].to_numpy() - wide[others].to_numpy() @ w
+            rm = [float(np.sqrt((gap[m] ** 2).mean())) if m.any() else None for m in (pre, ~pre)]
+            out += [(name, o, float(x), *rm) for o, x in zip(others, w, strict=True)]
+        return pd.DataFrame(out, columns=["unit", "donor", "weight", "rmspe_before", "rmspe_after"])
+
+    rows = panel.select(F.lit(1).alias("g"), F.col(unit).cast("string").alias("u"), F.col(year).alias("t"), F.col(value).cast("double").alias("y"))
+    return rows.groupBy("g").applyInPandas(fit, "unit string, donor string, weight double, rmspe_before double, rmspe_after double")
+
+
+def did(df: DataFrame, treated: str, after: str, value: str) -> DataFrame:
+    """(effect): the difference of differences of the four group means."""
+    mean = lambda a, b: F.avg(F.when((F.col(treated) == a) & (F.col(after) == b), F.col(value)))
+    return df.agg((mean(True, True) - mean(True, False) - (mean(False, True) - mean(False, False))).alias("effect"))
+
+
+def sign_bootstrap(effects: np.ndarray) -> float:
+    """p of the mean of cluster effects under all sign changes, of which 12 clusters have 4,096 (M9)."""
+    if len(effects) > 12:
+        raise ValueError("more than twelve clusters")
+    signs = np.array(list(itertools.product((-1, 1), repeat=len(effects))))
+    return float((np.abs(signs @ effects) >= abs(effects.sum()) - 1e-12).mean())
+
+
+def excludes_zero(low, high):
+    """Whether an interval lies on one side of 0 (P25)."""
+    return low * high > 0

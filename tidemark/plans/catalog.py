@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tidemark.plans import evaluation_queries, series_queries, spatial_queries
+
+QUERIES = series_queries.QUERIES | spatial_queries.QUERIES | evaluation_queries.QUERIES
+SQL: dict[str, str] = series_queries.SQL | spatial_queries.SQL | evaluation_queries.SQL
