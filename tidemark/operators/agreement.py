@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def jaccard_at_cuts(a: DataFrame, b: DataFrame, key: list[str], flag: str, score: str, cuts: list[float]) -> DataFrame:
-    """(cut, both, only_a, only_b, jaccard, recall, area_error) of a mask against a score above each cut. One full join, one
+    """(cut, shared, only_a, only_b, jaccard, recall, area_error) of a mask against a score above each cut. One full join, one
     row a key; the cuts are an array in the plan, not a join."""
     sides = a.select(*key, F.col(flag).alias("a")).join(b.select(*key, F.col(score).alias("b")), key, "full_outer")
     rows = sides.select(F.coalesce("a", F.lit(False)).alias("a"), "b", F.explode(F.array(*[F.lit(float(c)) for c in cuts])).alias("cut"))
     hit = F.coalesce(F.col("b") >= F.col("cut"), F.lit(False))
-    n = rows.groupBy("cut").agg(F.count_if(F.col("a") & hit).alias("both"), F.count_if(F.col("a") & ~hit).alias("only_a"), F.count_if(~F.col("a") & hit).alias("only_b"))
-    both, a_all, b_all = F.col("both").cast("double"), F.col("both") + F.col("only_a"), F.col("both") + F.col("only_b")
+    n = rows.groupBy("cut").agg(F.count_if(F.col("a") & hit).alias("shared"), F.count_if(F.col("a") & ~hit).alias("only_a"), F.count_if(~F.col("a") & hit).alias("only_b"))
+    both, a_all, b_all = F.col("shared").cast("double"), F.col("shared") + F.col("only_a"), F.col("shared") + F.col("only_b")
     return n.withColumn("jaccard", F.try_divide(both, a_all + F.col("only_b"))).withColumn("recall", F.try_divide(both, b_all)).withColumn("area_error", F.try_divide((a_all - b_all).cast("double"), b_all))
 
 

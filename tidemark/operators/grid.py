@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.checkpoints import checkpoint_dir
+
 SQUARE = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 CROSS = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 
@@ -91,11 +93,7 @@ def components(mask: DataFrame, offsets: list[tuple[int, int]] = SQUARE, width:
     """(row, col, component): the smallest cell number (row * width + col) of the connected cells. Labels spread to the
     smallest of the neighbours and then jump to their label's label, so the steps grow with the logarithm of the size; each
     step is a checkpoint."""
-    spark = mask.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
+    checkpoint_dir(mask.sparkSession)
     number = (F.col("row") * width + F.col("col")).cast("long")
     labels = mask.select("row", "col", number.alias("id"), number.alias("label")).checkpoint()
     total = labels.agg(F.sum("label")).first()[0]

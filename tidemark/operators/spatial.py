@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.checkpoints import checkpoint_dir
+
 #: Sites, bands or phases that a plan may hold as literals.
 MAX_LITERALS = 2_000
 
@@ -60,17 +63,18 @@ def neighbours_in_cells(df: DataFrame, key: str, x: str, y: str, radius: float)
 
 
 def nearest_neighbour(df: DataFrame, key: str, x: str, y: str, radius: float, rounds: int = 24) -> DataFrame:
-    """(key, d2) of the nearest other point (J11). Points without a neighbour within the radius search on with twice the
-    radius, until all have one or only one point is left; a bound on the rounds guards against endless searches."""
-    found, left = None, df
+    """(key, d2) of the nearest other point (J11). Points without a neighbour within the radius search on with four times the
+    radius, until all have one; each round is a checkpoint. What is left after so many rounds has no other point."""
+    checkpoint_dir(df.sparkSession)
+    found, left = [], df.select(key, x, y)
     for _ in range(rounds):
-        near = neighbours_in_cells(df, key, x, y, radius).groupBy(key).agg(F.min("d2").alias("d2")) if found is None else _search(left, df, key, x, y, radius)
-        found = near if found is None else found.unionByName(near)
-        left = df.join(found.select(key), key, "left_anti")
+        near = _search(left, df, key, x, y, radius).checkpoint()
+        found.append(near)
+        left = left.join(near.select(key), key, "left_anti").checkpoint()
         if left.isEmpty():
             break
-        radius *= 2
-    return found
+        radius *= 4
+    return reduce(DataFrame.unionByName, found)
 
 
 def _search(left: DataFrame, df: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
