@@ -61,6 +61,20 @@ class Rule:
         """How many tokens a set of this size shares at least with any that it links with."""
         return F.least(F.lit(SHARED).cast("long"), F.ceil(size * self.num / self.den).cast("long"))
 
+    def tokens_shared_with(self, size: Column, low: Column, high: Column) -> Column:
+        """The same for partners with sizes from low to high. Two linked sets share at least t / (1 + t) of their sizes' sum;
+        of what they share, what isn't among the tokens of both comes after the tokens of one of them, so it is at most what
+        that set holds besides its tokens. The difference is least at an end of the range of sizes; one is taken off for
+        rounding."""
+        part = lambda x: F.ceil(x * self.num / self.den)
+
+        def at(other: Column) -> Column:
+            other = F.greatest(part(size), F.least(other, F.floor(size * self.den / self.num)))
+            both = F.ceil((size + other) * self.num / (self.num + self.den))
+            return both - F.greatest(F.lit(0), F.greatest(part(size), part(other)) - SHARED)
+
+        return F.greatest(F.lit(1), F.least(at(low), at(high)) - 1)
+
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         if min(len(a), len(b)) * self.den < self.num * max(len(a), len(b)):
             return False
@@ -158,19 +172,23 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
 
 def _groups(classes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(class, n_shingles, group): the pivot of its min-hash where they link, else itself."""
-    pivots = classes.groupBy("min_hash").agg(F.min("class").alias("pivot"), F.count("*").alias("n")).where(F.col("n") > 1)
+    # The class with most tokens that others hold too is the most usual of its kind.
+    pivots = classes.groupBy("min_hash").agg(F.max_by("class", F.struct("n_shared", "class")).alias("pivot"), F.count("*").alias("n")).where(F.col("n") > 1)
     pairs = classes.select("class", "min_hash").join(pivots, "min_hash").where(F.col("class") != F.col("pivot")).select("class", F.col("class").alias("own"), F.col("pivot").alias("group"))
     linked = _opened(pairs, pivots.select(F.col("pivot").alias("class"), F.col("pivot").alias("group")), sets, rule).select(F.col("a").alias("class"), F.col("b").alias("group"))
-    return classes.select("class", "n_shingles").join(linked, "class", "left").select("class", "n_shingles", F.coalesce("group", "class").alias("group"))
+    return classes.select("class", "n_shingles", "n_shared").join(linked, "class", "left").select("class", "n_shingles", "n_shared", F.coalesce("group", "class").alias("group"))
 
 
 def _candidates(tokens: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
     """(class, group, own): the groups that a class may link with, by the token-group matrix."""
-    cells = tokens.join(groups, "class").select("token", "class", "n_shingles", F.col("group").alias("own"))
-    matrix = cells.groupBy("token", F.col("own").alias("group")).agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    fits = (F.col("high") * rule.den >= F.col("n_shingles") * rule.num) & (F.col("low") * rule.num <= F.col("n_shingles") * rule.den)
-    met = cells.join(matrix, "token").where((F.col("group") < F.col("own")) & fits).groupBy("class", "n_shingles", "own", "group").agg(F.count("*").alias("n"))
-    return met.where(F.col("n") >= rule.tokens_shared(F.col("n_shingles"))).select("class", "own", "group")
+    cells = tokens.join(groups, "class").select("token", "class", "n_shingles", "n_shared", F.col("group").alias("own"))
+    matrix = cells.groupBy("token", F.col("own").alias("group")).agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.max("n_shared").alias("most"))
+    size = F.col("n_shingles")
+    fits = (F.col("high") * rule.den >= size * rule.num) & (F.col("low") * rule.num <= size * rule.den)
+    enough = rule.tokens_shared_with(size, F.col("low"), F.col("high"))
+    met = cells.join(matrix, (cells["token"] == matrix["token"]) & (matrix["group"] < cells["own"]) & fits & (enough <= F.least("n_shared", "most")))
+    met = met.groupBy("class", "n_shingles", "own", "group").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return met.where(F.col("n") >= rule.tokens_shared_with(size, F.col("low"), F.col("high"))).select("class", "own", "group")
 
 
 def _blocks(groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -227,8 +245,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_token = Window.partitionBy("token")
     tokens = once.withColumn("low", F.min("class").over(of_token)).withColumn("high", F.max("class").over(of_token)).where(F.col("low") != F.col("high")).select("token", "class")
     tokens = keep(tokens, "tokens")
-    shared = tokens.groupBy("class").agg(F.count("*").alias("n"))
-    involved = classes.join(shared, "class").where(F.col("n") >= rule.tokens_shared(F.col("n_shingles"))).drop("n")
+    shared = tokens.groupBy("class").agg(F.count("*").alias("n_shared"))
+    involved = classes.join(shared, "class").where(F.col("n_shared") >= rule.tokens_shared(F.col("n_shingles")))
     involved = keep(involved, "involved")
     texts = docs.join(involved.select(F.col("doc").alias("id"), "class"), "id").select("class", "text")
     sets = keep(_sets(texts, rule), "shingle-sets")
