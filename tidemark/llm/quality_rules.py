@@ -23,9 +23,9 @@ from tidemark.llm._store import small_batches
 
 LEVEL = 3
 #: Fixed values: (bytes at least, lowest ratio, highest ratio) of whole texts. Short texts compress less.
-WHOLE_LIMITS = [(0, 0.35, 1.20), (256, 0.35, 0.95), (512, 0.32, 0.90), (1024, 0.30, 0.85), (2048, 0.28, 0.80), (4096, 0.25, 0.78), (8192, 0.23, 0.75), (32768, 0.21, 0.72)]
+WHOLE_LIMITS = [(0, 0.35, 1.20), (256, 0.35, 0.90), (512, 0.32, 0.85), (1024, 0.30, 0.78), (2048, 0.28, 0.72), (4096, 0.25, 0.68), (8192, 0.23, 0.66), (32768, 0.21, 0.64)]
 #: Fixed chunks of so many bytes, the last one if it has CHUNK_LEAST; limits of a chunk's ratio; share that may leave them.
-CHUNK, CHUNK_LEAST, CHUNK_LIMITS, MAX_BAD_CHUNKS = 4096, 1024, (0.22, 0.85), 0.3
+CHUNK, CHUNK_LEAST, CHUNK_LIMITS, MAX_BAD_CHUNKS = 4096, 1024, (0.22, 0.72), 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 SYMBOLS = np.zeros(256, bool)
