@@ -141,3 +141,14 @@ def rings(cells: DataFrame, mask: DataFrame, size_m: float, bounds_m: tuple[floa
 def composite(scenes: DataFrame, bands: list[str]) -> DataFrame:
     """The median of each band and its number of valid observations by cell (A1, A2); null bands don't count."""
     return scenes.groupBy("row", "col").agg(*[F.median(b).alias(b) for b in bands], *[F.count(b).alias(f"n_{b}") for b in bands])
+
+
+def nearest_value(cells: DataFrame, sources: DataFrame, value: str, reach: int) -> DataFrame:
+    """(row, col, value, d2) of the nearest source cell within a reach in cells; ties go to the smaller row, then column
+    (G8). Cells and sources are dealt by blocks of that side, so far ones never meet."""
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in SQUARE])
+    spread_out = sources.select(F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).alias("v"), F.explode(near).alias("s")).select("sr", "sc", "v", (F.floor(F.col("sr") / reach) + F.col("s.i")).alias("br"), (F.floor(F.col("sc") / reach) + F.col("s.j")).alias("bc"))
+    own = cells.select("row", "col", F.floor(F.col("row") / reach).alias("br"), F.floor(F.col("col") / reach).alias("bc"))
+    d2 = (F.col("row") - F.col("sr")) * (F.col("row") - F.col("sr")) + (F.col("col") - F.col("sc")) * (F.col("col") - F.col("sc"))
+    best = own.join(spread_out, ["br", "bc"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach).groupBy("row", "col").agg(F.min(F.struct("d2", "sr", "sc", "v")).alias("b"))
+    return best.select("row", "col", F.col("b.v").alias(value), "b.d2")

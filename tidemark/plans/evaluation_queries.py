@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import words
-from tidemark.operators import agreement, causal, contracts, markers, population
+from tidemark.operators import agreement, causal, contracts, markers, population, series, timeline, verdicts
 from tidemark.plans._tables import NATION_YEARS, nation_years, r4, table, year_of
 from tidemark.sources import html
 
@@ -160,7 +160,38 @@ def html_table_extract(spark, d):
     return html.table_cells(table(spark, d, "pages"), "page_id", "html")
 
 
-QUERIES = {f.__name__: f for f in (jaccard_at_cuts, stratified_accuracy, confusion_matrix, positional_lookup, key_conflict_detection, orphan_keys, missing_families, ragged_union, name_key_join, dasymetric_allocate, floor_ceiling_decomposition, scenario_cross_product, estimator_envelope, marker_program, ols_line_coefficients, ols_its_coefficients, its_hac_intervals, quasi_poisson_breaks, synthetic_control_weights, did_coefficient, log_elasticity, html_headings, html_links, html_table_extract)}
+def placebo_verdicts(spark, d):
+    b = nation_years(spark, d).groupBy("nation").agg(F.regr_slope("total", "year").alias("slope"), F.count("*").alias("n"))
+    real = b.where(F.col("nation") == "NATION_3").agg(F.max("slope").alias("real"))
+    rows = b.where(F.col("nation") != "NATION_3").crossJoin(F.broadcast(real))  # one row
+    again = F.when(F.col("n") >= 3, (F.signum("slope") == F.signum("real")) & (F.abs("slope") >= 0.5 * F.abs("real")))
+    return verdicts.placebo_verdict(rows.select(F.substring("nation", 1, 8).alias("block"), again.alias("again")), ["block"], "again")
+
+
+def sign_agreement(spark, d):
+    a = series.changes(nation_years(spark, d), ["nation"], "year", "total").select("nation", "year", F.col("change").alias("a"))
+    o = table(spark, d, "orders").groupBy(year_of("o_orderdate").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("total")).withColumn("all", F.lit("all"))
+    b = series.changes(o, ["all"], "year", "total").select("year", F.col("change").alias("b"))
+    out = verdicts.sign_agreement(a.join(b, "year"), ["nation"], "a", "b")
+    return out.select("nation", "agree", "n", r4(F.col("share")).alias("share"))
+
+
+def filled_counts(spark, d):
+    p = table(spark, d, "part").select("p_brand", F.col("p_size").cast("int").alias("size"))
+    return timeline.filled_counts(p, ["p_brand"], "size", 1, 50)
+
+
+def numbered_slugs(spark, d):
+    p = table(spark, d, "part").select("p_partkey", words.slug(F.col("p_name")).alias("name"))
+    return timeline.numbered(p, "name", "p_partkey").select("p_partkey", "slug")
+
+
+def milestone_faults(spark, d):
+    e = table(spark, d, "events").where("event_id < 400").select((F.col("event_id") % 397).alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("start"), F.when(F.col("event_id") % 3 == 0, "2023-12").when(F.col("event_id") % 3 == 1, "soon").alias("end"), F.col("event_type").alias("kind"), F.when(F.col("event_id") % 5 > 0, "x").alias("source"))
+    return timeline.milestone_faults(e, ["click", "view", "purchase"])
+
+
+QUERIES = {f.__name__: f for f in (jaccard_at_cuts, stratified_accuracy, confusion_matrix, positional_lookup, key_conflict_detection, orphan_keys, missing_families, ragged_union, name_key_join, dasymetric_allocate, floor_ceiling_decomposition, scenario_cross_product, estimator_envelope, marker_program, ols_line_coefficients, ols_its_coefficients, its_hac_intervals, quasi_poisson_breaks, synthetic_control_weights, did_coefficient, log_elasticity, html_headings, html_links, html_table_extract, placebo_verdicts, sign_agreement, filled_counts, numbered_slugs, milestone_faults)}
 
 _MONTHS = """months AS (SELECT o_orderstatus AS series, year(o_orderdate) * 12 + month(o_orderdate) AS t, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2)"""
 
@@ -211,4 +242,19 @@ SQL = {
       SELECT nation, round(regr_slope(ln(total), ln(n)), 4) AS elasticity, count(*) AS points FROM nation_years JOIN n USING (nation, year) GROUP BY 1 HAVING count(*) >= 3""",
     "html_headings": """SELECT page_id, nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') AS heading FROM pages""",
     "html_links": """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS link FROM pages) SELECT page_id, count(*) AS n_links, count(DISTINCT link) AS n_distinct FROM l GROUP BY 1""",
+    "placebo_verdicts": f"""WITH {NATION_YEARS}, b AS (SELECT nation, regr_slope(total, year) AS slope, count(*) AS n FROM nation_years GROUP BY 1), r AS (SELECT max(slope) AS v FROM b WHERE nation = 'NATION_3'),
+      x AS (SELECT substr(nation, 1, 8) AS block, CASE WHEN n >= 3 THEN sign(slope) = sign(v) AND abs(slope) >= 0.5 * abs(v) END AS again FROM b, r WHERE nation <> 'NATION_3'),
+      c AS (SELECT block, count(again) AS n, count(*) FILTER (WHERE again) AS repeated FROM x GROUP BY 1)
+      SELECT *, CASE WHEN n = 0 THEN 'not estimable' WHEN repeated >= 2 THEN 'fail' ELSE 'pass' END AS verdict,
+        CASE WHEN n = 0 THEN 'no placebo could be estimated' ELSE repeated || ' of ' || n || ' placebos repeat the effect' END AS reason FROM c""",
+    "sign_agreement": f"""WITH {NATION_YEARS}, a AS (SELECT nation, year, total - lag(total) OVER (PARTITION BY nation ORDER BY year) AS a FROM nation_years),
+      o AS (SELECT year(o_orderdate) AS year, round(sum(o_totalprice), 2) AS t FROM orders GROUP BY 1), b AS (SELECT year, t - lag(t) OVER (ORDER BY year) AS b FROM o)
+      SELECT nation, count(*) FILTER (WHERE sign(a) = sign(b)) AS agree, count(*) AS n, round(count(*) FILTER (WHERE sign(a) = sign(b)) / count(*), 4) AS share FROM a JOIN b USING (year) WHERE a <> 0 AND b <> 0 GROUP BY 1""",
+    "filled_counts": """WITH s AS (SELECT CAST(unnest(range(1, 51)) AS INT) AS size), b AS (SELECT DISTINCT p_brand FROM part)
+      SELECT b.p_brand, s.size, count(p.p_partkey) AS n FROM b CROSS JOIN s LEFT JOIN part p ON p.p_brand = b.p_brand AND p.p_size = s.size GROUP BY 1, 2""",
+    "numbered_slugs": """WITH n AS (SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS name FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) - 1 AS k FROM n)
+      SELECT p_partkey, CASE WHEN k > 0 THEN name || '-' || k ELSE name END AS slug FROM k""",
+    "milestone_faults": """WITH e AS (SELECT event_id % 397 AS id, event_id AS k, event_type AS kind FROM events WHERE event_id < 400)
+      SELECT id, 'end' AS fault FROM e WHERE k % 3 = 1 UNION ALL SELECT id, 'end before start' FROM e WHERE k % 3 = 0 UNION ALL SELECT id, 'kind' FROM e WHERE kind NOT IN ('click', 'view', 'purchase')
+      UNION ALL SELECT id, 'source' FROM e WHERE k % 5 = 0 UNION ALL SELECT id, 'id' FROM e GROUP BY id HAVING count(*) > 1""",
 }

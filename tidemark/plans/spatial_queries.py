@@ -141,7 +141,13 @@ def envelope_radius(spark, d):
     return spatial.smallest_reaching(li, ["l_returnflag"], "step", "l_quantity", target)
 
 
-QUERIES = {f.__name__: f for f in (block_aggregate_partial_edges, block_fractions, nearest_site, nearest_year_anchor, nearest_year_join, nearest_neighbour, range_band_lookup, interval_overlap, point_in_polygon, circular_direction, sector_histogram, grid_sum_preserving, neighbour_density, growth_typology, majority_filter, morphology_open_close, mask_overlay, rings_by_distance, components_8conn, landscape_metrics, median_composite, normalised_difference, envelope_radius)}
+def height_above_nearest(spark, d):
+    cells, river = part_grid(spark, d).select("row", "col", F.col("p_retailprice").alias("z")), part_grid(spark, d).where("p_size = 7").select("row", "col", F.col("p_retailprice").alias("z"))
+    near = grid.nearest_value(cells, river, "z", 6).withColumnRenamed("z", "river_z")
+    return cells.join(near, ["row", "col"]).select("row", "col", F.round(F.col("z") - F.col("river_z"), 2).alias("hand"), F.col("d2").cast("long").alias("d2"))
+
+
+QUERIES = {f.__name__: f for f in (block_aggregate_partial_edges, block_fractions, nearest_site, nearest_year_anchor, nearest_year_join, nearest_neighbour, range_band_lookup, interval_overlap, point_in_polygon, circular_direction, sector_histogram, grid_sum_preserving, neighbour_density, growth_typology, majority_filter, morphology_open_close, mask_overlay, rings_by_distance, components_8conn, landscape_metrics, median_composite, normalised_difference, envelope_radius, height_above_nearest)}
 
 _POINTS = "points AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
 _SQUARE = "off AS (SELECT i, j FROM (SELECT unnest(range(-1, 2)) AS i), (SELECT unnest(range(-1, 2)) AS j))"
@@ -197,4 +203,7 @@ SQL = {
         count(ndvi) AS n_ndvi, count(ndbi) AS n_ndbi, count(mndwi) AS n_mndwi, count(ndwi) AS n_ndwi, count(evi) AS n_evi FROM x GROUP BY 1""",
     "envelope_radius": """WITH s AS (SELECT l_returnflag, l_suppkey AS step, sum(l_quantity) AS a FROM lineitem GROUP BY 1, 2), c AS (SELECT *, sum(a) OVER (PARTITION BY l_returnflag ORDER BY step) AS t FROM s)
       SELECT l_returnflag, coalesce(min(step) FILTER (WHERE t >= CASE l_returnflag WHEN 'A' THEN 1e4 WHEN 'N' THEN 3e5 ELSE 1e12 END), max(step)) AS radius FROM c GROUP BY 1""",
+    "height_above_nearest": f"""WITH {PART_GRID}, m AS (SELECT row AS r, col AS q, p_retailprice AS z FROM part_grid WHERE p_size = 7),
+      n AS (SELECT row, col, p_retailprice, (row - r) ** 2 + (col - q) ** 2 AS d2, r, q, z FROM part_grid, m WHERE (row - r) ** 2 + (col - q) ** 2 <= 36)
+      SELECT row, col, round(p_retailprice - arg_min(z, (d2, r, q)), 2) AS hand, CAST(min(d2) AS BIGINT) AS d2 FROM n GROUP BY row, col, p_retailprice""",
 }
