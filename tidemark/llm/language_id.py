@@ -18,7 +18,6 @@ gives an empty result, other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +33,6 @@ FEATURES, SPECTRUM = 4096, 4
 #: Bounds of the fit: labelled texts, landmarks, languages.
 SAMPLE, LANDMARKS, LANGUAGES = 3000, 256, 512
 RIDGE = 1e-4
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 BLOCK_DOCS = 512
 
@@ -134,7 +132,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         own = shared.value
         for batch in batches:
             texts = batch.column(1)
-            readable = np.array([bool(x) and LETTER.search(x) is not None for x in texts.to_pylist()], bool)
+            readable = np.array([bool(x) and any(map(str.isalpha, x)) for x in texts.to_pylist()], bool)
             best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             at = 0
             for rows in texts_presence(texts) if own else ():
