@@ -31,6 +31,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_buckets(df: DataFrame, name: str, column: str) -> DataFrame:
+    """The rows as a written table in buckets of a column, as many as a shuffle has partitions: joins by it don't move them."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches of texts have so many rows at most: texts can be long and a batch is held in memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -10,7 +10,7 @@ the result names each document's component, the smallest id that links lead to.
 3. Similar classes become groups: classes with equal min-hash are compared with one of them, their pivot, and those that
    link with it are its group; all others are groups of their own. A group lies within one component by construction.
 4. The token-group matrix says which token is in which group, once a group, whatever its size, with the sizes of its sets. A
-   class meets the groups that share enough tokens and a possible size with it: these are its candidates.
+   class meets the larger groups that share enough tokens and a possible size with it: these are its candidates.
 5. Groups are stored in blocks of some members with the union of their shingles. |query & union| < ceil(t * |query|) rules
    the block out; only blocks that qualify are opened, and opened until one member links: one link joins two groups.
 6. Components of groups follow from these links, and components of documents from their classes.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import _text
 from tidemark.llm._components import components
-from tidemark.llm._store import keep, small_batches
+from tidemark.llm._store import keep, keep_buckets, small_batches
 
 SKETCH_BITS, SKETCH_CHUNK, SUM_ROWS = 20, 1 << 14, 64
 #: Tokens that linked sets share. More of them cost as many rows a class and leave fewer classes and candidates.
@@ -181,12 +181,16 @@ def _groups(classes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 def _candidates(tokens: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
     """(class, group, own): the groups that a class may link with, by the token-group matrix."""
-    cells = tokens.join(groups, "class").select("token", "class", "n_shingles", "n_shared", F.col("group").alias("own"))
-    matrix = cells.groupBy("token", F.col("own").alias("group")).agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.max("n_shared").alias("most"))
+    members = groups.groupBy("group").agg(F.count("*").alias("members"))
+    sized = groups.join(members, "group")
+    cells = tokens.join(sized, "class").select("token", "class", "n_shingles", "n_shared", F.col("group").alias("own"), F.col("members").alias("own_members"))
+    matrix = cells.groupBy("token", F.col("own").alias("group"), F.col("own_members").alias("members")).agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.max("n_shared").alias("most"))
     size = F.col("n_shingles")
     fits = (F.col("high") * rule.den >= size * rule.num) & (F.col("low") * rule.num <= size * rule.den)
+    # Of two groups the members of the smaller one ask the larger one.
+    larger = (F.col("members") > F.col("own_members")) | (F.col("members") == F.col("own_members")) & (matrix["group"] < cells["own"])
     enough = rule.tokens_shared_with(size, F.col("low"), F.col("high"))
-    met = cells.join(matrix, (cells["token"] == matrix["token"]) & (matrix["group"] < cells["own"]) & fits & (enough <= F.least("n_shared", "most")))
+    met = cells.join(matrix, (cells["token"] == matrix["token"]) & larger & fits & (enough <= F.least("n_shared", "most")))
     met = met.groupBy("class", "n_shingles", "own", "group").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     return met.where(F.col("n") >= rule.tokens_shared_with(size, F.col("low"), F.col("high"))).select("class", "own", "group")
 
@@ -248,8 +252,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = tokens.groupBy("class").agg(F.count("*").alias("n_shared"))
     involved = classes.join(shared, "class").where(F.col("n_shared") >= rule.tokens_shared(F.col("n_shingles")))
     involved = keep(involved, "involved")
-    texts = docs.join(involved.select(F.col("doc").alias("id"), "class"), "id").select("class", "text")
-    sets = keep(_sets(texts, rule), "shingle-sets")
+    # The texts are dealt by id at every size, and the sets are kept in buckets of their class: later joins don't move them.
+    texts = docs.join(involved.select(F.col("doc").alias("id"), "class").hint("shuffle_hash"), "id").select("class", "text")
+    sets = keep_buckets(_sets(texts, rule), "shingle-sets", "class")
     groups = keep(_groups(involved, sets, rule), "groups")
     candidates = keep(_candidates(tokens.distinct(), groups, rule), "candidates")
     roots = components(_opened(candidates, groups, sets, rule))
