@@ -80,7 +80,7 @@ def placebo_ranks(df: DataFrame, statistic: str) -> DataFrame:
     return df.join(ranks.drop("n"), statistic)
 
 
-def decade_thinned(df: DataFrame, unit: list[str], order: str, n: int) -> DataFrame:
+def thinned(df: DataFrame, unit: list[str], order: str, n: int) -> DataFrame:
     """n rows of each unit at even steps in their order, the ends included."""
     w = Window.partitionBy(*unit)
     rows = df.withColumn("at", F.row_number().over(w.orderBy(order)) - 1).withColumn("m", F.count("*").over(w))

@@ -121,7 +121,7 @@ def latest_wins_merge(spark, d):
 
 def uniform_thinning(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey")
-    return series.decade_thinned(o, ["o_custkey"], "o_orderkey", 4)
+    return series.thinned(o, ["o_custkey"], "o_orderkey", 4)
 
 
 QUERIES = {f.__name__: f for f in (cagr_pairwise_by_nation, cagr_full_span, index_base_100, pre_period_relative, successive_signs, worst_flag_rollup, ecdf_avg_rank, theil_sen_by_priority, quantile_class_partition, three_signal_vote, sensitivity_variants, confirm_then_persist, cumulative_since_licence, stock_sustained_inherited, churn_between_periods, lost_class_destination, longest_flag_run, pivot_panel, permutation_rank, forward_fill_sections, latest_wins_merge, uniform_thinning)}
