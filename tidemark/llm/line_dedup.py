@@ -145,7 +145,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that loses nothing stays as it was. The id is an integer column; added columns get underscores if their names are
     taken."""
     small_batches(docs.sparkSession)
-    names = [x for x in ("n_lines", "n_dropped", "dropped_keys", "dropped_doc")]
+    names = ["n_lines", "n_dropped", "dropped_keys", "dropped_doc"]
     while set(names) & set(docs.columns):
         names = [x + "_" for x in names]
     n_lines, n_dropped, dropped, owner = names
