@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import _text
 from tidemark.llm._encode import gather
-from tidemark.llm._store import keep, small_batches
+from tidemark.llm._store import give_back, keep, small_batches
 
 LENGTH, K = 200, 32
-PAIRED, HOT_CONTEXTS, BATCH, PAIRS = 32, 20_000, 4096, 1 << 14
+PAIRED, HOT_CONTEXTS, BATCH, PAIRS, SLICE = 32, 20_000, 1024, 1 << 12, 1 << 19
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
@@ -89,7 +89,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             data, offsets = _text.text_buffers(batch.column(1))
             ids = batch.column(0).to_pylist()
-            for a, b in _text.slices(offsets):
+            for a, b in _text.slices(offsets, SLICE):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 key, owner, first, last, anchor = anchors(part, at, length)
                 known = np.array([x is not None for x in ids[a:b]], bool)[owner]
@@ -114,6 +114,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     extra = (key[mine][0].view(np.int64), 0, ids[a + doc], hashes[doc].view(np.int64), 0, 0, 0, 0)
                     out = [np.append(c, np.int64(x)) for c, x in zip(out, extra, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out), pa.array(spans, pa.binary())], names)
+        give_back()
 
     schema = ", ".join(f"{x} long" for x in names[:-1]) + ", spans binary"
     return docs.mapInArrow(run, schema)
@@ -249,6 +250,8 @@ def _matches(contexts: DataFrame, length: int) -> DataFrame:
                 rows.append(row)
         if rows:
             yield flush(rows)
+        rows.clear()
+        give_back()
 
     return contexts.select("key", "n", "doc", "text_hash", "anchor", "first", "bytes").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
@@ -281,6 +284,7 @@ def _cut_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 if mine == wanted_hash:
                     rows += [(c["key"], c["n"], doc, mine, c["anchor"], c["first"], c["hot"], raw[c["first"] : c["last"] + length]) for c in contexts]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k == 7 else pa.int64()) for k in range(8)], names)
+        give_back()
 
     return joined.mapInArrow(run, ", ".join(f"{x} long" for x in names[:-1]) + ", bytes binary")
 
@@ -342,6 +346,7 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     column.append(x)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names)
+        give_back()
 
     return joined.mapInArrow(run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
