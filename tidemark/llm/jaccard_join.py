@@ -7,15 +7,16 @@ the result names each document's component, the smallest id that links lead to.
 2. A sketch of fixed size counts how many documents hold each shingle, over all documents, and gives one order for all sets,
    rare shingles first. Linked sets share SHARED shingles (or all that they must share, if that is less) among their first
    size - ceil(t * size) + SHARED; those are the tokens.
-3. Similar classes become groups: classes with equal min-hash are compared with one of them, their pivot, and those that
-   link with it are its group; all others are groups of their own. A group lies within one component by construction.
-4. The token-group matrix says which token is in which group, once a group, whatever its size, with the sizes of its sets. A
-   class meets the larger groups that share enough tokens and a possible size with it: these are its candidates.
-5. Groups are stored in blocks of some members with the union of their shingles. |query & union| < ceil(t * |query|) rules
-   the block out; only blocks that qualify are opened, and opened until one member links: one link joins two groups.
+3. Classes with equal min-hash are compared with one of them, their pivot, and those that link with it are its group; all
+   others are groups of their own. A group lies within one component by construction.
+4. Similar classes are one family, linked or not: those whose most frequent token is the same. The token-group matrix says
+   which token is in which family, once a family, whatever its size, with the sizes of its sets. A class meets its own and
+   the larger families that share enough tokens and a possible size with it: these are its candidates.
+5. Families are stored in blocks of some members with the union of their shingles. |query & union| < ceil(t * |query|) rules
+   the block out; only blocks that qualify are opened, and members are compared whose groups the block has not joined yet.
 6. Components of groups follow from these links, and components of documents from their classes.
 
-Nothing is capped: a frequent token only costs rows of the matrix, one a group. Shingles and sets are known by 64-bit hashes.
+Nothing is capped: a frequent token only costs rows of the matrix, one a family. Shingles and sets are known by 64-bit hashes.
 
 Null and empty texts, and texts without words, have empty sets and link with nothing. Texts with fewer than n words have one
 shingle, all their words. Rows with a null id are compared with none and have a null component. Rows with equal ids are
@@ -171,69 +172,72 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _groups(classes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(class, n_shingles, group): the pivot of its min-hash where they link, else itself."""
+    """(class, n_shingles, n_shared, family, group): the pivot of its min-hash where they link, else itself."""
     # The class with most tokens that others hold too is the most usual of its kind.
     pivots = classes.groupBy("min_hash").agg(F.max_by("class", F.struct("n_shared", "class")).alias("pivot"), F.count("*").alias("n")).where(F.col("n") > 1)
-    pairs = classes.select("class", "min_hash").join(pivots, "min_hash").where(F.col("class") != F.col("pivot")).select("class", F.col("class").alias("own"), F.col("pivot").alias("group"))
-    linked = _opened(pairs, pivots.select(F.col("pivot").alias("class"), F.col("pivot").alias("group")), sets, rule).select(F.col("a").alias("class"), F.col("b").alias("group"))
-    return classes.select("class", "n_shingles", "n_shared").join(linked, "class", "left").select("class", "n_shingles", "n_shared", F.coalesce("group", "class").alias("group"))
+    pairs = classes.select("class", "min_hash").join(pivots, "min_hash").where(F.col("class") != F.col("pivot")).select("class", F.col("class").alias("own"), F.col("pivot").alias("family"))
+    members = pivots.select(*[F.col("pivot").alias(x) for x in ("class", "group", "family")])
+    linked = _opened(pairs, members, sets, rule).select(F.col("a").alias("class"), F.col("b").alias("group"))
+    return classes.join(linked, "class", "left").select("class", "n_shingles", "n_shared", "family", F.coalesce("group", "class").alias("group"))
 
 
 def _candidates(tokens: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
-    """(class, group, own): the groups that a class may link with, by the token-group matrix."""
-    members = groups.groupBy("group").agg(F.count("*").alias("members"))
-    sized = groups.join(members, "group")
-    cells = tokens.join(sized, "class").select("token", "class", "n_shingles", "n_shared", F.col("group").alias("own"), F.col("members").alias("own_members"))
-    matrix = cells.groupBy("token", F.col("own").alias("group"), F.col("own_members").alias("members")).agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.max("n_shared").alias("most"))
+    """(class, own, family): the families that a class may link with, by the token-group matrix."""
+    parts = groups.groupBy("family", "group").agg(F.count("*").alias("n"))
+    families = parts.groupBy("family").agg(F.sum("n").alias("members"), F.max_by("group", F.struct("n", "group")).alias("main"))
+    sized = groups.join(families, "family")
+    cells = tokens.join(sized, "class").select("token", "class", "n_shingles", "n_shared", F.col("group").alias("own"), F.col("family").alias("home"), F.col("members").alias("home_members"), (F.col("group") == F.col("main")).alias("in_main"))
+    matrix = cells.groupBy("token", F.col("home").alias("family"), F.col("home_members").alias("members")).agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.max("n_shared").alias("most"), F.count("*").alias("held"))
     size = F.col("n_shingles")
     fits = (F.col("high") * rule.den >= size * rule.num) & (F.col("low") * rule.num <= size * rule.den)
-    # Of two groups the members of the smaller one ask the larger one.
-    larger = (F.col("members") > F.col("own_members")) | (F.col("members") == F.col("own_members")) & (matrix["group"] < cells["own"])
+    # Of two families the members of the smaller one ask the larger one. Within a family all but its largest group ask, by
+    # tokens that another member holds too.
+    larger = (F.col("members") > F.col("home_members")) | (F.col("members") == F.col("home_members")) & (F.col("family") < F.col("home"))
+    asks = F.when(F.col("family") == F.col("home"), ~F.col("in_main") & (F.col("held") > 1)).otherwise(larger)
     enough = rule.tokens_shared_with(size, F.col("low"), F.col("high"))
-    met = cells.join(matrix, (cells["token"] == matrix["token"]) & larger & fits & (enough <= F.least("n_shared", "most")))
-    met = met.groupBy("class", "n_shingles", "own", "group").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return met.where(F.col("n") >= rule.tokens_shared_with(size, F.col("low"), F.col("high"))).select("class", "own", "group")
-
-
-def _blocks(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """(group, block, members, union): the sets of up to about BLOCK_MEMBERS classes, and their union."""
-    blocks = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("n_blocks"))
-    members = groups.join(blocks, "group").join(sets, "class").withColumn("block", F.pmod(F.xxhash64("class"), "n_blocks"))
-    # One member, the usual case, needs no Python: it is its own union.
-    gathered = members.groupBy("group", "block").agg(F.collect_list("shingles").alias("members"))
-    return gathered.join(blocks, "group").select("group", "block", "members")
+    met = cells.join(matrix, (cells["token"] == matrix["token"]) & asks & fits & (enough <= F.least("n_shared", "most")))
+    met = met.groupBy("class", "n_shingles", "own", "family").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return met.where(F.col("n") >= rule.tokens_shared_with(size, F.col("low"), F.col("high"))).select("class", "own", "family")
+
+
+def _opened(candidates: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): groups that a class of one and a class of the other link, from candidates (class, own, family) and members
+    (class, group, family). Of the links that a block shows, those that follow from others are left out."""
+    n_blocks = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("n_blocks"))
+    asked = candidates.groupBy("family").agg(F.ceil(F.count("*") / TASK_QUERIES).alias("copies")).join(n_blocks, "family")
+    queries = candidates.join(asked, "family").join(sets, "class").select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"), F.pmod(F.xxhash64("class"), "copies").alias("copy"), F.lit(1).alias("kind"), "own", "shingles")
+    placed = members.join(asked, "family").join(sets, "class").withColumn("block", F.pmod(F.xxhash64("class"), "n_blocks"))
+    blocks = placed.groupBy("family", "block", "copies").agg(F.collect_list(F.struct("group", "shingles")).alias("members"))
+    blocks = blocks.select("family", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "members")
+    rows = queries.unionByName(blocks, allowMissingColumns=True).repartition("family", "block", "copy").sortWithinPartitions("family", "block", "copy", "kind")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[tuple[int, np.ndarray]] = []
+        union, joined = np.zeros(0, np.uint64), {}
 
-def _opened(candidates: DataFrame, groups: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): groups that a class of one and a class of the other link."""
-    n_blocks = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("n_blocks"))
-    asked = candidates.groupBy("group").agg(F.ceil(F.count("*") / TASK_QUERIES).alias("copies")).join(n_blocks, "group")
-    queries = candidates.join(asked, "group").join(sets, "class").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"), F.pmod(F.xxhash64("class"), "copies").alias("copy"), F.lit(1).alias("kind"), "own", "shingles")
-    blocks = _blocks(groups.join(asked.select("group"), "group", "left_semi"), sets).join(asked.select("group", "copies"), "group")
-    blocks = blocks.select("group", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "members")
-    rows = queries.unionByName(blocks, allowMissingColumns=True).repartition("group", "block", "copy").sortWithinPartitions("group", "block", "copy", "kind")
+        def first(group: int) -> int:
+            while (above := joined.get(group, group)) != group:
+                group = above
+            return group
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members: list[np.ndarray] = []
-        union, joined = np.zeros(0, np.uint64), set()
         for batch in batches:
             found = []
-            group, kind = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(len(kind)):
-                if kind[i] == 0:
-                    members = [np.frombuffer(x, np.uint64) for x in batch.column(4)[i].as_py()]
-                    union, joined = members[0] if len(members) == 1 else np.unique(np.concatenate(members)), set()
+            for i, kind in enumerate(batch.column(0).to_pylist()):
+                if kind == 0:
+                    block = [(x["group"], np.frombuffer(x["shingles"], np.uint64)) for x in batch.column(3)[i].as_py()]
+                    union, joined = block[0][1] if len(block) == 1 else np.unique(np.concatenate([x for _, x in block])), {}
                     continue
-                own = batch.column(2)[i].as_py()
-                if own in joined:
+                own = batch.column(1)[i].as_py()
+                query = np.frombuffer(batch.column(2)[i].as_py(), np.uint64)
+                if common(query, union) < rule.least(len(query)):
                     continue
-                query = np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
-                if common(query, union) >= rule.least(len(query)) and any(rule.linked(query, x) for x in members):
-                    joined.add(own)
-                    found.append((own, group[i]))
+                for group, other in block:
+                    if first(own) != first(group) and rule.linked(query, other):
+                        joined[first(own)] = first(group)
+                        found.append((own, group))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.select("group", "kind", "own", "shingles", "members").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("kind", "own", "shingles", "members").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:  # noqa: B008
@@ -247,16 +251,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # window over a token is short but for sets of nothing else, and those are few classes.
     once = named.join(classes.select("class", "doc"), ["class", "doc"], "left_semi").select("class", F.explode("tokens").alias("token"))
     of_token = Window.partitionBy("token")
-    tokens = once.withColumn("low", F.min("class").over(of_token)).withColumn("high", F.max("class").over(of_token)).where(F.col("low") != F.col("high")).select("token", "class")
+    tokens = once.withColumn("low", F.min("class").over(of_token)).withColumn("high", F.max("class").over(of_token)).withColumn("often", F.count("*").over(of_token)).where(F.col("low") != F.col("high")).select("token", "class", "often")
     tokens = keep(tokens, "tokens")
-    shared = tokens.groupBy("class").agg(F.count("*").alias("n_shared"))
+    shared = tokens.groupBy("class").agg(F.count("*").alias("n_shared"), F.max(F.struct("often", "token"))["token"].alias("family"))
     involved = classes.join(shared, "class").where(F.col("n_shared") >= rule.tokens_shared(F.col("n_shingles")))
     involved = keep(involved, "involved")
     # The texts are dealt by id at every size, and the sets are kept in buckets of their class: later joins don't move them.
     texts = docs.join(involved.select(F.col("doc").alias("id"), "class").hint("shuffle_hash"), "id").select("class", "text")
     sets = keep_buckets(_sets(texts, rule), "shingle-sets", "class")
     groups = keep(_groups(involved, sets, rule), "groups")
-    candidates = keep(_candidates(tokens.distinct(), groups, rule), "candidates")
+    candidates = keep(_candidates(tokens.select("token", "class").distinct(), groups, rule), "candidates")
     roots = components(_opened(candidates, groups, sets, rule))
     placed = groups.select("class", "group").join(roots, groups["group"] == roots["node"], "left").select("class", F.coalesce("root", "group").alias("root"))
     least = placed.join(classes.select("class", "doc"), "class").groupBy("root").agg(F.min("doc").alias("component"))
