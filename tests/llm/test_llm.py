@@ -146,6 +146,41 @@ def test_language_id(spark, data):
     assert language_id.predict(documents(spark, []).limit(0), model).count() == 0
 
 
+def test_language_id_tells_texts_of_megabytes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    taught = F.crc32(F.col("doc_id").cast("string")) % 4 == 0
+    joined = docs.where(~taught & F.col("lang").isNotNull()).groupBy("lang").agg(F.concat_ws("\n", F.array_sort(F.collect_list("text"))).alias("text")).toPandas()
+    assert joined.text.str.len().min() > 1_500_000
+    model = language_id.fit(docs, taught)
+    got = language_id.predict(documents(spark, joined.text.tolist()), model).orderBy("doc_id").toPandas()
+    assert got.lang_pred.tolist() == joined.lang.tolist()
+    import pyarrow as pa
+
+    (block,) = language_id.texts_grams(pa.array(["the and of to in is", "", "der die und 日本"]))
+    assert np.allclose(model.scores(*block), model.landmarks.kernels(*block) @ model.weights)
+
+
+def test_language_id_takes_exact_n_grams(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(language_id, "PIECE_BYTES", 7)
+    texts = ["", "a", "Abab\0b", "é日本🙂 The end of it, the END.", None, "xyz" * 40 + "é"]
+    for some in (texts, *[[t] for t in texts]):
+        got = [(base + r, g) for base, (n, row, gram) in enumerate_blocks(language_id.texts_grams(pa.array(some, pa.string()))) for r, g in zip(row.tolist(), gram.tolist(), strict=True)]
+        want = set()
+        for k, t in enumerate(some):
+            b = lower(t or "").encode()
+            want |= {(k, sum((b[s + i] + 1) << 9 * (3 - i) for i in range(n))) for n in range(1, 5) for s in range(len(b) - n + 1)}
+        assert sorted(got) == sorted(want)
+
+
+def enumerate_blocks(blocks):
+    at = 0
+    for block in blocks:
+        yield at, block
+        at += block[0]
+
+
 def passages(seed):
     rng = random.Random(seed)
     piece = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
