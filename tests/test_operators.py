@@ -111,3 +111,13 @@ def test_html_tables(spark):
     cells = html.table_cells(spark.createDataFrame([(1, page), (2, None)], "id long, html string"), "id", "html")
     assert [(r.row, r.col, r.head, r.cell) for r in cells.orderBy("row", "col").collect()] == [(0, 0, True, "Item"), (0, 1, True, "2020"), (0, 2, True, "2021"), (1, 0, False, "Coal (9)"), (1, 1, False, "1,5"), (1, 2, False, "-")]
     assert {(r.col, r.year) for r in html.year_columns(cells, "id").collect()} == {(1, 2020), (2, 2021)}
+
+
+def test_nearest_value_has_no_reach(spark):
+    rng = np.random.default_rng(3)
+    cells = [(r, c) for r in range(0, 60, 3) for c in range(0, 400, 9)]
+    sources = [(int(r), int(c), float(k)) for k, (r, c) in enumerate(zip(rng.integers(0, 20, 5), rng.integers(0, 30, 5), strict=True))] + [(5000, 5000, 9.0)]
+    got = grid.nearest_value(spark.createDataFrame(cells, "row long, col long"), spark.createDataFrame(sources, "row long, col long, z double"), "z").collect()
+    want = {(r, c): min(((r - a) ** 2 + (c - b) ** 2, a, b, z) for a, b, z in sources) for r, c in cells}
+    assert len(got) == len(cells) and {(r.row, r.col): (r.d2, r.z) for r in got} == {k: (v[0], v[3]) for k, v in want.items()}
+    assert grid.nearest_value(spark.createDataFrame(cells, "row long, col long"), spark.createDataFrame([], "row long, col long, z double"), "z").count() == 0

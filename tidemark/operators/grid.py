@@ -5,6 +5,8 @@ no dense array."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,12 +145,26 @@ def composite(scenes: DataFrame, bands: list[str]) -> DataFrame:
     return scenes.groupBy("row", "col").agg(*[F.median(b).alias(b) for b in bands], *[F.count(b).alias(f"n_{b}") for b in bands])
 
 
-def nearest_value(cells: DataFrame, sources: DataFrame, value: str, reach: int) -> DataFrame:
-    """(row, col, value, d2) of the nearest source cell within a reach in cells; ties go to the smaller row, then column
-    (G8). Cells and sources are dealt by blocks of that side, so far ones never meet."""
+def nearest_value(cells: DataFrame, sources: DataFrame, value: str, side: int = 6) -> DataFrame:
+    """(row, col, value, d2) of the nearest source cell, however far; ties go to the smaller row, then column (G8). Cells and
+    sources are dealt by blocks of a side, so far ones never meet; cells without a source within the side search on with four
+    times the side, until all have one. Each round is a checkpoint. Without any source there are no rows."""
+    checkpoint_dir(cells.sparkSession)
+    left = cells.select("row", "col").distinct().checkpoint()
+    sources = sources.select(F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).alias("v")).checkpoint()
+    found = [_nearest_within(left, sources, value, side).checkpoint()]
+    if sources.isEmpty():
+        return found[0]
+    while not (left := left.join(found[-1].select("row", "col"), ["row", "col"], "left_anti").checkpoint()).isEmpty():
+        side *= 4
+        found.append(_nearest_within(left, sources, value, side).checkpoint())
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest_within(cells: DataFrame, sources: DataFrame, value: str, side: int) -> DataFrame:
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in SQUARE])
-    spread_out = sources.select(F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).alias("v"), F.explode(near).alias("s")).select("sr", "sc", "v", (F.floor(F.col("sr") / reach) + F.col("s.i")).alias("br"), (F.floor(F.col("sc") / reach) + F.col("s.j")).alias("bc"))
-    own = cells.select("row", "col", F.floor(F.col("row") / reach).alias("br"), F.floor(F.col("col") / reach).alias("bc"))
+    spread_out = sources.select("sr", "sc", "v", F.explode(near).alias("s")).select("sr", "sc", "v", (F.floor(F.col("sr") / side) + F.col("s.i")).alias("br"), (F.floor(F.col("sc") / side) + F.col("s.j")).alias("bc"))
+    own = cells.select("row", "col", F.floor(F.col("row") / side).alias("br"), F.floor(F.col("col") / side).alias("bc"))
     d2 = (F.col("row") - F.col("sr")) * (F.col("row") - F.col("sr")) + (F.col("col") - F.col("sc")) * (F.col("col") - F.col("sc"))
-    best = own.join(spread_out, ["br", "bc"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach).groupBy("row", "col").agg(F.min(F.struct("d2", "sr", "sc", "v")).alias("b"))
+    best = own.join(spread_out, ["br", "bc"]).withColumn("d2", d2).where(F.col("d2") <= side * side).groupBy("row", "col").agg(F.min(F.struct("d2", "sr", "sc", "v")).alias("b"))
     return best.select("row", "col", F.col("b.v").alias(value), "b.d2")

@@ -143,7 +143,7 @@ def envelope_radius(spark, d):
 
 def height_above_nearest(spark, d):
     cells, river = part_grid(spark, d).select("row", "col", F.col("p_retailprice").alias("z")), part_grid(spark, d).where("p_size = 7").select("row", "col", F.col("p_retailprice").alias("z"))
-    near = grid.nearest_value(cells, river, "z", 6).withColumnRenamed("z", "river_z")
+    near = grid.nearest_value(cells, river, "z").withColumnRenamed("z", "river_z")
     return cells.join(near, ["row", "col"]).select("row", "col", F.round(F.col("z") - F.col("river_z"), 2).alias("hand"), F.col("d2").cast("long").alias("d2"))
 
 
