@@ -187,7 +187,7 @@ def numbered_slugs(spark, d):
 
 
 def milestone_faults(spark, d):
-    e = table(spark, d, "events").where("event_id < 400").select((F.col("event_id") % 397).alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("start"), F.when(F.col("event_id") % 3 == 0, "2023-12").when(F.col("event_id") % 3 == 1, "soon").alias("end"), F.col("event_type").alias("kind"), F.when(F.col("event_id") % 5 > 0, "x").alias("source"))
+    e = table(spark, d, "events").select((F.col("event_id") % 397).alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("start"), F.when(F.col("event_id") % 3 == 0, "2023-12").when(F.col("event_id") % 3 == 1, "soon").alias("end"), F.col("event_type").alias("kind"), F.when(F.col("event_id") % 5 > 0, "x").alias("source"))
     return timeline.milestone_faults(e, ["click", "view", "purchase"])
 
 
