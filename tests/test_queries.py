@@ -22,7 +22,7 @@ def test_entry(spark):
 
 
 #: The registered SQL reads a part of the rows: here the same statements without that bound.
-WHOLE = {"height_above_nearest": " WHERE (row - r) ** 2 + (col - q) ** 2 <= 36", "milestone_faults": " WHERE event_id < 400"}
+WHOLE = {"height_above_nearest": " WHERE (row - r) ** 2 + (col - q) ** 2 <= 36", "milestone_faults": " WHERE event_id < 400", "worst_flag_rollup": " WHERE event_id % 3 <> 0"}
 
 
 @pytest.mark.parametrize("name", sorted(WHOLE))
