@@ -254,7 +254,7 @@ SQL = {
       SELECT b.p_brand, s.size, count(p.p_partkey) AS n FROM b CROSS JOIN s LEFT JOIN part p ON p.p_brand = b.p_brand AND p.p_size = s.size GROUP BY 1, 2""",
     "numbered_slugs": """WITH n AS (SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS name FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) - 1 AS k FROM n)
       SELECT p_partkey, CASE WHEN k > 0 THEN name || '-' || k ELSE name END AS slug FROM k""",
-    "milestone_faults": """WITH e AS (SELECT event_id % 397 AS id, event_id AS k, event_type AS kind FROM events WHERE event_id < 400)
+    "milestone_faults": """WITH e AS (SELECT event_id % 397 AS id, event_id AS k, event_type AS kind FROM events)
       SELECT id, 'end' AS fault FROM e WHERE k % 3 = 1 UNION ALL SELECT id, 'end before start' FROM e WHERE k % 3 = 0 UNION ALL SELECT id, 'kind' FROM e WHERE kind NOT IN ('click', 'view', 'purchase')
       UNION ALL SELECT id, 'source' FROM e WHERE k % 5 = 0 UNION ALL SELECT id, 'id' FROM e GROUP BY id HAVING count(*) > 1""",
 }

@@ -143,7 +143,7 @@ SQL = {
     "pre_period_relative": f"""WITH {NATION_YEARS} SELECT nation, year, round(total / avg(total) FILTER (WHERE year < 1998) OVER (PARTITION BY nation), 4) AS relative FROM nation_years""",
     "successive_signs": f"""WITH {NATION_YEARS}, c AS (SELECT nation, year, total - lag(total) OVER (PARTITION BY nation ORDER BY year) AS x FROM nation_years)
       SELECT nation, year, round(x, 2) AS change, CAST(sign(x) AS DOUBLE) AS sign FROM c""",
-    "worst_flag_rollup": """WITH e AS (SELECT user_id, CAST(day(ts) AS BIGINT) AS day, CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END AS k FROM events WHERE event_id % 3 <> 0)
+    "worst_flag_rollup": """WITH e AS (SELECT user_id, CAST(day(ts) AS BIGINT) AS day, CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END AS k FROM events)
       SELECT user_id, day, ['observed', 'interpolated', 'modelled'][max(k) + 1] AS worst,
         array_to_string(list_transform(list_sort(list(DISTINCT k)), lambda i: ['observed', 'interpolated', 'modelled'][i + 1]), '+') AS flags FROM e GROUP BY 1, 2""",
     "ecdf_avg_rank": """SELECT p_partkey, p_brand, round(rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0, 4) AS rank,

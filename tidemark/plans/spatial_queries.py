@@ -204,6 +204,6 @@ SQL = {
     "envelope_radius": """WITH s AS (SELECT l_returnflag, l_suppkey AS step, sum(l_quantity) AS a FROM lineitem GROUP BY 1, 2), c AS (SELECT *, sum(a) OVER (PARTITION BY l_returnflag ORDER BY step) AS t FROM s)
       SELECT l_returnflag, coalesce(min(step) FILTER (WHERE t >= CASE l_returnflag WHEN 'A' THEN 1e4 WHEN 'N' THEN 3e5 ELSE 1e12 END), max(step)) AS radius FROM c GROUP BY 1""",
     "height_above_nearest": f"""WITH {PART_GRID}, m AS (SELECT row AS r, col AS q, p_retailprice AS z FROM part_grid WHERE p_size = 7),
-      n AS (SELECT row, col, p_retailprice, (row - r) ** 2 + (col - q) ** 2 AS d2, r, q, z FROM part_grid, m WHERE (row - r) ** 2 + (col - q) ** 2 <= 36)
+      n AS (SELECT row, col, p_retailprice, (row - r) ** 2 + (col - q) ** 2 AS d2, r, q, z FROM part_grid, m)
       SELECT row, col, round(p_retailprice - arg_min(z, (d2, r, q)), 2) AS hand, CAST(min(d2) AS BIGINT) AS d2 FROM n GROUP BY row, col, p_retailprice""",
 }
