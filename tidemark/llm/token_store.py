@@ -9,7 +9,8 @@ levels of up to SEGMENT_TOKENS tokens. Spark's commit protocol writes them, so a
 Parts ascend with the ids of documents; `starts` gives the number of tokens before each segment by two sums, within a part
 and over parts, of which there is one row each.
 
-Null and empty texts have the end id only. Null ids come first. Rows with equal ids stay separate, in order of text. An
+Texts are encoded as the library does by default: the string of a special token in a text becomes its id. Null and empty
+texts have the end id only. Null ids come first. Rows with equal ids stay separate, in order of text. An
 empty table gives no segments and an empty result. Further columns are not stored.
 """
 
@@ -24,7 +25,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import _text
@@ -100,7 +101,6 @@ def _encoder(name: str) -> ChunkEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     # A byte is one character of a byte-level piece.
     lengths = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())], np.int64)
     return ChunkEncoder(lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], cuts_before_white, lengths=lengths)
@@ -170,9 +170,18 @@ def documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFra
 
 
 def tokens_at(spark: SparkSession, path: str, positions: DataFrame, col: str = "position") -> DataFrame:
-    """(position, token) of global positions: each is read from its segment alone."""
-    sizes = spark.read.schema(SCHEMA).parquet(path).join(starts(spark, path), ["part", "segment"])
-    found = positions.select(F.col(col).cast("long").alias("position")).join(sizes, (F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("n_tokens")))
+    """(position, token) of global positions: each is read from its segment alone. The segment is found by bins of
+    SEGMENT_TOKENS positions, without its codes; these come by the segment's name."""
+    store = spark.read.schema(SCHEMA).parquet(path)
+
+    def bin_of(position: Column) -> Column:
+        return F.floor(position / SEGMENT_TOKENS)
+
+    places = store.select("part", "segment", "n_tokens").join(starts(spark, path), ["part", "segment"]).where(F.col("n_tokens") > 0)
+    places = places.withColumn("bin", F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("start") + F.col("n_tokens") - 1))))
+    asked = positions.select(F.col(col).cast("long").alias("position")).withColumn("bin", bin_of(F.col("position")))
+    found = asked.join(places, "bin").where(F.col("position").between(F.col("start"), F.col("start") + F.col("n_tokens") - 1))
+    found = found.select("position", "start", "part", "segment").join(store.select("part", "segment", "codes"), ["part", "segment"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
