@@ -8,8 +8,8 @@ sample's K_nm the Nystroem form of kernel ridge regression, one column for each
 A batch of texts becomes its distinct n-grams; those that landmarks hold are looked up and counted by landmark, and one
 product with the weights scores the batch.
 
-Fitting uses a sample of SAMPLE labelled texts at most, about evenly over languages, drawn by hash of the row over the whole
-table. The sample's n-grams stay in a written table; the n-grams of LANDMARKS texts and the sample's kernels with them (LANDMARKS
+Fitting uses a sample of about SAMPLE labelled texts at most, or EACH_LEAST a language where that is more, evenly over all
+languages, drawn by hash of the row over the whole table. The sample's n-grams stay in a written table; the n-grams of LANDMARKS texts and the sample's kernels with them (LANDMARKS
 numbers a text) reach the driver. Scoring covers all rows and whole texts.
 
 A null text or one without letters is `und` with score 0. Rows with a null language teach nothing. If no labelled row is
@@ -35,8 +35,9 @@ SPECTRUM = 4
 #: An n-gram is SPECTRUM places of PLACE_BITS bits, each a byte plus 1, or 0 after its end; the text's number stands above.
 PLACE_BITS = 9
 GRAM_BITS = np.int64(SPECTRUM * PLACE_BITS)
-#: Bounds of the fit: labelled texts, landmarks, languages.
-SAMPLE, LANDMARKS, LANGUAGES = 3000, 256, 512
+#: Bounds of the fit: labelled texts over all languages, or so many of each if there are many languages; landmarks, or one of
+#: each language.
+SAMPLE, EACH_LEAST, LANDMARKS = 3000, 8, 256
 RIDGE = 1e-4
 UNKNOWN = "und"
 #: Bytes of a text that are cut into n-grams at once, and pairs of n-gram and landmark that are counted at once.
@@ -153,7 +154,7 @@ def in_turn(labels: list[str], landmarks: int = LANDMARKS) -> np.ndarray:
     turn = np.zeros(len(codes), np.int64)
     for k in range(len(languages)):
         turn[codes == k] = np.arange((codes == k).sum())
-    return np.lexsort((codes, turn))[:landmarks]
+    return np.lexsort((codes, turn))[: max(landmarks, len(languages))]
 
 
 def fit_arrays(k_nm: np.ndarray, labels: list[str], landmarks: Landmarks, k_mm: np.ndarray, ridge: float = RIDGE) -> Model:
@@ -170,12 +171,13 @@ def fit(docs: DataFrame, teaches: Column, lang_col: str = "lang", text_col: str
     spark = docs.sparkSession
     small_batches(spark)
     known = docs.where(teaches & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()}
-    if not counts:
+    counts = keep(known.groupBy(F.col(lang_col).alias("of")).agg(F.count("*").alias("n_of")), "languages")
+    n_languages = counts.count()
+    if not n_languages:
         return None
-    each = sample / len(counts)
-    shares = spark.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], "of string, share double")
-    drawn = known.join(F.broadcast(shares), F.col(lang_col) == F.col("of"))  # LANGUAGES rows at most
+    each = max(sample / n_languages, EACH_LEAST)
+    shares = counts.select("of", F.least(F.lit(1.0), F.lit(each) / F.col("n_of")).alias("share"))
+    drawn = known.join(shares, F.col(lang_col) == F.col("of"))
     # The hash must not run with the rows' order: equal texts are drawn apart by their id.
     unit = F.pmod(F.xxhash64(F.lit("sample"), *[F.col(c) for c in ("doc_id", text_col) if c in docs.columns]), F.lit(1 << 30)) / float(1 << 30)
 
@@ -186,12 +188,12 @@ def fit(docs: DataFrame, teaches: Column, lang_col: str = "lang", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([np.sort(held).tobytes()], pa.binary()), batch.column(2).slice(k, 1)], ["lang", "grams", "unit"])
 
     packed = drawn.withColumn("unit", unit).where(F.col("unit") < F.col("share")).select(lang_col, text_col, "unit").mapInArrow(pack, "lang string, grams binary, unit double")
-    found, bound = keep(packed.withColumn("mark", F.xxhash64("grams")), "language-sample"), 2 * sample + 1000
+    found, bound = keep(packed.withColumn("mark", F.xxhash64("grams")), "language-sample"), int(2 * each * n_languages) + 1000
     rows = sorted(found.select("unit", "lang", "mark").limit(bound).collect())
     if not rows:
         return None
     marks = [rows[k][2] for k in in_turn([r[1] for r in rows])]
-    held = {r[0]: np.frombuffer(r[1], np.int64) for r in found.where(F.col("mark").isin(marks)).groupBy("mark").agg(F.first("grams")).collect()}  # LANDMARKS rows at most
+    held = {r[0]: np.frombuffer(r[1], np.int64) for r in found.where(F.col("mark").isin(marks)).groupBy("mark").agg(F.first("grams")).collect()}  # a row a landmark
     landmarks = Landmarks([held[x] for x in marks])
     k_mm = np.concatenate([landmarks.kernels(1, np.zeros(len(held[x]), np.int64), held[x]) for x in marks])
     shared = spark.sparkContext.broadcast(landmarks)
