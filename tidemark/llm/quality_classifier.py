@@ -3,8 +3,8 @@
 Features are indicators of n-grams: runs of 1 to SPECTRUM bytes, words and pairs of words, hashed to FEATURES places. Each is
 scaled by its log-count ratio r = log((p / |p|) / (q / |q|)), p and q being the smoothed numbers of good and bad labelled
 texts that hold it; these counts cover every labelled text and are summed where the texts are read. A linear hinge-loss model
-on the scaled, length-normalised indicators is fitted by dual coordinate descent on SAMPLE labelled texts at most, as many of
-either class as there are, drawn by hash over the whole table. A logistic curve over the margins, weighted to the classes'
+on the scaled, length-normalised indicators is fitted by dual coordinate descent on about SAMPLE labelled texts at most with
+indices of SAMPLE_BYTES, as many of either class as there are, drawn by hash over the whole table. A logistic curve over the margins, weighted to the classes'
 shares in all labelled texts, turns a margin into a score from 0 to 1.
 
 Null and empty texts hold no n-gram and get the score of margin `bias`. Labels that are null, and labels without a document,
@@ -18,52 +18,61 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import _text
 from tidemark.llm._store import keep, small_batches
 
-FEATURES, SPECTRUM = 1 << 16, 4
-#: Bound of the fit: labelled texts. Their indices reach the driver, FEATURES * 4 bytes a text at most.
-SAMPLE, EPOCHS, COST, SMOOTHING = 3000, 8, 1.0, 1.0
+#: So many places that texts of megabytes don't fill them.
+FEATURES, SPECTRUM = 1 << 20, 4
+#: Bounds of the fit: labelled texts, and the bytes of their indices, which reach the driver.
+SAMPLE, SAMPLE_BYTES = 3000, 64 << 20
+EPOCHS, COST, SMOOTHING = 8, 1.0, 1.0
 THRESHOLD = 0.3
 #: Pairs of equal words are n-grams of their own, whatever the word: indicators of so many of them.
 REPEATS, REPEAT_PLACES = (1, 2, 4, 8, 16), (FEATURES - 5, FEATURES - 4, FEATURES - 3, FEATURES - 2, FEATURES - 1)
-BLOCK_DOCS = 64
+#: Counts travel to the driver in chunks of so many places, and are summed in rounds of SUM_ROWS parts.
+COUNT_CHUNK, SUM_ROWS = 1 << 14, 64
 
 
 def indicators(texts: pa.Array) -> Iterator[np.ndarray]:
     """Of each text the sorted numbers of the features that it holds."""
     data, offsets = _text.text_buffers(texts)
     shift = np.uint64(64 - FEATURES.bit_length() + 1)
-    for a, b in _text.slices(offsets, 1 << 20):
-        for c in range(a, b, BLOCK_DOCS):
-            d = min(c + BLOCK_DOCS, b)
-            part, at = data[offsets[c] : offsets[d]], offsets[c : d + 1] - offsets[c]
-            out = np.zeros((d - c, FEATURES), bool)
-            flat = out.reshape(-1)
-            row = np.repeat(np.arange(d - c, dtype=np.int64) * FEATURES, np.diff(at))
-            key = np.zeros(len(part), np.uint32)
-            for n in range(1, SPECTRUM + 1):
-                if len(part) < n:
-                    break
-                key = key[: len(part) - n + 1] * np.uint32(257) + part[n - 1 :] + np.uint32(1)
-                place = (key ^ (key >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(shift - np.uint64(32))
-                inside = row[: len(key)] == row[n - 1 :]
-                flat[(row[: len(key)] + place)[inside]] = True
-            starts, ends, first = _text.word_spans(part, at)
-            words = _text.span_hashes(part, starts, ends)
-            owner = np.repeat(np.arange(d - c, dtype=np.int64), np.diff(first))
-            flat[owner * FEATURES + (words >> shift).astype(np.int64)] = True
-            pairs = _text.shingle_hashes(words, 2)
-            inside = owner[1:] == owner[:-1] if len(pairs) else np.zeros(0, bool)
-            again = np.bincount(owner[1:][inside & (words[1:] == words[:-1])], minlength=d - c) if len(pairs) else np.zeros(d - c, np.int64)
-            for least, place in zip(REPEATS, REPEAT_PLACES, strict=True):
-                out[again >= least, place] = True
-            flat[owner[: len(pairs)][inside] * FEATURES + (pairs[inside] >> shift).astype(np.int64)] = True
-            yield from (np.flatnonzero(x) for x in out)
+    held = np.zeros(FEATURES, bool)
+    for a, b in _text.slices(offsets, 1 << 18):
+        part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        places, key = [], np.zeros(len(part), np.uint32)
+        for n in range(1, SPECTRUM + 1):
+            key = key[: max(0, len(part) - n + 1)] * np.uint32(257) + part[n - 1 :] + np.uint32(1)
+            places.append((key ^ (key >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(shift - np.uint64(32)))
+        starts, ends, first = _text.word_spans(part, at)
+        words = _text.span_hashes(part, starts, ends)
+        pairs = _text.shingle_hashes(words, 2)
+        again = words[1:] == words[:-1]
+        word_places, pair_places = (words >> shift).astype(np.uint32), (pairs >> shift).astype(np.uint32)
+        for k in range(b - a):
+            x, y, u, v = int(at[k]), int(at[k + 1]), int(first[k]), int(first[k + 1])
+            own = [p[x : max(x, y - n)] for n, p in enumerate(places)]
+            own += [word_places[u:v], pair_places[u : max(u, v - 1)]]
+            repeats = int(again[u : max(u, v - 1)].sum())
+            own.append(np.array([place for least, place in zip(REPEATS, REPEAT_PLACES, strict=True) if repeats >= least], np.uint32))
+            own = np.concatenate(own)
+            # Few places are sorted; many are marked in the whole space.
+            if len(own) < 1 << 15:
+                own.sort()
+                new = np.ones(len(own), bool)
+                new[1:] = own[1:] != own[:-1]
+                yield own[new]
+            else:
+                held[own] = True
+                found = np.flatnonzero(held)
+                held[found] = False
+                yield found
 
 
 @dataclass
@@ -77,7 +86,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(held, ratios) + self.offset, -40, 40))))
 
     def margin(self, held: np.ndarray, ratios: np.ndarray) -> float:
-        own = ratios[held]
+        own = ratios[held].astype(np.float64)
         return float(self.weights[held] @ own / max(1e-12, np.sqrt(own @ own)) + self.bias) if len(held) else self.bias
 
 
@@ -133,27 +142,45 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
 
     share = [min(1.0, sample / 2 / bad), min(1.0, sample / 2 / good)]
     unit = F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    schema = "feature long, good long, bad long, label int, held binary, unit double"
+    schema = "chunk long, part long, counts binary, label int, held binary, unit double"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One pass over the texts: the counts of the task's texts, and the features of the texts that are drawn.
-        sums = np.zeros((2, FEATURES), np.int64)
+        sums, part = np.zeros((FEATURES, 2), np.int64), TaskContext.get().partitionId()
         for batch in batches:
             drawn: list[tuple] = []
             for label, at, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), indicators(batch.column(0)), strict=True):
-                sums[label][held] += 1
+                sums[held, label] += 1
                 if at < share[label]:
                     drawn.append((None, None, None, label, held.astype("<u4").tobytes(), at))
             yield _rows(drawn, schema)
-        some = np.flatnonzero(sums.any(0))
-        yield _rows([(f, g, b, None, None, None) for f, g, b in zip(some.tolist(), sums[1][some].tolist(), sums[0][some].tolist(), strict=True)], schema)
-
-    found = keep(known.withColumn("unit", unit).select("text", "label", "unit").mapInArrow(read, schema), "label-features")
-    counts = np.zeros((2, FEATURES))
-    for feature, g, b in found.where(F.col("feature").isNotNull()).groupBy("feature").agg(F.sum("good"), F.sum("bad")).collect():  # FEATURES rows at most
-        counts[:, feature] = g, b
-    ratios = log_count_ratios(*counts)
-    got = sorted(found.where(F.col("held").isNotNull()).select("unit", "label", "held").limit(2 * sample + 1000).collect())
+        for a in range(0, FEATURES, COUNT_CHUNK):
+            if sums[a : a + COUNT_CHUNK].any():
+                yield _rows([(a, part, sums[a : a + COUNT_CHUNK].tobytes(), None, None, None)], schema)
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
+        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "part": [int(pdf["part"].iloc[0])], "counts": [total.tobytes()]})
+
+    marked = known.withColumn("unit", unit).select("text", "label", "unit")
+    found = keep(marked.mapInArrow(read, schema), "label-features")
+    sums, n_parts = found.where(F.col("chunk").isNotNull()).select("chunk", "part", "counts"), marked.rdd.getNumPartitions()
+    while True:
+        sums = sums.withColumn("part", F.floor(F.col("part") / SUM_ROWS)).groupBy("chunk", "part").applyInPandas(add, "chunk long, part long, counts binary")
+        n_parts = -(-n_parts // SUM_ROWS)
+        if n_parts == 1:
+            break
+    counts = np.zeros((FEATURES, 2))
+    for chunk, _, some in sums.toLocalIterator():  # of fixed size
+        counts[chunk : chunk + COUNT_CHUNK] = np.frombuffer(some, np.int64).reshape(-1, 2)
+    ratios = log_count_ratios(counts[:, 1], counts[:, 0])
+    held = found.where(F.col("held").isNotNull())
+    sizes = sorted(held.select("unit", "label", F.length("held").alias("n")).limit(2 * sample + 1000).collect())
+    # Texts in order of the draw, as long as their indices stay within the bound.
+    room = np.cumsum([r[2] for r in sizes]) <= SAMPLE_BYTES
+    room[: 1] = True
+    last = {k: max((r[0] for r, fits in zip(sizes, room, strict=True) if fits and r[1] == k), default=-1.0) for k in (0, 1)}
+    got = sorted(held.where(F.col("unit") <= F.when(F.col("label") == 1, last[1]).otherwise(last[0])).select("unit", "label", "held").collect())
     if len({r[1] for r in got}) < 2:
         return good / (good + bad), ratios
     return fit_arrays([np.frombuffer(r[2], "<u4").astype(np.int64) for r in got], np.array([r[1] for r in got]), ratios, good / (good + bad)), ratios
@@ -168,7 +195,9 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def predict(docs: DataFrame, model: Model | float, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every document."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model, ratios))
+    if isinstance(model, Model):
+        model = Model(model.weights.astype(np.float32), model.bias, model.slope, model.offset)
+    shared = docs.sparkSession.sparkContext.broadcast((model, ratios.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, scale = shared.value
