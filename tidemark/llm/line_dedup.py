@@ -32,7 +32,7 @@ from tidemark.llm._store import keep, small_batches
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys in a shard, and probes in a task, about.
-SHARD_KEYS, TASK_PROBES = 200_000, 1_000_000
+SHARD_KEYS, TASK_PROBES = 200_000, 200_000
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
