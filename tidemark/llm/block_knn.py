@@ -5,8 +5,9 @@ Every vector is x = s * q + e with q in int8. By Cauchy and Schwarz, |<x, y> - s
 |x| |e_y| + |e_x| |s_y q_y|. A pair survives if its upper bound reaches the k-th best lower bound or exact score so far, so
 the result is exact. Products of int8 are summed in float32, exactly for up to 1,000 components, beyond that in float64.
 
-Candidates are dealt to shards that fit a task, queries to groups that stream past a shard; each (shard, group) is a task
-of its own and gives the k best of each of its queries. The k best of all shards follow by one window a query, which holds
+Candidates are dealt to shards of SHARD_BYTES at most, queries to groups that stream past a shard; each (shard, group) is a
+task of its own and gives the k best of each of its queries. Vectors travel and stay as they are stored; double precision is
+for tiles of them. The k best of all shards follow by one window a query, which holds
 k rows a shard.
 
 Vectors that are null, zero or hold null or non-finite components, and rows with a null id, take no part. Vectors of other
@@ -25,26 +26,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, QUERY_STEP = 20, 20
-#: Candidates in a shard at most, and at least where there are cores for more shards; queries in a group; sides of a tile.
-SHARD_ROWS, SMALL_SHARD_ROWS, GROUP_ROWS, TILE_QUERIES, TILE_ROWS = 131_072, 4_096, 65_536, 256, 8_192
+#: Candidates in a shard at most, in rows and in bytes of their components, and at least where there are cores for more
+#: shards; queries in a group, which stream past a shard; sides of a tile.
+SHARD_ROWS, SHARD_BYTES, SMALL_SHARD_ROWS, GROUP_ROWS, TILE_QUERIES, TILE_ROWS = 131_072, 64 << 20, 4_096, 262_144, 256, 8_192
 SLACK = 1e-6
 
 
 class Quantised:
-    """Vectors in int8 with scales, norms and residual norms."""
+    """Vectors in int8 with scales, norms and residual norms, made tile by tile."""
 
     def __init__(self, x: np.ndarray):
-        self.scale = np.abs(x).max(1) / 127
-        self.code = np.rint(x / self.scale[:, None]).astype(np.int8)
-        near = self.code * self.scale[:, None]
-        self.norm, self.near_norm, self.residual = (np.sqrt(np.einsum("ij,ij->i", y, y)) for y in (x, near, x - near))
+        self.code = np.empty(x.shape, np.int8)
+        self.scale, self.norm, self.near_norm, self.residual = (np.empty(len(x)) for _ in range(4))
+        for a in range(0, len(x), TILE_ROWS):
+            b, own = min(a + TILE_ROWS, len(x)), x[a : a + TILE_ROWS].astype(np.float64)
+            self.scale[a:b] = np.abs(own).max(1) / 127
+            self.code[a:b] = np.rint(own / self.scale[a:b, None])
+            near = self.code[a:b] * self.scale[a:b, None]
+            for to, y in ((self.norm, own), (self.near_norm, near), (self.residual, own - near)):
+                to[a:b] = np.sqrt(np.einsum("ij,ij->i", y, y))
 
 
 def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Inner products of rows in double precision, summed in order of component."""
     out = np.zeros(len(x))
     for k in range(x.shape[1]):
-        out += x[:, k] * y[:, k]
+        out += x[:, k].astype(np.float64) * y[:, k].astype(np.float64)
     return out
 
 
@@ -73,7 +80,7 @@ class Shard:
                 lower = near - bound
                 reach = np.maximum(reach, np.partition(lower, b - a - k, axis=1)[:, b - a - k])
             q, c = np.nonzero((near + bound >= reach[:, None]) & np.isfinite(near))
-            scores = exact(vectors[q], self.vectors[a + c])
+            scores = np.concatenate([exact(vectors[q[i : i + TILE_ROWS]], self.vectors[a + c[i : i + TILE_ROWS]]) for i in range(0, len(q), TILE_ROWS)] or [np.zeros(0)])
             for i, score, name in zip(q.tolist(), scores.tolist(), self.ids[a + c].tolist(), strict=True):
                 heap = heaps[i]
                 if len(heap) < k:
@@ -91,10 +98,14 @@ def usable(vector: str) -> Column:
     return F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, group_rows: int = GROUP_ROWS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(query_id, rank, <id>, score): for each row of `queries` the k rows of `vectors` with the largest inner products."""
-    clean = [x.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.size(vector_col).alias("dim")) for x in (vectors, queries)]
-    n, n_queries = (x.count() for x in clean)
+    # float is exact in double; anything else becomes double.
+    kind = "array<float>" if all(dict(x.dtypes)[vector_col] == "array<float>" for x in (vectors, queries)) else "array<double>"
+    clean = [x.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vector"), F.size(vector_col).alias("dim")) for x in (vectors, queries)]
+    n, longest = clean[0].agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    n_queries = clean[1].count()
+    shard_rows = max(1, min(shard_rows, shard_bytes // ((4 if kind == "array<float>" else 8) * longest)))
     shards = max(-(-n // shard_rows), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // SMALL_SHARD_ROWS)), 1)
     groups = max(-(-n_queries // group_rows), 1)
 
