@@ -15,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         set_already = spark.sparkContext.getCheckpointDir()
+        if not set_already and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = set_already or "file://" + tempfile.mkdtemp(prefix="tidemark-")
         if not set_already:
             spark.sparkContext.setCheckpointDir(folder)
