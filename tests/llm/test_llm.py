@@ -211,42 +211,74 @@ def brute_removed(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 20_000), (2, 2)])
-def test_suffix_dedup(spark, seed, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
-    texts = passages(seed)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_strings(documents(spark, texts).withColumn("key", F.lit(1))).collect()}
-    assert got == brute_removed(texts)
+def digest(rows):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows.collect()}
 
 
-def test_suffix_dedup_edges(spark):
-    assert suffix_dedup.dedup_strings(documents(spark, []).limit(0)).count() == 0
-    long = passages(5)[-1]
-    rows = spark.createDataFrame([(3, long), (3, long), (None, long), (4, long[::-1])], "doc_id long, text string")
-    got = sorted(((r.doc_id, r.n_removed > 0) for r in suffix_dedup.dedup_strings(rows).collect()), key=str)
-    assert got == sorted([(3, True), (3, True), (4, False), (None, False)], key=str)
+@pytest.mark.parametrize("seed,hot,batches", [(1, 2000, 2), (2, 2, 3)])
+def test_suffix_dedup(spark, seed, hot, batches):
+    texts = passages(seed)
+    docs = documents(spark, texts).withColumn("key", F.lit(1)).withColumn("h1", F.lit("x"))
+    got = suffix_dedup.dedup_strings(docs, batches=batches, hot=hot)
+    assert digest(got) == brute_removed(texts)
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got.collect())
 
 
-def test_families_and_counts_agree():
+def test_suffix_dedup_edges(spark):
+    assert suffix_dedup.dedup_strings(documents(spark, []).limit(0), batches=1).count() == 0
+    long, other = passages(5)[-1], passages(6)[-1]
+    rows = spark.createDataFrame([(3, long), (None, long), (4, long[::-1]), (5, other), (5, other), (6, "y" + other), (None, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_bytes - r.n_removed) for r in suffix_dedup.dedup_strings(rows, batches=1).collect()), key=str)
+    assert got == sorted([(3, 0), (None, 0), (4, len(long.encode()[::-1])), (5, 0), (5, 0), (6, 1), (None, 0)], key=str)
+
+
+def test_suffix_dedup_of_a_text_of_megabytes(spark):
+    rng = random.Random(9)
+    parts = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(100_000)) for _ in range(30)]
+    texts = ["".join(parts), "x" * 50 + parts[20][777:2777] + "y", parts[3][:500], "é" * 600_000]
+    got = digest(suffix_dedup.dedup_strings(documents(spark, texts), batches=1))
+    assert len(texts[0]) == 3_000_000 and got[0][:3] == (3_000_000, 2500, 2) and got[1][:3] == (2051, 2000, 1) and got[2][1] == 500 and got[3][1] == 1_200_000
+
+
+def test_index_finds_the_same_in_batches(spark):
+    texts = [x for x in passages(8) if x]
+    rows = documents(spark, texts).select("doc_id", *suffix_dedup.text_names(F.col("text")), "text")
+
+    def covered(parts, hot):
+        index, out = suffix_dedup.Index(spark, hot=hot), defaultdict(set)
+        for k in range(parts):
+            for r in index.add(rows.where(F.col("doc_id") % parts == k).select("h1", "h2", "text")).collect():
+                out[r.h1] |= set(range(r.start, r.end))
+        return dict(out), [n for _, n in index.levels]
+
+    whole, one = covered(1, 2000)
+    # The only copies of whole texts are those of one text, which a batch counts instead of noting their spans.
+    copies = {r.h1 for r in rows.groupBy("h1").count().where("count > 1").collect()}
+    for parts, hot in ((5, 2000), (3, 2)):
+        batches, levels = covered(parts, hot)
+        assert {k: v for k, v in batches.items() if k not in copies} == {k: v for k, v in whole.items() if k not in copies}
+        assert len(levels) <= 3 and len(one) == 1
+
+
+def test_matched_windows():
     rng = random.Random(7)
-    for _ in range(30):
-        base = bytes(rng.choice(b"abcdefgh ") for _ in range(400))
-        rows = []
-        for i in range(rng.randint(2, 12)):
-            text = bytearray(base)
-            for _ in range(rng.randint(0, 3)):
-                text[rng.choice([*range(180), *range(212, 400)])] = rng.choice(b"xyz")
-            first = 180 - rng.randint(0, 168)
-            rows.append((5, rng.choice([1, 1, 2]), i, 0, 180, first, bytes(text[first:380])))
-
-        def covered(spans):
-            out = defaultdict(set)
-            for row, a, b in spans.tolist():
-                if rows[row][1] == 1:
-                    out[row] |= set(range(a, b))
-            return out
-
-        assert covered(suffix_dedup._paired(rows, 200)) == covered(suffix_dedup._counted(rows, 200))
+    for _ in range(20):
+        bases = [bytes(rng.choice(b"ab\0") for _ in range(60)) for _ in range(2)]
+        keys, n, before, contexts = [], [], [], []
+        for _ in range(rng.randint(1, 14)):
+            key, text = rng.randrange(2), bytearray(rng.choice(bases))
+            for _ in range(rng.randint(0, 2)):
+                text[rng.choice([*range(26), *range(34, 60)])] = 99
+            a, b = rng.randint(10, 20), rng.randint(40, 50)
+            keys.append(key), n.append(rng.choice([1, 1, 2])), before.append(30 - a), contexts.append(bytes(text[a:b]))
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        keys, n, before, contexts = ([x[i] for i in order] for x in (keys, n, before, contexts))
+        counts = Counter()
+        windows = [(i, o, (keys[i], o, c[b - o : b - o + 20])) for i, (c, b) in enumerate(zip(contexts, before, strict=True)) for o in range(b + 1) if len(c) - (b - o) >= 20]
+        for i, _, w in windows:
+            counts[w] += n[i]
+        got = suffix_dedup.matched_windows(np.array(keys, np.uint64), np.array(n), np.array(before), contexts, 20)
+        assert sorted(map(tuple, got.tolist())) == sorted((i, o) for i, o, w in windows if counts[w] > 1)
 
 
 def test_quality_counts(spark):

@@ -23,6 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: What keep() and keep_buckets() wrote and clean() may delete: paths, and names of tables.
+_paths: list[str] = []
+_tables: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -32,19 +37,31 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """The rows as a written table, reread: cuts the lineage and survives the loss of executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_buckets(df: DataFrame, name: str, column: str) -> DataFrame:
-    """The rows as a written table in buckets of a column, as many as a shuffle has partitions: joins by it don't move them."""
+def keep_buckets(df: DataFrame, name: str, column: str, *order: str) -> DataFrame:
+    """The rows as a written table in buckets of a column, as many as a shuffle has partitions, each in order of the column and
+    of those in `order`: joins by the column don't move them."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = new_path(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
-    df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", path).format("parquet").saveAsTable(table)
+    df.repartition(n, column).write.bucketBy(n, column).sortBy(column, *order).option("path", path).format("parquet").saveAsTable(table)
+    _paths.append(path)
+    _tables.append(table)
     return spark.table(table)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete every working table so far; call it once the results that read them are written."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+    while _paths:
+        drop_path(spark, _paths.pop())
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches of texts have so many rows at most: texts can be long and a batch is held in memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -2,42 +2,51 @@
 
 A byte goes if a string of `length` bytes that covers it also starts anywhere else, in any document.
 
-1. Every window of `length` bytes has one anchor, the smallest hash among its K-byte strings, so equal windows have equal
-   anchors at equal places. The windows of an anchor are neighbours; the bytes they cover are its context. Anchors are the
-   suffixes that the index holds: about one in 85 bytes.
-2. Anchors are dealt by the hash of their K bytes. Hashes that occur once lead to no match. Equal contexts are counted; the
-   windows of a context that occurs twice all occur twice, so its bytes go, whatever the number of copies.
-3. Where one hash has several contexts, those that occur once are compared with all the others: a task takes the contexts of
-   its hashes in batches; a batch gets its suffix array (order of hash and following bytes), is merge-scanned against the
-   array of each level, both sides noting matches of `length` bytes or more, and joins the family; levels of equal size merge.
-4. A hash with more than PAIRED contexts (the edge of a passage that many documents share) is not compared in pairs: the
-   windows of its contexts are hashed and counted, which is linear in their number, by its task; with more than
-   HOT_CONTEXTS contexts, which would fill a task, by Spark, in as many rows as there are windows.
-5. Spans go to their documents, which drop them.
-
-Null and empty texts have no bytes. Rows with a null id lose nothing and match nothing. Repeated rows are documents of their
-own, so each is a copy of the others; rows with equal ids and different texts are told apart by a hash of the text. Texts
-shorter than `length` neither lose bytes nor match. An empty table gives an empty result. Anchors, contexts and windows are
-compared by 64-bit hashes of hash and content together, matches of step 3 byte by byte.
+1. Equal texts are one text with a number of copies. Texts come in batches (BATCHES of them for a whole table).
+2. Every window of `length` bytes has one anchor, the smallest hash among its K-byte strings, so equal windows have equal
+   anchors at equal places. The suffixes at anchors are those that the index holds, about one in 85 bytes; the bytes that an
+   anchor's windows cover are its context. Equal contexts are one entry with their number.
+3. A batch's entries, in order of the hash of the K bytes and of the context, are its suffix array. It is a level of the index:
+   a table in buckets of that order in the shared folder. `add` merge-scans the batch's array against itself and against every
+   level, by joins that move neither side, for entries with equal beginnings. Before that, levels of like size become one, so
+   that there are as many as the logarithm of the number of batches.
+4. Entries met with equal contexts match wholly. Of the others the bytes are read, and a task puts those of its hashes in order
+   of their following bytes and in order of their preceding bytes. Two entries share the window that begins o bytes before the
+   anchor if no neighbour between them in the first order has a common prefix below length - o and none in the second one below
+   o, so one pass over both arrays of common prefixes for each o finds every match, without pairs. Matches of either side are
+   noted: those of the batch and those of older texts.
+5. A hash with more than HOT contexts in one batch (the edge of a passage that very many documents share) would fill a task:
+   the windows of its contexts are hashed and counted by Spark, in as many rows as there are windows.
+6. Spans go to their texts, which drop them, and what is left to the documents. A text with copies goes whole.
+
+Rows with null ids count as any other. Null and empty texts have no bytes; texts shorter than `length` neither lose bytes nor
+match. Repeated rows are documents of their own, so each is a copy of the others. An empty table gives an empty result. Texts,
+contexts, and windows of hot hashes are known by 64-bit hashes (two for texts); matches of step 4 are compared byte by byte.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import _text
-from tidemark.llm._encode import gather
-from tidemark.llm._store import give_back, keep, small_batches
+from tidemark.llm._skew import left_join
+from tidemark.llm._store import dropped, give_back, keep, keep_buckets, small_batches
 
 LENGTH, K = 200, 32
-PAIRED, HOT_CONTEXTS, BATCH, PAIRS, SLICE = 32, 20_000, 1024, 1 << 12, 1 << 19
+#: Batches of a whole table; distinct contexts of one hash in a batch that a task compares at most.
+BATCHES, HOT = 4, 2000
+#: Entries that a task compares at once, about; bytes of texts that are cut into anchors at once.
+BLOCK, SLICE = 8192, 1 << 19
+#: Levels become one where the older has less than this many times the entries of the newer.
+LIKE = 1.5
+TEXT, ENTRY = ["h1", "h2"], ["h1", "h2", "first", "last", "anchor"]
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
@@ -80,171 +89,146 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[new], reach[np.append(np.flatnonzero(new)[1:], len(starts)) - 1]
 
 
-def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(key, context, doc, text_hash, first, last, anchor, n, spans): a row for each distinct context of a document; one with
-    spans for what repeats within it."""
-    names = ["key", "context", "doc", "text_hash", "first", "last", "anchor", "n", "spans"]
+def _padded(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.array([len(x) for x in parts], np.int64)
+    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in parts), np.uint8).reshape(-1, width), counts
+
+
+def _window_hashes(parts: list[bytes], keys: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, hash) of every window of some contexts; the hash holds key and place of the anchor. places: of the anchor
+    in its context."""
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.array([len(x) for x in parts], np.int64)
+    counts = sizes - length + 1
+    row = np.repeat(np.arange(len(parts)), counts)
+    offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = (np.cumsum(sizes) - sizes)[row] + offset
+    hashes = _text.span_hashes(data, starts, starts + length) ^ _text.mix(keys[row] + (places[row] - offset).astype(np.uint64))
+    return row, offset, hashes
+
+
+def text_names(text: Column) -> list[Column]:
+    """The two hashes that name a text."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
+
+
+def distinct_texts(docs: DataFrame, length: int) -> DataFrame:
+    """(h1, h2, text, copies) of the texts of at least `length` bytes, from rows (h1, h2, text)."""
+    long = docs.where(F.octet_length("text") >= length)
+    return long.groupBy("h1", "h2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+
+
+def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
+    """(key, context, h1, h2, first, last, anchor, n, copies, spans): a row for each distinct context of a text; one with spans
+    for what repeats within it."""
+    names = ["key", "context", *ENTRY, "n", "copies", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = _text.text_buffers(batch.column(1))
-            ids = batch.column(0).to_pylist()
+            data, offsets = _text.text_buffers(batch.column(2))
+            h1, h2, copies = (batch.column(k).to_numpy() for k in (0, 1, 3))
             for a, b in _text.slices(offsets, SLICE):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 key, owner, first, last, anchor = anchors(part, at, length)
-                known = np.array([x is not None for x in ids[a:b]], bool)[owner]
-                key, owner, first, last, anchor = (x[known] for x in (key, owner, first, last, anchor))
                 if not len(key):
                     continue
-                view = memoryview(np.ascontiguousarray(part))
-                hashes = np.array([xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint64)
                 context = _text.span_hashes(part, first, last + length) ^ _text.mix((anchor - first).astype(np.uint64) + np.uint64(1))
                 context ^= _text.mix(key)
                 local = _text.mix(owner.astype(np.uint64) + np.uint64(1)) + context
-                _, sample, place, times = np.unique(local, return_index=True, return_inverse=True, return_counts=True)
-                again = times[place] > 1
-                rows = sample
-                base = at[owner]
-                out = [key[rows].view(np.int64), context[rows].view(np.int64), np.array(ids[a:b], object)[owner[rows]].astype(np.int64), hashes[owner[rows]].view(np.int64), (first - base)[rows], (last - base)[rows], (anchor - base)[rows], times]
+                _, rows, place, times = np.unique(local, return_index=True, return_inverse=True, return_counts=True)
+                again, base, text = times[place] > 1, at[owner], a + owner
+                out = [key[rows].view(np.int64), context[rows].view(np.int64), h1[text[rows]], h2[text[rows]]]
+                out += [(x - base)[rows] for x in (first, last, anchor)] + [times * copies[text[rows]], copies[text[rows]]]
                 spans: list[bytes | None] = [None] * len(rows)
-                for doc in np.unique(owner[again]).tolist():
-                    mine = again & (owner == doc)
-                    s, e = _merged(first[mine] - at[doc], last[mine] + length - at[doc])
+                for own in np.unique(owner[again]).tolist():
+                    mine = again & (owner == own)
+                    s, e = _merged(first[mine] - at[own], last[mine] + length - at[own])
                     spans.append(np.stack([s, e], 1).astype("<i8").tobytes())
-                    extra = (key[mine][0].view(np.int64), 0, ids[a + doc], hashes[doc].view(np.int64), 0, 0, 0, 0)
+                    extra = (0, 0, h1[a + own], h2[a + own], 0, 0, 0, 0, copies[a + own])
                     out = [np.append(c, np.int64(x)) for c, x in zip(out, extra, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out), pa.array(spans, pa.binary())], names)
         give_back()
 
     schema = ", ".join(f"{x} long" for x in names[:-1]) + ", spans binary"
-    return docs.mapInArrow(run, schema)
-
-
-class Level:
-    """Contexts in order of hash and following bytes."""
-
-    def __init__(self, rows: dict[str, np.ndarray], sort: bool = True):
-        if sort:
-            record = np.concatenate([rows["key"].astype(">u8").view(np.uint8).reshape(-1, 8), rows["right"]], 1)
-            order = np.argsort(np.ascontiguousarray(record).view(np.dtype((np.void, record.shape[1]))).reshape(-1), kind="stable")
-            rows = {k: v[order] for k, v in rows.items()}
-        self.rows = rows
-
-    def __len__(self) -> int:
-        return len(self.rows["key"])
-
-
-class Family:
-    """Levels of suffix arrays; add() scans a batch against itself and every level, then lets it in."""
-
-    def __init__(self, length: int):
-        self.length, self.levels, self.found = length, [], []
-
-    def add(self, rows: dict[str, np.ndarray]) -> None:
-        new = Level(rows)
-        self._scan(new, new)
-        for level in self.levels:
-            self._scan(new, level)
-        self.levels.append(new)
-        while len(self.levels) > 1 and len(self.levels[-1]) >= len(self.levels[-2]):
-            a, b = self.levels.pop(), self.levels.pop()
-            self.levels.append(Level({k: np.concatenate([a.rows[k], b.rows[k]]) for k in a.rows}))
-
-    def _scan(self, new: Level, old: Level) -> None:
-        a, b = new.rows, old.rows
-        low, high = np.searchsorted(b["key"], a["key"], "left"), np.searchsorted(b["key"], a["key"], "right")
-        if new is old:
-            low = np.arange(len(new)) + 1
-        counts = np.maximum(high - low, 0)
-        mine = np.repeat(np.arange(len(new)), counts)
-        theirs = gather(np.arange(len(old)), low, counts) if len(mine) else mine
-        for at in range(0, len(mine), PAIRS):
-            x, y = mine[at : at + PAIRS], theirs[at : at + PAIRS]
-            right = self._common(a["right"][x], b["right"][y], np.minimum(a["n_right"][x], b["n_right"][y]))
-            left = self._common(a["left"][x], b["left"][y], np.minimum(a["n_left"][x], b["n_left"][y]))
-            long = left + right >= self.length
-            for side, rows in ((x, a), (y, b)):
-                some = side[long]
-                self.found.append(np.stack([rows["row"][some], left[long], right[long]], 1))
-
-    @staticmethod
-    def _common(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
-        differ = x != y
-        first = np.where(differ.any(1), differ.argmax(1), x.shape[1])
-        return np.minimum(first, most)
-
-
-def _padded(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.array([len(x) for x in parts], np.int64)
-    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in parts), np.uint8).reshape(-1, width), counts
-
-
-def _paired(rows: list[tuple], length: int) -> np.ndarray:
-    """(row, start, end) of matches, by a family of suffix arrays."""
-    family = Family(length)
-    for at in range(0, len(rows), BATCH):
-        some = rows[at : at + BATCH]
-        right, n_right = _padded([x[6][x[4] - x[5] :][:length] for x in some], length)
-        left, n_left = _padded([x[6][: x[4] - x[5]][::-1] for x in some], length)
-        family.add({"key": np.array([x[0] for x in some], np.int64).view(np.uint64), "right": right, "n_right": n_right, "left": left, "n_left": n_left, "row": np.arange(at, at + len(some))})
-    found = np.unique(np.concatenate([*family.found, np.zeros((0, 3), np.int64)]), axis=0)
-    anchor = np.array([x[4] for x in rows], np.int64)[found[:, 0]] if len(found) else found[:, 0]
-    return np.stack([found[:, 0], anchor - found[:, 1], anchor + found[:, 2]], 1)
-
-
-def _window_hashes(parts: list[bytes], keys: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, offset, hash) of every window of some contexts; the hash holds key and place of the anchor. places: of the anchor
-    in its context."""
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    sizes = np.array([len(x) for x in parts], np.int64)
-    counts = sizes - length + 1
-    row = np.repeat(np.arange(len(parts)), counts)
-    offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = (np.cumsum(sizes) - sizes)[row] + offset
-    hashes = _text.span_hashes(data, starts, starts + length) ^ _text.mix(keys[row] + (places[row] - offset).astype(np.uint64))
-    return row, offset, hashes
-
+    return texts.select("h1", "h2", "text", "copies").mapInArrow(run, schema)
 
-def _counted(rows: list[tuple], length: int) -> np.ndarray:
-    """(row, start, end) of windows that occur twice among the contexts of one hash."""
-    keys = np.array([x[0] for x in rows], np.int64).view(np.uint64)
-    n, first, anchor = (np.array([x[k] for x in rows], np.int64) for k in (1, 5, 4))
-    row, offset, hashes = _window_hashes([x[6] for x in rows], keys, anchor - first, length)
-    _, place = np.unique(hashes, return_inverse=True)
-    twice = np.bincount(place, weights=n[row])[place] > 1
-    return np.stack([row[twice], first[row[twice]] + offset[twice], first[row[twice]] + offset[twice] + length], 1)
 
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """(h1, h2, start, end) of rows with spans."""
 
-def _matches(contexts: DataFrame, length: int) -> DataFrame:
-    """(doc, text_hash, start, end) of contexts that occur once, from rows sorted by key within their task."""
-    names = ["doc", "text_hash", "start", "end"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in batch.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(spans)), [len(x) for x in spans]))
+            both = np.concatenate([*spans, np.zeros((0, 2), np.int64)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(both[:, 0]), pa.array(both[:, 1])], ["h1", "h2", "start", "end"])
+
+    return rows.select("h1", "h2", "spans").mapInArrow(run, "h1 long, h2 long, start long, end long")
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """(key, context, n, h1, h2, first, last, anchor): a row a context, with one place where it stands."""
+    own = rows.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min(F.struct(*ENTRY)).alias("one"))
+    return own.select("key", "context", "n", "one.*")
+
+
+def common_prefixes(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the order of rows of bytes within each key, keys ascending, and how many bytes each has in common with
+    the one before it; -1 for the first of a key."""
+    record = np.concatenate([keys.astype(">u8").view(np.uint8).reshape(-1, 8), rows], 1)
+    order = np.argsort(np.ascontiguousarray(record).view(np.dtype((np.void, record.shape[1]))).reshape(-1), kind="stable")
+    differ = record[order[1:]] != record[order[:-1]]
+    common = np.where(differ.any(1), differ.argmax(1) - 8, rows.shape[1])
+    return order, np.concatenate(([-1], np.where(common < 0, -1, common)))
+
+
+def matched_windows(keys: np.ndarray, n: np.ndarray, before: np.ndarray, contexts: list[bytes], length: int) -> np.ndarray:
+    """(row, o): the windows of some entries that occur twice among those of equal key. before: where the anchor stands in its
+    context, which ends length bytes after the start of the last window; o: how far a window begins before the anchor."""
+    right, _ = _padded([x[a:] for x, a in zip(contexts, before.tolist(), strict=True)], length)
+    left, _ = _padded([x[:a][::-1] for x, a in zip(contexts, before.tolist(), strict=True)], max(1, int(before.max())))
+    least = before - (np.array([len(x) for x in contexts], np.int64) - length)
+    by_right, with_next = common_prefixes(right, keys)
+    by_left, with_last = common_prefixes(left, keys)
+    found = []
+    same_right, same_left = (np.zeros(len(keys), np.int64) for _ in range(2))
+    for o in range(int(before.max()) + 1):
+        own = np.flatnonzero((least <= o) & (o <= before))
+        if len(own) < 2 and (not len(own) or n[own[0]] < 2):
+            continue
+        same_right[by_right] = np.cumsum(with_next < length - o)
+        same_left[by_left] = np.cumsum(with_last < o)
+        both = same_right[own] * (len(keys) + 1) + same_left[own]
+        order = np.argsort(both, kind="stable")
+        new = np.concatenate(([True], np.diff(both[order]) != 0))
+        total = np.add.reduceat(n[own[order]], np.flatnonzero(new))
+        twice = own[order[(total > 1)[np.cumsum(new) - 1]]]
+        found.append(np.stack([twice, np.full(len(twice), o)], 1))
+    return np.concatenate([*found, np.zeros((0, 2), np.int64)])
+
+
+def _compared(contexts: DataFrame, length: int) -> DataFrame:
+    """(h1, h2, start, end) of entries that occur once, from rows sorted by key within their task."""
+    names = ["h1", "h2", "start", "end"]
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        keys = np.array([x[0] for x in rows], np.int64)
-        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(rows)]
-        few = [i for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a <= PAIRED for i in range(a, b)]
-        found = [_paired([rows[i] for i in few], length)]
-        found[0][:, 0] = np.array(few, np.int64)[found[0][:, 0]] if few else found[0][:, 0]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a > PAIRED:
-                found.append(_counted(rows[a:b], length) + np.array([a, 0, 0]))
-        spans = np.concatenate(found)
-        spans = spans[np.array([x[1] for x in rows], np.int64)[spans[:, 0]] == 1]
-        if not len(spans):
+        key, n, h1, h2, anchor, first = (np.array([x[k] for x in rows], np.int64) for k in range(6))
+        found = matched_windows(key.view(np.uint64), n, anchor - first, [x[6] for x in rows], length)
+        found = found[n[found[:, 0]] == 1]
+        # Windows next to each other make one span.
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        if not len(found):
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names)
-        # The union of each row's spans, on one axis with room between the rows.
-        room = int(spans[:, 2].max()) + 1
-        start, end = _merged(spans[:, 0] * room + spans[:, 1], spans[:, 0] * room + spans[:, 2])
-        row = start // room
-        doc, text_hash = (np.array([x[k] for x in rows], np.int64)[row] for k in (2, 3))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, text_hash, start - row * room, end - row * room)], names)
+        new = np.concatenate(([True], (np.diff(found[:, 0]) != 0) | (np.diff(found[:, 1]) != 1)))
+        row, low = found[new].T
+        high = found[np.append(np.flatnonzero(new)[1:], len(found)) - 1, 1]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[row], h2[row], anchor[row] - high, anchor[row] - low + length)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                # A family ends between two hashes, once it is large enough.
-                if len(rows) >= 8 * BATCH and rows[-1][0] != row[0]:
+                if len(rows) >= BLOCK and rows[-1][0] != row[0]:
                     yield flush(rows)
                     rows = []
                 rows.append(row)
@@ -253,104 +237,162 @@ def _matches(contexts: DataFrame, length: int) -> DataFrame:
         rows.clear()
         give_back()
 
-    return contexts.select("key", "n", "doc", "text_hash", "anchor", "first", "bytes").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return contexts.select("key", "n", "h1", "h2", "anchor", "first", "bytes").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def _windows(contexts: DataFrame, length: int) -> DataFrame:
-    """(window, n, doc, text_hash, start): every window of the contexts of hot hashes."""
-    names = ["window", "n", "doc", "text_hash", "start"]
+    """(window, n, h1, h2, start): every window of the contexts of hot hashes."""
+    names = ["window", "n", "h1", "h2", "start"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, n, doc, text_hash, anchor, first = (batch.column(k).to_numpy() for k in range(6))
+            key, n, h1, h2, anchor, first = (batch.column(k).to_numpy() for k in range(6))
             row, within, hashes = _window_hashes(batch.column(6).to_pylist(), key.view(np.uint64), anchor - first, length)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n[row]), pa.array(doc[row]), pa.array(text_hash[row]), pa.array(first[row] + within)], names)
-
-    return contexts.select("key", "n", "doc", "text_hash", "anchor", "first", "bytes").mapInArrow(run, ", ".join(f"{x} long" for x in names))
-
-
-def _cut_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The rows of `wanted` with the bytes of their contexts."""
-    packed = wanted.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("key", "n", "first", "last", "anchor", "hot")).alias("contexts"))
-    joined = docs.join(packed, "doc").select("doc", "text", "text_hash", "contexts")
-    names = ["key", "n", "doc", "text_hash", "anchor", "first", "hot", "bytes"]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n[row]), pa.array(h1[row]), pa.array(h2[row]), pa.array(first[row] + within)], names)
+
+    return contexts.select("key", "n", "h1", "h2", "anchor", "first", "bytes").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+class Index:
+    """Levels of suffix arrays, and the texts that they point into, in the shared folder. `add` gives the spans of `length`
+    bytes or more that a batch repeats or makes repeated; together they are those of one batch of all texts."""
+
+    def __init__(self, spark: SparkSession, length: int = LENGTH, hot: int = HOT):
+        self.spark, self.length, self.hot_contexts = spark, length, hot
+        self.texts: list[DataFrame] = []
+        self.levels: list[tuple[DataFrame, int]] = []
+        #: Hashes with too many contexts for a task, their entries and the windows of these.
+        self.hot: DataFrame | None = None
+        self.windows: list[DataFrame] = []
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """(h1, h2, start, end): spans that go, from rows (h1, h2, text) named by text_names."""
+        self._merge()
+        texts = keep_buckets(distinct_texts(docs, self.length), "texts", "h1")
+        self.texts.append(texts)
+        rows = keep(_anchor_rows(texts, self.length), "anchors")
+        every = keep(_entries(rows.where(F.col("spans").isNull())), "entries")
+        found = [_unpacked(rows.where(F.col("spans").isNotNull() & (F.col("copies") == 1)))]
+        often = every.where(F.col("n") > 1).select("key", "context")
+        held = rows.where(F.col("spans").isNull() & (F.col("copies") == 1) & (F.col("n") > 0))
+        found.append(self._whole(held.join(often, ["key", "context"], "left_semi")))
+        level = keep_buckets(self._without_hot(every, found), "level", "key", "context")
+        met = keep(self._met(level), "met")
+        found.append(self._whole(met.where((F.col("n") == 1) & (F.col("total") > 1))))
+        contested = met.where((F.col("low") != F.col("high")) & (F.col("single") == 1) & (F.col("place") == 1)).select("key", F.col("total").alias("n"), *ENTRY)
+        found.append(_compared(self._with_bytes(contested).repartition("key").sortWithinPartitions("key"), self.length))
+        self.levels.append((level, level.count()))
+        spans = keep(functools.reduce(DataFrame.unionByName, found), "spans")
+        for table in (rows, every, met):
+            dropped(table)
+        return spans
+
+    def _merge(self) -> None:
+        """Make one level of the last two as long as they are of like size."""
+        while len(self.levels) > 1 and self.levels[-2][1] < LIKE * self.levels[-1][1]:
+            (new, _), (old, _) = self.levels.pop(), self.levels.pop()
+            both = keep_buckets(_entries(old.unionByName(new)), "level", "key", "context")
+            self.levels.append((both, both.count()))
+            dropped(new), dropped(old)
+
+    def _whole(self, rows: DataFrame) -> DataFrame:
+        return rows.select("h1", "h2", F.col("first").alias("start"), (F.col("last") + self.length).alias("end"))
+
+    def _met(self, level: DataFrame) -> DataFrame:
+        """The entries of a new level and of the older ones that meet an entry of the new one with the same hash: their own
+        number `n`, that of their context `total`, the least of the hash `single`, its contexts `low` to `high`. Hashes have a
+        bounded number of entries, so windows over them are short."""
+        columns = ["key", "context", "n", *ENTRY]
+        own = level.select(*columns).join(level.groupBy("key").agg(F.count("*").alias("entries")), "key")
+        older = []
+        for k, (old, _) in enumerate(self.levels):
+            own = own.join(old.select("key").distinct().withColumn(f"in_{k}", F.lit(True)), "key", "left")
+            older.append(old.select(*columns).join(level.select("key"), "key", "left_semi"))
+        again = functools.reduce(lambda a, b: a | b, [F.col(f"in_{k}").isNotNull() for k in range(len(older))], F.col("entries") > 1)
+        rows = functools.reduce(DataFrame.unionByName, older, own.where(again).select(*columns)).repartition("key")
+        of_key, of_context = Window.partitionBy("key"), Window.partitionBy("key", "context")
+        rows = rows.withColumn("total", F.sum("n").over(of_context)).withColumn("place", F.row_number().over(of_context.orderBy(*ENTRY)))
+        return rows.withColumn("single", F.min("total").over(of_key)).withColumn("low", F.min("context").over(of_key)).withColumn("high", F.max("context").over(of_key))
+
+    def _without_hot(self, entries: DataFrame, found: list[DataFrame]) -> DataFrame:
+        """The entries whose hash isn't hot; matches of those that are go to `found`, as do those of older entries with hashes
+        that have become hot."""
+        new = entries.groupBy("key").agg(F.count("*").alias("contexts")).where(F.col("contexts") > self.hot_contexts).select("key")
+        new = keep(new if self.hot is None else new.join(self.hot, "key", "left_anti"), "hot-hashes")
+        if not new.isEmpty():
+            late = [old.join(new, "key", "left_semi") for old, _ in self.levels]
+            if late:
+                self.windows.append(keep(_windows(self._with_bytes(functools.reduce(DataFrame.unionByName, late).select("key", "n", *ENTRY)), self.length), "windows"))
+                self.levels = [(keep_buckets(old.join(new, "key", "left_anti"), "level", "key", "context"), size) for old, size in self.levels]
+            self.hot = new if self.hot is None else keep(self.hot.unionByName(new), "hot-hashes")
+        if self.hot is None:
+            return entries
+        self.windows.append(keep(_windows(self._with_bytes(entries.join(self.hot, "key", "left_semi").select("key", "n", *ENTRY)), self.length), "windows"))
+        every = functools.reduce(DataFrame.unionByName, self.windows)
+        often = every.groupBy("window").agg(F.sum("n").alias("times")).where(F.col("times") > 1)
+        counted = every.where(F.col("n") == 1).join(often, "window", "left_semi")
+        found.append(counted.select("h1", "h2", "start", (F.col("start") + self.length).alias("end")))
+        return entries.join(self.hot, "key", "left_anti")
+
+    def _with_bytes(self, wanted: DataFrame) -> DataFrame:
+        """The rows (key, n, h1, h2, first, last, anchor) with the bytes of their contexts. Texts stay in their buckets."""
+        packed = keep(wanted.groupBy("h1").agg(F.collect_list(F.struct("key", "n", *ENTRY)).alias("contexts")), "wanted")
+        length, names = self.length, ["key", "n", "h1", "h2", "first", "anchor", "bytes"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for h2, text, contexts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    raw = text.encode()
+                    rows += [(c["key"], c["n"], c["h1"], h2, c["first"], c["anchor"], raw[c["first"] : c["last"] + length]) for c in contexts if c["h2"] == h2]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k == 6 else pa.int64()) for k in range(7)], names)
+            give_back()
+
+        schema = ", ".join(f"{x} long" for x in names[:-1]) + ", bytes binary"
+        return functools.reduce(DataFrame.unionByName, [x.join(packed, "h1").select("h2", "text", "contexts").mapInArrow(run, schema) for x in self.texts])
+
+
+def _cut(index: Index, spans: DataFrame, with_text: bool) -> DataFrame:
+    """(h1, h2, copies, n_removed, n_spans, kept, kept_sha256) of each text that loses bytes; kept is null without text."""
+    names = ["h1", "h2", "copies", "n_removed", "n_spans", "kept", "kept_sha256"]
+    packed = keep(spans.groupBy("h1").agg(F.collect_list(F.struct("h2", "start", "end")).alias("spans")), "text-spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text, wanted_hash, contexts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            out: list[tuple] = []
+            for h1, h2, text, copies, spans in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 raw = text.encode()
-                mine = int(np.array([xxhash.xxh3_64_intdigest(raw)], np.uint64).view(np.int64)[0])
-                if mine == wanted_hash:
-                    rows += [(c["key"], c["n"], doc, mine, c["anchor"], c["first"], c["hot"], raw[c["first"] : c["last"] + length]) for c in contexts]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k == 7 else pa.int64()) for k in range(8)], names)
+                own = [(0, len(raw))] if copies > 1 else [(x["start"], x["end"]) for x in spans or () if x["h2"] == h2]
+                if not own:
+                    continue
+                both = np.array(own, np.int64)
+                s, e = _merged(both[:, 0], both[:, 1])
+                kept = b"".join(raw[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(raw)], strict=True))
+                out.append((h1, h2, copies, int((e - s).sum()), len(s), kept if with_text else None, hashlib.sha256(kept).hexdigest()))
+            types = (*[pa.int64()] * 5, pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
         give_back()
 
-    return joined.mapInArrow(run, ", ".join(f"{x} long" for x in names[:-1]) + ", bytes binary")
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, text_hash, start, end): spans of bytes that go, from rows (doc long, text); they overlap."""
-    by_key = Window.partitionBy("key")
-    rows = _anchor_rows(docs, length).withColumn("times", F.sum("n").over(by_key))
-    rows = keep(rows.where((F.col("times") > 1) | F.col("spans").isNotNull()).drop("times"), "anchors")
-    held = rows.where(F.col("spans").isNull())
-    contexts = held.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "text_hash", "first", "last", "anchor")).alias("one"))
-    contexts = contexts.withColumn("contexts", F.count("*").over(by_key)).withColumn("single", F.min("n").over(by_key))
-    contexts = keep(contexts.where((F.col("n") > 1) | (F.col("contexts") > 1)), "contexts")
-    whole = held.join(contexts.where(F.col("n") > 1).select("key", "context"), ["key", "context"], "left_semi").select("doc", "text_hash", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    contested = contexts.where((F.col("contexts") > 1) & (F.col("single") == 1)).select("key", "n", "one.*", (F.col("contexts") > HOT_CONTEXTS).cast("long").alias("hot"))
-    cut = keep(_cut_contexts(docs, contested, length), "context-bytes")
-    dealt = cut.where(F.col("hot") == 0).repartition("key").sortWithinPartitions("key")
-    paired = _matches(dealt, length)
-    windows = keep(_windows(cut.where(F.col("hot") == 1), length), "windows")
-    often = windows.groupBy("window").agg(F.sum("n").alias("times")).where(F.col("times") > 1)
-    counted = windows.where(F.col("n") == 1).join(often, "window", "left_semi").select("doc", "text_hash", "start", (F.col("start") + length).alias("end"))
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in batch.column(2).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(spans)), [len(x) for x in spans]))
-            both = np.concatenate([*spans, np.zeros((0, 2), np.int64)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc", "text_hash", "start", "end"])
-
-    within = rows.where(F.col("spans").isNotNull()).select("doc", "text_hash", "spans").mapInArrow(unpack, "doc long, text_hash long, start long, end long")
-    return whole.unionByName(paired).unionByName(counted).unionByName(within)
+    schema = ", ".join(f"{x} long" for x in names[:5]) + ", kept binary, kept_sha256 string"
+    return functools.reduce(DataFrame.unionByName, [x.join(packed, "h1", "left").where(F.col("spans").isNotNull() | (F.col("copies") > 1)).select("h1", "h2", "text", "copies", "spans").mapInArrow(run, schema) for x in index.texts])
 
 
-def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept bytes, kept_sha256) of each document."""
+def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, batches: int = BATCHES, hot: int = HOT, with_text: bool = True) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept bytes, kept_sha256) of each document; kept is null without text."""
     small_batches(docs.sparkSession)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    spans = repeated_spans(plain, length).groupBy(F.col("doc").alias("of"), "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = spans.groupBy("of").agg(F.collect_list(F.struct("text_hash", "spans")).alias("texts"))
-    joined = plain.join(spans, plain["doc"] == spans["of"], "left").select("doc", "text", "texts")
-    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            texts = batch.column(2)
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                raw = (text or "").encode()
-                kept, removed, runs = raw, 0, 0
-                if texts[i].is_valid:
-                    mine = int(np.array([xxhash.xxh3_64_intdigest(raw)], np.uint64).view(np.int64)[0])
-                    own = [(x["start"], x["end"]) for t in texts[i].as_py() if t["text_hash"] == mine for x in t["spans"]]
-                    if own:
-                        both = np.array(own, np.int64)
-                        s, e = _merged(both[:, 0], both[:, 1])
-                        removed, runs = int((e - s).sum()), len(s)
-                        kept = b"".join(raw[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(raw)], strict=True))
-                for column, x in zip(out, (len(raw), removed, runs, kept, hashlib.sha256(kept).hexdigest()), strict=True):
-                    column.append(x)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names)
-        give_back()
-
-    return joined.mapInArrow(run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    plain = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", *text_names(F.col("text")), "text")
+    index = Index(docs.sparkSession, length, hot)
+    spans = [index.add(plain.where(F.pmod("h2", F.lit(batches)) == k).select("h1", "h2", "text")) for k in range(batches)]
+    for level, _ in index.levels:
+        dropped(level)
+    cut = keep(_cut(index, functools.reduce(DataFrame.unionByName, spans), with_text), "cut-texts")
+    own = plain.select("id", "h1", "h2", F.octet_length("text").cast("long").alias("n_bytes"), *([F.col("text").cast("binary").alias("whole")] if with_text else [F.lit(None).cast("binary").alias("whole")]), F.sha2(F.col("text").cast("binary"), 256).alias("whole_sha256"))
+    done = left_join(own, cut, TEXT, "copies", docs.count(), F.xxhash64(F.lit("salt"), "id", "h1"))
+    lost = F.col("n_removed").isNotNull()
+    return done.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.when(lost, F.col("kept")).otherwise(F.col("whole")).alias("kept"), F.when(lost, F.col("kept_sha256")).otherwise(F.col("whole_sha256")).alias("kept_sha256"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: every document with the bytes that repeated strings of 200 bytes cover."""
-    return dedup_strings(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return dedup_strings(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False).drop("kept")
