@@ -460,3 +460,42 @@ def test_pipeline(spark, data):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns
         docs = out
+
+
+def test_sets_travel_to_qualifying_blocks_only(spark, monkeypatch):
+    rng = random.Random(11)
+    kinds = [[f"k{k}w{i}" for i in range(40)] for k in range(500)]
+    # One frequent shingle makes all classes one family; ten variants of each of 500 kinds are alike, no kinds are.
+    texts = []
+    for own in kinds:
+        for _ in range(10):
+            words = list(own)
+            words[rng.randrange(10, 40)] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(["all of them", *words]))
+    docs = documents(spark, texts).select(F.col("doc_id").alias("id"), "text")
+    rule = jaccard_join.Rule(3, 80, 100)
+    rows = jaccard_join.signatures(docs, "id", "text", rule, jaccard_join.shingle_sketch(docs, "text", 3)).selectExpr("class", "n_shingles", "min_hash", "tokens", "doc as `group`", "1L as family").cache()
+    placed = jaccard_join._blocks(rows.drop("tokens"))
+    candidates = rows.selectExpr("class", "`group` as own", "family")
+    sizes = placed.groupBy("block").count().toPandas()["count"]
+    found = jaccard_join._qualifying(candidates, placed, rows.select("class", "n_shingles", "tokens"), rule).toPandas()
+    kind = {r["class"]: r["group"] // 10 for r in rows.collect()}
+    held = {(r["block"], kind[r["class"]]) for r in placed.collect()}
+    # Every block with one of its own kind is found, and few others: about ten a class of more than 78 blocks.
+    assert {(b, kind[c]) for b, c in zip(found["block"], found["class"], strict=True)} >= held
+    assert len(sizes) >= 78 and sizes.max() <= 128 and len(found) <= 12 * 5000 and (5000 * len(sizes)) / len(found) > 6
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 5)
+    monkeypatch.setattr(jaccard_join, "TASK_QUERIES", 3)
+    monkeypatch.setattr(jaccard_join, "SHELF_BLOCKS", 2)
+    some = near_copies(21, n_bases=3, copies=40, length=70)
+    got = {r.doc: (r.n_shingles, r.component) for r in jaccard_join.near_duplicates(documents(spark, some), rule=rule).collect()}
+    assert got == brute_components(some, 3, 80, 100)
+
+
+def test_hot_keys_join(spark):
+    from tidemark.llm._skew import left_join
+
+    left = spark.createDataFrame([(k, 1 if k < 50 else k if k < 90 else None) for k in range(100)], "id long, key long")
+    right = spark.createDataFrame([(1, 50, "hot"), (60, 1, "one"), (61, 1, None)], "key long, n long, value string")
+    got = {r.id: r.value for r in left_join(left, right, ["key"], "n", 100, F.col("id")).collect()}
+    assert got == {k: "hot" if k < 50 else "one" if k == 60 else None for k in range(100)}

@@ -12,11 +12,14 @@ the result names each document's component, the smallest id that links lead to.
 4. Similar classes are one family, linked or not: those whose most frequent token is the same. The token-group matrix says
    which token is in which family, once a family, whatever its size, with the sizes of its sets. A class meets its own and
    the larger families that share enough tokens and a possible size with it: these are its candidates.
-5. Families are stored in blocks of some members with the union of their shingles. |query & union| < ceil(t * |query|) rules
-   the block out; only blocks that qualify are opened, and members are compared whose groups the block has not joined yet.
+5. Families are stored in blocks of some members, those of equal min-hash together, with the union of their tokens and of their
+   shingles. A class's tokens meet the blocks' tokens first; its set travels only to blocks that hold enough of them. There
+   |query & union| < ceil(t * |query|) rules the block out; only blocks that qualify are opened, and members are compared whose
+   groups the block has not joined yet.
 6. Components of groups follow from these links, and components of documents from their classes.
 
-Nothing is capped: a frequent token only costs rows of the matrix, one a family. Shingles and sets are known by 64-bit hashes.
+Nothing is capped: a frequent token only costs rows of the matrix, one a family. Classes with many copies and tokens and
+min-hashes of many classes come to their rows by broadcast where they are a ten-thousandth of all rows or more (_skew). Shingles and sets are known by 64-bit hashes.
 
 Null and empty texts, and texts without words, have empty sets and link with nothing. Texts with fewer than n words have one
 shingle, all their words. Rows with a null id are compared with none and have a null component. Rows with equal ids are
@@ -32,11 +35,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import _text
 from tidemark.llm._components import components
+from tidemark.llm._encode import gather
+from tidemark.llm._skew import left_join
 from tidemark.llm._store import keep, keep_buckets, small_batches
 
 SKETCH_BITS, SKETCH_CHUNK, SUM_ROWS = 20, 1 << 14, 64
@@ -44,6 +49,8 @@ SKETCH_BITS, SKETCH_CHUNK, SUM_ROWS = 20, 1 << 14, 64
 SHARED = 12
 #: Members of a block, and queries that a task compares with it, about.
 BLOCK_MEMBERS, TASK_QUERIES = 64, 20_000
+#: Blocks whose tokens a candidate meets at once, about.
+SHELF_BLOCKS = 64
 
 
 @dataclass(frozen=True)
@@ -76,6 +83,19 @@ class Rule:
 
         return F.greatest(F.lit(1), F.least(at(low), at(high)) - 1)
 
+    def tokens_shared_at_least(self, size: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """tokens_shared_with for one size and arrays of ranges."""
+
+        def part(x):
+            return np.ceil(np.asarray(x) * self.num / self.den)
+
+        def at(other: np.ndarray) -> np.ndarray:
+            other = np.maximum(part(size), np.minimum(other, np.floor(size * self.den / self.num)))
+            both = np.ceil((size + other) * self.num / (self.num + self.den))
+            return both - np.maximum(0, np.maximum(part(size), part(other)) - SHARED)
+
+        return np.maximum(1, np.minimum(at(low), at(high)) - 1)
+
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         if min(len(a), len(b)) * self.den < self.num * max(len(a), len(b)):
             return False
@@ -174,11 +194,12 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
 def _groups(classes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(class, n_shingles, n_shared, family, group): the pivot of its min-hash where they link, else itself."""
     # The class with most tokens that others hold too is the most usual of its kind.
-    pivots = classes.groupBy("min_hash").agg(F.max_by("class", F.struct("n_shared", "class")).alias("pivot"), F.count("*").alias("n")).where(F.col("n") > 1)
-    pairs = classes.select("class", "min_hash").join(pivots, "min_hash").where(F.col("class") != F.col("pivot")).select("class", F.col("class").alias("own"), F.col("pivot").alias("family"))
-    members = pivots.select(*[F.col("pivot").alias(x) for x in ("class", "group", "family")])
-    linked = _opened(pairs, members, sets, rule).select(F.col("a").alias("class"), F.col("b").alias("group"))
-    return classes.join(linked, "class", "left").select("class", "n_shingles", "n_shared", "family", F.coalesce("group", "class").alias("group"))
+    pivots = classes.groupBy("min_hash").agg(F.max_by("class", F.struct("n_shared", "class")).alias("pivot"), F.count("*").alias("n_alike")).where(F.col("n_alike") > 1)
+    pairs = left_join(classes.select("class", "min_hash"), pivots, ["min_hash"], "n_alike", classes.count(), F.col("class"))
+    pairs = pairs.where(F.col("class") != F.col("pivot")).select("class", F.col("class").alias("own"), F.col("pivot").alias("family"))
+    members = pivots.select(*[F.col("pivot").alias(x) for x in ("class", "group", "family")], F.lit(0).cast("long").alias("block"))
+    linked = _opened(pairs.withColumn("block", F.lit(0).cast("long")), members, sets, rule).select(F.col("a").alias("class"), F.col("b").alias("group"))
+    return classes.join(linked, "class", "left").select("class", "n_shingles", "n_shared", "min_hash", "family", F.coalesce("group", "class").alias("group"))
 
 
 def _candidates(tokens: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
@@ -200,14 +221,57 @@ def _candidates(tokens: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
     return met.where(F.col("n") >= rule.tokens_shared_with(size, F.col("low"), F.col("high"))).select("class", "own", "family")
 
 
-def _opened(candidates: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): groups that a class of one and a class of the other link, from candidates (class, own, family) and members
-    (class, group, family). Of the links that a block shows, those that follow from others are left out."""
-    n_blocks = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("n_blocks"))
-    asked = candidates.groupBy("family").agg(F.ceil(F.count("*") / TASK_QUERIES).alias("copies")).join(n_blocks, "family")
-    queries = candidates.join(asked, "family").join(sets, "class").select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"), F.pmod(F.xxhash64("class"), "copies").alias("copy"), F.lit(1).alias("kind"), "own", "shingles")
-    placed = members.join(asked, "family").join(sets, "class").withColumn("block", F.pmod(F.xxhash64("class"), "n_blocks"))
-    blocks = placed.groupBy("family", "block", "copies").agg(F.collect_list(F.struct("group", "shingles")).alias("members"))
+def _blocks(members: DataFrame) -> DataFrame:
+    """(class, group, family, block, ...): members with their block of BLOCK_MEMBERS, about. Those of equal min-hash share
+    blocks, so that blocks of a family differ."""
+    many = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("n_blocks"))
+    placed = members.join(many, "family").withColumn("block", F.pmod(F.xxhash64("min_hash"), "n_blocks")).drop("n_blocks")
+    full = placed.groupBy("family", "block").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("parts"))
+    return placed.join(full, ["family", "block"]).withColumn("block", F.col("block") * (1 << 20) + F.pmod(F.xxhash64("class"), "parts")).drop("parts")
+
+
+def _qualifying(candidates: DataFrame, placed: DataFrame, tokens: DataFrame, rule: Rule) -> DataFrame:
+    """(class, own, family, block): the blocks of a family that hold as many tokens of a candidate as it shares at least with a
+    set that it links with, by tokens (class, n_shingles, tokens). Only tokens travel; SHELF_BLOCKS blocks, about, are asked at once."""
+    own = placed.join(tokens.select("class", "tokens"), "class")
+    blocks = own.groupBy("family", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
+    asked = candidates.groupBy("family").agg(F.ceil(F.count("*") / TASK_QUERIES).alias("copies"))
+    shelved = placed.groupBy("family").agg(F.ceil(F.count_distinct("block") / SHELF_BLOCKS).alias("n_shelves")).join(asked, "family")
+    shelves = blocks.join(shelved, "family").withColumn("shelf", F.pmod(F.xxhash64("block"), "n_shelves"))
+    shelves = shelves.groupBy("family", "shelf", "copies").agg(F.collect_list(F.struct("block", "low", "high", "union")).alias("blocks"))
+    shelves = shelves.select("family", "shelf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "blocks")
+    queries = candidates.join(tokens, "class").join(shelved, "family").select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_shelves") - 1)).alias("shelf"), F.pmod(F.xxhash64("class"), "copies").alias("copy"), F.lit(1).alias("kind"), "class", "own", "n_shingles", "tokens")
+    rows = queries.unionByName(shelves, allowMissingColumns=True).repartition("family", "shelf", "copy").sortWithinPartitions("family", "shelf", "copy", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, low, high, token, of = (np.zeros(0, np.int64) for _ in range(5))
+        for batch in batches:
+            found: list[tuple] = []
+            for i, kind in enumerate(batch.column(0).to_pylist()):
+                if kind == 0:
+                    held = batch.column(6)[i].as_py()
+                    numbers, low, high = (np.array([x[k] for x in held], np.int64) for k in ("block", "low", "high"))
+                    token = np.concatenate([np.array(x["union"], np.int64) for x in held])
+                    of = np.repeat(np.arange(len(held)), [len(x["union"]) for x in held])
+                    order = np.argsort(token, kind="stable")
+                    token, of = token[order], of[order]
+                    continue
+                mine = np.array(batch.column(5)[i].as_py(), np.int64)
+                a, b = np.searchsorted(token, mine, "left"), np.searchsorted(token, mine, "right")
+                both = np.bincount(gather(of, a, b - a), minlength=len(numbers)) if (b > a).any() else np.zeros(len(numbers), np.int64)
+                enough = rule.tokens_shared_at_least(batch.column(4)[i].as_py(), low, high)
+                found += [(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), x) for x in numbers[both >= enough].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(4)], ["class", "own", "family", "block"])
+
+    return rows.select("kind", "class", "own", "family", "n_shingles", "tokens", "blocks").mapInArrow(run, "class long, own long, family long, block long")
+
+
+def _opened(candidates: DataFrame, placed: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): groups that a class of one and a class of the other link, from candidates (class, own, family, block) and members
+    (class, group, family, block). Of the links that a block shows, those that follow from others are left out."""
+    asked = candidates.groupBy("family", "block").agg(F.ceil(F.count("*") / TASK_QUERIES).alias("copies"))
+    queries = candidates.join(asked, ["family", "block"]).join(sets, "class").select("family", "block", F.pmod(F.xxhash64("class"), "copies").alias("copy"), F.lit(1).alias("kind"), "own", "shingles")
+    blocks = placed.join(asked, ["family", "block"]).join(sets, "class").groupBy("family", "block", "copies").agg(F.collect_list(F.struct("group", "shingles")).alias("members"))
     blocks = blocks.select("family", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "members")
     rows = queries.unionByName(blocks, allowMissingColumns=True).repartition("family", "block", "copy").sortWithinPartitions("family", "block", "copy", "kind")
 
@@ -246,27 +310,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = keep(signatures(docs, "id", "text", rule, shingle_sketch(docs, "text", rule.n)), "signatures")
     named = marked.where((F.col("n_shingles") > 0) & F.col("doc").isNotNull())
-    classes = keep(named.groupBy("class").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("min_hash").alias("min_hash")), "classes")
-    # Tokens in one class only lead nowhere, nor do classes with too few others. Frequent tokens come last in every set, so a
-    # window over a token is short but for sets of nothing else, and those are few classes.
-    once = named.join(classes.select("class", "doc"), ["class", "doc"], "left_semi").select("class", F.explode("tokens").alias("token"))
-    of_token = Window.partitionBy("token")
-    tokens = once.withColumn("low", F.min("class").over(of_token)).withColumn("high", F.max("class").over(of_token)).withColumn("often", F.count("*").over(of_token)).where(F.col("low") != F.col("high")).select("token", "class", "often")
-    tokens = keep(tokens, "tokens")
+    # Equal classes have equal tokens, so one row of a class has all that is known of it.
+    classes = keep(named.groupBy("class").agg(F.min("doc").alias("doc"), F.count("*").alias("n_class"), F.first("n_shingles").alias("n_shingles"), F.first("min_hash").alias("min_hash"), F.first("tokens").alias("tokens")), "classes")
+    # Tokens in one class only lead nowhere, nor do classes with too few others. Tokens are counted where they are read.
+    once = classes.select("class", F.explode("tokens").alias("token"))
+    stats = once.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("often")).where(F.col("low") != F.col("high")).select("token", "often")
+    n_once = classes.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    tokens = left_join(once, stats, ["token"], "often", n_once, F.col("class")).where(F.col("often").isNotNull())
+    tokens = keep(tokens.select("token", "class", "often"), "tokens")
     shared = tokens.groupBy("class").agg(F.count("*").alias("n_shared"), F.max(F.struct("often", "token"))["token"].alias("family"))
     involved = classes.join(shared, "class").where(F.col("n_shared") >= rule.tokens_shared(F.col("n_shingles")))
-    involved = keep(involved, "involved")
-    # The texts are dealt by id at every size, and the sets are kept in buckets of their class: later joins don't move them.
-    texts = docs.join(involved.select(F.col("doc").alias("id"), "class").hint("shuffle_hash"), "id").select("class", "text")
+    involved = keep(involved.select("class", "doc", "n_shingles", "min_hash", "n_shared", "family"), "involved")
+    # The sets are kept in buckets of their class: later joins don't move them.
+    texts = docs.join(involved.select(F.col("doc").alias("id"), "class").hint("merge"), "id").select("class", "text")
     sets = keep_buckets(_sets(texts, rule), "shingle-sets", "class")
     groups = keep(_groups(involved, sets, rule), "groups")
-    candidates = keep(_candidates(tokens.select("token", "class").distinct(), groups, rule), "candidates")
-    roots = components(_opened(candidates, groups, sets, rule))
-    placed = groups.select("class", "group").join(roots, groups["group"] == roots["node"], "left").select("class", F.coalesce("root", "group").alias("root"))
-    least = placed.join(classes.select("class", "doc"), "class").groupBy("root").agg(F.min("doc").alias("component"))
-    of_class = classes.join(placed.join(least, "root").select("class", "component"), "class", "left").select("class", F.coalesce("component", "doc").alias("component"))
-    out = marked.withColumn("key", F.when((F.col("n_shingles") > 0) & F.col("doc").isNotNull(), F.col("class")))
-    out = out.join(of_class.withColumnRenamed("class", "key"), "key", "left")
+    candidates = keep(_candidates(tokens.select("token", "class"), groups, rule), "candidates")
+    placed = keep(_blocks(groups.select("class", "group", "family", "n_shingles", "min_hash").join(candidates.select("family").distinct(), "family", "left_semi")), "blocks")
+    qualifying = keep(_qualifying(candidates, placed, classes.select("class", "n_shingles", "tokens").join(groups.select("class"), "class", "left_semi"), rule), "qualifying")
+    roots = components(_opened(qualifying, placed, sets, rule))
+    rooted = groups.select("class", "group").join(roots, groups["group"] == roots["node"], "left").select("class", F.coalesce("root", "group").alias("root"))
+    least = rooted.join(classes.select("class", "doc"), "class").groupBy("root").agg(F.min("doc").alias("component"))
+    of_class = classes.select("class", "doc", "n_class").join(rooted.join(least, "root").select("class", "component"), "class", "left").select("class", "n_class", F.coalesce("component", "doc").alias("component"))
+    marked = marked.select("doc", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc").isNotNull(), F.col("class")).alias("class"))
+    out = left_join(marked, of_class, ["class"], "n_class", marked.count(), F.xxhash64(F.lit("salt"), "doc"))
     return out.select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
 
 
