@@ -15,7 +15,7 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
    anchor if no neighbour between them in the first order has a common prefix below length - o and none in the second one below
    o, so one pass over both arrays of common prefixes for each o finds every match, without pairs. Matches of either side are
    noted: those of the batch and those of older texts.
-5. A hash with more than HOT contexts in one batch (the edge of a passage that very many documents share) would fill a task:
+5. A hash that stands in more than HOT places of one batch (the edge of a passage that very many documents share) would fill a task:
    the windows of its contexts are hashed and counted by Spark, in as many rows as there are windows.
 6. Spans go to their texts, which drop them, and what is left to the documents. A text with copies goes whole.
 
@@ -40,7 +40,7 @@ from tidemark.llm._skew import left_join
 from tidemark.llm._store import dropped, give_back, keep, keep_buckets, small_batches
 
 LENGTH, K = 200, 32
-#: Batches of a whole table; distinct contexts of one hash in a batch that a task compares at most.
+#: Batches of a whole table; entries of one hash in a batch that a task compares at most.
 BATCHES, HOT = 4, 2000
 #: Entries that a task compares at once, about; bytes of texts that are cut into anchors at once.
 BLOCK, SLICE = 8192, 1 << 19
@@ -271,19 +271,19 @@ class Index:
         texts = keep_buckets(distinct_texts(docs, self.length), "texts", "h1")
         self.texts.append(texts)
         rows = keep(_anchor_rows(texts, self.length), "anchors")
-        every = keep(_entries(rows.where(F.col("spans").isNull())), "entries")
         found = [_unpacked(rows.where(F.col("spans").isNotNull() & (F.col("copies") == 1)))]
-        often = every.where(F.col("n") > 1).select("key", "context")
-        held = rows.where(F.col("spans").isNull() & (F.col("copies") == 1) & (F.col("n") > 0))
-        found.append(self._whole(held.join(often, ["key", "context"], "left_semi")))
-        level = keep_buckets(self._without_hot(every, found), "level", "key", "context")
+        held = rows.where(F.col("spans").isNull())
+        entries, hot = self._without_hot(held, found)
+        level = keep_buckets(entries, "level", "key", "context")
+        often = (level if hot is None else level.unionByName(hot)).where(F.col("n") > 1).select("key", "context")
+        found.append(self._whole(held.where(F.col("copies") == 1).join(often, ["key", "context"], "left_semi")))
         met = keep(self._met(level), "met")
         found.append(self._whole(met.where((F.col("n") == 1) & (F.col("total") > 1))))
         contested = met.where((F.col("low") != F.col("high")) & (F.col("single") == 1) & (F.col("place") == 1)).select("key", F.col("total").alias("n"), *ENTRY)
         found.append(_compared(self._with_bytes(contested).repartition("key").sortWithinPartitions("key"), self.length))
         self.levels.append((level, level.count()))
         spans = keep(functools.reduce(DataFrame.unionByName, found), "spans")
-        for table in (rows, every, met):
+        for table in (rows, met):
             dropped(table)
         return spans
 
@@ -314,10 +314,10 @@ class Index:
         rows = rows.withColumn("total", F.sum("n").over(of_context)).withColumn("place", F.row_number().over(of_context.orderBy(*ENTRY)))
         return rows.withColumn("single", F.min("total").over(of_key)).withColumn("low", F.min("context").over(of_key)).withColumn("high", F.max("context").over(of_key))
 
-    def _without_hot(self, entries: DataFrame, found: list[DataFrame]) -> DataFrame:
-        """The entries whose hash isn't hot; matches of those that are go to `found`, as do those of older entries with hashes
-        that have become hot."""
-        new = entries.groupBy("key").agg(F.count("*").alias("contexts")).where(F.col("contexts") > self.hot_contexts).select("key")
+    def _without_hot(self, rows: DataFrame, found: list[DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+        """The entries of a batch whose hash isn't hot, and those whose hash is. Matches of the latter go to `found`, as do those
+        of older entries with hashes that have become hot."""
+        new = rows.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > self.hot_contexts).select("key")
         new = keep(new if self.hot is None else new.join(self.hot, "key", "left_anti"), "hot-hashes")
         if not new.isEmpty():
             late = [old.join(new, "key", "left_semi") for old, _ in self.levels]
@@ -326,13 +326,14 @@ class Index:
                 self.levels = [(keep_buckets(old.join(new, "key", "left_anti"), "level", "key", "context"), size) for old, size in self.levels]
             self.hot = new if self.hot is None else keep(self.hot.unionByName(new), "hot-hashes")
         if self.hot is None:
-            return entries
-        self.windows.append(keep(_windows(self._with_bytes(entries.join(self.hot, "key", "left_semi").select("key", "n", *ENTRY)), self.length), "windows"))
+            return _entries(rows), None
+        hot = keep(_entries(rows.join(self.hot, "key", "left_semi")), "hot-entries")
+        self.windows.append(keep(_windows(self._with_bytes(hot.select("key", "n", *ENTRY)), self.length), "windows"))
         every = functools.reduce(DataFrame.unionByName, self.windows)
         often = every.groupBy("window").agg(F.sum("n").alias("times")).where(F.col("times") > 1)
         counted = every.where(F.col("n") == 1).join(often, "window", "left_semi")
         found.append(counted.select("h1", "h2", "start", (F.col("start") + self.length).alias("end")))
-        return entries.join(self.hot, "key", "left_anti")
+        return _entries(rows.join(self.hot, "key", "left_anti")), hot
 
     def _with_bytes(self, wanted: DataFrame) -> DataFrame:
         """The rows (key, n, h1, h2, first, last, anchor) with the bytes of their contexts. Texts stay in their buckets."""
