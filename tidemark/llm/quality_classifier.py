@@ -217,5 +217,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     # Labels grow with the documents, so both sides are dealt by id at every size; the held-out rows go before that.
-    model, ratios = fit(docs.where(~held_out).join(labels.where(~held_out).hint("shuffle_hash"), "doc_id"))
+    model, ratios = fit(docs.where(~held_out).join(labels.where(~held_out).hint("merge"), "doc_id"))
     return predict(docs, model, ratios).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
