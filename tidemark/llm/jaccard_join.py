@@ -48,9 +48,9 @@ SKETCH_BITS, SKETCH_CHUNK, SUM_ROWS = 20, 1 << 14, 64
 #: Tokens that linked sets share. More of them cost as many rows a class and leave fewer classes and candidates.
 SHARED = 12
 #: Members of a block, and queries that a task compares with it, about.
-BLOCK_MEMBERS, TASK_QUERIES = 64, 20_000
-#: Blocks whose tokens a candidate meets at once, about.
-SHELF_BLOCKS = 64
+BLOCK_MEMBERS, TASK_QUERIES = 64, 500
+#: Blocks whose tokens a candidate meets at once, and candidates that a task compares with them, about.
+SHELF_BLOCKS, SHELF_QUERIES = 64, 20_000
 
 
 @dataclass(frozen=True)
@@ -235,7 +235,7 @@ def _qualifying(candidates: DataFrame, placed: DataFrame, tokens: DataFrame, rul
     set that it links with, by tokens (class, n_shingles, tokens). Only tokens travel; SHELF_BLOCKS blocks, about, are asked at once."""
     own = placed.join(tokens.select("class", "tokens"), "class")
     blocks = own.groupBy("family", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-    asked = candidates.groupBy("family").agg(F.ceil(F.count("*") / TASK_QUERIES).alias("copies"))
+    asked = candidates.groupBy("family").agg(F.ceil(F.count("*") / SHELF_QUERIES).alias("copies"))
     shelved = placed.groupBy("family").agg(F.ceil(F.count_distinct("block") / SHELF_BLOCKS).alias("n_shelves")).join(asked, "family")
     shelves = blocks.join(shelved, "family").withColumn("shelf", F.pmod(F.xxhash64("block"), "n_shelves"))
     shelves = shelves.groupBy("family", "shelf", "copies").agg(F.collect_list(F.struct("block", "low", "high", "union")).alias("blocks"))
