@@ -95,7 +95,7 @@ def test_interrupted_series(spark):
     y = [2.0 * t + (5 + 3 * (t - 10) if t >= 10 else 0) for t in range(20)]
     df = spark.createDataFrame([("s", 2000 + t, v) for t, v in enumerate(y)] + [("short", 2009, 1.0), ("short", 2010, 1.0)], "s string, y int, v double")
     got = {(r.series, r.term): r for r in causal.interrupted_series(df, "s", "y", "v", 2010).collect()}
-    assert [got["s", k].coef for k in causal.TERMS] == pytest.approx([0, 2, 5, 3], abs=1e-8)
+    assert [got["s", k].coef for k in causal.TERMS] == pytest.approx([20, 2, 5, 3], abs=1e-8)
     assert got["short", "step"].coef is None and got["short", "step"].reason
 
 
@@ -103,7 +103,14 @@ def test_simplex_weights():
     rng = np.random.default_rng(1)
     donors = rng.normal(size=(12, 5))
     assert causal.simplex_weights(donors @ np.array([0.5, 0, 0.3, 0.2, 0]), donors) == pytest.approx([0.5, 0, 0.3, 0.2, 0], abs=1e-6)
-    assert causal.sign_bootstrap(np.array([1.0, 1, 1, 1, 1, 1])) == pytest.approx(2 / 64)
+    many = rng.normal(size=(40, 15))
+    w = causal.simplex_weights(many @ np.eye(15)[3] + rng.normal(size=40), many)
+    gradient = many.T @ (many @ w - many @ np.eye(15)[3])
+    assert w.min() >= 0 and w.sum() == pytest.approx(1)
+    target = rng.normal(size=40)
+    w = causal.simplex_weights(target, many)
+    gradient = many.T @ (many @ w - target)
+    assert gradient[w > 1e-9] == pytest.approx(gradient.min(), abs=1e-6)  # Karush, Kuhn and Tucker
 
 
 def test_html_tables(spark):
@@ -121,3 +128,43 @@ def test_nearest_value_has_no_reach(spark):
     want = {(r, c): min(((r - a) ** 2 + (c - b) ** 2, a, b, z) for a, b, z in sources) for r, c in cells}
     assert len(got) == len(cells) and {(r.row, r.col): (r.d2, r.z) for r in got} == {k: (v[0], v[3]) for k, v in want.items()}
     assert grid.nearest_value(spark.createDataFrame(cells, "row long, col long"), spark.createDataFrame([], "row long, col long, z double"), "z").count() == 0
+
+
+def test_components_across_tiles(spark):
+    rng = np.random.default_rng(5)
+    cells = {(int(r), int(c)) for r, c in zip(rng.integers(-8, 12, 260), rng.integers(-9, 11, 260), strict=True)} | {(2**42, 0), (2**42, 1), (2**42 + 3, 0)}
+    df = spark.createDataFrame(sorted(cells), "row long, col long")
+    seen, want = set(), set()
+    for cell in cells:
+        if cell in seen:
+            continue
+        group, todo = set(), [cell]
+        while todo:
+            x = todo.pop()
+            if x in cells and x not in group:
+                group.add(x)
+                todo += [(x[0] + i, x[1] + j) for i, j in grid.SQUARE]
+        seen |= group
+        want.add(frozenset(group))
+    for tile in (4, 256):
+        got = {}
+        for r in grid.components(df, tile=tile).collect():
+            got.setdefault(r.component, set()).add((r.row, r.col))
+        assert {frozenset(x) for x in got.values()} == want
+
+
+def test_causal_tests(spark):
+    rng = np.random.default_rng(2)
+    t = np.arange(40.0)
+    x = np.stack([np.ones(40), t], 1)
+    e = rng.normal(size=40)
+    assert causal.breusch_godfrey(x, e - x @ np.linalg.lstsq(x, e, rcond=None)[0], 1) > 0.05
+    wave = np.sin(t / 3)
+    wave -= x @ np.linalg.lstsq(x, wave, rcond=None)[0]
+    assert causal.breusch_godfrey(x, wave, 2) < 0.001
+    assert causal.ar1_fit(x, 3 + 2 * t) == pytest.approx([3, 2])
+    rows = [(u, y, float(k * 10 + y * (1 + 0.5 * (u == "d")) + rng.normal() * 0.05)) for k, u in enumerate("abcd") for y in range(8)]
+    got = causal.parallel_trends(spark.createDataFrame(rows, "u string, y int, v double"), "u", "y", "v", "a", 7).first()
+    assert got.f > 50 and got.n == 32 and 0 < got.p <= 1
+    few = causal.parallel_trends(spark.createDataFrame(rows, "u string, y int, v double"), "u", "y", "v", "a", 2).first()
+    assert few.f is None and few.reason

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ITS_SCHEMA = "series string, break_year int, term string, coef double, se double, low double, high double, n long, lags int, durbin_watson double, reason string"
+ITS_SCHEMA = (
+    "series string, break_year int, term string, coef double, se double, low double, high double, p double, ar1_coef double, "
+    "n long, lags int, r2 double, durbin_watson double, bg1_p double, bg2_p double, sign_change boolean, reason string"
+)
 TERMS = ("level", "trend", "step", "slope_change")
+Z95 = 1.959963984540054
 
 
 def hac_lags(n: int) -> int:
@@ -19,14 +24,14 @@ def hac_lags(n: int) -> int:
 
 
 def design(years: np.ndarray, break_year: int) -> np.ndarray:
-    """1, t, D and D t from the break on, t counted from the first year."""
-    t = years - years.min()
+    """1, t, D and D t, t counted from the break."""
+    t = years - break_year
     d = (years >= break_year).astype(float)
-    return np.stack([np.ones(len(t)), t, d, d * (years - break_year)], 1)
+    return np.stack([np.ones(len(t)), t, d, d * t], 1)
 
 
 def ols_hac(x: np.ndarray, y: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(coefficients, their covariance, residuals) with Bartlett weights and the small-sample factor n / (n - k)."""
+    """(coefficients, their covariance, residuals) with Bartlett weights, without a small-sample factor."""
     inverse = np.linalg.pinv(x.T @ x)
     beta = inverse @ x.T @ y
     e = y - x @ beta
@@ -35,13 +40,41 @@ def ols_hac(x: np.ndarray, y: np.ndarray, lags: int) -> tuple[np.ndarray, np.nda
     for lag in range(1, lags + 1):
         cross = u[lag:].T @ u[:-lag]
         middle += (1 - lag / (lags + 1)) * (cross + cross.T)
-    n, k = x.shape
-    return beta, inverse @ middle @ inverse * (n / max(1, n - k)), e
+    return beta, inverse @ middle @ inverse, e
+
+
+def breusch_godfrey(x: np.ndarray, e: np.ndarray, order: int) -> float:
+    """p of n R^2 of the residuals on the design and their own lags (zeros before the first), chi-squared with `order` (1 or 2)
+    degrees of freedom."""
+    past = np.stack([np.concatenate((np.zeros(k), e[:-k])) for k in range(1, order + 1)], 1)
+    full = np.concatenate([x, past], 1)
+    rest = e - full @ np.linalg.lstsq(full, e, rcond=None)[0]
+    centred = ((e - e.mean()) ** 2).sum()
+    if centred <= 0:
+        return math.nan
+    lm = len(e) * (1 - (rest @ rest) / centred)
+    return math.erfc(math.sqrt(max(lm, 0) / 2)) if order == 1 else math.exp(-max(lm, 0) / 2)
+
+
+def ar1_fit(x: np.ndarray, y: np.ndarray, rounds: int = 10) -> np.ndarray:
+    """Coefficients by feasible least squares with errors of order one: fit, Yule-Walker estimate of the residuals, repeat."""
+    rho, beta = 0.0, np.linalg.lstsq(x, y, rcond=None)[0]
+    for _ in range(rounds):
+        e = y - x @ beta
+        e = e - e.mean()
+        power = (e @ e) / len(e)
+        new_rho = float((e[1:] @ e[:-1]) / (len(e) - 1) / power) if power > 0 else 0.0
+        new = np.linalg.lstsq(x[1:] - new_rho * x[:-1], y[1:] - new_rho * y[:-1], rcond=None)[0]
+        done, beta, rho = np.allclose(new, beta, rtol=1e-4), new, new_rho
+        if done:
+            break
+    return beta
 
 
 def interrupted_series(df: DataFrame, series: str, year: str, value: str, break_year: int, log: bool = False, offset: float = 0.0, donut: int | None = None, least: int = 3) -> DataFrame:
-    """(series, term, coefficient, HAC interval, …) of a segmented regression for each series; fewer than `least` points on
-    either side give rows with a reason and no numbers. donut: years around the break that are left out."""
+    """(series, term, coefficient, HAC interval and p, AR(1) coefficient, diagnostics) of a segmented regression for each series;
+    fewer than `least` points on either side give rows with a reason and no numbers. donut: years around the break that are
+    left out. sign_change: whether step or slope change have another sign under AR(1)."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=["y"]).sort_values("t")
@@ -53,12 +86,17 @@ def interrupted_series(df: DataFrame, series: str, year: str, value: str, break_
             y = np.log(y + offset)
         before, after = int((t < break_year).sum()), int((t >= break_year).sum())
         if min(before, after) < least:
-            return pd.DataFrame([(name, break_year, k, None, None, None, None, len(t), None, None, f"{before} points before, {after} after") for k in TERMS], columns=columns)
-        lags = hac_lags(len(t))
-        beta, cov, e = ols_hac(design(t, break_year), y, lags)
+            empty = [None] * 6
+            return pd.DataFrame([(name, break_year, k, *empty, len(t), *empty, f"{before} points before, {after} after") for k in TERMS], columns=columns)
+        x, lags = design(t, break_year), hac_lags(len(t))
+        beta, cov, e = ols_hac(x, y, lags)
         se = np.sqrt(np.maximum(np.diag(cov), 0))
-        dw = float((np.diff(e) ** 2).sum() / (e @ e)) if e @ e > 0 else None
-        return pd.DataFrame([(name, break_year, k, b, s, b - 1.96 * s, b + 1.96 * s, len(t), lags, dw, None) for k, b, s in zip(TERMS, beta, se, strict=True)], columns=columns)
+        p = [math.erfc(abs(b / q) / math.sqrt(2)) if q > 0 else None for b, q in zip(beta, se, strict=True)]
+        ar1 = ar1_fit(x, y)
+        spread = ((y - y.mean()) ** 2).sum()
+        whole = (len(t), lags, float(1 - e @ e / spread) if spread > 0 else None, float((np.diff(e) ** 2).sum() / (e @ e)) if e @ e > 0 else None, breusch_godfrey(x, e, 1), breusch_godfrey(x, e, 2), bool((np.sign(ar1[2:]) != np.sign(beta[2:])).any()), None)
+        rows = zip(TERMS, beta, se, p, ar1, strict=True)
+        return pd.DataFrame([(name, break_year, k, b, q, b - Z95 * q, b + Z95 * q, pv, a, *whole) for k, b, q, pv, a in rows], columns=columns)
 
     columns = [x.split()[0] for x in ITS_SCHEMA.split(", ")]
     return df.select(F.col(series).alias("s"), F.col(year).alias("t"), F.col(value).cast("double").alias("y")).groupBy("s").applyInPandas(fit, ITS_SCHEMA)
@@ -92,41 +130,60 @@ def quasi_poisson(df: DataFrame, series: str, year: str, events: str, exposure:
 
 
 def simplex_weights(treated: np.ndarray, donors: np.ndarray) -> np.ndarray:
-    """Weights, none below 0 and 1 in sum, with the least squared distance: least squares on every set of up to eight donors
-    with the sum fixed, of which the best without a negative weight is the optimum."""
+    """Weights, none below 0 and 1 in sum, with the least squared distance. An active set: least squares with the sum fixed on
+    the donors in use; one that would go below 0 leaves at the edge, one whose gradient is too low joins, until none is."""
     n = donors.shape[1]
-    if n > 8:
-        raise ValueError("more than eight donors")
-    best, found = np.inf, np.full(n, 1 / n)
-    for size in range(1, n + 1):
-        for some in itertools.combinations(range(n), size):
-            d = donors[:, some]
-            system = np.block([[d.T @ d + 1e-12 * np.eye(size), np.ones((size, 1))], [np.ones((1, size)), np.zeros((1, 1))]])
-            w = np.linalg.lstsq(system, np.append(d.T @ treated, 1.0), rcond=None)[0][:size]
-            loss = float(((treated - d @ w) ** 2).sum())
-            if w.min() >= -1e-9 and loss < best - 1e-15:
-                best, found = loss, np.zeros(n)
-                found[list(some)] = np.maximum(w, 0)
-    return found
+    gram, target = donors.T @ donors + 1e-12 * np.eye(n), donors.T @ treated
+    start = int(np.argmin([((treated - donors[:, k]) ** 2).sum() for k in range(n)]))
+    w, used = np.eye(n)[start], [start]
+    for _ in range(50 * n):
+        size = len(used)
+        system = np.block([[gram[np.ix_(used, used)], np.ones((size, 1))], [np.ones((1, size)), np.zeros((1, 1))]])
+        best = np.linalg.lstsq(system, np.append(target[used], 1.0), rcond=None)[0][:size]
+        if best.min() < -1e-12:
+            now = w[used]
+            down = best < now
+            steps = np.where(down & (best < 0), now / np.where(down, now - best, 1), np.inf)
+            w[used] = np.maximum(now + min(1.0, steps.min()) * (best - now), 0)
+            w[used[int(steps.argmin())]] = 0.0
+            used.pop(int(steps.argmin()))
+            continue
+        w[:] = 0
+        w[used] = best
+        gradient = gram @ w - target
+        level = gradient[used].mean()
+        join = int(np.argmin(gradient))
+        if join in used or gradient[join] >= level - 1e-10 * (1 + abs(level)):
+            break
+        used.append(join)
+    return np.maximum(w, 0) / np.maximum(w, 0).sum()
 
 
 def synthetic_control(panel: DataFrame, unit: str, year: str, value: str, before: int) -> DataFrame:
-    """(unit, donor, weight, rmspe_before, rmspe_after) with every unit treated in turn, the others being its donors (M7, M8,
-    M11). A panel of a few units is one group."""
+    """(unit, donor, weight, rmspe_before, rmspe_after, rank, p) with every unit treated in turn, the others being its donors
+    (M7, M8, M11): one group for each treated unit. rank: that of the ratio of the two errors, largest first; p: rank by units."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="t", columns="u", values="y").dropna().sort_index()
-        pre, out = wide.index < before, []
-        for name in wide.columns:
-            others = [c for c in wide.columns if c != name]
-            w = simplex_weights(wide.loc[pre, name].to_numpy(), wide.loc[pre, others].to_numpy())
-            gap = wide[name].to_numpy() - wide[others].to_numpy() @ w
-            rm = [float(np.sqrt((gap[m] ** 2).mean())) if m.any() else None for m in (pre, ~pre)]
-            out += [(name, o, float(x), *rm) for o, x in zip(others, w, strict=True)]
-        return pd.DataFrame(out, columns=["unit", "donor", "weight", "rmspe_before", "rmspe_after"])
-
-    rows = panel.select(F.lit(1).alias("g"), F.col(unit).cast("string").alias("u"), F.col(year).alias("t"), F.col(value).cast("double").alias("y"))
-    return rows.groupBy("g").applyInPandas(fit, "unit string, donor string, weight double, rmspe_before double, rmspe_after double")
+        pre, name = wide.index < before, pdf["treated"].iloc[0]
+        others = [c for c in wide.columns if c != name]
+        if name not in wide.columns or not others or not pre.any():
+            return pd.DataFrame([], columns=columns)
+        w = simplex_weights(wide.loc[pre, name].to_numpy(), wide.loc[pre, others].to_numpy())
+        gap = wide[name].to_numpy() - wide[others].to_numpy() @ w
+        rm = [float(np.sqrt((gap[m] ** 2).mean())) if m.any() else None for m in (pre, ~pre)]
+        return pd.DataFrame([(name, o, float(x), *rm) for o, x in zip(others, w, strict=True)], columns=columns)
+
+    columns = ["unit", "donor", "weight", "rmspe_before", "rmspe_after"]
+    rows = panel.select(F.col(unit).cast("string").alias("u"), F.col(year).alias("t"), F.col(value).cast("double").alias("y"))
+    units = rows.agg(F.collect_set("u").alias("units"))  # one row
+    each = rows.crossJoin(F.broadcast(units)).select("u", "t", "y", F.explode("units").alias("treated"))
+    fitted = each.groupBy("treated").applyInPandas(fit, "unit string, donor string, weight double, rmspe_before double, rmspe_after double")
+    ratios = fitted.groupBy("unit").agg(F.max(F.try_divide("rmspe_after", "rmspe_before")).alias("ratio"))
+    # One row a unit.
+    every = Window.partitionBy(F.lit(1))
+    placed = ratios.withColumn("rank", F.rank().over(every.orderBy(F.desc("ratio")))).withColumn("p", F.col("rank") / F.count("*").over(every))
+    return fitted.join(placed.select("unit", "rank", "p"), "unit")
 
 
 def did(df: DataFrame, treated: str, after: str, value: str) -> DataFrame:
@@ -135,12 +192,43 @@ def did(df: DataFrame, treated: str, after: str, value: str) -> DataFrame:
     return df.agg((mean(True, True) - mean(True, False) - (mean(False, True) - mean(False, False))).alias("effect"))
 
 
-def sign_bootstrap(effects: np.ndarray) -> float:
-    """p of the mean of cluster effects under all sign changes, of which 12 clusters have 4,096 (M9)."""
-    if len(effects) > 12:
-        raise ValueError("more than twelve clusters")
-    signs = np.array(list(itertools.product((-1, 1), repeat=len(effects))))
-    return float((np.abs(signs @ effects) >= abs(effects.sum()) - 1e-12).mean())
+def joint_f(y: np.ndarray, x: np.ndarray, tested: list[int]) -> np.ndarray:
+    """F of the hypothesis that some coefficients are all 0, of each column of y."""
+    free = [k for k in range(x.shape[1]) if k not in tested]
+    rss = [((y - z @ (np.linalg.pinv(z) @ y)) ** 2).sum(0) for z in (x, x[:, free])]
+    return (rss[1] - rss[0]) / len(tested) / (rss[0] / (len(x) - np.linalg.matrix_rank(x)))
+
+
+def cluster_bootstrap(y: np.ndarray, x: np.ndarray, clusters: np.ndarray, tested: list[int], draws: int = 1000, seed: int = 20250907) -> tuple[float, float]:
+    """(p, F) of the joint F under random signs of the clusters' residuals of the restricted fit (M9): (draws as large + 1) /
+    (draws + 1)."""
+    free = [k for k in range(x.shape[1]) if k not in tested]
+    fitted = x[:, free] @ (np.linalg.pinv(x[:, free]) @ y)
+    _, of = np.unique(clusters, return_inverse=True)
+    signs = np.random.Generator(np.random.PCG64(seed)).choice([-1.0, 1.0], size=(of.max() + 1, draws))
+    seen = float(joint_f(y[:, None], x, tested)[0])
+    drawn = joint_f(fitted[:, None] + (y - fitted)[:, None] * signs[of], x, tested)
+    return (int((drawn >= seen).sum()) + 1) / (draws + 1), seen
+
+
+def parallel_trends(panel: DataFrame, unit: str, year: str, value: str, treated: str, until: int, least: int = 4) -> DataFrame:
+    """One row (f, p, n, reason): the joint test that no control's trend up to a year differs from that of the treated unit (M10),
+    clusters being units. A panel of a few units is one group; fewer than `least` years give a reason."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        years = pdf["t"].nunique()
+        if years < least or treated not in set(pdf["u"]):
+            return pd.DataFrame([(None, None, len(pdf), f"{years} years before")], columns=["f", "p", "n", "reason"])
+        names = [treated, *sorted(set(pdf["u"]) - {treated})]
+        t = pdf["t"].to_numpy(float) - pdf["t"].min()
+        of = pdf["u"].map(names.index).to_numpy()
+        own = (of[:, None] == np.arange(len(names))).astype(float)
+        x = np.concatenate([own, t[:, None], own[:, 1:] * t[:, None]], 1)
+        p, f = cluster_bootstrap(pdf["y"].to_numpy(float), x, of, list(range(len(names) + 1, x.shape[1])))
+        return pd.DataFrame([(f, p, len(pdf), None)], columns=["f", "p", "n", "reason"])
+
+    rows = panel.where(F.col(year) <= until).select(F.lit(treated).alias("treated"), F.col(unit).cast("string").alias("u"), F.col(year).alias("t"), F.col(value).cast("double").alias("y"))
+    return rows.groupBy("treated").applyInPandas(fit, "f double, p double, n long, reason string")
 
 
 def excludes_zero(low, high):

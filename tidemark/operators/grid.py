@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,53 +93,92 @@ def block_fractions(df: DataFrame, factor: int, value: str) -> DataFrame:
     return blocks(df, factor, value).withColumn("fraction", F.when(F.col("n") == full, F.col("total") / full).otherwise(F.lit(0.0)))
 
 
-def components(mask: DataFrame, offsets: list[tuple[int, int]] = SQUARE, width: int = 1 << 20) -> DataFrame:
-    """(row, col, component): the smallest cell number (row * width + col) of the connected cells. Labels spread to the
-    smallest of the neighbours and then jump to their label's label, so the steps grow with the logarithm of the size; each
-    step is a checkpoint."""
+def linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number that each of n numbers is linked with, by links (a, b)."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, label[a], label[b])
+        np.minimum.at(new, label[b], label[a])
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def components(mask: DataFrame, offsets: list[tuple[int, int]] = SQUARE, width: int | None = None, tile: int = 256) -> DataFrame:
+    """(row, col, component): the smallest cell number of the connected cells, row * width + col; without a width, that of the
+    extent, columns counted from the smallest. Tiles are labelled on their own, in one grouped pass; then only the links between
+    tiles are followed, by labels that spread and jump, so the steps grow with the logarithm of the tiles crossed; each step is
+    a checkpoint. Offsets reach the next cell at most."""
     checkpoint_dir(mask.sparkSession)
-    number = (F.col("row") * width + F.col("col")).cast("long")
-    labels = mask.select("row", "col", number.alias("id"), number.alias("label")).checkpoint()
-    total = labels.agg(F.sum("label")).first()[0]
-    while total is not None:
-        steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
-        sent = labels.select("label", F.explode(steps).alias("s"), "row", "col").groupBy((F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col")).agg(F.min("label").alias("near"))
-        near = labels.join(sent, ["row", "col"], "left").select("row", "col", "id", F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = near.join(near.select(F.col("id").alias("label"), F.col("label").alias("further")), "label")
-        labels = jump.select("row", "col", "id", F.least("label", "further").alias("label")).checkpoint()
-        before, total = total, labels.agg(F.sum("label")).first()[0]
-        if before == total:
-            break
-    return labels.select("row", "col", F.col("label").alias("component"))
-
-
-def patch_metrics(labelled: DataFrame, size_m: float) -> DataFrame:
-    """One row: patches, mean area (ha), largest patch (% of the class), edge density (m a ha of the class) and mean shape
-    index, from the components of a mask (A36, A37)."""
+    first = 0
+    cells = mask.select(F.col("row").cast("long"), F.col("col").cast("long")).distinct()
+    if width is None:
+        low, high = cells.agg(F.min("col"), F.max("col")).first()
+        first, width = (low or 0), (high or 0) - (low or 0) + 1
+
+    def inside_tiles(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        order = np.lexsort((col, row))
+        row, col = row[order], col[order]
+        place = (row - row.min()) * (tile + 2) + col - (col.min() - 1)
+        a, b = [], []
+        for i, j in offsets:
+            other = place + i * (tile + 2) + j
+            at = np.minimum(np.searchsorted(place, other), len(place) - 1)
+            hit = np.flatnonzero(place[at] == other)
+            a.append(hit), b.append(at[hit])
+        label = linked(np.concatenate(a), np.concatenate(b), len(place))
+        number = row * width + col - first
+        return pd.DataFrame({"row": row, "col": col, "local": number[label]})
+
+    dealt = cells.groupBy(F.floor(F.col("row") / tile), F.floor(F.col("col") / tile))
+    local = dealt.applyInPandas(inside_tiles, "row long, col long, local long").checkpoint()
+    edge = F.pmod("row", F.lit(tile)).isin(0, tile - 1) | F.pmod("col", F.lit(tile)).isin(0, tile - 1)
+    border = local.where(edge)
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
+    reached = border.select(F.col("local").alias("a"), F.explode(steps).alias("s"), "row", "col").select("a", (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"))
+    links = reached.join(border.withColumnRenamed("local", "b"), ["row", "col"]).where(F.col("a") != F.col("b")).select("a", "b").distinct()
+    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    labels = links.select(F.col("a").alias("local"), F.col("a").alias("label")).distinct()
+    changed = not links.isEmpty()
+    while changed:
+        near = links.join(labels, links["b"] == labels["local"]).groupBy("a").agg(F.min("label").alias("near"))
+        spread_out = labels.join(near, labels["local"] == near["a"]).select("local", "label", F.least("label", "near").alias("new"))
+        jump = spread_out.join(labels.select(F.col("local").alias("new"), F.col("label").alias("further")), "new")
+        after = jump.select("local", F.least("new", "further").alias("new"), "label").checkpoint()
+        changed = not after.where(F.col("new") != F.col("label")).isEmpty()
+        labels = after.select("local", F.col("new").alias("label"))
+    return local.join(labels, "local", "left").select("row", "col", F.coalesce("label", "local").alias("component"))
+
+
+def patch_metrics(labelled: DataFrame, size_m: float, height: int, width: int) -> DataFrame:
+    """One row: patches, mean area (ha), largest patch (% of the landscape), edge density (m a ha of the landscape) and mean shape
+    index, from the components of a mask in a grid of height x width cells (A36, A37). The landscape's outer boundary is no
+    edge, though it counts in the perimeters of the shape index."""
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in CROSS])
     reached = labelled.select("component", F.explode(steps).alias("s"), "row", "col").select("component", (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"))
-    open_edges = reached.join(labelled.select("row", "col"), ["row", "col"], "left_anti").groupBy("component").agg(F.count("*").alias("edges"))
-    patches = labelled.groupBy("component").agg(F.count("*").alias("cells")).join(open_edges, "component")
+    open_edges = reached.join(labelled.select("row", "col"), ["row", "col"], "left_anti").groupBy("component").agg(F.count("*").alias("edges"), F.count_if(inside(height, width)).alias("inner"))
+    patches = labelled.groupBy("component").agg(F.count("*").alias("cells")).join(open_edges, "component", "left").na.fill(0)
     area, edge = F.col("cells") * (size_m * size_m), F.col("edges") * size_m
-    return patches.agg(F.count("*").alias("patches"), (F.avg(area) / 1e4).alias("mean_area_ha"), (100 * F.max("cells") / F.sum("cells")).alias("largest_patch_pct"), (F.sum(edge) / (F.sum(area) / 1e4)).alias("edge_density"), F.avg(edge / (4 * F.sqrt(area))).alias("mean_shape"))
+    landscape = height * width * size_m * size_m
+    return patches.agg(F.count("*").alias("patches"), (F.avg(area) / 1e4).alias("mean_area_ha"), F.median(area / 1e4).alias("median_area_ha"), (100 * F.max(area) / landscape).alias("largest_patch_pct"), (F.sum(F.col("inner")) * size_m / (landscape / 1e4)).alias("edge_density"), F.avg(edge / (4 * F.sqrt(area))).alias("mean_shape"))
+
+
+def distance(cells: DataFrame, mask: DataFrame, size_m: float) -> DataFrame:
+    """The cells with `distance_m` to the nearest cell of the mask, however far; null without any."""
+    near = nearest_value(cells, mask.withColumn("v__", F.lit(0)), "v__").select("row", "col", (F.sqrt("d2") * size_m).alias("distance_m"))
+    return cells.join(near, ["row", "col"], "left")
 
 
 def rings(cells: DataFrame, mask: DataFrame, size_m: float, bounds_m: tuple[float, ...] = (1000.0, 3000.0)) -> DataFrame:
-    """`ring`: 0 in the mask, then 1, 2 ... by the distance to it, upper bounds included (G7, P22). Only distances up to the
-    last bound are searched: cells and mask are dealt by blocks of that side."""
-    reach = bounds_m[-1] / size_m
-    side = max(1, int(-(-reach // 1)))
-    near = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in near])
-    sources = mask.select(F.col("row").alias("mr"), F.col("col").alias("mc"), F.explode(steps).alias("s")).select("mr", "mc", (F.floor(F.col("mr") / side) + F.col("s.i")).alias("br"), (F.floor(F.col("mc") / side) + F.col("s.j")).alias("bc"))
-    own = cells.withColumn("br", F.floor(F.col("row") / side)).withColumn("bc", F.floor(F.col("col") / side))
-    d2 = (F.col("row") - F.col("mr")) * (F.col("row") - F.col("mr")) + (F.col("col") - F.col("mc")) * (F.col("col") - F.col("mc"))
-    least = own.join(sources, ["br", "bc"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach).groupBy("row", "col").agg(F.min("d2").alias("d2"))
-    out = cells.join(least, ["row", "col"], "left").withColumn("distance_m", F.sqrt("d2") * size_m)
-    ring = F.when(F.col("d2") == 0, 0)
+    """`distance_m` and `ring`: 0 in the mask, then 1, 2 ... by the distance to it, upper bounds included."""
+    ring = F.when(F.col("distance_m") == 0, 0)
     for k, bound in enumerate(bounds_m):
         ring = ring.when(F.col("distance_m") <= bound, k + 1)
-    return out.withColumn("ring", ring.otherwise(len(bounds_m) + 1)).drop("d2")
+    return distance(cells, mask, size_m).withColumn("ring", ring.otherwise(len(bounds_m) + 1))
 
 
 def composite(scenes: DataFrame, bands: list[str]) -> DataFrame:

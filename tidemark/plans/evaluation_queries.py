@@ -122,7 +122,8 @@ def ols_its_coefficients(spark, d):
 
 
 def its_hac_intervals(spark, d):
-    return causal.interrupted_series(_months(spark, d).select("series", F.col("t").cast("int").alias("t"), "total"), "series", "t", "total", 1998 * 12 + 6, log=True)
+    out = causal.interrupted_series(_months(spark, d).select("series", F.col("t").cast("int").alias("t"), "total"), "series", "t", "total", 1998 * 12 + 6, log=True)
+    return out.select("series", "term", *[F.round(c, 5).alias(c) for c in ("coef", "se", "low", "high", "durbin_watson")], "n", F.col("lags").cast("long").alias("lags"))
 
 
 def quasi_poisson_breaks(spark, d):
@@ -234,8 +235,23 @@ SQL = {
     "ols_its_coefficients": f"""WITH {_MONTHS}, c AS (SELECT *, t - min(t) OVER (PARTITION BY series) AS u, {1998 * 12 + 6} - min(t) OVER (PARTITION BY series) AS b FROM months),
       l AS (SELECT series, max(b) AS b, regr_intercept(total, u) FILTER (WHERE u < b) AS a0, regr_slope(total, u) FILTER (WHERE u < b) AS s0,
         regr_intercept(total, u) FILTER (WHERE u >= b) AS a1, regr_slope(total, u) FILTER (WHERE u >= b) AS s1 FROM c GROUP BY 1)
-      SELECT series, 'level' AS term, round(a0, 0) AS coef FROM l UNION ALL SELECT series, 'trend', round(s0, 0) FROM l
+      SELECT series, 'level' AS term, round(a0 + s0 * b, 0) AS coef FROM l UNION ALL SELECT series, 'trend', round(s0, 0) FROM l
       UNION ALL SELECT series, 'step', round(a1 + s1 * b - a0 - s0 * b, 0) FROM l UNION ALL SELECT series, 'slope_change', round(s1 - s0, 0) FROM l""",
+    # Each coefficient is a sum of weights times values; its variance sums the products of weighted residuals at each lag.
+    "its_hac_intervals": f"""WITH {_MONTHS}, m AS (SELECT series, t, ln(total) AS y, t - {1998 * 12 + 6} AS u, t >= {1998 * 12 + 6} AS d, row_number() OVER (PARTITION BY series ORDER BY t) AS i,
+        count(*) OVER (PARTITION BY series) AS n FROM months),
+      s AS (SELECT *, avg(u) OVER p AS mu, count(*) OVER p AS k, sum(u * u) OVER p - count(*) OVER p * avg(u) OVER p * avg(u) OVER p AS q, regr_slope(y, u) OVER p AS b, regr_intercept(y, u) OVER p AS a
+        FROM m WINDOW p AS (PARTITION BY series, d)),
+      c AS (SELECT series, i, n, y, y - a - b * u AS e, d, (u - mu) / q AS ws, 1.0::DOUBLE / k - mu * (u - mu) / q AS wl FROM s),
+      w AS (SELECT series, i, n, y, e, 'level' AS term, CASE WHEN d THEN 0 ELSE wl END AS w FROM c UNION ALL SELECT series, i, n, y, e, 'trend', CASE WHEN d THEN 0 ELSE ws END FROM c
+        UNION ALL SELECT series, i, n, y, e, 'step', CASE WHEN d THEN wl ELSE -wl END FROM c UNION ALL SELECT series, i, n, y, e, 'slope_change', CASE WHEN d THEN ws ELSE -ws END FROM c),
+      g AS (SELECT *, CAST(floor(4 * pow(n / 100.0, 2.0 / 9)) AS BIGINT) AS lags FROM w),
+      v AS (SELECT x.series, x.term, sum(CASE WHEN x.i = z.i THEN 1 ELSE 2 * (1 - (x.i - z.i) / (x.lags + 1.0::DOUBLE)) END * x.w * x.e * z.w * z.e) AS var
+        FROM g x JOIN g z ON x.series = z.series AND x.term = z.term AND z.i BETWEEN x.i - x.lags AND x.i GROUP BY 1, 2),
+      o AS (SELECT series, term, sum(w * y) AS coef, max(n) AS n, max(lags) AS lags FROM g GROUP BY 1, 2),
+      r AS (SELECT series, sum(pow(e - f, 2)) / sum(e * e) AS dw FROM (SELECT series, e, lag(e) OVER (PARTITION BY series ORDER BY i) AS f FROM c) GROUP BY 1)
+      SELECT series, term, round(coef, 5) AS coef, round(sqrt(var), 5) AS se, round(coef - 1.959963984540054::DOUBLE * sqrt(var), 5) AS low, round(coef + 1.959963984540054::DOUBLE * sqrt(var), 5) AS high,
+        round(dw, 5) AS durbin_watson, n, lags FROM o JOIN v USING (series, term) JOIN r USING (series)""",
     "did_coefficient": """WITH m AS (SELECT o_orderpriority = '1-URGENT' AS t, year(o_orderdate) >= 1998 AS a, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2)
       SELECT round(max(v) FILTER (WHERE t AND a) - max(v) FILTER (WHERE t AND NOT a) - (max(v) FILTER (WHERE NOT t AND a) - max(v) FILTER (WHERE NOT t AND NOT a)), 2) AS effect FROM m""",
     "log_elasticity": f"""WITH {NATION_YEARS}, n AS (SELECT n_name AS nation, CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)

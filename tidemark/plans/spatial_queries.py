@@ -118,9 +118,13 @@ def components_8conn(spark, d):
     return out.groupBy("component").agg(F.count("*").alias("n"))
 
 
+def _height(spark, d):
+    return part_grid(spark, d).agg(F.max("row") + 1).first()[0]
+
+
 def landscape_metrics(spark, d):
-    out = grid.patch_metrics(grid.components(part_grid(spark, d).where("p_size <= 14").select("row", "col"), width=45), 30.0)
-    return out.select("patches", *[r4(F.col(c)).alias(c) for c in ("mean_area_ha", "largest_patch_pct", "edge_density", "mean_shape")])
+    out = grid.patch_metrics(grid.components(part_grid(spark, d).where("p_size <= 14").select("row", "col"), width=45), 30.0, _height(spark, d), 45)
+    return out.select("patches", *[r4(F.col(c)).alias(c) for c in ("mean_area_ha", "median_area_ha", "largest_patch_pct", "edge_density", "mean_shape")])
 
 
 def median_composite(spark, d):
@@ -190,9 +194,10 @@ SQL = {
     "rings_by_distance": f"""WITH {PART_GRID}, m AS (SELECT row, col FROM part_grid WHERE p_size = 7), n AS (SELECT g.row, g.col, min((g.row - m.row) ** 2 + (g.col - m.col) ** 2) AS d2 FROM part_grid g, m GROUP BY 1, 2)
       SELECT CAST(CASE WHEN d2 = 0 THEN 0 WHEN sqrt(d2) * 30 <= 60 THEN 1 WHEN sqrt(d2) * 30 <= 120 THEN 2 ELSE 3 END AS INT) AS ring, count(*) AS n FROM n GROUP BY 1""",
     "components_8conn": _COMPONENTS + " SELECT component, count(*) AS n FROM labelled GROUP BY 1",
-    "landscape_metrics": _COMPONENTS + """, e AS (SELECT l.component, count(*) AS cells, sum((SELECT 4 - count(*) FROM m o WHERE abs(o.row - m.row) + abs(o.col - m.col) = 1)) AS edges FROM labelled l JOIN m USING (id) GROUP BY 1)
-      SELECT count(*) AS patches, round(avg(cells * 900.0::DOUBLE) / 10000, 4) AS mean_area_ha, round(100.0::DOUBLE * max(cells) / sum(cells), 4) AS largest_patch_pct,
-        round(sum(edges * 30.0::DOUBLE) / (sum(cells * 900.0::DOUBLE) / 10000), 4) AS edge_density, round(avg(edges * 30.0::DOUBLE / (4 * sqrt(cells * 900.0::DOUBLE))), 4) AS mean_shape FROM e""",
+    "landscape_metrics": _COMPONENTS + """, e AS (SELECT l.component, count(*) AS cells, sum((SELECT 4 - count(*) FROM m o WHERE abs(o.row - m.row) + abs(o.col - m.col) = 1)) AS edges,
+        sum((m.row = 0)::INT + (m.row = h.h - 1)::INT + (m.col = 0)::INT + (m.col = 44)::INT) AS outer_edges FROM labelled l JOIN m USING (id), (SELECT max(row) + 1 AS h FROM part_grid) h GROUP BY 1)
+      SELECT count(*) AS patches, round(avg(cells * 900.0::DOUBLE) / 10000, 4) AS mean_area_ha, round(median(cells * 900.0::DOUBLE / 10000), 4) AS median_area_ha,
+        round(100.0::DOUBLE * max(cells) / (max(h) * 45), 4) AS largest_patch_pct, round(sum((edges - outer_edges) * 30.0::DOUBLE) / (max(h) * 45 * 900.0::DOUBLE / 10000), 4) AS edge_density, round(avg(edges * 30.0::DOUBLE / (4 * sqrt(cells * 900.0::DOUBLE))), 4) AS mean_shape FROM e, (SELECT max(row) + 1 AS h FROM part_grid)""",
     "median_composite": """SELECT l_partkey // 100 AS row, l_suppkey AS col, CASE WHEN count(*) FILTER (WHERE l_linenumber & 4 = 0 AND l_linenumber <> 0) >= 2
       THEN round(median(l_quantity) FILTER (WHERE l_linenumber & 4 = 0 AND l_linenumber <> 0), 4) END AS band, count(*) FILTER (WHERE l_linenumber & 4 = 0 AND l_linenumber <> 0) AS n_band FROM lineitem GROUP BY 1, 2""",
     "normalised_difference": """WITH b AS (SELECT l_returnflag, l_quantity AS nir, l_linenumber * 5.0::DOUBLE AS red, l_tax * 100 AS swir, l_discount * 100 AS green, l_linenumber * 1.0::DOUBLE AS blue FROM lineitem),
