@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import evaluation_queries, series_queries, spatial_queries
+from tidemark.plans import class_queries, evaluation_queries, series_queries, spatial_queries
 
-QUERIES = series_queries.QUERIES | spatial_queries.QUERIES | evaluation_queries.QUERIES
-SQL: dict[str, str] = series_queries.SQL | spatial_queries.SQL | evaluation_queries.SQL
+MODULES = (series_queries, spatial_queries, class_queries, evaluation_queries)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for module in MODULES for name, sql in module.SQL.items()}
