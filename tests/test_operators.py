@@ -120,6 +120,12 @@ def test_html_tables(spark):
     assert {(r.col, r.year) for r in html.year_columns(cells, "id").collect()} == {(1, 2020), (2, 2021)}
 
 
+def test_html_tables_nested_and_spanning(spark):
+    page = "<table><tr><td rowspan=2>a<td colspan='2'>b<table><tr><td>in</table></tr><tr><td>c<td>d</table><table><tr><td>e"
+    cells = html.table_cells(spark.createDataFrame([(1, page)], "id long, html string"), "id", "html").collect()
+    assert sorted((r.table, r.row, r.col, r.cell) for r in cells) == [(0, 0, 0, "a"), (0, 0, 1, "b"), (0, 0, 2, "b"), (0, 1, 0, "a"), (0, 1, 1, "c"), (0, 1, 2, "d"), (1, 0, 0, "in"), (2, 0, 0, "e")]
+
+
 def test_nearest_value_has_no_reach(spark):
     rng = np.random.default_rng(3)
     cells = [(r, c) for r in range(0, 60, 3) for c in range(0, 400, 9)]

@@ -46,7 +46,7 @@ def key_conflict_detection(spark, d):
 
 def orphan_keys(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
-    return contracts.orphans(c, table(spark, d, "orders"), ["o_custkey"])
+    return contracts.orphans(c, table(spark, d, "orders").where("o_totalprice > 400000"), ["o_custkey"])
 
 
 def missing_families(spark, d):
@@ -158,7 +158,10 @@ def html_links(spark, d):
 
 
 def html_table_extract(spark, d):
-    return html.table_cells(table(spark, d, "pages"), "page_id", "html")
+    # The pages' lists of links as tables of two columns.
+    listed = F.regexp_replace(F.regexp_replace("html", "<ul>", "<table>"), "</ul>", "</table>")
+    rows = F.regexp_replace(listed, '<li><a href="([^"]*)">([^<]*)</a></li>', "<tr><th>$1</th><td>$2</td></tr>")
+    return html.table_cells(table(spark, d, "pages").select("page_id", rows.alias("html")), "page_id", "html")
 
 
 def placebo_verdicts(spark, d):
@@ -210,7 +213,7 @@ SQL = {
     "positional_lookup": """SELECT coalesce(c_acctbal > 5000, false) AS rich, count(*) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
     "key_conflict_detection": """WITH u AS (SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN n_name || 'x' ELSE n_name END FROM nation)
       SELECT n_nationkey, count(DISTINCT n_name) AS n_values, count(*) AS n_rows FROM u GROUP BY 1 HAVING count(DISTINCT n_name) > 1""",
-    "orphan_keys": """SELECT c_custkey AS o_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey""",
+    "orphan_keys": """SELECT c_custkey AS o_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey""",
     "missing_families": """SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000""",
     "ragged_union": """SELECT r_name, n_name, r_regionkey::DOUBLE AS r_regionkey, n_nationkey::DOUBLE AS n_nationkey, n_regionkey::DOUBLE AS n_regionkey FROM (SELECT * FROM region UNION ALL BY NAME SELECT * FROM nation)""",
     "name_key_join": """SELECT n_nationkey, 'area ' || lower(n_name) AS key, n_regionkey FROM nation""",
@@ -258,6 +261,10 @@ SQL = {
       SELECT nation, round(regr_slope(ln(total), ln(n)), 4) AS elasticity, count(*) AS points FROM nation_years JOIN n USING (nation, year) GROUP BY 1 HAVING count(*) >= 3""",
     "html_headings": """SELECT page_id, nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') AS heading FROM pages""",
     "html_links": """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS link FROM pages) SELECT page_id, count(*) AS n_links, count(DISTINCT link) AS n_distinct FROM l GROUP BY 1""",
+    "html_table_extract": """WITH u AS (SELECT page_id, unnest(regexp_extract_all(html, '<ul>.*?</ul>', 0, 's')) AS block, unnest(range(len(regexp_extract_all(html, '<ul>.*?</ul>', 0, 's')))) AS "table" FROM pages),
+      l AS (SELECT page_id, "table", unnest(regexp_extract_all(block, '<li><a href="([^"]*)">[^<]*</a></li>', 1)) AS a, unnest(regexp_extract_all(block, '<li><a href="[^"]*">([^<]*)</a></li>', 1)) AS b,
+        unnest(range(len(regexp_extract_all(block, '<li><a href="[^"]*">[^<]*</a></li>')))) AS row FROM u)
+      SELECT page_id, "table", row, 0::BIGINT AS col, true AS head, trim(replace(a, '&amp;', '&')) AS cell FROM l UNION ALL SELECT page_id, "table", row, 1, false, trim(replace(b, '&amp;', '&')) FROM l""",
     "placebo_verdicts": f"""WITH {NATION_YEARS}, b AS (SELECT nation, regr_slope(total, year) AS slope, count(*) AS n FROM nation_years GROUP BY 1), r AS (SELECT max(slope) AS v FROM b WHERE nation = 'NATION_3'),
       x AS (SELECT substr(nation, 1, 8) AS block, CASE WHEN n >= 3 THEN sign(slope) = sign(v) AND abs(slope) >= 0.5 * abs(v) END AS again FROM b, r WHERE nation <> 'NATION_3'),
       c AS (SELECT block, count(again) AS n, count(*) FILTER (WHERE again) AS repeated FROM x GROUP BY 1)

@@ -26,35 +26,61 @@ def all_matches(pages: DataFrame, key: str, text: str, pattern: str, out: str) -
 
 
 class _Tables(HTMLParser):
+    """Cells (table, row, column, head, text). Tables are numbered as they open; one inside a cell is a table of its own and adds
+    nothing to the text of the cell. A cell that spans rows or columns stands at each of its places."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.cells: list[tuple[int, int, int, bool, str]] = []
-        self.table = self.row = self.col = -1
-        self.open: list[str] | None = None
-        self.head = False
+        self.n_tables = 0
+        #: The open tables, innermost last.
+        self.open: list[dict] = []
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
-            self.table, self.row = self.table + 1, -1
+            self.open.append({"table": self.n_tables, "row": -1, "col": 0, "taken": set(), "cell": None})
+            self.n_tables += 1
+        elif not self.open:
+            return
         elif tag == "tr":
             self._close()
-            self.row, self.col = self.row + 1, -1
-        elif tag in ("td", "th") and self.row >= 0:
+            self.open[-1]["row"] += 1
+            self.open[-1]["col"] = 0
+        elif tag in ("td", "th") and self.open[-1]["row"] >= 0:
             self._close()
-            self.col, self.open, self.head = self.col + 1, [], tag == "th"
+            spans = dict(attrs)
+            size = [min(1000, int(v)) if (v := spans.get(k) or "").isascii() and v.isdigit() and int(v) else 1 for k in ("rowspan", "colspan")]
+            self.open[-1]["cell"] = (tag == "th", size, [])
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th", "tr", "table"):
+        if self.open and tag in ("td", "th", "tr", "table"):
             self._close()
+            if tag == "table":
+                self.open.pop()
 
     def handle_data(self, data):
-        if self.open is not None:
-            self.open.append(data)
+        if self.open and self.open[-1]["cell"]:
+            self.open[-1]["cell"][2].append(data)
+
+    def close(self):
+        super().close()
+        while self.open:
+            self._close()
+            self.open.pop()
 
     def _close(self):
-        if self.open is not None:
-            self.cells.append((self.table, self.row, self.col, self.head, " ".join("".join(self.open).replace(" ", " ").split())))
-            self.open = None
+        own = self.open[-1]
+        if own["cell"]:
+            head, (rows, cols), parts = own["cell"]
+            text = " ".join("".join(parts).replace("\xa0", " ").split())
+            while (own["row"], own["col"]) in own["taken"]:
+                own["col"] += 1
+            for i in range(rows):
+                for j in range(cols):
+                    own["taken"].add((own["row"] + i, own["col"] + j))
+                    self.cells.append((own["table"], own["row"] + i, own["col"] + j, head, text))
+            own["col"] += cols
+            own["cell"] = None
 
 
 def table_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
