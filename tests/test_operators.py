@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import spectral, words
-from tidemark.operators import causal, contracts, grid, markers, ranks, series, spatial, temporal
+from tidemark.operators import causal, contracts, grid, learning, markers, ranks, series, spatial, temporal
 from tidemark.sources import html
 
 
@@ -64,9 +64,49 @@ def test_nearest_neighbour_reaches_far_points(spark):
 
 
 def test_utm(spark):
-    e, n = spatial.utm(F.lit(33.5867), F.lit(-16.1564), 36, True)
-    got = spark.range(1).select(e, n).first()
-    assert got[0] == pytest.approx(562725, abs=2000) and got[1] == pytest.approx(8213600, abs=2500)
+    """The series against the arc of a meridian, summed in small steps, and against a circle of latitude on the equator."""
+    e2 = (2 - 1 / 298.257223563) / 298.257223563
+    lat = np.radians(np.linspace(0, 16.1564, 200_001))
+    radius = 6378137.0 * (1 - e2) / (1 - e2 * np.sin(lat) ** 2) ** 1.5
+    arc = float(((radius[1:] + radius[:-1]) / 2 * np.diff(lat)).sum())
+    e, n = spatial.utm(F.lit(33.0), F.lit(-16.1564), 36, True)
+    east, north = spatial.utm(F.lit(33.5867), F.lit(-16.1564), 36, True)
+    flat, zero = spatial.utm(F.lit(33.5), F.lit(0.0), 36, False)
+    got = spark.range(1).select(e, n, east, north, flat, zero).first()
+    assert got[0] == pytest.approx(500000, abs=1e-3) and got[1] == pytest.approx(1e7 - 0.9996 * arc, abs=0.01)
+    # On the equator the easting follows from the radius of a sphere of the same curvature to within millimetres.
+    assert got[4] == pytest.approx(500000 + 0.9996 * 6378137.0 * np.arctanh(np.sin(np.radians(0.5))), abs=0.1) and got[5] == pytest.approx(0, abs=1e-6)
+    assert 562000 < got[2] < 563500 and got[3] < got[1]
+
+
+def test_nearest_of_many_sites(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "MAX_LITERALS", 3)
+    rng = np.random.default_rng(6)
+    pts = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.normal(size=(60, 2)).round(1))] + [(60, 500.0, 1.0), (61, None, 1.0)]
+    sites = [(f"s{k:02}", float(x), float(y)) for k, (x, y) in enumerate(rng.normal(size=(25, 2)).round(1))]
+    p, q = spark.createDataFrame(pts, "k long, x double, y double"), spark.createDataFrame(sites, "name string, sx double, sy double")
+    got = {r.k: (r.site, r.d2) for r in spatial.nearest_site(p, q, (F.col("x"), F.col("y")), ("sx", "sy"), "name").collect()}
+    for k, x, y in pts[:-1]:
+        d2, name = min(((x - a) * (x - a) + (y - b) * (y - b), s) for s, a, b in sites)
+        assert got[k] == (name, pytest.approx(d2))
+    assert got[61] == (None, None)
+    bands = [(float(k), float(k + (k % 5)), f"b{k}") for k in range(0, 40, 2)]
+    values = spark.createDataFrame([(k / 2,) for k in range(-4, 100)] + [(None,)], "v double")
+    out = spatial.range_band(values, spark.createDataFrame(bands, "low double, high double, band string"), F.col("v"), "low", "high", "band").collect()
+    assert len(out) == 105 and all(r.band == next((c for a, b, c in bands if r.v is not None and a <= r.v <= b), None) for r in out)
+
+
+def test_training_sample_is_exact(spark):
+    rows = [(k, "rare" if k % 100 == 0 else "none" if k % 999 == 1 else "usual") for k in range(5000)] + [(5000, None)]
+    df = spark.createDataFrame(rows, "k long, c string")
+    for size, floor in ((400, 25), (5000, 10), (300, 60), (0, 3)):
+        got = learning.training_sample(df, ["k"], "c", size, floor).collect()
+        n = {c: sum(r.c == c for r in got) for c in ("rare", "none", "usual")}
+        have = {c: sum(x == c for _, x in rows) for c in n}
+        assert len({r.k for r in got}) == len(got) and len(got) >= min(size, 5000)
+        assert all(n[c] >= min(floor, have[c]) for c in n) and len(got) <= min(size, 5000) + 2 * floor + 3
+    with pytest.raises(ValueError):
+        learning.landscape_median(df, "k", F.col("k") < 0)
 
 
 def test_tiles_are_half_open():

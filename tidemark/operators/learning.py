@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import classes
+
 
 def hash_order(columns: list[str], seed: int) -> Column:
     """A reproducible random number from 0 to 1 for each row, whatever its partition."""
@@ -12,13 +14,23 @@ def hash_order(columns: list[str], seed: int) -> Column:
 
 
 def training_sample(df: DataFrame, key: list[str], label: str, size: int, floor: int, seed: int = 20250907) -> DataFrame:
-    """About `size` rows in proportion to the classes, and at least about `floor` of each class (M17). Classes are counted
-    first; each row is drawn by its own hash, so nothing is sorted."""
-    known = df.where(F.col(label).isNotNull())
+    """`size` rows at random, all if there are fewer, and of each class that has fewer than `floor` of them as many more as it
+    takes, if the class has them (M17). The smallest hashes are drawn; each row is first kept at a rate that leaves a few times as
+    many, so that only those are ordered."""
+    known = df.where(F.col(label).isNotNull()).withColumn("order__", hash_order(key, seed))
     counts = known.groupBy(label).agg(F.count("*").alias("n__"))
-    share = F.least(F.lit(1.0), F.greatest(F.lit(float(size)) / F.sum("n__").over(Window.partitionBy(F.lit(1))), F.lit(float(floor)) / F.col("n__")))  # one row a class
-    shares = counts.select(label, share.alias("share__"))
-    return known.join(F.broadcast(shares), label).where(hash_order(key, seed) < F.col("share__")).select(*df.columns)
+    total = counts.agg(F.coalesce(F.sum("n__"), F.lit(0))).first()[0]
+    spare = lambda n: 1.5 * n + 100
+    rough = known.where(F.col("order__") < spare(size) / max(1, total))
+    cut = rough.select("order__", *key).orderBy("order__", *key).limit(size).agg(F.max(F.struct("order__", *key)).alias("last__"))
+    main = rough.crossJoin(F.broadcast(cut)).where(F.struct("order__", *key) <= F.col("last__")).drop("last__")  # one row
+    have = main.groupBy(label).agg(F.count("*").alias("have__"))
+    lack = counts.join(have, label, "left").select(label, "n__", (F.lit(floor) - F.coalesce("have__", F.lit(0))).alias("lack__")).where("lack__ > 0")
+    rest = known.join(F.broadcast(lack), label).where(F.col("order__") < (F.lit(size) / max(1, total) + spare(floor) / F.col("n__")))  # a row a class
+    rest = rest.join(main.select(*key), key, "left_anti")
+    place = F.row_number().over(Window.partitionBy(label).orderBy("order__", *key))
+    more = rest.withColumn("place__", place).where(F.col("place__") <= F.col("lack__"))
+    return main.select(*df.columns).unionByName(more.select(*df.columns))
 
 
 def stratified_draw(df: DataFrame, key: list[str], stratum: str, n: int, seed: int) -> DataFrame:
@@ -38,8 +50,8 @@ def bare_soil(df: DataFrame, medians: dict[str, float | Column]) -> Column:
 
 
 def landscape_median(df: DataFrame, column: str, where: Column) -> DataFrame:
-    """One row: the median over a reference mask, null if the mask is empty."""
-    return df.where(where).agg(F.median(column).alias(column))
+    """One row: the median over a reference mask; an empty mask is an error."""
+    return classes.medians(df, {column: column}, where).select(column)
 
 
 def forest(sample: DataFrame, features: list[str], label: str, trees: int = 300, seed: int = 20250907):

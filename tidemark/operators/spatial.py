@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import reduce
 
@@ -10,21 +11,23 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.checkpoints import checkpoint_dir
 
-#: Sites, bands or phases that a plan may hold as literals.
+#: Sites, bands or phases that a plan may hold as literals; more of them are joined.
 MAX_LITERALS = 2_000
 
 
-def _literals(df: DataFrame, columns: list[str]) -> list:
+def _literals(df: DataFrame, columns: list[str]) -> list | None:
+    """The rows, if they are few enough for a plan."""
     rows = df.select(*columns).limit(MAX_LITERALS + 1).collect()
-    if len(rows) > MAX_LITERALS:
-        raise ValueError(f"more than {MAX_LITERALS} rows: deal them by cell and join instead (neighbours_in_cells)")
-    return rows
+    return rows if len(rows) <= MAX_LITERALS else None
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, xy: tuple[Column, ...], site_xy: tuple[str, ...], name: str, out: str = "site") -> DataFrame:
-    """The name of the nearest site of each point and the squared distance; ties go to the smaller name. Sites are few and
-    go into the plan, so that points are neither joined nor moved."""
-    rows = sorted(_literals(sites, [name, *site_xy]), key=lambda r: r[0])
+    """The name of the nearest site of each point and the squared distance; ties go to the smaller name. Few sites go into the
+    plan, so that points are neither joined nor moved; many are dealt by cells, in rounds of growing cells."""
+    rows = _literals(sites, [name, *site_xy])
+    if rows is None:
+        return _nearest_by_cells(points, sites, xy, site_xy, name, out)
+    rows = sorted(rows, key=lambda r: r[0])
     choices = []
     for k, row in enumerate(rows):
         d2 = sum(((x - F.lit(float(v))) * (x - F.lit(float(v))) for x, v in zip(xy, row[1:], strict=True)), F.lit(0.0))
@@ -33,15 +36,51 @@ def nearest_site(points: DataFrame, sites: DataFrame, xy: tuple[Column, ...], si
     return points.withColumn("best__", best).withColumn(out, F.col("best__.name")).withColumn("d2", F.col("best__.d2")).drop("best__")
 
 
+def _nearest_by_cells(points: DataFrame, sites: DataFrame, xy: tuple[Column, ...], site_xy: tuple[str, ...], name: str, out: str) -> DataFrame:
+    """The same for any number of sites. A site within a cell's side of a point lies in the point's cell or one next to it; points
+    without one search on with four times the side. Each round is a checkpoint."""
+    checkpoint_dir(points.sparkSession)
+    k = range(len(xy))
+    marked = points.select("*", *[x.cast("double").alias(f"x{i}__") for i, x in zip(k, xy, strict=True)])
+    left = marked.select(*[f"x{i}__" for i in k]).dropna().distinct().checkpoint()
+    places = sites.select(F.col(name).alias("name__"), *[F.col(c).cast("double").alias(f"s{i}__") for i, c in zip(k, site_xy, strict=True)]).dropna().checkpoint()
+    low_high = places.agg(F.count("*"), *[F.max(f"s{i}__") - F.min(f"s{i}__") for i in k]).first()
+    side = max(max(low_high[1:]) / low_high[0] ** (1 / len(xy)), 1e-9)
+    steps = [F.struct(*[F.lit(v).alias(f"d{i}") for i, v in zip(k, step, strict=True)]) for step in itertools.product((-1, 0, 1), repeat=len(xy))]
+    found = []
+    while not left.isEmpty():
+        near = places.select("*", F.explode(F.array(*steps)).alias("step__"))
+        near = near.select("*", *[(cell(F.col(f"s{i}__"), side) + F.col(f"step__.d{i}")).alias(f"c{i}__") for i in k])
+        own = left.select("*", *[cell(F.col(f"x{i}__"), side).alias(f"c{i}__") for i in k])
+        d2 = sum(((F.col(f"x{i}__") - F.col(f"s{i}__")) * (F.col(f"x{i}__") - F.col(f"s{i}__")) for i in k), F.lit(0.0))
+        met = own.join(near, [f"c{i}__" for i in k]).withColumn("d2", d2).where(F.col("d2") <= side * side)
+        best = met.groupBy(*[f"x{i}__" for i in k]).agg(F.min(F.struct("d2", "name__")).alias("best__")).checkpoint()
+        found.append(best)
+        left = left.join(best, [f"x{i}__" for i in k], "left_anti").checkpoint()
+        side *= 4
+    every = reduce(DataFrame.unionByName, found)
+    both = marked.join(every, [f"x{i}__" for i in k], "left")
+    return both.select(*points.columns, F.col("best__.name__").alias(out), F.col("best__.d2").alias("d2"))
+
+
 def nearest_key(value: Column, keys: list) -> Column:
     """The nearest of a few keys, e.g. anchor years; ties go to the smaller key."""
     return F.array_min(F.array(*[F.struct(F.abs(value - k).alias("d"), F.lit(k).alias("key")) for k in sorted(keys)]))["key"]
 
 
 def range_band(df: DataFrame, bands: DataFrame, value: Column, low: str, high: str, label: str, out: str = "band") -> DataFrame:
-    """The label of the first band (by lower bound) that holds the value, bounds included; null if none does."""
-    rows = sorted(_literals(bands, [low, high, label]))
-    return df.withColumn(out, F.coalesce(*[F.when(value.between(a, b), F.lit(v)) for a, b, v in rows]))
+    """The label of the first band (by lower bound) that holds the value, bounds included; null if none does. Few bands go into
+    the plan; many are dealt by bins of the mean width, and each distinct value meets those of its bin."""
+    rows = _literals(bands, [low, high, label])
+    if rows is not None:
+        return df.withColumn(out, F.coalesce(*[F.when(value.between(a, b), F.lit(v)) for a, b, v in sorted(rows)]))
+    known = bands.where(F.col(low) <= F.col(high)).select(F.col(low).cast("double").alias("low__"), F.col(high).cast("double").alias("high__"), F.col(label).alias("label__"))
+    width = max(known.agg(F.avg(F.col("high__") - F.col("low__"))).first()[0] or 0.0, 1e-9)
+    binned = known.withColumn("bin__", F.explode(F.sequence(cell(F.col("low__"), width), cell(F.col("high__"), width))))
+    marked = df.withColumn("value__", value.cast("double"))
+    own = marked.select("value__").dropna().distinct().withColumn("bin__", cell(F.col("value__"), width))
+    first = own.join(binned, "bin__").where(F.col("value__").between(F.col("low__"), F.col("high__"))).groupBy("value__").agg(F.min(F.struct("low__", "high__", "label__")).alias("first__"))
+    return marked.join(first, "value__", "left").select(*df.columns, F.col("first__.label__").alias(out))
 
 
 def overlapping(intervals: DataFrame, start: str, end: str, low: float, high: float) -> DataFrame:
