@@ -14,6 +14,7 @@ Repeated rows give repeated results; an empty table an empty one; other columns
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -156,11 +157,11 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
             yield _rows(drawn, schema)
         for a in range(0, FEATURES, COUNT_CHUNK):
             if sums[a : a + COUNT_CHUNK].any():
-                yield _rows([(a, part, sums[a : a + COUNT_CHUNK].tobytes(), None, None, None)], schema)
+                yield _rows([(a, part, _packed(sums[a : a + COUNT_CHUNK]), None, None, None)], schema)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "part": [int(pdf["part"].iloc[0])], "counts": [total.tobytes()]})
+        total = sum(_unpacked(x) for x in pdf["counts"])
+        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "part": [int(pdf["part"].iloc[0])], "counts": [_packed(total)]})
 
     marked = known.withColumn("unit", unit).select("text", "label", "unit")
     found = keep(marked.mapInArrow(read, schema), "label-features")
@@ -172,7 +173,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
             break
     counts = np.zeros((FEATURES, 2))
     for chunk, _, some in sums.toLocalIterator():  # of fixed size
-        counts[chunk : chunk + COUNT_CHUNK] = np.frombuffer(some, np.int64).reshape(-1, 2)
+        counts[chunk : chunk + COUNT_CHUNK] = _unpacked(some)
     ratios = log_count_ratios(counts[:, 1], counts[:, 0])
     held = found.where(F.col("held").isNotNull())
     sizes = sorted(held.select("unit", "label", F.length("held").alias("n")).limit(2 * sample + 1000).collect())
@@ -186,6 +187,15 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
     return fit_arrays([np.frombuffer(r[2], "<u4").astype(np.int64) for r in got], np.array([r[1] for r in got]), ratios, good / (good + bad)), ratios
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts by place and label; most are 0."""
+    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), "<i8").reshape(-1, 2)
+
+
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
     fields = [x.split() for x in schema.split(", ")]
