@@ -163,9 +163,9 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
         total = sum(_unpacked(x) for x in pdf["counts"])
         return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "part": [int(pdf["part"].iloc[0])], "counts": [_packed(total)]})
 
-    marked = known.withColumn("unit", unit).select("text", "label", "unit")
-    found = keep(marked.mapInArrow(read, schema), "label-features")
-    sums, n_parts = found.where(F.col("chunk").isNotNull()).select("chunk", "part", "counts"), marked.rdd.getNumPartitions()
+    found = keep(known.withColumn("unit", unit).select("text", "label", "unit").mapInArrow(read, schema), "label-features")
+    sums = found.where(F.col("chunk").isNotNull()).select("chunk", "part", "counts")
+    n_parts = 1 + (sums.agg(F.max("part")).first()[0] or 0)
     while True:
         sums = sums.withColumn("part", F.floor(F.col("part") / SUM_ROWS)).groupBy("chunk", "part").applyInPandas(add, "chunk long, part long, counts binary")
         n_parts = -(-n_parts // SUM_ROWS)
