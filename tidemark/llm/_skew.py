@@ -22,5 +22,5 @@ def left_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total:
     same = (F.col("dealt__") == F.col(f"key__{keys[0]}")) & F.col("heavy__").isNull() & F.col(keys[0]).isNotNull()
     for k in keys[1:]:
         same &= F.col(k) == F.col(f"key__{k}")
-    both = some.join(light, same, "left")
+    both = some.join(light.hint("merge"), same, "left")  # can spill, and is the same at every size
     return both.select(*left.columns, *[F.when(F.col("heavy__"), F.col(f"heavy__{v}")).otherwise(F.col(f"light__{v}")).alias(v) for v in values])
