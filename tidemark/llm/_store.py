@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -79,6 +80,13 @@ def give_back() -> None:
         pass
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver's collector find shuffles that no table refers to any more: Spark then deletes their files, which else stay
+    until the driver happens to collect."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder."""
     jvm = spark.sparkContext._jvm

@@ -42,7 +42,7 @@ from tidemark.llm import _text
 from tidemark.llm._components import components
 from tidemark.llm._encode import gather
 from tidemark.llm._skew import left_join
-from tidemark.llm._store import keep, keep_buckets, small_batches
+from tidemark.llm._store import free_shuffles, keep, keep_buckets, small_batches
 
 SKETCH_BITS, SKETCH_CHUNK, SUM_ROWS = 20, 1 << 14, 64
 #: Tokens that linked sets share. More of them cost as many rows a class and leave fewer classes and candidates.
@@ -216,7 +216,7 @@ def _candidates(tokens: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
     larger = (F.col("members") > F.col("home_members")) | (F.col("members") == F.col("home_members")) & (F.col("family") < F.col("home"))
     asks = F.when(F.col("family") == F.col("home"), ~F.col("in_main") & (F.col("held") > 1)).otherwise(larger)
     enough = rule.tokens_shared_with(size, F.col("low"), F.col("high"))
-    met = cells.join(matrix, (cells["token"] == matrix["token"]) & asks & fits & (enough <= F.least("n_shared", "most")))
+    met = cells.join(matrix.hint("merge"), (cells["token"] == matrix["token"]) & asks & fits & (enough <= F.least("n_shared", "most")))
     met = met.groupBy("class", "n_shingles", "own", "family").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     return met.where(F.col("n") >= rule.tokens_shared_with(size, F.col("low"), F.col("high"))).select("class", "own", "family")
 
@@ -304,6 +304,21 @@ def _opened(candidates: DataFrame, placed: DataFrame, sets: DataFrame, rule: Rul
     return rows.select("kind", "own", "shingles", "members").mapInArrow(run, "a long, b long").distinct()
 
 
+def _shared_tokens(classes: DataFrame) -> DataFrame:
+    """(token, class, often) of tokens in several classes, kept; others lead nowhere. Tokens are counted where they are read."""
+    once = classes.select("class", F.explode("tokens").alias("token"))
+    stats = once.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("often")).where(F.col("low") != F.col("high")).select("token", "often")
+    n_once = classes.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    tokens = left_join(once, stats, ["token"], "often", n_once, F.col("class")).where(F.col("often").isNotNull())
+    return keep(tokens.select("token", "class", "often"), "tokens")
+
+
+def _kept_sets(docs: DataFrame, involved: DataFrame, rule: Rule) -> DataFrame:
+    """(class, shingles) in buckets of their class: later joins don't move them."""
+    texts = docs.join(involved.select(F.col("doc").alias("id"), "class").hint("merge"), "id").select("class", "text")
+    return keep_buckets(_sets(texts, rule), "shingle-sets", "class")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """(doc, n_shingles, component) of each row."""
     small_batches(docs.sparkSession)
@@ -312,19 +327,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = marked.where((F.col("n_shingles") > 0) & F.col("doc").isNotNull())
     # Equal classes have equal tokens, so one row of a class has all that is known of it.
     classes = keep(named.groupBy("class").agg(F.min("doc").alias("doc"), F.count("*").alias("n_class"), F.first("n_shingles").alias("n_shingles"), F.first("min_hash").alias("min_hash"), F.first("tokens").alias("tokens")), "classes")
-    # Tokens in one class only lead nowhere, nor do classes with too few others. Tokens are counted where they are read.
-    once = classes.select("class", F.explode("tokens").alias("token"))
-    stats = once.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("often")).where(F.col("low") != F.col("high")).select("token", "often")
-    n_once = classes.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
-    tokens = left_join(once, stats, ["token"], "often", n_once, F.col("class")).where(F.col("often").isNotNull())
-    tokens = keep(tokens.select("token", "class", "often"), "tokens")
+    tokens = _shared_tokens(classes)
+    free_shuffles(docs.sparkSession)
     shared = tokens.groupBy("class").agg(F.count("*").alias("n_shared"), F.max(F.struct("often", "token"))["token"].alias("family"))
     involved = classes.join(shared, "class").where(F.col("n_shared") >= rule.tokens_shared(F.col("n_shingles")))
     involved = keep(involved.select("class", "doc", "n_shingles", "min_hash", "n_shared", "family"), "involved")
-    # The sets are kept in buckets of their class: later joins don't move them.
-    texts = docs.join(involved.select(F.col("doc").alias("id"), "class").hint("merge"), "id").select("class", "text")
-    sets = keep_buckets(_sets(texts, rule), "shingle-sets", "class")
+    sets = _kept_sets(docs, involved, rule)
+    free_shuffles(docs.sparkSession)
     groups = keep(_groups(involved, sets, rule), "groups")
+    free_shuffles(docs.sparkSession)
     candidates = keep(_candidates(tokens.select("token", "class"), groups, rule), "candidates")
     placed = keep(_blocks(groups.select("class", "group", "family", "n_shingles", "min_hash").join(candidates.select("family").distinct(), "family", "left_semi")), "blocks")
     qualifying = keep(_qualifying(candidates, placed, classes.select("class", "n_shingles", "tokens").join(groups.select("class"), "class", "left_semi"), rule), "qualifying")
