@@ -42,7 +42,7 @@ from tidemark.llm import _text
 from tidemark.llm._components import components
 from tidemark.llm._encode import gather
 from tidemark.llm._skew import left_join
-from tidemark.llm._store import free_shuffles, keep, keep_buckets, small_batches
+from tidemark.llm._store import dropped, free_shuffles, keep, keep_buckets, small_batches
 
 SKETCH_BITS, SKETCH_CHUNK, SUM_ROWS = 20, 1 << 14, 64
 #: Tokens that linked sets share. More of them cost as many rows a class and leave fewer classes and candidates.
@@ -340,6 +340,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = keep(_blocks(groups.select("class", "group", "family", "n_shingles", "min_hash").join(candidates.select("family").distinct(), "family", "left_semi")), "blocks")
     qualifying = keep(_qualifying(candidates, placed, classes.select("class", "n_shingles", "tokens").join(groups.select("class"), "class", "left_semi"), rule), "qualifying")
     roots = components(_opened(qualifying, placed, sets, rule))
+    # Nothing reads these any more.
+    for table in (sets, tokens, candidates, placed, qualifying):
+        dropped(table)
+    free_shuffles(docs.sparkSession)
     rooted = groups.select("class", "group").join(roots, groups["group"] == roots["node"], "left").select("class", F.coalesce("root", "group").alias("root"))
     least = rooted.join(classes.select("class", "doc"), "class").groupBy("root").agg(F.min("doc").alias("component"))
     of_class = classes.select("class", "doc", "n_class").join(rooted.join(least, "root").select("class", "component"), "class", "left").select("class", "n_class", F.coalesce("component", "doc").alias("component"))
