@@ -13,7 +13,7 @@ the result names each document's component, the smallest id that links lead to.
    which token is in which family, once a family, whatever its size, with the sizes of its sets. A class meets its own and
    the larger families that share enough tokens and a possible size with it: these are its candidates.
 5. Families are stored in blocks of some members, those of equal min-hash together, with the union of their tokens and of their
-   shingles. A class's tokens meet the blocks' tokens first; its set travels only to blocks that hold enough of them. There
+   shingles. A class's tokens meet the blocks' tokens first; its text travels only to blocks that hold enough of them. There
    |query & union| < ceil(t * |query|) rules the block out; only blocks that qualify are opened, and members are compared whose
    groups the block has not joined yet.
 6. Components of groups follow from these links, and components of documents from their classes.
@@ -180,25 +180,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, rule: Rule, sketch:
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc long, n_shingles long, class long, min_hash long, tokens array<long>")
 
 
-def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(class, shingles) of rows (class, text); of rows with equal ids those of the class only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(c, x.tobytes()) for c, x in zip(batch.column(0).to_pylist(), _text.shingle_sets(batch.column(1), rule.n), strict=True) if len(x) and c == class_of(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["class", "shingles"])
-
-    return docs.select("class", "text").mapInArrow(run, "class long, shingles binary")
-
-
-def _groups(classes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _groups(classes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """(class, n_shingles, n_shared, family, group): the pivot of its min-hash where they link, else itself."""
     # The class with most tokens that others hold too is the most usual of its kind.
     pivots = classes.groupBy("min_hash").agg(F.max_by("class", F.struct("n_shared", "class")).alias("pivot"), F.count("*").alias("n_alike")).where(F.col("n_alike") > 1)
     pairs = left_join(classes.select("class", "min_hash"), pivots, ["min_hash"], "n_alike", classes.count(), F.col("class"))
     pairs = pairs.where(F.col("class") != F.col("pivot")).select("class", F.col("class").alias("own"), F.col("pivot").alias("family"))
     members = pivots.select(*[F.col("pivot").alias(x) for x in ("class", "group", "family")], F.lit(0).cast("long").alias("block"))
-    linked = _opened(pairs.withColumn("block", F.lit(0).cast("long")), members, sets, rule).select(F.col("a").alias("class"), F.col("b").alias("group"))
+    linked = _opened(pairs.withColumn("block", F.lit(0).cast("long")), members, texts, rule).select(F.col("a").alias("class"), F.col("b").alias("group"))
     return classes.join(linked, "class", "left").select("class", "n_shingles", "n_shared", "min_hash", "family", F.coalesce("group", "class").alias("group"))
 
 
@@ -266,12 +255,14 @@ def _qualifying(candidates: DataFrame, placed: DataFrame, tokens: DataFrame, rul
     return rows.select("kind", "class", "own", "family", "n_shingles", "tokens", "blocks").mapInArrow(run, "class long, own long, family long, block long")
 
 
-def _opened(candidates: DataFrame, placed: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): groups that a class of one and a class of the other link, from candidates (class, own, family, block) and members
-    (class, group, family, block). Of the links that a block shows, those that follow from others are left out."""
+def _opened(candidates: DataFrame, placed: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): groups that a class of one and a class of the other link, from candidates (class, own, family, block), members
+    (class, group, family, block) and texts (class, text). Texts travel, a fraction of their sets in size, and become sets where
+    they are compared; of rows with equal ids those count whose text is the class's. Of the links that a block shows, those that
+    follow from others are left out."""
     asked = candidates.groupBy("family", "block").agg(F.ceil(F.count("*") / TASK_QUERIES).alias("copies"))
-    queries = candidates.join(asked, ["family", "block"]).join(sets, "class").select("family", "block", F.pmod(F.xxhash64("class"), "copies").alias("copy"), F.lit(1).alias("kind"), "own", "shingles")
-    blocks = placed.join(asked, ["family", "block"]).join(sets, "class").groupBy("family", "block", "copies").agg(F.collect_list(F.struct("group", "shingles")).alias("members"))
+    queries = candidates.join(asked, ["family", "block"]).join(texts, "class").select("family", "block", F.pmod(F.xxhash64("class"), "copies").alias("copy"), F.lit(1).alias("kind"), "class", "own", "text")
+    blocks = placed.join(asked, ["family", "block"]).join(texts, "class").groupBy("family", "block", "copies").agg(F.collect_list(F.struct("class", "group", "text")).alias("members"))
     blocks = blocks.select("family", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "members")
     rows = queries.unionByName(blocks, allowMissingColumns=True).repartition("family", "block", "copy").sortWithinPartitions("family", "block", "copy", "kind")
 
@@ -286,13 +277,17 @@ def _opened(candidates: DataFrame, placed: DataFrame, sets: DataFrame, rule: Rul
 
         for batch in batches:
             found = []
-            for i, kind in enumerate(batch.column(0).to_pylist()):
-                if kind == 0:
-                    block = [(x["group"], np.frombuffer(x["shingles"], np.uint64)) for x in batch.column(3)[i].as_py()]
-                    union, joined = block[0][1] if len(block) == 1 else np.unique(np.concatenate([x for _, x in block])), {}
+            kinds, classes, owns = (batch.column(k).to_pylist() for k in range(3))
+            for i, query in enumerate(_text.shingle_sets(batch.column(3), rule.n)):
+                if kinds[i] == 0:
+                    held = batch.column(4)[i].values
+                    of_class, groups = (held.field(k).to_pylist() for k in ("class", "group"))
+                    block = [(g, x) for c, g, x in zip(of_class, groups, _text.shingle_sets(held.field("text"), rule.n), strict=True) if len(x) and c == class_of(x)]
+                    union, joined = block[0][1] if len(block) == 1 else np.unique(np.concatenate([np.zeros(0, np.uint64), *[x for _, x in block]])), {}
                     continue
-                own = batch.column(1)[i].as_py()
-                query = np.frombuffer(batch.column(2)[i].as_py(), np.uint64)
+                if not len(query) or classes[i] != class_of(query):
+                    continue
+                own = owns[i]
                 if common(query, union) < rule.least(len(query)):
                     continue
                 for group, other in block:
@@ -301,22 +296,22 @@ def _opened(candidates: DataFrame, placed: DataFrame, sets: DataFrame, rule: Rul
                         found.append((own, group))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.select("kind", "own", "shingles", "members").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("kind", "class", "own", "text", "members").mapInArrow(run, "a long, b long").distinct()
 
 
 def _shared_tokens(classes: DataFrame) -> DataFrame:
     """(token, class, often) of tokens in several classes, kept; others lead nowhere. Tokens are counted where they are read."""
     once = classes.select("class", F.explode("tokens").alias("token"))
-    stats = once.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("often")).where(F.col("low") != F.col("high")).select("token", "often")
+    stats = once.groupBy("token").agg(F.count("*").alias("often")).where(F.col("often") > 1)  # a class has a token once
     n_once = classes.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
     tokens = left_join(once, stats, ["token"], "often", n_once, F.col("class")).where(F.col("often").isNotNull())
     return keep(tokens.select("token", "class", "often"), "tokens")
 
 
-def _kept_sets(docs: DataFrame, involved: DataFrame, rule: Rule) -> DataFrame:
-    """(class, shingles) in buckets of their class: later joins don't move them."""
+def _kept_texts(docs: DataFrame, involved: DataFrame) -> DataFrame:
+    """(class, text) in buckets of their class: later joins don't move them."""
     texts = docs.join(involved.select(F.col("doc").alias("id"), "class").hint("merge"), "id").select("class", "text")
-    return keep_buckets(_sets(texts, rule), "shingle-sets", "class")
+    return keep_buckets(texts, "texts", "class")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:  # noqa: B008
@@ -324,31 +319,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = keep(signatures(docs, "id", "text", rule, shingle_sketch(docs, "text", rule.n)), "signatures")
-    named = marked.where((F.col("n_shingles") > 0) & F.col("doc").isNotNull())
     # Equal classes have equal tokens, so one row of a class has all that is known of it.
-    classes = keep(named.groupBy("class").agg(F.min("doc").alias("doc"), F.count("*").alias("n_class"), F.first("n_shingles").alias("n_shingles"), F.first("min_hash").alias("min_hash"), F.first("tokens").alias("tokens")), "classes")
+    classes = keep(marked.where((F.col("n_shingles") > 0) & F.col("doc").isNotNull()).groupBy("class").agg(F.min("doc").alias("doc"), F.count("*").alias("n_class"), F.first("n_shingles").alias("n_shingles"), F.first("min_hash").alias("min_hash"), F.first("tokens").alias("tokens")), "classes")
+    of_doc = F.when((F.col("n_shingles") > 0) & F.col("doc").isNotNull(), F.col("class")).alias("class")
+    named = keep(marked.select("doc", "n_shingles", of_doc), "named")
+    dropped(marked)
+    free_shuffles(docs.sparkSession)
     tokens = _shared_tokens(classes)
     free_shuffles(docs.sparkSession)
     shared = tokens.groupBy("class").agg(F.count("*").alias("n_shared"), F.max(F.struct("often", "token"))["token"].alias("family"))
     involved = classes.join(shared, "class").where(F.col("n_shared") >= rule.tokens_shared(F.col("n_shingles")))
     involved = keep(involved.select("class", "doc", "n_shingles", "min_hash", "n_shared", "family"), "involved")
-    sets = _kept_sets(docs, involved, rule)
+    texts = _kept_texts(docs, involved)
     free_shuffles(docs.sparkSession)
-    groups = keep(_groups(involved, sets, rule), "groups")
+    groups = keep(_groups(involved, texts, rule), "groups")
     free_shuffles(docs.sparkSession)
     candidates = keep(_candidates(tokens.select("token", "class"), groups, rule), "candidates")
     placed = keep(_blocks(groups.select("class", "group", "family", "n_shingles", "min_hash").join(candidates.select("family").distinct(), "family", "left_semi")), "blocks")
     qualifying = keep(_qualifying(candidates, placed, classes.select("class", "n_shingles", "tokens").join(groups.select("class"), "class", "left_semi"), rule), "qualifying")
-    roots = components(_opened(qualifying, placed, sets, rule))
+    roots = components(_opened(qualifying, placed, texts, rule))
     # Nothing reads these any more.
-    for table in (sets, tokens, candidates, placed, qualifying):
+    for table in (texts, tokens, candidates, placed, qualifying):
         dropped(table)
     free_shuffles(docs.sparkSession)
     rooted = groups.select("class", "group").join(roots, groups["group"] == roots["node"], "left").select("class", F.coalesce("root", "group").alias("root"))
     least = rooted.join(classes.select("class", "doc"), "class").groupBy("root").agg(F.min("doc").alias("component"))
     of_class = classes.select("class", "doc", "n_class").join(rooted.join(least, "root").select("class", "component"), "class", "left").select("class", "n_class", F.coalesce("component", "doc").alias("component"))
-    marked = marked.select("doc", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc").isNotNull(), F.col("class")).alias("class"))
-    out = left_join(marked, of_class, ["class"], "n_class", marked.count(), F.xxhash64(F.lit("salt"), "doc"))
+    out = left_join(named, of_class, ["class"], "n_class", named.count(), F.xxhash64(F.lit("salt"), "doc"))
     return out.select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
 
 
