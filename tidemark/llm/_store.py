@@ -42,14 +42,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_buckets(df: DataFrame, name: str, column: str, *order: str) -> DataFrame:
+def keep_buckets(df: DataFrame, name: str, column: str, *order: str, dealt: bool = False) -> DataFrame:
     """The rows as a written table in buckets of a column, as many as a shuffle has partitions, each in order of the column and
-    of those in `order`: joins by the column don't move them."""
+    of those in `order`: joins by the column don't move them. dealt: they lie by the column already, as after a groupBy."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = new_path(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
-    df.repartition(n, column).write.bucketBy(n, column).sortBy(column, *order).option("path", path).format("parquet").saveAsTable(table)
+    rows = df if dealt else df.repartition(n, column)
+    rows.write.bucketBy(n, column).sortBy(column, *order).option("path", path).format("parquet").saveAsTable(table)
     _paths.append(path)
     _tables.append(table)
     return spark.table(table)

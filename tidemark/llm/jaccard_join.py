@@ -320,7 +320,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = keep(signatures(docs, "id", "text", rule, shingle_sketch(docs, "text", rule.n)), "signatures")
     # Equal classes have equal tokens, so one row of a class has all that is known of it.
-    classes = keep(marked.where((F.col("n_shingles") > 0) & F.col("doc").isNotNull()).groupBy("class").agg(F.min("doc").alias("doc"), F.count("*").alias("n_class"), F.first("n_shingles").alias("n_shingles"), F.first("min_hash").alias("min_hash"), F.first("tokens").alias("tokens")), "classes")
+    # They lie in buckets of their class, as their tokens are asked for again.
+    classes = keep_buckets(marked.where((F.col("n_shingles") > 0) & F.col("doc").isNotNull()).groupBy("class").agg(F.min("doc").alias("doc"), F.count("*").alias("n_class"), F.first("n_shingles").alias("n_shingles"), F.first("min_hash").alias("min_hash"), F.first("tokens").alias("tokens")), "classes", "class", dealt=True)
     of_doc = F.when((F.col("n_shingles") > 0) & F.col("doc").isNotNull(), F.col("class")).alias("class")
     named = keep(marked.select("doc", "n_shingles", of_doc), "named")
     dropped(marked)
