@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.llm import block_knn, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, source_mixing, suffix_dedup, token_store
+from tidemark.llm import (
+    block_knn,
+    jaccard_join,
+    language_id,
+    license_scan,
+    line_dedup,
+    merkle_manifest,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_codec,
+    source_mixing,
+    suffix_dedup,
+    token_alignment,
+    token_store,
+)
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +33,9 @@ def queries() -> dict[str, Callable]:
         "op8_line_dedup": line_dedup.query,
         "op9_source_mixing": source_mixing.query,
         "op10_block_knn": block_knn.query,
+        "op11_license_scan": license_scan.query,
+        "op12_merkle_manifest": merkle_manifest.query,
+        "op13_token_alignment": token_alignment.query,
     }
 
 
@@ -28,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_dedup": line_dedup.SQL,
         "op9_source_mixing": source_mixing.SQL,
         "op10_block_knn": block_knn.SQL,
+        "op12_merkle_manifest": merkle_manifest.SQL,
     }
