@@ -10,4 +10,6 @@ from pyspark.sql import SparkSession
 def checkpoint_dir(spark: SparkSession) -> None:
     """spark.checkpoint.dir as the cluster names it; only where it is unset, as in tests, a folder of this machine."""
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))

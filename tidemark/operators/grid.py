@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.checkpoints import checkpoint_dir
+from tidemark.operators.linking import smallest_linked
 
 SQUARE = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 CROSS = [(-1, 0), (1, 0), (0, -1), (0, 1)]
@@ -141,16 +142,7 @@ def components(mask: DataFrame, offsets: list[tuple[int, int]] = SQUARE, width:
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
     reached = border.select(F.col("local").alias("a"), F.explode(steps).alias("s"), "row", "col").select("a", (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"))
     links = reached.join(border.withColumnRenamed("local", "b"), ["row", "col"]).where(F.col("a") != F.col("b")).select("a", "b").distinct()
-    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = links.select(F.col("a").alias("local"), F.col("a").alias("label")).distinct()
-    changed = not links.isEmpty()
-    while changed:
-        near = links.join(labels, links["b"] == labels["local"]).groupBy("a").agg(F.min("label").alias("near"))
-        spread_out = labels.join(near, labels["local"] == near["a"]).select("local", "label", F.least("label", "near").alias("new"))
-        jump = spread_out.join(labels.select(F.col("local").alias("new"), F.col("label").alias("further")), "new")
-        after = jump.select("local", F.least("new", "further").alias("new"), "label").checkpoint()
-        changed = not after.where(F.col("new") != F.col("label")).isEmpty()
-        labels = after.select("local", F.col("new").alias("label"))
+    labels = smallest_linked(links)
     return local.join(labels, "local", "left").select("row", "col", F.coalesce("label", "local").alias("component"))
 
 

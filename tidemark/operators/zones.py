@@ -16,7 +16,7 @@ def edges(rings: Column) -> Column:
 
     def of_ring(ring: Column) -> Column:
         ends = F.concat(F.slice(ring, 2, F.greatest(F.size(ring), F.lit(1))), F.slice(ring, 1, 1))
-        return F.zip_with(ring, ends, lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+        return F.zip_with(ring, ends, lambda a, b: F.named_struct(F.lit("x1"), a["x"], F.lit("y1"), a["y"], F.lit("x2"), b["x"], F.lit("y2"), b["y"]))
 
     return F.flatten(F.transform(rings, of_ring))
 
