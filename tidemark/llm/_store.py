@@ -34,6 +34,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def free_names(taken: list[str], names: list[str]) -> list[str]:
+    """The names with as many underscores as it takes until none is taken; Spark tells names apart without their case."""
+    held = {x.lower() for x in taken}
+    while held & {x.lower() for x in names}:
+        names = [x + "_" for x in names]
+    return names
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """The rows as a written table, reread: cuts the lineage and survives the loss of executors."""
     path = new_path(df.sparkSession, name)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import _text
 from tidemark.llm._encode import gather
-from tidemark.llm._store import keep, small_batches
+from tidemark.llm._store import free_names, keep, small_batches
 
 SPECTRUM = 4
 #: An n-gram is SPECTRUM places of PLACE_BITS bits, each a byte plus 1, or 0 after its end; the text's number stands above.
@@ -171,7 +171,9 @@ def fit(docs: DataFrame, teaches: Column, lang_col: str = "lang", text_col: str
     spark = docs.sparkSession
     small_batches(spark)
     known = docs.where(teaches & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = keep(known.groupBy(F.col(lang_col).alias("of")).agg(F.count("*").alias("n_of")), "languages")
+    # Repeated rows are drawn once, so they count once, by their ids.
+    n_of = F.greatest(F.count_distinct("doc_id"), F.lit(1)) if "doc_id" in docs.columns else F.count("*")
+    counts = keep(known.groupBy(F.col(lang_col).alias("of")).agg(n_of.alias("n_of")), "languages")
     n_languages = counts.count()
     if not n_languages:
         return None
@@ -182,14 +184,18 @@ def fit(docs: DataFrame, teaches: Column, lang_col: str = "lang", text_col: str
     unit = F.pmod(F.xxhash64(F.lit("sample"), *[F.col(c) for c in ("doc_id", text_col) if c in docs.columns]), F.lit(1 << 30)) / float(1 << 30)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
-            for k in range(len(batch)):
+            for k, key in enumerate(zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), strict=True)):
+                if key in seen:
+                    continue
+                seen.add(key)
                 (_, _, held), *_ = texts_grams(batch.column(1).slice(k, 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([np.sort(held).tobytes()], pa.binary()), batch.column(2).slice(k, 1)], ["lang", "grams", "unit"])
 
     packed = drawn.withColumn("unit", unit).where(F.col("unit") < F.col("share")).select(lang_col, text_col, "unit").mapInArrow(pack, "lang string, grams binary, unit double")
-    found, bound = keep(packed.withColumn("mark", F.xxhash64("grams")), "language-sample"), int(2 * each * n_languages) + 1000
-    rows = sorted(found.select("unit", "lang", "mark").limit(bound).collect())
+    found, bound = keep(packed.withColumn("mark", F.xxhash64("grams")).dropDuplicates(["unit", "lang", "mark"]), "language-sample"), int(2 * each * n_languages) + 1000
+    rows = found.select("unit", "lang", "mark").orderBy("unit", "lang", "mark").limit(bound).collect()
     if not rows:
         return None
     marks = [rows[k][2] for k in in_turn([r[1] for r in rows])]
@@ -204,7 +210,8 @@ def fit(docs: DataFrame, teaches: Column, lang_col: str = "lang", text_col: str
             values = [shared.value.kernels(1, np.zeros(len(x), np.int64), x).tobytes() for x in own]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary()), batch.column(2)], ["lang", "kernels", "unit"])
 
-    got = sorted(found.select("lang", "grams", "unit").mapInArrow(measure, "lang string, kernels binary, unit double").limit(bound).collect(), key=lambda r: (r[2], r[0], r[1]))
+    some = found.where(F.col("unit") <= rows[-1][0])  # as many as `rows`
+    got = sorted(some.select("lang", "grams", "unit").mapInArrow(measure, "lang string, kernels binary, unit double").collect(), key=lambda r: (r[2], r[0], r[1]))
     return fit_arrays(np.stack([np.frombuffer(r[1]) for r in got]), [r[0] for r in got], landmarks, k_mm)
 
 
@@ -226,9 +233,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 at += n
             readable &= own is not None
             names = [own.languages[k] if r else UNKNOWN for k, r in zip(best.tolist(), readable.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.where(readable, np.clip(score, 0, 1), 0.0))], [id_col, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.where(readable, np.clip(score, 0, 1), 0.0))], [id_col, *added])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, lang_pred string, score double")
+    added = free_names([id_col], ["lang_pred", "score"])
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, {added[0]} string, {added[1]} double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

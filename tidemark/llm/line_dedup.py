@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import _mph, _text
-from tidemark.llm._store import keep, small_batches
+from tidemark.llm._store import free_names, keep, small_batches
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys in a shard, and probes in a task, about.
@@ -145,14 +145,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that loses nothing stays as it was. The id is an integer column; added columns get underscores if their names are
     taken."""
     small_batches(docs.sparkSession)
-    names = ["n_lines", "n_dropped", "dropped_keys", "dropped_doc"]
-    while set(names) & set(docs.columns):
-        names = [x + "_" for x in names]
-    n_lines, n_dropped, dropped, owner = names
+    n_lines, n_dropped, *dropped, owner = free_names(docs.columns, ["n_lines", "n_dropped", "dropped_keys1", "dropped_keys2", "dropped_doc"])
     hashes = keep(line_hashes(docs, id_col, text_col, min_chars).withColumn("doc", F.col("doc").cast("long")), "line-hashes")
     shards, n_shards = build_index(hashes, min_docs, shard_keys)
     gone = probe(hashes, shards, n_shards, task_probes).distinct().groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("keys"))
-    gone = gone.select(F.col("doc").alias(owner), F.transform("keys", lambda x: x["h1"]).alias(dropped + "1"), F.transform("keys", lambda x: x["h2"]).alias(dropped + "2"))
+    gone = gone.select(F.col("doc").alias(owner), F.transform("keys", lambda x: x["h1"]).alias(dropped[0]), F.transform("keys", lambda x: x["h2"]).alias(dropped[1]))
     joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[owner]), "left").drop(owner)
     schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
     at = docs.columns.index(text_col)

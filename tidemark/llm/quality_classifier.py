@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import _text
-from tidemark.llm._store import keep, small_batches
+from tidemark.llm._store import free_names, keep, small_batches
 
 #: So many places that texts of megabytes don't fill them.
 FEATURES, SPECTRUM = 1 << 20, 4
@@ -96,9 +96,10 @@ def log_count_ratios(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def fit_arrays(held: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, share: float, cost: float = COST, epochs: int = EPOCHS, seed: int = 7) -> Model:
+def fit_arrays(held: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, share: float, cost: float = COST, epochs: int = EPOCHS, seed: int = 7, times: np.ndarray | None = None) -> Model:
     """Dual coordinate descent: each step solves the hinge loss of one text exactly; then the logistic curve of margins.
-    share: that of good labels among all."""
+    share: that of good labels among all; times: how many rows each text stands for."""
+    times = np.ones(len(held)) if times is None else times.astype(float)
     weights, bias, alpha = np.zeros(len(ratios)), 0.0, np.zeros(len(held))
     rows = []
     for x in held:
@@ -109,16 +110,16 @@ def fit_arrays(held: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, s
         for i in order.permutation(len(held)):
             x, v = held[i], rows[i]
             slack = sign[i] * (weights[x] @ v + bias) - 1
-            new = min(max(alpha[i] - slack / 2.0, 0.0), cost)  # |x|^2 = 1, and 1 for the bias
+            new = min(max(alpha[i] - slack / 2.0, 0.0), cost * times[i])  # |x|^2 = 1, and 1 for the bias
             step = (new - alpha[i]) * sign[i]
             if step:
                 weights[x] += step * v
                 bias += step
                 alpha[i] = new
     margins = np.array([weights[x] @ v + bias for x, v in zip(held, rows, strict=True)])
-    n_good = max(1, int((labels > 0).sum()))
-    weight = np.where(labels > 0, share / n_good, (1 - share) / max(1, len(labels) - n_good)) * len(labels)
-    target = np.where(labels > 0, (n_good + 1) / (n_good + 2), 1 / (len(labels) - n_good + 2))
+    n_good, n_bad = max(1.0, times[labels > 0].sum()), max(1.0, times[labels <= 0].sum())
+    weight = np.where(labels > 0, share / n_good, (1 - share) / n_bad) * times.sum() * times
+    target = np.where(labels > 0, (n_good + 1) / (n_good + 2), 1 / (n_bad + 2))
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton's steps
         p = 1 / (1 + np.exp(-np.clip(a * margins + b, -40, 40)))
@@ -136,34 +137,43 @@ def fit_arrays(held: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, s
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", id_col: str = "doc_id", sample: int = SAMPLE) -> tuple[Model | float, np.ndarray]:
     """The model and the ratios from rows of text and label; a plain share where there are not both classes."""
     known = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(label_col) > 0).cast("int").alias("label"))
-    numbers = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
-    good, bad = numbers.get(1, 0), numbers.get(0, 0)
+    # Rows by label, and how many different ids they have: repeated rows are drawn once, with their number.
+    numbers = {r[0]: r[1:] for r in known.groupBy("label", "id").agg(F.count("*").alias("n")).groupBy("label").agg(F.sum("n"), F.count("*")).collect()}
+    (good, good_ids), (bad, bad_ids) = (numbers.get(k, (0, 0)) for k in (1, 0))
     if not good or not bad:
         return (good / (good + bad) if good + bad else 0.5), np.zeros(FEATURES)
 
-    share = [min(1.0, sample / 2 / bad), min(1.0, sample / 2 / good)]
-    unit = F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    schema = "chunk long, part long, counts binary, label int, held binary, unit double"
+    share = [min(1.0, sample / 2 / bad_ids), min(1.0, sample / 2 / good_ids)]
+    mark = F.xxhash64(F.lit("sample"), "id", "text")
+    schema = "chunk long, part long, counts binary, label int, held binary, unit double, mark long, times long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One pass over the texts: the counts of the task's texts, and the features of the texts that are drawn.
         sums, part = np.zeros((FEATURES, 2), np.int64), TaskContext.get().partitionId()
+        again: dict[tuple, int] = {}
         for batch in batches:
             drawn: list[tuple] = []
-            for label, at, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), indicators(batch.column(0)), strict=True):
+            for label, mark, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), indicators(batch.column(0)), strict=True):
                 sums[held, label] += 1
+                at = (mark % (1 << 30)) / (1 << 30)
                 if at < share[label]:
-                    drawn.append((None, None, None, label, held.astype("<u4").tobytes(), at))
+                    key = (label, at, mark)
+                    if key in again:
+                        again[key] += 1
+                    else:
+                        again[key] = 0
+                        drawn.append((None, None, None, label, held.astype("<u4").tobytes(), at, mark, 1))
             yield _rows(drawn, schema)
+        yield _rows([(None, None, None, *key[:1], None, *key[1:], n) for key, n in again.items() if n], schema)
         for a in range(0, FEATURES, COUNT_CHUNK):
             if sums[a : a + COUNT_CHUNK].any():
-                yield _rows([(a, part, _packed(sums[a : a + COUNT_CHUNK]), None, None, None)], schema)
+                yield _rows([(a, part, _packed(sums[a : a + COUNT_CHUNK]), *[None] * 5)], schema)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(_unpacked(x) for x in pdf["counts"])
         return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "part": [int(pdf["part"].iloc[0])], "counts": [_packed(total)]})
 
-    found = keep(known.withColumn("unit", unit).select("text", "label", "unit").mapInArrow(read, schema), "label-features")
+    found = keep(known.select("text", "label", mark.alias("mark")).mapInArrow(read, schema), "label-features")
     sums = found.where(F.col("chunk").isNotNull()).select("chunk", "part", "counts")
     n_parts = 1 + (sums.agg(F.max("part")).first()[0] or 0)
     while True:
@@ -175,16 +185,17 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
     for chunk, _, some in sums.toLocalIterator():  # of fixed size
         counts[chunk : chunk + COUNT_CHUNK] = _unpacked(some)
     ratios = log_count_ratios(counts[:, 1], counts[:, 0])
-    held = found.where(F.col("held").isNotNull())
-    sizes = sorted(held.select("unit", "label", F.length("held").alias("n")).limit(2 * sample + 1000).collect())
+    # Each task has a drawn text once; here it is one row again.
+    held = keep(found.where(F.col("label").isNotNull()).groupBy("unit", "label", "mark").agg(F.max("held").alias("held"), F.sum("times").alias("times")), "label-sample")
+    sizes = held.select("unit", "label", F.length("held").alias("n")).orderBy("unit", "label", "mark").limit(2 * sample + 1000).collect()
     # Texts in order of the draw, as long as their indices stay within the bound.
     room = np.cumsum([r[2] for r in sizes]) <= SAMPLE_BYTES
     room[: 1] = True
     last = {k: max((r[0] for r, fits in zip(sizes, room, strict=True) if fits and r[1] == k), default=-1.0) for k in (0, 1)}
-    got = sorted(held.where(F.col("unit") <= F.when(F.col("label") == 1, last[1]).otherwise(last[0])).select("unit", "label", "held").collect())
+    got = sorted(held.where(F.col("unit") <= F.when(F.col("label") == 1, last[1]).otherwise(last[0])).select("unit", "label", "held", "times").collect())
     if len({r[1] for r in got}) < 2:
         return good / (good + bad), ratios
-    return fit_arrays([np.frombuffer(r[2], "<u4").astype(np.int64) for r in got], np.array([r[1] for r in got]), ratios, good / (good + bad)), ratios
+    return fit_arrays([np.frombuffer(r[2], "<u4").astype(np.int64) for r in got], np.array([r[1] for r in got]), ratios, good / (good + bad), times=np.array([r[3] for r in got])), ratios
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -216,9 +227,10 @@ def predict(docs: DataFrame, model: Model | float, ratios: np.ndarray, id_col: s
                 scores = [own] * len(batch)
             else:
                 scores = [own.score(x, scale) for x in indicators(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], [id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], [id_col, name])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double")
+    (name,) = free_names([id_col], ["score"])
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, {name} double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import _text
-from tidemark.llm._store import small_batches
+from tidemark.llm._store import free_names, small_batches
 
 LEVEL = 3
 #: Fixed values: (bytes at least, lowest ratio, highest ratio) of whole texts. Short texts compress less.
@@ -119,17 +119,20 @@ def _types(schema: str) -> dict[str, pa.DataType]:
 
 
 def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: its id, the counts, the ratios and the verdicts."""
+    """One row for each document: its id, the counts, the ratios and the verdicts. These get underscores if the id has such a
+    name."""
     small_batches(docs.sparkSession)
     types = _types(SCHEMA)
+    names = free_names([id_col], list(types))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = _batch(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k], t) for k, t in types.items())], [id_col, *types])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k], t) for k, t in types.items())], [id_col, *names])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
+    kinds = [x.split()[1] for x in SCHEMA.split(", ")]
+    return docs.select(id_col, text_col).mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip([id_col, *names], [kind, *kinds], strict=True)))
 
 
 def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import _text
 from tidemark.llm._encode import ChunkEncoder, cuts_before_space, gather
-from tidemark.llm._store import small_batches
+from tidemark.llm._store import free_names, small_batches
 
 MODEL, THREADS = "piece_bpe_32k.model", 2
 MARK = "▁"
@@ -112,10 +112,14 @@ class Model:
         """The tokenizers backend; without the dummy prefix for chunks."""
         from tokenizers import Tokenizer, decoders, models, normalizers
 
-        if self.kind == BPE and any(kind == USER_DEFINED for _, _, kind in self.pieces):
-            raise ValueError("user-defined pieces of BPE models aren't supported")
+        if any(kind == USER_DEFINED for _, _, kind in self.pieces):
+            raise ValueError("user-defined pieces aren't supported")
         if self.kind == UNIGRAM:
-            backend = models.Unigram([(p, s) for p, s, _ in self.pieces], unk_id=self.unknown, byte_fallback=self.byte_fallback)
+            if not self.escape_spaces:
+                raise ValueError("unigram models that keep spaces aren't supported")
+            # Only normal pieces may match: the others get names with a space, which no normalised text holds. Bytes of
+            # unknown characters are put in afterwards (with_bytes).
+            backend = models.Unigram([(p, s) if kind == NORMAL else (f"{i} {p}", s) for i, (p, s, kind) in enumerate(self.pieces)], unk_id=self.unknown, byte_fallback=False)
         elif self.kind == BPE:
             backend = models.BPE({p: i for i, (p, _, _) in enumerate(self.pieces)}, self.merges(), unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
         else:
@@ -155,9 +159,20 @@ def encoder(model: Model, threads: int = THREADS) -> Callable[[np.ndarray, np.nd
         return ChunkEncoder(lambda chunks: [x.ids for x in backend.encode_batch_fast(chunks, add_special_tokens=False)], cuts_before_space, " " if model.dummy_prefix else "")
     backend = model.tokenizer()
 
+    in_bytes = model.kind == UNIGRAM and model.byte_fallback
+    of_byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE} if in_bytes else {}
+
+    def with_bytes(found) -> list[int]:
+        """The ids, and for an unknown run those of its bytes."""
+        if model.unknown not in found.ids:
+            return found.ids
+        return [k for i, surface in zip(found.ids, found.tokens, strict=True) for k in ([of_byte[b] for b in surface.encode()] if i == model.unknown else [i])]
+
     def whole(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         view = memoryview(np.ascontiguousarray(data))
-        ids = [x.ids for x in backend.encode_batch_fast([str(view[a:b], "utf-8") for a, b in zip(offsets[:-1], offsets[1:], strict=True)], add_special_tokens=False)]
+        code = backend.encode_batch if in_bytes else backend.encode_batch_fast  # the fast one keeps no surfaces
+        found = code([str(view[a:b], "utf-8") for a, b in zip(offsets[:-1], offsets[1:], strict=True)], add_special_tokens=False)
+        ids = [with_bytes(x) if in_bytes else x.ids for x in found]
         return np.fromiter((x for own in ids for x in own), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     return whole
@@ -183,16 +198,10 @@ class Decoder:
         return raw.removeprefix(b" ").decode("utf-8", "replace") if self.prefix else raw.decode("utf-8", "replace")
 
 
-def _added(docs: DataFrame, names: list[str]) -> list[str]:
-    while set(names) & set(docs.columns):
-        names = [x + "_" for x in names]
-    return names
-
-
 def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads: int = THREADS) -> DataFrame:
     """The documents with their ids as an array of integers (token_ids)."""
     small_batches(docs.sparkSession)
-    (name,) = _added(docs, ["token_ids"])
+    (name,) = free_names(docs.columns, ["token_ids"])
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
     at = docs.columns.index(text_col)
 
@@ -209,7 +218,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads:
 def decode(docs: DataFrame, ids_col: str = "token_ids", model: str = MODEL) -> DataFrame:
     """The documents with the text of their ids (decoded); null ids give an empty text."""
     small_batches(docs.sparkSession)
-    (name,) = _added(docs, ["decoded"])
+    (name,) = free_names(docs.columns, ["decoded"])
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())])
     at = docs.columns.index(ids_col)
 

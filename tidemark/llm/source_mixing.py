@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._store import keep
+from tidemark.llm._store import free_names, keep
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2, "mix-1"
 #: Documents in a bucket, about; the key has 60 bits.
@@ -56,26 +56,27 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """The documents with size, source_size, target, taken (words) and copies (epochs that reach the document)."""
-    names = ["size", "source_size", "target", "taken", "copies", "mix_key", "mix_bucket", "mix_source", "mix_before"]
-    while set(names) & set(docs.columns):
-        names = [x + "_" for x in names]
-    n_size, n_source, n_target, n_taken, n_copies, key, bucket, source, before = names
+    names = free_names(docs.columns, ["size", "source_size", "target", "taken", "copies"])
     bits = min(24, max(4, math.ceil(math.log2(max(1, docs.count() / bucket_docs)))))
-    sized = docs.withColumn(n_size, word_count(text_col) if size is None else size).withColumn(key, hash_key(id_col, seed)).withColumn(bucket, F.shiftright(F.col(key), KEY_BITS - bits))
-    sums = keep(sized.groupBy(F.col(source_col).alias("source"), F.col(bucket).alias("bucket")).agg(F.sum(n_size).alias("words")), "mix-buckets")
+    # The user's columns stay in one, so that no name meets theirs.
+    own = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    sized = docs.select(own, F.col(id_col).alias("id"), F.col(source_col).alias("source"), (word_count(text_col) if size is None else size).alias("size"), hash_key(id_col, seed).alias("key"))
+    sized = sized.withColumn("bucket", F.shiftright("key", KEY_BITS - bits))
+    sums = keep(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("words").over(so_far), F.lit(0)).alias("offset")).join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    offsets = offsets.select(F.col("source").alias(source), F.col("bucket").alias(bucket + "b"), "offset", F.col("source_size").alias(n_source), F.col("target").alias(n_target))
-    within = Window.partitionBy(source_col, bucket).orderBy(key, id_col, n_size).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn(before, F.coalesce(F.sum(n_size).over(within), F.lit(0)))
-    joined = placed.join(offsets, placed[source_col].eqNullSafe(offsets[source]) & (F.col(bucket) == F.col(bucket + "b")))
-    budget = F.floor(F.col(n_target) + 0.5)
-    epochs = F.when(F.col(n_source) > 0, F.floor(F.try_divide(budget, F.col(n_source)))).otherwise(0)
-    rest = budget - epochs * F.col(n_source) - (F.col("offset") + F.col(before))
-    last = F.least(F.col(n_size), F.greatest(F.lit(0).cast("long"), rest))
-    out = joined.withColumn(n_taken, (epochs * F.col(n_size) + last).cast("long")).withColumn(n_copies, (F.when(F.col(n_size) > 0, epochs).otherwise(0) + (last > 0).cast("long")).cast("long"))
-    return out.select(*docs.columns, n_size, n_source, n_target, n_taken, n_copies)
+    offsets = offsets.select(F.col("source").alias("of"), F.col("bucket").alias("of_bucket"), "offset", "source_size", "target")
+    within = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    joined = placed.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("of_bucket")))
+    budget = F.floor(F.col("target") + 0.5)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.try_divide(budget, F.col("source_size")))).otherwise(0)
+    rest = budget - epochs * F.col("source_size") - (F.col("offset") + F.col("before"))
+    last = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest))
+    taken = (epochs * F.col("size") + last).cast("long")
+    copies = (F.when(F.col("size") > 0, epochs).otherwise(0) + (last > 0).cast("long")).cast("long")
+    return joined.select("row.*", *[c.alias(n) for c, n in zip((F.col("size"), F.col("source_size"), F.col("target"), taken, copies), names, strict=True)])
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

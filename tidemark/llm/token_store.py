@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import _text
 from tidemark.llm._encode import ChunkEncoder, cuts_before_white
-from tidemark.llm._store import new_path, small_batches
+from tidemark.llm._store import free_names, new_path, small_batches
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 SEGMENT_TOKENS, RANK_BITS, CHUNK_BITS = 1 << 20, 512, 8
@@ -166,7 +166,9 @@ def documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part), pa.int32()), pa.array(np.full(n, segment), pa.int32()), doc_ids, pa.array(ends - counts), pa.array(counts), pa.array(sums, pa.int64())], ["part", "segment", "id", "at", "n_tokens", "ids_crc32"])
 
     read = local.select("part", "segment", "doc_ids", "doc_tokens", "codes").mapInArrow(digests, "part int, segment int, id long, at long, n_tokens long, ids_crc32 long")
-    return read.join(starts(spark, path), ["part", "segment"]).select(F.col("id").alias(id_col), (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    start, n_tokens, crc = free_names([id_col], ["start", "n_tokens", "ids_crc32"])
+    placed = read.join(starts(spark, path), ["part", "segment"])
+    return placed.select(F.col("id").alias(id_col), (F.col("start") + F.col("at")).alias(start), F.col("n_tokens").alias(n_tokens), F.col("ids_crc32").alias(crc))
 
 
 def tokens_at(spark: SparkSession, path: str, positions: DataFrame, col: str = "position") -> DataFrame:
