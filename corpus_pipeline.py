@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_join, line_dedup, quality_rules, sentencepiece_codec, source_mixing
-from tidemark.llm._store import keep
+from tidemark.llm._store import free_names, keep
 
 NEAR = jaccard_join.Rule(n=5, num=80, den=100)
 
@@ -38,10 +38,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates; documents without an id stay."""
     found = jaccard_join.near_duplicates(docs, rule=NEAR)
-    first = found.where(F.col("doc") == F.col("component")).select(F.col("doc").alias("stays")).distinct()
-    stay = docs.join(first, docs["doc_id"].cast("long") == first["stays"], "left_semi")
+    stays, number = free_names(docs.columns, ["stays", "copy_number"])
+    first = found.where(F.col("doc") == F.col("component")).select(F.col("doc").alias(stays)).distinct()
+    stay = docs.join(first, docs["doc_id"].cast("long") == first[stays], "left_semi")
     row = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    stay = stay.withColumn("copy_number__", row).where(F.col("copy_number__") == 1).drop("copy_number__")
+    stay = stay.withColumn(number, row).where(F.col(number) == 1).drop(number)
     return stay.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
