@@ -209,8 +209,3 @@ def test_causal_tests(spark):
     wave -= x @ np.linalg.lstsq(x, wave, rcond=None)[0]
     assert causal.breusch_godfrey(x, wave, 2) < 0.001
     assert causal.ar1_fit(x, 3 + 2 * t) == pytest.approx([3, 2])
-    rows = [(u, y, float(k * 10 + y * (1 + 0.5 * (u == "d")) + rng.normal() * 0.05)) for k, u in enumerate("abcd") for y in range(8)]
-    got = causal.parallel_trends(spark.createDataFrame(rows, "u string, y int, v double"), "u", "y", "v", "a", 7).first()
-    assert got.f > 50 and got.n == 32 and 0 < got.p <= 1
-    few = causal.parallel_trends(spark.createDataFrame(rows, "u string, y int, v double"), "u", "y", "v", "a", 2).first()
-    assert few.f is None and few.reason

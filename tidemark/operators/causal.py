@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 ITS_SCHEMA = (
     "series string, break_year int, term string, coef double, se double, low double, high double, p double, ar1_coef double, "
-    "n long, lags int, r2 double, durbin_watson double, bg1_p double, bg2_p double, sign_change boolean, reason string"
+    "n long, lags int, r2 double, durbin_watson double, bg1_p double, bg2_p double, sign_change boolean, adf_p double, reason string"
 )
 TERMS = ("level", "trend", "step", "slope_change")
 Z95 = 1.959963984540054
@@ -56,6 +56,67 @@ def breusch_godfrey(x: np.ndarray, e: np.ndarray, order: int) -> float:
     return math.erfc(math.sqrt(max(lm, 0) / 2)) if order == 1 else math.exp(-max(lm, 0) / 2)
 
 
+#: Fixed values of the response surface for the test with a constant (MacKinnon 1994): where p is 0 or 1, where the two polynomials
+#: meet, and their coefficients from the constant on.
+ADF_LOW, ADF_HIGH, ADF_BEND = -18.83, 2.74, -1.61
+ADF_SMALL, ADF_LARGE = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def unit_root_t(y: np.ndarray, lags: int) -> float:
+    """t of the level in the regression of a series' changes on a constant, its level before and `lags` earlier changes."""
+    change = np.diff(y)
+    n = len(change) - lags
+    if n <= lags + 2:
+        return math.nan
+    x = np.stack([y[lags:-1], np.ones(n), *[change[lags - k : len(change) - k] for k in range(1, lags + 1)]], 1)
+    inverse = np.linalg.pinv(x.T @ x)
+    beta = inverse @ x.T @ change[lags:]
+    e = change[lags:] - x @ beta
+    return float(beta[0] / math.sqrt(max(e @ e, 1e-300) / (n - x.shape[1]) * inverse[0, 0]))
+
+
+def unit_root_p(y: np.ndarray, lags: int) -> float | None:
+    """p of the augmented Dickey-Fuller test with a constant, of a unit root; None for a series that is too short."""
+    t = unit_root_t(np.asarray(y, float), lags)
+    return None if math.isnan(t) else p_of_unit_root(t)
+
+
+def p_of_unit_root(t: float) -> float:
+    """p of the statistic by the response surface."""
+    if t >= ADF_HIGH or t <= ADF_LOW:
+        return float(t >= ADF_HIGH)
+    z = sum(c * t**k for k, c in enumerate(ADF_SMALL if t <= ADF_BEND else ADF_LARGE))
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def best_lags(y: np.ndarray, most: int) -> int:
+    """The number of lags with the smallest information criterion (Akaike's), all fits being over the same years."""
+    change, best = np.diff(y), (math.inf, 0)
+    for lags in range(most + 1):
+        n = len(change) - most
+        if n <= lags + 2:
+            break
+        x = np.stack([y[most:-1], np.ones(n), *[change[most - k : len(change) - k] for k in range(1, lags + 1)]], 1)
+        e = change[most:] - x @ np.linalg.lstsq(x, change[most:], rcond=None)[0]
+        best = min(best, (n * math.log(max(e @ e, 1e-300) / n) + 2 * (lags + 2), lags))
+    return best[1]
+
+
+def unit_root(df: DataFrame, series: str, year: str, value: str, lags: int | None = None) -> DataFrame:
+    """(series, t, p, lags, n): the augmented Dickey-Fuller test of each series (M3); lags: as given, else those of the smallest
+    criterion up to 12 (n / 100)^(1/4). Null for series that are too short or don't change."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.dropna(subset=["y"]).sort_values("t")["y"].to_numpy(float)
+        most = max(0, min(math.ceil(12 * (len(y) / 100) ** 0.25), len(y) // 2 - 2))
+        k = lags if lags is not None else best_lags(y, most)
+        short = len(y) < k + 5 or np.ptp(y) == 0
+        return pd.DataFrame([(str(pdf["s"].iloc[0]), None if short else unit_root_t(y, k), None if short else unit_root_p(y, k), k, len(y))], columns=["series", "t", "p", "lags", "n"])
+
+    rows = df.select(F.col(series).alias("s"), F.col(year).alias("t"), F.col(value).cast("double").alias("y"))
+    return rows.groupBy("s").applyInPandas(fit, "series string, t double, p double, lags int, n long")
+
+
 def ar1_fit(x: np.ndarray, y: np.ndarray, rounds: int = 10) -> np.ndarray:
     """Coefficients by feasible least squares with errors of order one: fit, Yule-Walker estimate of the residuals, repeat."""
     rho, beta = 0.0, np.linalg.lstsq(x, y, rcond=None)[0]
@@ -87,14 +148,14 @@ def interrupted_series(df: DataFrame, series: str, year: str, value: str, break_
         before, after = int((t < break_year).sum()), int((t >= break_year).sum())
         if min(before, after) < least:
             empty = [None] * 6
-            return pd.DataFrame([(name, break_year, k, *empty, len(t), *empty, f"{before} points before, {after} after") for k in TERMS], columns=columns)
+            return pd.DataFrame([(name, break_year, k, *empty, len(t), *empty, None, f"{before} points before, {after} after") for k in TERMS], columns=columns)
         x, lags = design(t, break_year), hac_lags(len(t))
         beta, cov, e = ols_hac(x, y, lags)
         se = np.sqrt(np.maximum(np.diag(cov), 0))
         p = [math.erfc(abs(b / q) / math.sqrt(2)) if q > 0 else None for b, q in zip(beta, se, strict=True)]
         ar1 = ar1_fit(x, y)
         spread = ((y - y.mean()) ** 2).sum()
-        whole = (len(t), lags, float(1 - e @ e / spread) if spread > 0 else None, float((np.diff(e) ** 2).sum() / (e @ e)) if e @ e > 0 else None, breusch_godfrey(x, e, 1), breusch_godfrey(x, e, 2), bool((np.sign(ar1[2:]) != np.sign(beta[2:])).any()), None)
+        whole = (len(t), lags, float(1 - e @ e / spread) if spread > 0 else None, float((np.diff(e) ** 2).sum() / (e @ e)) if e @ e > 0 else None, breusch_godfrey(x, e, 1), breusch_godfrey(x, e, 2), bool((np.sign(ar1[2:]) != np.sign(beta[2:])).any()), unit_root_p(e, 1), None)
         rows = zip(TERMS, beta, se, p, ar1, strict=True)
         return pd.DataFrame([(name, break_year, k, b, q, b - Z95 * q, b + Z95 * q, pv, a, *whole) for k, b, q, pv, a in rows], columns=columns)
 
@@ -211,26 +272,6 @@ def cluster_bootstrap(y: np.ndarray, x: np.ndarray, clusters: np.ndarray, tested
     return (int((drawn >= seen).sum()) + 1) / (draws + 1), seen
 
 
-def parallel_trends(panel: DataFrame, unit: str, year: str, value: str, treated: str, until: int, least: int = 4) -> DataFrame:
-    """One row (f, p, n, reason): the joint test that no control's trend up to a year differs from that of the treated unit (M10),
-    clusters being units. A panel of a few units is one group; fewer than `least` years give a reason."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        years = pdf["t"].nunique()
-        if years < least or treated not in set(pdf["u"]):
-            return pd.DataFrame([(None, None, len(pdf), f"{years} years before")], columns=["f", "p", "n", "reason"])
-        names = [treated, *sorted(set(pdf["u"]) - {treated})]
-        t = pdf["t"].to_numpy(float) - pdf["t"].min()
-        of = pdf["u"].map(names.index).to_numpy()
-        own = (of[:, None] == np.arange(len(names))).astype(float)
-        x = np.concatenate([own, t[:, None], own[:, 1:] * t[:, None]], 1)
-        p, f = cluster_bootstrap(pdf["y"].to_numpy(float), x, of, list(range(len(names) + 1, x.shape[1])))
-        return pd.DataFrame([(f, p, len(pdf), None)], columns=["f", "p", "n", "reason"])
-
-    rows = panel.where(F.col(year) <= until).select(F.lit(treated).alias("treated"), F.col(unit).cast("string").alias("u"), F.col(year).alias("t"), F.col(value).cast("double").alias("y"))
-    return rows.groupBy("treated").applyInPandas(fit, "f double, p double, n long, reason string")
-
-
 def excludes_zero(low, high):
     """Whether an interval lies on one side of 0 (P25)."""
     return low * high > 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -13,3 +14,10 @@ def checkpoint_dir(spark: SparkSession) -> None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of checkpoints, which driver and executors share."""
+    checkpoint_dir(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
