@@ -63,7 +63,8 @@ ADF_SMALL, ADF_LARGE = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -
 
 
 def unit_root_t(y: np.ndarray, lags: int) -> float:
-    """t of the level in the regression of a series' changes on a constant, its level before and `lags` earlier changes."""
+    """t of the level in the regression of a series' changes on a constant, its level before and `lags` earlier changes. Neither place nor scale of the series matters, so it is standardised, which keeps the sums exact."""
+    y = (y - y.mean()) / max(float(y.std()), 1e-300)
     change = np.diff(y)
     n = len(change) - lags
     if n <= lags + 2:

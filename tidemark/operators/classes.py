@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import grid
+from tidemark.operators.quantiles import exact_quantiles
 
 #: Ratios to the landscape's medians, and bounds in metres, that results must equal.
 GREEN_RATIO, FOOTPRINT_RATIO = 1.30, 0.60
@@ -26,11 +27,12 @@ def is_number(*columns: str) -> Column:
 
 
 def medians(df: DataFrame, columns: dict[str, str], where: Column) -> DataFrame:
-    """One row with the exact median of each column over a reference mask; an empty mask is an error."""
-    row = df.where(where).agg(*[F.median(c).alias(name) for name, c in columns.items()], F.count("*").alias("n_reference"))
-    if not row.first()["n_reference"]:
+    """One row with the exact median of each column and the number of cells over a reference mask; an empty mask is an error."""
+    own = df.where(where)
+    if own.isEmpty():
         raise EmptyReferenceError("the reference mask is empty")
-    return row
+    found = exact_quantiles(own, [], {name: (F.col(c), 0.5) for name, c in columns.items()})
+    return found.crossJoin(F.broadcast(own.agg(F.count("*").alias("n_reference"))))  # one row each
 
 
 def exclusive_layers(df: DataFrame, label: str, built: str, industrial: str, resettled: str, out: str = "layer") -> DataFrame:
@@ -79,10 +81,10 @@ def densification(df: DataFrame, domain: str, occupied: str, before: str, after:
     """`votes` and `class` 0 to 6 (SEVEN) of each cell, by quantiles over occupied cells and precedence from industrial down.
     A signal votes in occupied cells where it is above 0 and at least its quantile tau. Without occupied cells nothing votes."""
     own = F.col(occupied)
-    cuts = [F.percentile(F.when(own, F.col(s)), tau).alias(f"cut_{k}__") for k, s in enumerate(signals)]
-    cuts += [F.percentile(F.when(own, F.col(before)), q).alias(name) for q, name in ((high, "high__"), (low, "low__"))]
-    cuts.append(F.percentile(F.when(F.col(domain) & (F.col(industrial) > 0), F.col(industrial)), industrial_q).alias("industrial__"))
-    all_of = df.crossJoin(F.broadcast(df.agg(*cuts)))  # one row
+    cuts = {f"cut_{k}__": (F.when(own, F.col(s)), tau) for k, s in enumerate(signals)}
+    cuts |= {name: (F.when(own, F.col(before)), q) for q, name in ((high, "high__"), (low, "low__"))}
+    cuts["industrial__"] = (F.when(F.col(domain) & (F.col(industrial) > 0), F.col(industrial)), industrial_q)
+    all_of = df.crossJoin(F.broadcast(exact_quantiles(df, [], cuts)))  # one row
     votes = sum((F.coalesce(own & (F.col(s) > 0) & (F.col(s) >= F.col(f"cut_{k}__")), F.lit(False)).cast("int") for k, s in enumerate(signals)), F.lit(0))
     f0, f1 = F.col(before), F.col(after)
     yes = lambda c: F.coalesce(c, F.lit(False))
@@ -97,7 +99,7 @@ def densification(df: DataFrame, domain: str, occupied: str, before: str, after:
 
 def persistent_bare(df: DataFrame, year: str, reference: Column, ratio: float = FOOTPRINT_RATIO) -> DataFrame:
     """`bare`: no water, and less green than a part of the landscape's median of its year in the dry and in the wet season."""
-    cuts = df.where(reference).groupBy(year).agg(F.median("ndvi").alias("dry__"), F.median("ndvi_wet").alias("wet__"))
+    cuts = exact_quantiles(df.where(reference), [year], {"dry__": (F.col("ndvi"), 0.5), "wet__": (F.col("ndvi_wet"), 0.5)})
     known = is_number("ndvi", "ndvi_wet", "mndwi")
     bare = known & (F.col("mndwi") <= 0) & (F.col("ndvi_wet") < ratio * F.col("wet__")) & (F.col("ndvi") < ratio * F.col("dry__"))
     return df.join(F.broadcast(cuts), year, "left").withColumn("bare", F.coalesce(bare, F.lit(False))).drop("dry__", "wet__")  # a row a year

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import exact_quantiles
+
 
 def average_rank(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """`rank` (ties share their mean) and `ecdf` within a group. Values are counted first, so that the window sees each value
@@ -25,11 +27,9 @@ def theil_sen(df: DataFrame, unit: list[str], x: str, y: str) -> DataFrame:
 
 
 def with_cuts(df: DataFrame, cuts: dict[str, tuple[str, float]], group: list[str] | None = None) -> DataFrame:
-    """A column for each cut: the exact quantile of a column. Without groups the cuts are one row, joined by broadcast."""
-    aggregates = [F.percentile(F.col(c), q).alias(name) for name, (c, q) in cuts.items()]
-    if group:
-        return df.join(df.groupBy(*group).agg(*aggregates), group)
-    return df.crossJoin(F.broadcast(df.agg(*aggregates)))  # one row
+    """A column for each cut: the exact quantile of a column. Without groups the cuts are one row, with groups a row each."""
+    found = exact_quantiles(df, group or [], {name: (F.col(c), q) for name, (c, q) in cuts.items()})
+    return df.join(F.broadcast(found), group) if group else df.crossJoin(F.broadcast(found))
 
 
 def concordance(signals: dict[str, Column], needed: int) -> Column:

@@ -144,8 +144,9 @@ def control_effects(fits: DataFrame, key: list[str], treated: str) -> DataFrame:
     shifts = shifts.groupBy(*by).agg(F.max(F.abs(F.col("gap_without") - F.col("gap"))).alias("shift"), F.count("gap_without").alias("n_left_out"))
     out = own.join(places, by, "left").join(shifts, by, "left")
     heaviest = F.array_max(F.transform(F.map_entries("weights"), lambda e: F.struct(e["value"].alias("w"), e["key"].alias("unit"))))
-    out = out.withColumn("heaviest", heaviest).withColumn("shift", F.try_divide("shift", F.abs("gap"))).withColumn("p", F.when(F.col("ratio").isNotNull(), F.col("rank") / F.col("n_units")))
-    flags: dict[str, Column] = {"f3": F.col("rmspe_before") > 0.5 * F.col("spread"), "f4": F.col("heaviest.w") > 0.8, "f5": F.when(F.col("ratio").isNotNull(), F.col("rank") > 2), "f7": F.col("shift") > 0.5}
+    out = out.withColumn("heaviest", heaviest).withColumn("shift", F.try_divide("shift", F.abs("gap"))).withColumn("rank", F.when(F.col("ratio").isNotNull(), F.col("rank")))
+    out = out.withColumn("p", F.col("rank") / F.col("n_units"))
+    flags: dict[str, Column] = {"f3": F.col("rmspe_before") > 0.5 * F.col("spread"), "f4": F.col("heaviest.w") > 0.8, "f5": F.col("rank") > 2, "f7": F.col("shift") > 0.5}
     out = out.select("*", *[v.alias(k) for k, v in flags.items()])
     fired = F.array_join(F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in flags])), ";")
     return out.select(*by, "n_before", "n_after", "gap", "rmspe_before", "rmspe_after", "ratio", "rank", "n_units", "p", F.col("heaviest.unit").alias("donor"), F.col("heaviest.w").alias("donor_weight"), "shift", "n_left_out", "did", "did_low", "did_high", *flags, F.when(F.col("gap").isNotNull(), fired).alias("fired"), "reason")

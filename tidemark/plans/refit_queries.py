@@ -31,22 +31,22 @@ def _panel(spark, d):
 
 
 def panel_trend_tests(spark, d):
-    """Parallel trends of each region's nations before 1996 and the leads of its first one."""
+    """Parallel trends of each region's nations before 1998 and the leads of its first one."""
     logs = _panel(spark, d).withColumn("total", F.log("total"))
-    out = refits.trend_tests(logs, ["region"], "nation", "quarter", "total", "treated", 1995 * 4 + 3, 1995 * 4 + 3)
+    out = refits.trend_tests(logs, ["region"], "nation", "quarter", "total", "treated", 1997 * 4 + 3, 1997 * 4 + 3)
     return out.select("region", "test", r4(F.col("f")).alias("f"), "p", "n", "n_clusters", "longest", "fires", "reason")
 
 
 def synthetic_effects(spark, d):
     """The first nation of each region against a mix of the others, with every control left out once, at two breaks."""
-    fits = refits.control_fits(_panel(spark, d), ["region"], "nation", "quarter", "total", "treated", [1995 * 4, 1997 * 4])
+    fits = refits.control_fits(_panel(spark, d), ["region"], "nation", "quarter", "total", "treated", [1997 * 4, 1999 * 4 + 2])
     out = refits.control_effects(fits, ["region"], "treated")
     return out.select("region", "break_year", "n_before", "n_after", r4(F.col("gap")).alias("gap"), r4(F.col("ratio")).alias("ratio"), "rank", "n_units", "p", "n_left_out", r4(F.col("did")).alias("did"), "fired", "reason")
 
 
 def fake_break_placebos(spark, d):
-    """The step of monthly totals in 1997 against a fake one two years before."""
-    out = refits.fake_breaks(_months(spark, d), "series", "t", "total", [(1997 * 12, 1995 * 12), (1997 * 12, 1992 * 12 + 1)], log=True)
+    """The step of monthly totals in 1999 against fake ones in the years before."""
+    out = refits.fake_breaks(_months(spark, d), "series", "t", "total", [(1999 * 12, 1997 * 12), (1999 * 12, 1995 * 12 + 1)], log=True)
     return out.select("series", "break_year", "fake_year", r4(F.col("coef")).alias("coef"), r4(F.col("fake_coef")).alias("fake_coef"), "repeats", "reason")
 
 
