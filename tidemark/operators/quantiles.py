@@ -19,8 +19,8 @@ def exact_quantiles(df: DataFrame, groups: list[str], targets: dict[str, tuple[C
     """(groups, one column a target): the exact quantile of a numeric expression, interpolated between neighbours as usual; null and
     NaN values don't count, and a group without values has null. Groups are few (years, classes): a row each is broadcast. Null
     groups are one group. Without groups the result is one row."""
-    n_of = range(len(targets))
-    held = df.select(*groups, *[F.nanvl(c.cast("double"), F.lit(None)).alias(f"v{k}") for k, (c, _) in zip(n_of, targets.values(), strict=True)])
+    n_of, own, names = range(len(targets)), [f"own{i}" for i in range(len(groups))], [f"g{i}" for i in range(len(groups))]
+    held = df.select(*[F.col(g).alias(a) for g, a in zip(groups, own, strict=True)], *[F.nanvl(c.cast("double"), F.lit(None)).alias(f"v{k}") for k, (c, _) in zip(n_of, targets.values(), strict=True)])
 
     def edges(k: int, q: float) -> Column:
         low, high = q - ROOM, q + ROOM
@@ -30,34 +30,33 @@ def exact_quantiles(df: DataFrame, groups: list[str], targets: dict[str, tuple[C
         high_edge = F.when(few, F.max(f"v{k}")).otherwise(sketch[1]) if high < 1 else F.max(f"v{k}")
         return F.struct(F.lit(k).alias("k"), F.lit(q).alias("q"), F.count(f"v{k}").alias("n"), low_edge.alias("low"), high_edge.alias("high"))
 
-    brackets = held.groupBy(*groups).agg(F.array(*[edges(k, q) for k, (_, q) in zip(n_of, targets.values(), strict=True)]).alias("b"))
-    names = [f"g{i}__" for i in range(len(groups))]
-    brackets = brackets.select(*[F.col(g).alias(a) for g, a in zip(groups, names, strict=True)], F.explode("b").alias("b")).select(*names, "b.*")
-    values = held.select(*groups, F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.col(f"v{k}").alias("v")) for k in n_of])).alias("x")).select(*groups, "x.*").where(F.col("v").isNotNull())
+    brackets = held.groupBy(*own).agg(F.array(*[edges(k, q) for k, (_, q) in zip(n_of, targets.values(), strict=True)]).alias("b"))
+    brackets = brackets.select(*[F.col(a).alias(g) for a, g in zip(own, names, strict=True)], F.explode("b").alias("b")).select(*names, "b.*")
+    values = held.select(*own, F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.col(f"v{k}").alias("v")) for k in n_of])).alias("x")).select(*own, "x.*").where(F.col("v").isNotNull())
     same = F.col("of") == F.col("k")
-    for g, a in zip(groups, names, strict=True):
-        same &= F.col(g).eqNullSafe(F.col(a))
+    for a, g in zip(own, names, strict=True):
+        same &= F.col(a).eqNullSafe(F.col(g))
     met = values.join(F.broadcast(brackets), same).where(F.col("v") <= F.col("high"))  # a row a group and target
     counted = met.groupBy(*names, "k", "q", "n", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("value")).agg(F.count("*").alias("here"))
     so_far = F.sum("here").over(Window.partitionBy(*names, "k").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     place = F.col("q") * (F.col("n") - 1)
-    lower, upper = F.floor(place), F.ceil(place)
-    at = lambda rank: F.min(F.when(F.col("so_far") > rank, F.struct(F.col("so_far"), F.col("value"))))
-    ranked = counted.withColumn("so_far", so_far).withColumns({"lower": lower, "upper": upper, "place": place})
-    found = ranked.groupBy(*names, "k").agg(at(F.col("lower")).alias("a"), at(F.col("upper")).alias("b"), F.max("place").alias("place"), F.max("lower").alias("lower"), F.max("upper").alias("upper"))
+    at = lambda rank: F.min(F.when(F.col("so_far") > F.col(rank), F.struct(F.col("so_far"), F.col("value"))))
+    ranked = counted.withColumn("so_far", so_far).withColumns({"lower": F.floor(place), "upper": F.ceil(place), "place": place})
+    found = ranked.groupBy(*names, "k").agg(at("lower").alias("a"), at("upper").alias("b"), F.max("place").alias("place"), F.max("lower").alias("lower"), F.max("upper").alias("upper"))
     a, b = F.col("a.value"), F.col("b.value")
     between = F.when((F.col("lower") == F.col("upper")) | (a == b), a).otherwise((F.col("upper") - F.col("place")) * a + (F.col("place") - F.col("lower")) * b)
     # A bracket that misses its quantile would mean a sketch beyond its stated error.
     checked = F.when(a.isNull() | b.isNull(), F.raise_error(F.lit("a sketch missed its quantile")).cast("double")).otherwise(between)
     one = found.select(*names, "k", checked.alias("quantile"))
-    wide = one.groupBy(*names).agg(*[F.max(F.when(F.col("k") == k, F.col("quantile"))).alias(name) for k, name in enumerate(targets)])
-    every = df.select(*groups).groupBy(*groups).agg(F.count("*").alias("n__"))
-    keep = F.lit(True)
-    for g, a_ in zip(groups, names, strict=True):
-        keep &= F.col(g).eqNullSafe(F.col(a_))
+    wide = one.groupBy(*names).agg(*[F.max(F.when(F.col("k") == k, F.col("quantile"))).alias(f"t{k}") for k in n_of])
+    out = [F.col(f"t{k}").alias(name) for k, name in zip(n_of, targets, strict=True)]
     if not groups:
-        return wide
-    return every.join(F.broadcast(wide), keep, "left").select(*groups, *targets)
+        return wide.select(*out)
+    same = F.lit(True)
+    for a_, g in zip(own, names, strict=True):
+        same &= F.col(a_).eqNullSafe(F.col(g))
+    every = held.select(*own).distinct()
+    return every.join(F.broadcast(wide), same, "left").select(*[F.col(a_).alias(g) for a_, g in zip(own, groups, strict=True)], *out)
 
 
 def exact_median(df: DataFrame, groups: list[str], columns: dict[str, Column]) -> DataFrame:

@@ -50,11 +50,32 @@ def fake_break_placebos(spark, d):
     return out.select("series", "break_year", "fake_year", r4(F.col("coef")).alias("coef"), r4(F.col("fake_coef")).alias("fake_coef"), "repeats", "reason")
 
 
-QUERIES = {f.__name__: f for f in (unit_root_tests, panel_trend_tests, synthetic_effects, fake_break_placebos)}
+def panel_effects(spark, d):
+    """The effect on each region's first nation at two breaks, beside effects of nations and quarters, in logs."""
+    fits = refits.control_fits(_panel(spark, d), ["region"], "nation", "quarter", "total", "treated", [1997 * 4, 1999 * 4 + 2])
+    return fits.where("target = 'treated' AND left_out IS NULL").select("region", F.col("break_year").alias("break_quarter"), "n_before", "n_after", r4(F.col("did")).alias("effect"))
+
+
+def fake_break_steps(spark, d):
+    """The steps themselves, at real and fake breaks; null where a side has fewer than three months."""
+    return fake_break_placebos(spark, d).select("series", "break_year", "fake_year", "coef", "fake_coef")
+
+
+QUERIES = {f.__name__: f for f in (unit_root_tests, panel_trend_tests, synthetic_effects, panel_effects, fake_break_placebos, fake_break_steps)}
 
 SQL = {
     "unit_root_tests": """WITH m AS (SELECT o_orderpriority AS series, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS t, sum(o_totalprice) AS y FROM orders GROUP BY 1, 2),
       l AS (SELECT series, y - lag(y) OVER w AS d, lag(y) OVER w AS x FROM m WINDOW w AS (PARTITION BY series ORDER BY t)),
       r AS (SELECT series, regr_slope(d, x) AS b, regr_sxx(d, x) AS sxx, regr_syy(d, x) AS syy, count(d) AS n FROM l GROUP BY 1)
       SELECT series, round(b / sqrt((syy - b * b * sxx) / (n - 2) / sxx), 4) AS t, n + 1 AS n FROM r""",
+    "panel_effects": """WITH n AS (SELECT n_nationkey, n_regionkey AS region, n_name = min(n_name) OVER (PARTITION BY n_regionkey) AS treated FROM nation),
+      q AS (SELECT region, n_nationkey, treated, year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS t, ln(sum(o_totalprice)) AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN n ON c_nationkey = n_nationkey GROUP BY ALL),
+      full_q AS (SELECT q.* FROM q JOIN (SELECT region, t FROM q GROUP BY 1, 2 HAVING count(*) = (SELECT count(DISTINCT n_nationkey) FROM q x WHERE x.region = q.region)) USING (region, t)),
+      b AS (SELECT unnest([7988, 7998]) AS b)
+      SELECT region, b AS break_quarter, CAST(count(DISTINCT t) FILTER (WHERE t < b) AS INTEGER) AS n_before, CAST(count(DISTINCT t) FILTER (WHERE t >= b) AS INTEGER) AS n_after,
+        round(avg(y) FILTER (WHERE treated AND t >= b) - avg(y) FILTER (WHERE treated AND t < b) - (avg(y) FILTER (WHERE NOT treated AND t >= b) - avg(y) FILTER (WHERE NOT treated AND t < b)), 4) AS effect FROM full_q, b GROUP BY 1, 2""",
+    "fake_break_steps": """WITH m AS (SELECT o_orderpriority AS series, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS t, ln(sum(o_totalprice)) AS y FROM orders GROUP BY 1, 2),
+      s AS (SELECT series, b, CASE WHEN least(count(*) FILTER (WHERE t < b), count(*) FILTER (WHERE t >= b)) >= 3 THEN round(regr_intercept(y, t - b) FILTER (WHERE t >= b) - regr_intercept(y, t - b) FILTER (WHERE t < b), 4) END AS step
+        FROM m, (SELECT unnest([23988, 23964, 23941]) AS b) GROUP BY 1, 2)
+      SELECT x.series, x.b AS break_year, z.b AS fake_year, x.step AS coef, z.step AS fake_coef FROM s x JOIN s z ON x.series = z.series AND x.b = 23988 AND z.b <> 23988""",
 }
