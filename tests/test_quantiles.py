@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import grid
 from tidemark.operators.quantiles import exact_quantiles, rank_error
 
 
@@ -30,3 +31,18 @@ def test_many_rows_keep_to_their_bracket(spark):
     assert out.first().q == pytest.approx(0.3 * (n - 1))
     within = df.where(F.col("v").between(0.3 * n - rank_error(n), 0.3 * n + rank_error(n))).count()
     assert within < n / 100
+
+
+@pytest.mark.parametrize("seed,share", [(1, 0.02), (2, 0.3), (3, 0.9)])
+def test_nearest_sources_with_ties(spark, seed, share):
+    """Every cell against all sources, ties by row and column."""
+    rng = np.random.default_rng(seed)
+    places = [(r, c) for r in range(-7, 14) for c in range(-5, 17)]
+    sources = [p for p in places if rng.random() < share] + [(40, 3)]
+    asked = [p for p in places if rng.random() < 0.8] + [(2, 60), (300, -90)]
+    df = spark.createDataFrame([(r, c, f"{r},{c}") for r, c in sources], "row int, col int, v string")
+    cells = spark.createDataFrame(asked, "row int, col int")
+    got = {(r.row, r.col): (r.d2, r.v) for r in grid.nearest_value(cells, df, "v").collect()}
+    want = {(r, c): min(((r - i) ** 2 + (c - j) ** 2, i, j) for i, j in sources) for r, c in asked}
+    assert got == {k: (d, f"{i},{j}") for k, (d, i, j) in want.items()}
+    assert grid.nearest_value(cells, df.limit(0), "v").count() == 0

@@ -5,11 +5,10 @@ no dense array."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.checkpoints import checkpoint_dir
@@ -178,26 +177,69 @@ def composite(scenes: DataFrame, bands: list[str]) -> DataFrame:
     return scenes.groupBy("row", "col").agg(*[F.median(b).alias(b) for b in bands], *[F.count(b).alias(f"n_{b}") for b in bands])
 
 
-def nearest_value(cells: DataFrame, sources: DataFrame, value: str, side: int = 6) -> DataFrame:
-    """(row, col, value, d2) of the nearest source cell, however far; ties go to the smaller row, then column (G8). Cells and
-    sources are dealt by blocks of a side, so far ones never meet; cells without a source within the side search on with four
-    times the side, until all have one. Each round is a checkpoint. Without any source there are no rows."""
-    checkpoint_dir(cells.sparkSession)
-    left = cells.select("row", "col").distinct().checkpoint()
-    sources = sources.select(F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).alias("v")).checkpoint()
-    found = [_nearest_within(left, sources, value, side).checkpoint()]
-    if sources.isEmpty():
-        return found[0]
-    while not (left := left.join(found[-1].select("row", "col"), ["row", "col"], "left_anti").checkpoint()).isEmpty():
-        side *= 4
-        found.append(_nearest_within(left, sources, value, side).checkpoint())
-    return reduce(DataFrame.unionByName, found)
-
-
-def _nearest_within(cells: DataFrame, sources: DataFrame, value: str, side: int) -> DataFrame:
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in SQUARE])
-    spread_out = sources.select("sr", "sc", "v", F.explode(near).alias("s")).select("sr", "sc", "v", (F.floor(F.col("sr") / side) + F.col("s.i")).alias("br"), (F.floor(F.col("sc") / side) + F.col("s.j")).alias("bc"))
-    own = cells.select("row", "col", F.floor(F.col("row") / side).alias("br"), F.floor(F.col("col") / side).alias("bc"))
-    d2 = (F.col("row") - F.col("sr")) * (F.col("row") - F.col("sr")) + (F.col("col") - F.col("sc")) * (F.col("col") - F.col("sc"))
-    best = own.join(spread_out, ["br", "bc"]).withColumn("d2", d2).where(F.col("d2") <= side * side).groupBy("row", "col").agg(F.min(F.struct("d2", "sr", "sc", "v")).alias("b"))
-    return best.select("row", "col", F.col("b.v").alias(value), "b.d2")
+def nearest_value(cells: DataFrame, sources: DataFrame, value: str) -> DataFrame:
+    """(row, col, value, d2) of the nearest source cell, however far; ties go to the smaller row, then column (G8). Distances are
+    found along columns first, by windows over each column with a source, then along rows, by the lower envelope of one parabola a
+    column: so the work grows with the rows of cells times the columns of sources, and a task holds one row or column at a time.
+    Without any source there are no rows."""
+    own = cells.select(F.col("row").cast("long"), F.col("col").cast("long")).distinct()
+    known = sources.groupBy(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).agg(F.min(value).alias("v"))
+    lines = own.select("row").distinct().crossJoin(known.select("col").distinct())  # a column's distances at each row of cells
+    # The sources' own rows must be there too, for windows to find them.
+    places = lines.select("row", "col", F.lit(True).alias("asked")).unionByName(known.select("row", "col", F.lit(False).alias("asked")))
+    marked = places.groupBy("row", "col").agg(F.max("asked").alias("asked")).join(known.withColumn("sr", F.col("row")), ["row", "col"], "left")
+    source = F.when(F.col("sr").isNotNull(), F.struct("sr", "v"))
+    w = Window.partitionBy("col").orderBy("row")
+    above = F.last(source, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    below = F.first(source, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = marked.select("row", "col", "asked", above.alias("a"), below.alias("b")).where("asked")
+    up = F.col("b").isNull() | (F.col("row") - F.col("a.sr") <= F.col("b.sr") - F.col("row"))
+    best = F.when(F.col("a").isNotNull() & up, F.col("a")).otherwise(F.col("b"))
+    along = near.select((F.col("row") + 0).alias("line"), (F.col("col") + 0).alias("sc"), best.alias("s")).select("line", "sc", "s.sr", "s.v")
+    schema = f"row long, col long, `{value}` {dict(known.dtypes)['v']}, d2 long"
+
+    names = ["row", "col", value, "d2"]
+
+    def across(line: pa.Table, parabolas: pa.Table) -> pa.Table:
+        own_type = parabolas.schema.field("v").type
+        if not len(line) or not len(parabolas):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), own_type, pa.int64())], names)
+        parabolas = parabolas.sort_by("sc")
+        asked = np.sort(line.column("col").to_numpy())
+        row = line.column("row")[0].as_py()
+        at, d2 = lowest(asked, parabolas.column("sc").to_numpy(), parabolas.column("sr").to_numpy(), row)
+        return pa.table([pa.array(np.full(len(asked), row)), pa.array(asked), parabolas.column("v").combine_chunks().take(pa.array(at)), pa.array(d2)], names)
+
+    return own.groupBy("row").cogroup(along.groupBy("line")).applyInArrow(across, schema)
+
+
+def lowest(asked: np.ndarray, cols: np.ndarray, rows: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each asked column (ascending) which of the sources (rows, cols), one a column and ascending, is nearest to it in a row,
+    and the squared distance; ties go to the smaller row, then column. Numbers are whole, so ties are exact."""
+    heights = [(int(r) - row) ** 2 for r in rows]
+    cols, rows = cols.tolist(), rows.tolist()
+    # The envelope: sources in order, each with the point (as a fraction) from which it is no farther than the one before.
+    kept: list[int] = [0]
+    starts: list[tuple[int, int]] = [(0, 0)]
+    for j in range(1, len(cols)):
+        while True:
+            i = kept[-1]
+            top, bottom = heights[j] + cols[j] ** 2 - heights[i] - cols[i] ** 2, 2 * (cols[j] - cols[i])
+            if len(kept) > 1 and top * starts[-1][1] < starts[-1][0] * bottom:
+                kept.pop()
+                starts.pop()
+            else:
+                break
+        kept.append(j)
+        starts.append((top, bottom))
+    at, d2, k = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64), 0
+    for n, x in enumerate(asked.tolist()):
+        while k + 1 < len(kept) and starts[k + 1][0] < x * starts[k + 1][1]:
+            k += 1
+        found, m = None, k
+        while m < len(kept) and (m == k or starts[m][0] <= x * starts[m][1]):
+            j = kept[m]
+            one = (heights[j] + (x - cols[j]) ** 2, rows[j], cols[j], j)
+            found, m = one if found is None else min(found, one), m + 1
+        at[n], d2[n] = found[3], found[0]
+    return at, d2
