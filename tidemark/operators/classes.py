@@ -125,16 +125,40 @@ def footprints(df: DataFrame, year: str, domain: str, licence: int, ratio: float
 
 
 def footprint_sweep(df: DataFrame, year: str, domains: dict[str, str], licence: int, ratios: list[float], cell_km2: float) -> DataFrame:
-    """(domain, ratio, lasting, year, km2) of the footprint under every combination of parameters, 0 where it is empty."""
-    years = df.select(year).distinct()
-    rows = []
-    for name, column in domains.items():
+    """(domain, ratio, lasting, year, km2) of the footprint under every combination of parameters, 0 where it is empty (G11). The
+    table is read once for the medians of all domains and once for the seeds of all combinations, which are rows from there on."""
+    names, columns = list(domains), list(domains.values())
+    dry_land = F.col("valid") & ~F.coalesce(F.col("mndwi") > 0, F.lit(False))
+    cuts = {f"{band}_{k}__": (F.when(dry_land & ~F.col(c), F.col(band)), 0.5) for k, c in enumerate(columns) for band in ("ndvi", "ndvi_wet")}
+    marked = df.join(F.broadcast(exact_quantiles(df, [year], cuts)), year)  # a row a year
+    dry = is_number("ndvi", "ndvi_wet", "mndwi") & (F.col("mndwi") <= 0)
+    cases = []
+    for k, c in enumerate(columns):
         for ratio in ratios:
-            for lasting in (False, True):
-                n = footprints(df, year, column, licence, ratio, lasting).groupBy(year).agg(F.count("*").alias("n"))
-                area = years.join(n, year, "left").select(F.lit(name).alias("domain"), F.lit(ratio).alias("ratio"), F.lit(lasting).alias("lasting"), year, (F.coalesce("n", F.lit(0)) * cell_km2).alias("km2"))
-                rows.append(area)
-    return reduce(DataFrame.unionByName, rows)
+            bare = dry & (F.col("ndvi_wet") < ratio * F.col(f"ndvi_wet_{k}__")) & (F.col("ndvi") < ratio * F.col(f"ndvi_{k}__"))
+            seed = F.col(c) & (F.col(year) >= licence) & ((F.coalesce(bare, F.lit(False)) & F.col("valid")) | F.col("built"))
+            cases.append(F.when(seed, F.struct(F.lit(names[k]).alias("domain"), F.lit(ratio).alias("ratio"))))
+    key = ["domain", "ratio", "year"]
+    seeds = marked.select(F.col(year).alias("year"), "row", "col", F.explode(F.array_compact(F.array(*cases))).alias("case")).select("case.*", "year", "row", "col")
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in grid.SQUARE])).alias("s")
+
+    def moved(cells: DataFrame) -> DataFrame:
+        return cells.select(*key, "row", "col", steps).select(*key, (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"))
+
+    full = moved(moved(seeds).distinct()).groupBy(*key, "row", "col").agg(F.count("*").alias("n")).where(F.col("n") == len(grid.SQUARE))
+    held = [F.when(F.col(c), F.lit(n)) for n, c in domains.items()]
+    within = df.select("row", "col", F.explode(F.array_compact(F.array(*held))).alias("domain")).distinct()
+    closed = full.select(*key, "row", "col").join(within, ["domain", "row", "col"], "left_semi")
+    # A cell's first year in a combination serves the lasting footprint of all later ones.
+    w = Window.partitionBy("domain", "ratio", "row", "col")
+    counted = closed.withColumn("first", F.min("year").over(w)).groupBy(*key).agg(F.count("*").alias("n"), F.count_if(F.col("first") == F.col("year")).alias("new"))
+    combos = df.sparkSession.createDataFrame([(n, float(r)) for n in names for r in ratios], "domain string, ratio double")
+    every = df.select(F.col(year).alias("year")).distinct().crossJoin(F.broadcast(combos))  # years and parameters: a few rows
+    filled = every.join(counted, key, "left").na.fill(0, ["n", "new"])
+    so_far = F.sum("new").over(Window.partitionBy("domain", "ratio").orderBy("year").rowsBetween(Window.unboundedPreceding, 0))
+    both = F.array(F.struct(F.lit(False).alias("lasting"), F.col("n")), F.struct(F.lit(True).alias("lasting"), F.col("so_far").alias("n")))
+    rows = filled.withColumn("so_far", so_far).select(*key, F.explode(both).alias("b"))
+    return rows.select("domain", "ratio", "b.lasting", F.col("year").alias(year), (F.col("b.n") * cell_km2).alias("km2"))
 
 
 def class_areas(df: DataFrame, group: list[str], kind: str, cell_km2: float) -> DataFrame:
