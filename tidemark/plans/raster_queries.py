@@ -16,7 +16,7 @@ def tile_window(spark, d):
     folder = "/" + folder.lstrip("/") if "://" not in folder else folder
     grid = part_grid(spark, d).select("row", "col", F.col("p_size").cast("double").alias("v"))
     raster_tiles.write_tiles(grid, folder, "v", west=0.0, north=0.0, size=30.0, tile=16)
-    read = raster_tiles.read_tiles(spark, folder, (300.0, -900.0, 900.0, -150.0), block_rows=8)
+    read = raster_tiles.read_tiles(spark, folder, (300.0, -900.0, 900.0, -30.0), block_rows=8)
     row, col = GeoBox(0.0, 0.0, 30.0, 1, 1).cell(F.col("x"), F.col("y"))
     return read.where("value IS NOT NULL").select(row.alias("row"), col.alias("col"), F.col("value").cast("long").alias("size"))
 
@@ -62,7 +62,7 @@ _MOSAIC = """m AS (SELECT l_partkey % 60 AS row, l_suppkey % 50 AS col, arg_min(
 
 SQL = {
     "tile_window": """SELECT p_partkey // 45 AS row, p_partkey % 45 AS col, CAST(p_size AS BIGINT) AS size FROM part
-      WHERE (p_partkey % 45 + 0.5) * 30 BETWEEN 300 AND 900 AND -(p_partkey // 45 + 0.5) * 30 BETWEEN -900 AND -150""",
+      WHERE (p_partkey % 45 + 0.5) * 30 BETWEEN 300 AND 900 AND -(p_partkey // 45 + 0.5) * 30 BETWEEN -900 AND -30""",
     "tile_mosaic": f"WITH {_MOSAIC} SELECT row, col, value FROM m",
     "mosaic_nearest": f"WITH {_MOSAIC} SELECT p_partkey, round(value, 4) AS value FROM p LEFT JOIN m ON row = floor(y + 0.5::DOUBLE) AND col = floor(x + 0.5::DOUBLE)",
     "mosaic_bilinear": f"""WITH {_MOSAIC}, q AS (SELECT p_partkey, x, y, floor(y) + i AS r, floor(x) + j AS c FROM p, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)),

@@ -91,8 +91,8 @@ def buffered_sites(spark, d):
     """Parts' cells within reach of suppliers' places; suppliers in debt have no place."""
     p = part_grid(spark, d).select("row", "col", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
     s = table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal") / 220).alias("x"), (F.col("s_suppkey") % 45).cast("double").alias("y"))
-    inside = shapes.within_buffers(p, s, "x", "y", 1.5).agg(F.count("*").alias("n"), F.sum("row").alias("rows"))
-    return inside.select(F.lit("inside").alias("what"), "n", "rows").unionByName(shapes.buffers(s, "x", "y")[1].agg(F.lit("no place").alias("what"), F.count("*").alias("n"), F.sum("s_suppkey").alias("rows")))
+    inside = shapes.within_buffers(p, s, "x", "y", 1.5).agg(F.count("*").alias("n"), F.coalesce(F.sum("row"), F.lit(0)).alias("rows"))
+    return inside.select(F.lit("inside").alias("what"), "n", "rows").unionByName(shapes.buffers(s, "x", "y")[1].agg(F.lit("no place").alias("what"), F.count("*").alias("n"), F.coalesce(F.sum("s_suppkey"), F.lit(0)).alias("rows")))
 
 
 QUERIES = {f.__name__: f for f in (zone_polygons, polygon_samples, shared_boundaries, simplified_areas, covered_cells, triangle_shares, line_cells, dissolved_squares, buffered_sites)}
@@ -135,6 +135,6 @@ SQL = {
       c AS (SELECT DISTINCT label, row, unnest(range(CAST(floor(least(a, b)) AS BIGINT), CAST(floor(greatest(a, b)) AS BIGINT) + 1)) AS col FROM x)
       SELECT label, count(*) AS cells, CAST(sum(row) AS BIGINT) AS rows, CAST(sum(col) AS BIGINT) AS cols FROM c GROUP BY 1""",
     "buffered_sites": """WITH p AS (SELECT p_partkey // 45 AS row, p_partkey % 45 AS col FROM part), s AS (SELECT s_suppkey, CASE WHEN s_acctbal >= 0 THEN s_acctbal / 220 END AS x, CAST(s_suppkey % 45 AS DOUBLE) AS y FROM supplier)
-      SELECT 'inside' AS what, count(*) AS n, CAST(sum(row) AS BIGINT) AS rows FROM p WHERE EXISTS (SELECT 1 FROM s WHERE (x - col) ** 2 + (y - row) ** 2 <= 2.25)
-      UNION ALL SELECT 'no place', count(*), CAST(sum(s_suppkey) AS BIGINT) FROM s WHERE x IS NULL""",
+      SELECT 'inside' AS what, count(*) AS n, CAST(coalesce(sum(row), 0) AS BIGINT) AS rows FROM p WHERE EXISTS (SELECT 1 FROM s WHERE (x - col) ** 2 + (y - row) ** 2 <= 2.25)
+      UNION ALL SELECT 'no place', count(*), CAST(coalesce(sum(s_suppkey), 0) AS BIGINT) FROM s WHERE x IS NULL""",
 }
