@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import grid
-from tidemark.operators.quantiles import exact_quantiles, rank_error
+from tidemark.operators.quantiles import counts_below, exact_quantiles, rank_error
 
 
 def test_equal_to_numpy(spark):
@@ -46,3 +46,17 @@ def test_nearest_sources_with_ties(spark, seed, share):
     want = {(r, c): min(((r - i) ** 2 + (c - j) ** 2, i, j) for i, j in sources) for r, c in asked}
     assert got == {k: (d, f"{i},{j}") for k, (d, i, j) in want.items()}
     assert grid.nearest_value(cells, df.limit(0), "v").count() == 0
+
+
+def test_counts_below(spark):
+    rng = np.random.default_rng(9)
+    values = {g: np.sort(rng.choice(2000, 700, replace=False)) for g in "ab"}
+    times = {g: rng.integers(1, 5, 700) for g in "ab"}
+    rows = [(g, float(v), int(n)) for g in "ab" for v, n in zip(values[g], times[g], strict=True)]
+    df = spark.createDataFrame(rows, "g string, v double, n long").repartition(6)
+    got = {(r.g, r.v): (r.below__, r.total__) for r in counts_below(df, ["g"], "v", "n").collect()}
+    for g in "ab":
+        so_far = np.cumsum(times[g]) - times[g]
+        assert [got[g, float(v)] for v in values[g]] == [(int(x), int(times[g].sum())) for x in so_far]
+    one = {r.v: r.below__ for r in counts_below(df.where("g = 'a'"), [], "v", "n").collect()}
+    assert one == {float(v): int(x) for v, x in zip(values["a"], np.cumsum(times["a"]) - times["a"], strict=True)}

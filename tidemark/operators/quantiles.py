@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.checkpoints import checkpoint_dir
+
 #: A sketch's rank is off by a row in so many at most; the bracket has three times as much room on each side. So many rows need none.
 ACCURACY = 10_000
 ROOM = 3 / ACCURACY
@@ -59,6 +61,21 @@ def exact_quantiles(df: DataFrame, groups: list[str], targets: dict[str, tuple[C
     return every.join(F.broadcast(wide), same, "left").select(*[F.col(a_).alias(g) for a_, g in zip(own, groups, strict=True)], *out)
 
 
+def counts_below(counts: DataFrame, groups: list[str], value: str, n: str) -> DataFrame:
+    """The rows (groups, value, n, ...), one for each value of a group, with `below__`, how much of n smaller values of the group
+    have, and `total__`, that of all. Values are dealt by range and summed within their part; a group's parts, a row each, give the
+    rest, so no task holds a whole group. Rows of null groups are lost."""
+    checkpoint_dir(counts.sparkSession)
+    dealt = counts.repartitionByRange(*groups, value).withColumn("part__", F.spark_partition_id()).checkpoint()
+    key = [*groups, "part__"]
+    sums = dealt.groupBy(*key).agg(F.sum(n).alias("own__"))
+    over = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))  # a row a part
+    before = F.coalesce(F.sum("own__").over(over.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sums.withColumn("before__", before).withColumn("total__", F.sum("own__").over(over)).drop("own__")
+    within = F.coalesce(F.sum(n).over(Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("within__", within).join(parts, key).withColumn("below__", F.col("before__") + F.col("within__")).drop("part__", "before__", "within__")
+
+
 def exact_median(df: DataFrame, groups: list[str], columns: dict[str, Column]) -> DataFrame:
     return exact_quantiles(df, groups, {name: (c, 0.5) for name, c in columns.items()})
 

@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.quantiles import counts_below, exact_quantiles
 
 
 def average_rank(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """`rank` (ties share their mean) and `ecdf` within a group. Values are counted first, so that the window sees each value
-    once; rows with a null value get null."""
+    """`rank` (ties share their mean) and `ecdf` within a group. Values are counted first, and no task holds
+    all values of a group; rows with a null value get null."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("same"))
-    w = Window.partitionBy(*group)
-    before = F.coalesce(F.sum("same").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("rank", before + (F.col("same") + 1) / 2).withColumn("ecdf", F.col("rank") / F.sum("same").over(w)).drop("same")
+    below = counts_below(counts, group, value, "same")
+    ranks = below.withColumn("rank", F.col("below__") + (F.col("same") + 1) / 2).withColumn("ecdf", F.col("rank") / F.col("total__")).drop("same", "below__", "total__")
     return df.join(ranks, [*group, value], "left")
 
 

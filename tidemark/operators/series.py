@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import counts_below
+
 
 def cagr(first: Column, last: Column, years: Column) -> Column:
     """Compound annual growth; null rather than 0 where it isn't defined."""
@@ -72,11 +74,12 @@ def pivoted(df: DataFrame, row: str, column: str, value: str, names: list) -> Da
 
 
 def placebo_ranks(df: DataFrame, statistic: str) -> DataFrame:
-    """`place` by falling statistic and permutation p = place / n. Statistics are counted by value before they are ranked, so
-    the ranking sees distinct values only."""
+    """`place` by falling statistic and permutation p = place / n. Statistics are counted by value, and no task ranks
+    them all."""
     values = df.where(F.col(statistic).isNotNull()).groupBy(statistic).agg(F.count("*").alias("n"))
-    down = Window.orderBy(F.col(statistic).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = values.withColumn("place", F.coalesce(F.sum("n").over(down), F.lit(0)) + 1).withColumn("p", F.col("place") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    below = counts_below(values, [], statistic, "n")
+    place = F.col("total__") - F.col("below__") - F.col("n") + 1
+    ranks = below.withColumn("place", place).withColumn("p", place / F.col("total__")).drop("below__", "total__")
     return df.join(ranks.drop("n"), statistic)
 
 
