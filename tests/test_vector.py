@@ -54,7 +54,7 @@ def patches(cells):
     return Counter(first.values())
 
 
-@pytest.mark.parametrize("seed,n,tile", [(1, 13, 4), (2, 15, 256), (3, 9, 1)])
+@pytest.mark.parametrize("seed,n,tile", [(1, 8, 4), (2, 15, 256)])
 def test_polygons_equal_a_plain_tracer(spark, seed, n, tile):
     cells = random_cells(seed, n)
     found = vector.polygons(frame(spark, cells), tile=tile)
@@ -101,7 +101,7 @@ def meet_wrongly(one, two):
     return within(p, u, w) or within(q, u, w) or within(u, p, q) or within(w, p, q)
 
 
-@pytest.mark.parametrize("seed,tile", [(4, 256), (5, 6)])
+@pytest.mark.parametrize("seed,tile", [(4, 256), (5, 12)])
 def test_simplified_neighbours_share_their_boundary(spark, seed, tile):
     rng = random.Random(seed)
     discs = [(rng.uniform(0, 22), rng.uniform(0, 22), rng.choice("abc")) for _ in range(6)]
@@ -215,7 +215,7 @@ def test_touched_cells_equal_intersection(spark):
 
 def test_dissolved_squares_keep_the_outline(spark):
     """The union of unit squares has the same rings as the polygons of the cells."""
-    cells = random_cells(9, 7, "aab")
+    cells = random_cells(9, 4, "aab")
     square = lambda r, c: [[{"x": float(c + i), "y": float(r + j)} for i, j in ((0, 0), (0, 1), (1, 1), (1, 0))]]
     squares = spark.createDataFrame([(z, square(r, c)) for (r, c), z in cells.items()], f"zone string, rings {zones.RINGS}")
     areas = shapes.ring_areas(shapes.dissolved(squares, ["zone"]), ["zone"]).collect()
@@ -232,8 +232,8 @@ def test_buffers(spark):
 
 
 def test_linking(spark):
-    links = spark.createDataFrame([(k, k + 1) for k in range(30, 60)] + [(60, 4), (7, 9), (5, 5)], "a long, b long")
-    assert {r.local: r.label for r in linking.smallest_linked(links).collect()} == {**{k: 4 for k in [4, *range(30, 61)]}, 7: 7, 9: 7}
+    links = spark.createDataFrame([(k, k + 1) for k in range(30, 38)] + [(38, 4), (7, 9), (5, 5)], "a long, b long")
+    assert {r.local: r.label for r in linking.smallest_linked(links).collect()} == {**{k: 4 for k in [4, *range(30, 39)]}, 7: 7, 9: 7}
     ring = [13, 2, 8, 21, 5, 34, 1]
     parts = spark.createDataFrame([(a, b, a) for a, b in zip(ring, ring[1:] + ring[:1])] + [(100, 100, 3)], "head long, next long, n long")
     assert {r.head: (r.ring, r.at) for r in linking.ring_order(parts).collect()} == {100: (100, 0), 1: (1, 0), 13: (1, 1), 2: (1, 14), 8: (1, 16), 21: (1, 24), 5: (1, 45), 34: (1, 50)}
