@@ -1,11 +1,11 @@
 """Cells and points in a table of polygons, and statistics by zone.
 
 A polygon is a row (zone, rings): `rings` is an array of arrays of struct(x, y), outer rings and holes alike, as the even-odd rule
-tells them apart. Polygons and points are dealt by square cells, so that only points near a polygon's box meet it."""
+tells them apart. Sides and points are dealt by square cells, so that a point meets only the sides in its cell."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RINGS = "array<array<struct<x:double,y:double>>>"
@@ -39,23 +39,82 @@ def distance(x: Column, y: Column, sides: Column) -> Column:
     return F.array_min(F.transform(sides, to_side))
 
 
-def located(points: DataFrame, polygons: DataFrame, x: str, y: str, cell: float, zone: str = "zone", buffer: float = 0.0) -> DataFrame:
-    """The points with the zone of each polygon that holds them, or that lies within `buffer` of them; a point in several zones
-    gives several rows (J12-J14). cell: the side of the squares by which both are dealt; boxes of polygons are cut into these."""
-    shapes = polygons.select(zone, edges(F.col("rings")).alias("sides__")).where(F.size("sides__") > 0)
+def _at(e: Column, y: Column) -> Column:
+    """Where the line of a side is at a height; null for level sides."""
+    return F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
+
+
+def _spans(e: Column, y: Column) -> Column:
+    return (e["y1"] > y) != (e["y2"] > y)
+
+
+def _crossed(x: Column, y: Column, right: Column, top: Column, sides: Column) -> Column:
+    """How many of the sides, up to an even number, a way from a point crosses that goes level to `right`, then up to `top`.
+
+    A point on a side lies to its right, as in inside(): which side of it the bend is on follows from the same comparison for both
+    parts of the way, so that no rounding lets one part cross where the other doesn't."""
+
+    def above(e: Column, height: Column) -> Column:
+        falls = (e["x2"] > e["x1"]) != (e["y2"] > e["y1"])
+        return F.when(_spans(e, height), (right < _at(e, height)) == falls).otherwise(e["y1"] > height)
+
+    def odd(e: Column) -> Column:
+        level = F.when(_spans(e, y), (x < _at(e, y)) != (right < _at(e, y))).otherwise(F.lit(False))
+        upward = F.when((e["x1"] > right) != (e["x2"] > right), above(e, y) != above(e, top)).otherwise(F.lit(False))
+        return level != upward
 
-    def end(f, k: str) -> Column:
-        return f(F.concat(F.transform("sides__", lambda e: e[f"{k}1"]), F.transform("sides__", lambda e: e[f"{k}2"])))
+    return F.size(F.filter(sides, odd))
 
-    def bin_of(c: Column) -> Column:
-        return F.floor(c / cell)
 
-    boxed = shapes.withColumn("bx__", F.explode(F.sequence(bin_of(end(F.array_min, "x") - buffer), bin_of(end(F.array_max, "x") + buffer)))).withColumn("by__", F.explode(F.sequence(bin_of(end(F.array_min, "y") - buffer), bin_of(end(F.array_max, "y") + buffer))))
-    own = points.withColumn("bx__", bin_of(F.col(x))).withColumn("by__", bin_of(F.col(y)))
-    hit = inside(F.col(x), F.col(y), F.col("sides__"))
+def _squares(polygons: DataFrame, zone: str, cell: float, buffer: float) -> DataFrame:
+    """(zone__, shape__, copies__, bx__, by__, sides__, corner__): the squares that a side of a polygon, widened by the buffer, meets,
+    with these sides alone, and squares within; corner__: 1 where the upper right corner of the square lies within.
+
+    Sides are cut by rows of squares and then by columns. Corners come from the sides that cross a line of the grid: in order,
+    each odd one opens a stretch within that the next one closes."""
+    named = polygons.select(F.col(zone).alias("zone__"), F.col("rings").alias("rings__"), F.xxhash64("rings").alias("shape__"))
+    whole = named.groupBy("zone__", "shape__").agg(F.count("*").alias("copies__"), F.first("rings__").alias("rings__"))
+    key = ["zone__", "shape__", "copies__"]
+    side = whole.select(*key, F.explode(edges(F.col("rings__"))).alias("side__"))
+    e = F.col("side__")
+    low, high = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
+    wide = buffer + cell * 1e-6  # a side on the line between two squares counts for both
+
+    def bins(start: Column, end: Column) -> Column:
+        return F.explode(F.sequence(F.floor(start / cell), F.floor(end / cell)))
+
+    rows = side.withColumn("by__", bins(low - wide, high + wide))
+    ends = [(F.col("by__") * cell - wide), ((F.col("by__") + 1) * cell + wide)]
+    cut = [F.coalesce(_at(e, F.least(F.greatest(end, low), high)), other) for end, other in zip(ends, (e["x1"], e["x2"]), strict=True)]
+    met = rows.withColumn("bx__", bins(F.least(*cut) - wide, F.greatest(*cut) + wide)).select(*key, "bx__", "by__", "side__", F.lit(0).alias("corner__"))
+
+    lines = side.withColumn("line__", bins(low, high + cell)).where(_spans(e, F.col("line__") * cell))
+    lines = lines.select(*key, "line__", _at(e, F.col("line__") * cell).alias("x__"))
+    order = Window.partitionBy("zone__", "shape__", "line__").orderBy("x__")
+    stretches = lines.withColumn("to__", F.lead("x__").over(order)).withColumn("n__", F.row_number().over(order)).where(F.col("n__") % 2 == 1)
+    within = stretches.withColumn("bx__", bins(F.col("x__") - 2 * cell, F.col("to__")))
+    corner = (F.col("bx__") + 1) * cell
+    within = within.where((F.col("x__") <= corner) & (corner < F.col("to__")))
+    none = F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>")
+    within = within.select(*key, "bx__", (F.col("line__") - 1).alias("by__"), none.alias("side__"), F.lit(1).alias("corner__"))
+    return met.unionByName(within).groupBy(*key, "bx__", "by__").agg(F.collect_list("side__").alias("sides__"), F.max("corner__").alias("corner__"))
+
+
+def located(points: DataFrame, polygons: DataFrame, x: str, y: str, cell: float, zone: str = "zone", buffer: float = 0.0) -> DataFrame:
+    """The points with the zone of each polygon that holds them, or that lies within `buffer` of them; a point in several polygons
+    gives several rows (J12-J14). Polygons are told apart by zone and rings, repeated ones by their number.
+
+    cell: the side of the squares by which both are dealt. A point meets only the sides in its square: whether the corner of the
+    square lies within is known, and the sides crossed on the way to it tell the rest. Points without both numbers lie nowhere."""
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    own = points.where(~F.isnan(px) & ~F.isnan(py)).withColumn("bx__", F.floor(px / cell)).withColumn("by__", F.floor(py / cell))
+    right, top = (F.col("bx__") + 1) * cell, (F.col("by__") + 1) * cell
+    hit = (_crossed(px, py, right, top, F.col("sides__")) + F.col("corner__")) % 2 == 1
     if buffer:
-        hit = hit | (distance(F.col(x), F.col(y), F.col("sides__")) <= buffer)
-    return own.join(boxed, ["bx__", "by__"]).where(hit).select(*points.columns, zone)
+        hit = hit | F.coalesce(distance(px, py, F.col("sides__")) <= buffer, F.lit(False))
+    found = own.join(_squares(polygons, zone, cell, buffer), ["bx__", "by__"]).where(hit)
+    each = found.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__"))))
+    return each.select(*points.columns, F.col("zone__").alias(zone))
 
 
 def outside(points: DataFrame, polygons: DataFrame, key: list[str], x: str, y: str, cell: float, buffer: float) -> DataFrame:
