@@ -249,7 +249,7 @@ def test_index_finds_the_same_in_batches(spark):
         for k in range(parts):
             for r in index.add(rows.where(F.col("doc_id") % parts == k).select("h1", "h2", "text")).collect():
                 out[r.h1] |= set(range(r.start, r.end))
-        return dict(out), [n for _, n in index.levels]
+        return dict(out), [level.n for level in index.levels]
 
     whole, one = covered(1, 2000)
     # The only copies of whole texts are those of one text, which a batch counts instead of noting their spans.
@@ -260,6 +260,50 @@ def test_index_finds_the_same_in_batches(spark):
         assert len(levels) <= 3 and len(one) == 1
 
 
+def test_hot_hashes_are_counted_over_all_levels(spark):
+    """Each batch has few entries of the hash at the edge of a shared passage, all batches together many."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(n))
+    shared = word(260)
+    texts = [word(300) + shared + word(300) for _ in range(24)]
+    rows = documents(spark, texts).select("doc_id", *suffix_dedup.text_names(F.col("text")), "text")
+    index, out = suffix_dedup.Index(spark, hot=8), defaultdict(set)
+    for k in range(6):
+        for r in index.add(rows.where(F.col("doc_id") % 6 == k).select("h1", "h2", "text")).collect():
+            out[r.h1] |= set(range(r.start, r.end))
+        held = [old.groupBy("key").count() for old in index.entries()]
+        most = held[0].unionByName(held[-1]) if len(held) > 1 else held[0]
+        for more in held[1:-1]:
+            most = most.unionByName(more)
+        assert most.groupBy("key").agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0] <= 8
+    assert not index.hot[0].isEmpty() and len(index.levels) <= 3
+    removed = {r.h1: brute_removed([r.text])[0] for r in rows.collect()}
+    assert set(out) == set(removed) and all(len(x) >= 260 for x in out.values())
+    whole = brute_removed(texts)
+    assert sorted(len(x) for x in out.values()) == sorted(v[1] for v in whole.values())
+
+
+def test_a_saved_index_is_opened_again(spark, tmp_path):
+    texts = [x for x in passages(8) if x]
+    rows = documents(spark, texts).select("doc_id", *suffix_dedup.text_names(F.col("text")), "text")
+    batch = lambda k: rows.where(F.col("doc_id") % 3 == k).select("h1", "h2", "text")
+    place = "file://" + str(tmp_path / "state")
+    for hot in (2000, 2):
+        plain = suffix_dedup.Index(spark, hot=hot)
+        want = [sorted(plain.add(batch(k)).collect()) for k in range(3)]
+        index = suffix_dedup.Index(spark, hot=hot)
+        got = [sorted(index.add(batch(k)).collect()) for k in range(2)]
+        index.save(f"{place}-{hot}")
+        # What another session has: the files, and no table of the catalogue.
+        for level in index.levels:
+            spark.sql(f"DROP TABLE {level.entries}"), spark.sql(f"DROP TABLE {level.texts}")
+        again = suffix_dedup.Index.open(spark, f"{place}-{hot}")
+        assert again.levels == index.levels and (again.length, again.hot_contexts) == (200, hot)
+        assert [*got, sorted(again.add(batch(2)).collect())] == want
+        # The saved state is as it was, though the opened index has merged levels.
+        assert sorted(suffix_dedup.Index.open(spark, f"{place}-{hot}").add(batch(2)).collect()) == want[2]
+
+
 def test_matched_windows():
     rng = random.Random(7)
     for _ in range(20):

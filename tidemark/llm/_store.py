@@ -50,18 +50,48 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_buckets(df: DataFrame, name: str, column: str, *order: str, dealt: bool = False) -> DataFrame:
-    """The rows as a written table in buckets of a column, as many as a shuffle has partitions, each in order of the column and
-    of those in `order`: joins by the column don't move them. dealt: they lie by the column already, as after a groupBy."""
+def keep_table(df: DataFrame, name: str, column: str, *order: str, dealt: bool = False) -> str:
+    """The name of a written table of the rows, in buckets of a column, as many as a shuffle has partitions, each in order of the
+    column and of those in `order`: joins by the column don't move them. dealt: they lie by the column already, as after a
+    groupBy."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = new_path(spark, name)
-    table = path.rsplit("/", 1)[1].replace("-", "_")
+    table = _table_of(path)
     rows = df if dealt else df.repartition(n, column)
     rows.write.bucketBy(n, column).sortBy(column, *order).option("path", path).format("parquet").saveAsTable(table)
     _paths.append(path)
     _tables.append(table)
-    return spark.table(table)
+    return table
+
+
+def _table_of(path: str) -> str:
+    return path.rsplit("/", 1)[1].replace("-", "_")
+
+
+def keep_buckets(df: DataFrame, name: str, column: str, *order: str, dealt: bool = False) -> DataFrame:
+    """The rows of keep_table()."""
+    return df.sparkSession.table(keep_table(df, name, column, *order, dealt=dealt))
+
+
+def drop_table(spark: SparkSession, table: str) -> None:
+    """Delete a table that keep_table() wrote, with its files."""
+    for path in [p for p in _paths if _table_of(p) == table]:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        drop_path(spark, path)
+        _paths.remove(path)
+        _tables.remove(table)
+
+
+def released(tables: set[str]) -> None:
+    """Let clean() leave what keep(), keep_buckets() and keep_table() wrote under these names of tables."""
+    _paths[:] = [p for p in _paths if _table_of(p) not in tables]
+    _tables[:] = [t for t in _tables if t not in tables]
+
+
+def folders(df: DataFrame) -> set[str]:
+    """Where the files of a written table lie."""
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
 
 
 def clean(spark: SparkSession) -> None:
@@ -105,5 +135,5 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table that keep() wrote, once nothing reads it any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in folders(df):
         drop_path(df.sparkSession, folder)

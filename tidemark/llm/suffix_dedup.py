@@ -8,14 +8,14 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
    anchor's windows cover are its context. Equal contexts are one entry with their number.
 3. A batch's entries, in order of the hash of the K bytes and of the context, are its suffix array. It is a level of the index:
    a table in buckets of that order in the shared folder. `add` merge-scans the batch's array against itself and against every
-   level, by joins that move neither side, for entries with equal beginnings. Before that, levels of like size become one, so
-   that there are as many as the logarithm of the number of batches.
+   level, by joins that move neither side, for entries with equal beginnings. Before that, levels of like size become one, with
+   their texts, so that there are as many as the logarithm of the number of batches. A saved index is opened again by its path.
 4. Entries met with equal contexts match wholly. Of the others the bytes are read, and a task puts those of its hashes in order
    of their following bytes and in order of their preceding bytes. Two entries share the window that begins o bytes before the
    anchor if no neighbour between them in the first order has a common prefix below length - o and none in the second one below
    o, so one pass over both arrays of common prefixes for each o finds every match, without pairs. Matches of either side are
    noted: those of the batch and those of older texts.
-5. A hash that stands in more than HOT places of one batch (the edge of a passage that very many documents share) would fill a task:
+5. A hash with more than HOT entries in all (the edge of a passage that very many documents share) would fill a task:
    the windows of its contexts are hashed and counted by Spark, in as many rows as there are windows.
 6. Spans go to their texts, which drop them, and what is left to the documents. A text with copies goes whole.
 
@@ -29,6 +29,7 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import _text
 from tidemark.llm._skew import left_join
-from tidemark.llm._store import dropped, give_back, keep, keep_buckets, small_batches
+from tidemark.llm._store import drop_table, dropped, folders, give_back, keep, keep_table, released, small_batches
 
 LENGTH, K = 200, 32
-#: Batches of a whole table; entries of one hash in a batch that a task compares at most.
+#: Batches of a whole table; entries of one hash, in a batch and all levels, that a task compares at most.
 BATCHES, HOT = 4, 2000
 #: Entries that a task compares at once, about; bytes of texts that are cut into anchors at once.
 BLOCK, SLICE = 8192, 1 << 19
@@ -253,47 +254,99 @@ def _windows(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.select("key", "n", "h1", "h2", "anchor", "first", "bytes").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
+class Level(NamedTuple):
+    """Names of the tables of entries and of their texts, and the number of entries."""
+
+    entries: str
+    texts: str
+    n: int
+
+
 class Index:
     """Levels of suffix arrays, and the texts that they point into, in the shared folder. `add` gives the spans of `length`
-    bytes or more that a batch repeats or makes repeated; together they are those of one batch of all texts."""
+    bytes or more that a batch repeats or makes repeated; together they are those of one batch of all texts. `save` notes where
+    the tables are and `open` takes the index up again from there, in another session too."""
 
     def __init__(self, spark: SparkSession, length: int = LENGTH, hot: int = HOT):
         self.spark, self.length, self.hot_contexts = spark, length, hot
-        self.texts: list[DataFrame] = []
-        self.levels: list[tuple[DataFrame, int]] = []
+        self.levels: list[Level] = []
         #: Hashes with too many contexts for a task, their entries and the windows of these.
-        self.hot: DataFrame | None = None
+        self.hot: list[DataFrame] = []
         self.windows: list[DataFrame] = []
+        #: Tables that a saved state refers to: they stay when levels merge.
+        self.saved: set[str] = set()
+
+    def save(self, path: str) -> None:
+        """Write the state, a row a table, to a new path. Its tables outlive clean() and later merges of this index."""
+        rows = [("settings", str(self.length), str(self.hot_contexts), 0)]
+        for level in self.levels:
+            made = [self.spark.sql(f"SHOW CREATE TABLE {name}").first()[0] for name in (level.entries, level.texts)]
+            rows += [("level", level.entries, made[0], level.n), ("texts", level.texts, made[1], level.n)]
+            self.saved |= {level.entries, level.texts}
+        for kind, tables in (("hot", self.hot), ("windows", self.windows)):
+            for table in tables:
+                (folder,) = folders(table)
+                rows.append((kind, folder, ", ".join(f"{c} {t}" for c, t in table.dtypes), 0))
+                self.saved.add(folder.rsplit("/", 1)[1].replace("-", "_"))
+        released(self.saved)
+        numbered = [(k, *row) for k, row in enumerate(rows)]
+        self.spark.createDataFrame(numbered, "place int, kind string, name string, made string, n long").coalesce(1).write.parquet(path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Index:
+        """The index as it was saved."""
+        rows = spark.read.parquet(path).orderBy("place").collect()  # a row a table
+        out = cls(spark, int(rows[0].name), int(rows[0].made))
+        for row in rows[1:]:
+            if row.kind in ("level", "texts"):
+                spark.sql(row.made.replace("CREATE TABLE ", "CREATE TABLE IF NOT EXISTS ", 1))
+                out.saved.add(row.name)
+            else:
+                (out.hot if row.kind == "hot" else out.windows).append(spark.read.schema(row.made).parquet(row.name))
+        out.levels = [Level(a.name, b.name, a.n) for a, b in zip(rows, rows[1:], strict=False) if a.kind == "level"]
+        return out
+
+    def texts(self) -> list[DataFrame]:
+        return [self.spark.table(level.texts) for level in self.levels]
+
+    def entries(self) -> list[DataFrame]:
+        return [self.spark.table(level.entries) for level in self.levels]
 
     def add(self, docs: DataFrame) -> DataFrame:
         """(h1, h2, start, end): spans that go, from rows (h1, h2, text) named by text_names."""
         self._merge()
-        texts = keep_buckets(distinct_texts(docs, self.length), "texts", "h1")
-        self.texts.append(texts)
-        rows = keep(_anchor_rows(texts, self.length), "anchors")
+        texts = keep_table(distinct_texts(docs, self.length), "texts", "h1")
+        every = [*self.texts(), self.spark.table(texts)]
+        rows = keep(_anchor_rows(every[-1], self.length), "anchors")
         found = [_unpacked(rows.where(F.col("spans").isNotNull() & (F.col("copies") == 1)))]
         held = rows.where(F.col("spans").isNull())
-        entries, hot = self._without_hot(held, found)
-        level = keep_buckets(entries, "level", "key", "context")
+        entries, hot = self._without_hot(held, every, found)
+        name = keep_table(entries, "level", "key", "context")
+        level = self.spark.table(name)
         often = (level if hot is None else level.unionByName(hot)).where(F.col("n") > 1).select("key", "context")
         found.append(self._whole(held.where(F.col("copies") == 1).join(often, ["key", "context"], "left_semi")))
         met = keep(self._met(level), "met")
         found.append(self._whole(met.where((F.col("n") == 1) & (F.col("total") > 1))))
         contested = met.where((F.col("low") != F.col("high")) & (F.col("single") == 1) & (F.col("place") == 1)).select("key", F.col("total").alias("n"), *ENTRY)
-        found.append(_compared(self._with_bytes(contested).repartition("key").sortWithinPartitions("key"), self.length))
-        self.levels.append((level, level.count()))
+        found.append(_compared(self._with_bytes(contested, every).repartition("key").sortWithinPartitions("key"), self.length))
+        self.levels.append(Level(name, texts, level.count()))
         spans = keep(functools.reduce(DataFrame.unionByName, found), "spans")
         for table in (rows, met):
             dropped(table)
         return spans
 
+    def _drop(self, *tables: str) -> None:
+        for table in set(tables) - self.saved:
+            drop_table(self.spark, table)
+
     def _merge(self) -> None:
-        """Make one level of the last two as long as they are of like size."""
-        while len(self.levels) > 1 and self.levels[-2][1] < LIKE * self.levels[-1][1]:
-            (new, _), (old, _) = self.levels.pop(), self.levels.pop()
-            both = keep_buckets(_entries(old.unionByName(new)), "level", "key", "context")
-            self.levels.append((both, both.count()))
-            dropped(new), dropped(old)
+        """Make one level of the last two, and one table of their texts, as long as they are of like size."""
+        while len(self.levels) > 1 and self.levels[-2].n < LIKE * self.levels[-1].n:
+            (old, new), rows, texts = self.levels[-2:], self.entries()[-2:], self.texts()[-2:]
+            both = keep_table(_entries(rows[0].unionByName(rows[1])), "level", "key", "context")
+            whole = keep_table(texts[0].unionByName(texts[1]), "texts", "h1")
+            self.levels[-2:] = [Level(both, whole, self.spark.table(both).count())]
+            self._drop(*old[:2], *new[:2])
 
     def _whole(self, rows: DataFrame) -> DataFrame:
         return rows.select("h1", "h2", F.col("first").alias("start"), (F.col("last") + self.length).alias("end"))
@@ -305,7 +358,7 @@ class Index:
         columns = ["key", "context", "n", *ENTRY]
         own = level.select(*columns).join(level.groupBy("key").agg(F.count("*").alias("entries")), "key")
         older = []
-        for k, (old, _) in enumerate(self.levels):
+        for k, old in enumerate(self.entries()):
             own = own.join(old.select("key").distinct().withColumn(f"in_{k}", F.lit(True)), "key", "left")
             older.append(old.select(*columns).join(level.select("key"), "key", "left_semi"))
         again = functools.reduce(lambda a, b: a | b, [F.col(f"in_{k}").isNotNull() for k in range(len(older))], F.col("entries") > 1)
@@ -314,28 +367,45 @@ class Index:
         rows = rows.withColumn("total", F.sum("n").over(of_context)).withColumn("place", F.row_number().over(of_context.orderBy(*ENTRY)))
         return rows.withColumn("single", F.min("total").over(of_key)).withColumn("low", F.min("context").over(of_key)).withColumn("high", F.max("context").over(of_key))
 
-    def _without_hot(self, rows: DataFrame, found: list[DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    def _new_hot(self, rows: DataFrame) -> DataFrame:
+        """(key): hashes that a batch makes hot. One with too many entries in all has more than an even share of these in the
+        batch or in some level, so only such hashes are counted everywhere; levels lie by hash and are counted in place."""
+        parts = [part.groupBy("key").agg(F.count("*").alias("held")) for part in (rows, *self.entries())]
+        likely = functools.reduce(DataFrame.unionByName, [part.where(F.col("held") > self.hot_contexts / len(parts)).select("key") for part in parts])
+        likely = keep(likely.distinct(), "likely-hashes")
+        if likely.isEmpty():
+            return likely
+        counts = functools.reduce(DataFrame.unionByName, [part.join(likely, "key", "left_semi") for part in parts])
+        hot = counts.groupBy("key").agg(F.sum("held").alias("held")).where(F.col("held") > self.hot_contexts).select("key")
+        for known in self.hot:
+            hot = hot.join(known, "key", "left_anti")
+        return keep(hot, "hot-hashes")
+
+    def _without_hot(self, rows: DataFrame, texts: list[DataFrame], found: list[DataFrame]) -> tuple[DataFrame, DataFrame | None]:
         """The entries of a batch whose hash isn't hot, and those whose hash is. Matches of the latter go to `found`, as do those
         of older entries with hashes that have become hot."""
-        new = rows.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > self.hot_contexts).select("key")
-        new = keep(new if self.hot is None else new.join(self.hot, "key", "left_anti"), "hot-hashes")
+        new = self._new_hot(rows)
         if not new.isEmpty():
-            late = [old.join(new, "key", "left_semi") for old, _ in self.levels]
+            late = [old.join(new, "key", "left_semi") for old in self.entries()]
             if late:
-                self.windows.append(keep(_windows(self._with_bytes(functools.reduce(DataFrame.unionByName, late).select("key", "n", *ENTRY)), self.length), "windows"))
-                self.levels = [(keep_buckets(old.join(new, "key", "left_anti"), "level", "key", "context"), size) for old, size in self.levels]
-            self.hot = new if self.hot is None else keep(self.hot.unionByName(new), "hot-hashes")
-        if self.hot is None:
+                self.windows.append(keep(_windows(self._with_bytes(functools.reduce(DataFrame.unionByName, late).select("key", "n", *ENTRY), texts), self.length), "windows"))
+                rest = [keep_table(old.join(new, "key", "left_anti"), "level", "key", "context") for old in self.entries()]
+                stale = [level.entries for level in self.levels]
+                self.levels = [level._replace(entries=name) for level, name in zip(self.levels, rest, strict=True)]
+                self._drop(*stale)
+            # One table of all hot hashes.
+            self.hot = [keep(functools.reduce(DataFrame.unionByName, [*self.hot, new]), "hot-hashes")]
+        if not self.hot:
             return _entries(rows), None
-        hot = keep(_entries(rows.join(self.hot, "key", "left_semi")), "hot-entries")
-        self.windows.append(keep(_windows(self._with_bytes(hot.select("key", "n", *ENTRY)), self.length), "windows"))
+        hot = keep(_entries(rows.join(self.hot[0], "key", "left_semi")), "hot-entries")
+        self.windows.append(keep(_windows(self._with_bytes(hot.select("key", "n", *ENTRY), texts), self.length), "windows"))
         every = functools.reduce(DataFrame.unionByName, self.windows)
         often = every.groupBy("window").agg(F.sum("n").alias("times")).where(F.col("times") > 1)
         counted = every.where(F.col("n") == 1).join(often, "window", "left_semi")
         found.append(counted.select("h1", "h2", "start", (F.col("start") + self.length).alias("end")))
-        return _entries(rows.join(self.hot, "key", "left_anti")), hot
+        return _entries(rows.join(self.hot[0], "key", "left_anti")), hot
 
-    def _with_bytes(self, wanted: DataFrame) -> DataFrame:
+    def _with_bytes(self, wanted: DataFrame, texts: list[DataFrame]) -> DataFrame:
         """The rows (key, n, h1, h2, first, last, anchor) with the bytes of their contexts. Texts stay in their buckets."""
         packed = keep(wanted.groupBy("h1").agg(F.collect_list(F.struct("key", "n", *ENTRY)).alias("contexts")), "wanted")
         length, names = self.length, ["key", "n", "h1", "h2", "first", "anchor", "bytes"]
@@ -350,7 +420,7 @@ class Index:
             give_back()
 
         schema = ", ".join(f"{x} long" for x in names[:-1]) + ", bytes binary"
-        return functools.reduce(DataFrame.unionByName, [x.join(packed, "h1").select("h2", "text", "contexts").mapInArrow(run, schema) for x in self.texts])
+        return functools.reduce(DataFrame.unionByName, [x.join(packed, "h1").select("h2", "text", "contexts").mapInArrow(run, schema) for x in texts])
 
 
 def _cut(index: Index, spans: DataFrame, with_text: bool) -> DataFrame:
@@ -375,7 +445,7 @@ def _cut(index: Index, spans: DataFrame, with_text: bool) -> DataFrame:
         give_back()
 
     schema = ", ".join(f"{x} long" for x in names[:5]) + ", kept binary, kept_sha256 string"
-    return functools.reduce(DataFrame.unionByName, [x.join(packed, "h1", "left").where(F.col("spans").isNotNull() | (F.col("copies") > 1)).select("h1", "h2", "text", "copies", "spans").mapInArrow(run, schema) for x in index.texts])
+    return functools.reduce(DataFrame.unionByName, [x.join(packed, "h1", "left").where(F.col("spans").isNotNull() | (F.col("copies") > 1)).select("h1", "h2", "text", "copies", "spans").mapInArrow(run, schema) for x in index.texts()])
 
 
 def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, batches: int = BATCHES, hot: int = HOT, with_text: bool = True) -> DataFrame:
@@ -385,8 +455,8 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     plain = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", *text_names(F.col("text")), "text")
     index = Index(docs.sparkSession, length, hot)
     spans = [index.add(plain.where(F.pmod("h2", F.lit(batches)) == k).select("h1", "h2", "text")) for k in range(batches)]
-    for level, _ in index.levels:
-        dropped(level)
+    for level in index.levels:
+        drop_table(docs.sparkSession, level.entries)
     cut = keep(_cut(index, functools.reduce(DataFrame.unionByName, spans), with_text), "cut-texts")
     own = plain.select("id", "h1", "h2", F.octet_length("text").cast("long").alias("n_bytes"), *([F.col("text").cast("binary").alias("whole")] if with_text else [F.lit(None).cast("binary").alias("whole")]), F.sha2(F.col("text").cast("binary"), 256).alias("whole_sha256"))
     done = left_join(own, cut, TEXT, "copies", docs.count(), F.xxhash64(F.lit("salt"), "id", "h1"))
