@@ -88,7 +88,7 @@ def test_components(spark):
     assert got == {**{k: 3 for k in [3, *range(50, 91)]}, 7: 7, 8: 7}
 
 
-def test_token_store(spark, tmp_path):
+def test_token_store(spark, tmp_path, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -106,6 +106,13 @@ def test_token_store(spark, tmp_path):
     some = list(range(0, len(stream), 97))
     found = {r.position: r.token for r in token_store.tokens_at(spark, path, spark.createDataFrame([(k,) for k in some], "position long")).collect()}
     assert [found[k] for k in some] == [stream[k] for k in some]
+    # Every position of every segment, one asked 50 times, and positions that no segment has.
+    asked = [(k,) for k in range(len(stream))] + [(7,)] * 49 + [(None,), (-1,), (len(stream),)]
+    answers = token_store.tokens_at(spark, path, spark.createDataFrame(asked, "position long"))
+    assert sorted((r.position, r.token) for r in answers.collect()) == sorted([*enumerate(stream), *[(7, stream[7])] * 49])
+    monkeypatch.setattr(token_store, "FEW", 0)
+    assert sorted(r.token for r in token_store.tokens_at(spark, path, spark.createDataFrame([(7,), (7,), (8,)], "position long")).collect()) == sorted([stream[7]] * 2 + [stream[8]])
+    monkeypatch.undo()
     plan = token_store.tokens_at(spark, path, spark.createDataFrame([(1,)], "position long"))._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     token_store.write(documents(spark, []).limit(0), path + "-empty")

@@ -34,6 +34,8 @@ from tidemark.llm._store import free_names, new_path, small_batches
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 SEGMENT_TOKENS, RANK_BITS, CHUNK_BITS = 1 << 20, 512, 8
+#: Tokens of a segment whose positions are read at once; below one position in so many tokens each is read by itself.
+SLICE_TOKENS, FEW = 1 << 16, 64
 MAGIC = b"DAC1"
 SCHEMA = "part int, segment int, n_tokens long, doc_ids binary, doc_tokens binary, codes binary"
 
@@ -172,8 +174,9 @@ def documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFra
 
 
 def tokens_at(spark: SparkSession, path: str, positions: DataFrame, col: str = "position") -> DataFrame:
-    """(position, token) of global positions: each is read from its segment alone. The segment is found by bins of
-    SEGMENT_TOKENS positions, without its codes; these come by the segment's name."""
+    """(position, token) of global positions, a row for each that is asked: each is read from its segment alone. The segment is
+    found by bins of SEGMENT_TOKENS positions, without its codes. These meet the distinct positions asked of SLICE_TOKENS of their
+    tokens at once, so they move and are parsed once a slice, however many positions are asked."""
     store = spark.read.schema(SCHEMA).parquet(path)
 
     def bin_of(position: Column) -> Column:
@@ -181,16 +184,23 @@ def tokens_at(spark: SparkSession, path: str, positions: DataFrame, col: str = "
 
     places = store.select("part", "segment", "n_tokens").join(starts(spark, path), ["part", "segment"]).where(F.col("n_tokens") > 0)
     places = places.withColumn("bin", F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("start") + F.col("n_tokens") - 1))))
-    asked = positions.select(F.col(col).cast("long").alias("position")).withColumn("bin", bin_of(F.col("position")))
+    wanted = positions.select(F.col(col).cast("long").alias("position"))
+    asked = wanted.distinct().withColumn("bin", bin_of(F.col("position")))
     found = asked.join(places, "bin").where(F.col("position").between(F.col("start"), F.col("start") + F.col("n_tokens") - 1))
-    found = found.select("position", "start", "part", "segment").join(store.select("part", "segment", "codes"), ["part", "segment"])
+    found = found.withColumn("at", F.col("position") - F.col("start")).withColumn("slice", F.floor(F.col("at") / SLICE_TOKENS))
+    asked_of = found.groupBy("part", "segment", "start", "slice").agg(F.collect_list("at").alias("at"))
+    met = asked_of.join(store.select("part", "segment", "codes"), ["part", "segment"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [Codes(block.as_py())[at - start] for at, start, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64())], ["position", "token"])
-
-    return found.select("position", "start", "codes").mapInArrow(read, "position long, token long")
+            for start, at, block in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                places, codes = at.values.to_numpy(), Codes(block.as_py())
+                few = len(places) * FEW < len(codes)
+                tokens = np.array([codes[i] for i in places.tolist()], np.int64) if few else codes.all()[places].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(places + start), pa.array(tokens)], ["position", "token"])
+
+    answers = met.select("start", "at", "codes").mapInArrow(read, "position long, token long")
+    return wanted.join(answers, "position").select("position", "token")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
