@@ -176,6 +176,15 @@ def test_nearest_value_has_no_reach(spark):
     assert grid.nearest_value(spark.createDataFrame(cells, "row long, col long"), spark.createDataFrame([], "row long, col long, z double"), "z").count() == 0
 
 
+def test_majority_leaves_out_cells_beyond_the_grid(spark):
+    """The last row and column are repeated outwards; what lies past them in the mask isn't the grid's."""
+    rng = np.random.default_rng(8)
+    mask = {(r, c) for r in range(-2, 9) for c in range(-2, 8) if rng.random() < 0.5}
+    got = {(r.row, r.col) for r in grid.majority(spark.createDataFrame(sorted(mask), "row long, col long"), 6, 5).collect()}
+    near = {(r, c): [(min(max(r + i, 0), 5), min(max(c + j, 0), 4)) for i, j in grid.SQUARE] for r in range(6) for c in range(5)}
+    assert got == {k for k, square in near.items() if sum(x in mask for x in square) >= 5}
+
+
 def test_components_across_tiles(spark):
     rng = np.random.default_rng(5)
     cells = {(int(r), int(c)) for r, c in zip(rng.integers(-8, 12, 260), rng.integers(-9, 11, 260), strict=True)} | {(2**42, 0), (2**42, 1), (2**42 + 3, 0)}
