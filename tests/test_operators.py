@@ -63,6 +63,27 @@ def test_nearest_neighbour_reaches_far_points(spark):
     assert got == {0: 0.0, 1: 0.0, 2: 2500.0, 3: 9950.0**2}
 
 
+def test_nearest_neighbour_of_crowds(spark):
+    """Crowds far smaller than the radius, places that several keys share, keys with several places, a point past any number of
+    rounds; and cells that hold few places however many the radius holds."""
+    rng = np.random.default_rng(6)
+    pts = [(k, *(rng.normal(size=2) * 1e-3)) for k in range(900)] + [(k, *(rng.normal(size=2) * 1e-3 + 7)) for k in range(850, 1200)]
+    pts += [(2000 + k, float(k % 3), -5.0) for k in range(8)] + [(3000, 20.0, 20.0)] * 2 + [(3001, 1e6, 0.0)]
+    df = spark.createDataFrame([(int(k), float(x), float(y)) for k, x, y in pts], "k long, x double, y double")
+    keys, xy = np.array([p[0] for p in pts]), np.array([p[1:] for p in pts])
+    want = {}
+    for k, at in zip(keys.tolist(), xy, strict=True):
+        d = at - xy[keys != k]
+        want[k] = min(want.get(k, np.inf), (d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]).min())
+    assert {r.k: r.d2 for r in spatial.nearest_neighbour(df, "k", "x", "y", 4.0).collect()} == want
+    places = spark.createDataFrame([(float(x), float(y)) for x, y in rng.random((20_000, 2))], "x__ double, y__ double")
+    side, reach = spatial._dealt(places, 4.0)
+    assert places.groupBy(spatial.cell(F.col("x__"), side), spatial.cell(F.col("y__"), side)).count().agg(F.max("count")).first()[0] <= spatial.CROWD and reach >= 2**0.5
+    far = spark.createDataFrame([(1, 0.0, 0.0), (2, 1e9, 0.0)], "k long, x double, y double")
+    assert [r.d2 for r in spatial.nearest_neighbour(far, "k", "x", "y", 1e-6).collect()] == [1e18, 1e18]
+    assert spatial.nearest_neighbour(far.limit(1), "k", "x", "y", 1.0).count() == 0
+
+
 def test_utm(spark):
     """The series against the arc of a meridian, summed in small steps, and against a circle of latitude on the equator."""
     e2 = (2 - 1 / 298.257223563) / 298.257223563

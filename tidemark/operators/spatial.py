@@ -13,6 +13,10 @@ from tidemark.operators.checkpoints import checkpoint_dir
 
 #: Sites, bands or phases that a plan may hold as literals; more of them are joined.
 MAX_LITERALS = 2_000
+#: Places in a cell with which a search for neighbours begins: at most, and as a place meets them in the mean.
+CROWD, MEAN_CROWD = 512, 8
+#: Points without a neighbour so far that meet all places.
+FEW = 64
 
 
 def _literals(df: DataFrame, columns: list[str]) -> list | None:
@@ -101,28 +105,60 @@ def neighbours_in_cells(df: DataFrame, key: str, x: str, y: str, radius: float)
     return own.join(spread, ["cx", "cy"]).where(F.col(key) != F.col("other")).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select(key, "other", "d2")
 
 
-def nearest_neighbour(df: DataFrame, key: str, x: str, y: str, radius: float, rounds: int = 24) -> DataFrame:
-    """(key, d2) of the nearest other point (J11). Points without a neighbour within the radius search on with four times the
-    radius, until all have one; each round is a checkpoint. What is left after so many rounds has no other point."""
+def nearest_neighbour(df: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
+    """(key, d2) of the nearest other point (J11): one with another key. Points at one place are one with the range of their keys,
+    and those with several keys there are found at once. The others search within a radius, at first the given one or, where places
+    are dense, one at which a cell holds few; what finds none searches on with four times the radius until that spans all places,
+    as it does once few points are left. Those left at a round are farther apart than the radius before, so a cell holds few of
+    them, however many places it has. Each round is a checkpoint."""
     checkpoint_dir(df.sparkSession)
-    found, left = [], df.select(key, x, y)
-    for _ in range(rounds):
-        near = _search(left, df, key, x, y, radius).checkpoint()
-        found.append(near)
-        left = left.join(near.select(key), key, "left_anti").checkpoint()
-        if left.isEmpty():
+    rows = df.select(key, F.col(x).cast("double").alias("x__"), F.col(y).cast("double").alias("y__")).where(F.col(key).isNotNull() & (F.abs("x__") < float("inf")) & (F.abs("y__") < float("inf")))
+    places = rows.groupBy("x__", "y__").agg(F.min(key).alias("low__"), F.max(key).alias("high__")).checkpoint()
+    shared = places.where(F.col("low__") != F.col("high__"))
+    found = [rows.join(shared, ["x__", "y__"], "left_semi").select(key, F.lit(0.0).alias("d2"))]
+    left = places.where(F.col("low__") == F.col("high__")).select("x__", "y__", "low__")
+    radius, reach = _dealt(places, radius)
+    few = FEW + 1
+    while True:
+        near = _search(left, places, radius, few <= FEW).checkpoint()
+        found.append(near.select(F.col("low__").alias(key), "d2"))
+        left = left.join(near, ["x__", "y__"], "left_anti").checkpoint()
+        few = left.limit(FEW + 1).count()
+        if not few or radius > reach:
             break
-        radius *= 4
-    return reduce(DataFrame.unionByName, found)
+        # A few that are left meet all places at once.
+        radius = 2 * max(reach, radius) if few <= FEW else 4 * radius
+    return reduce(DataFrame.unionByName, found).groupBy(key).agg(F.min("d2").alias("d2"))
+
+
+def _dealt(places: DataFrame, radius: float) -> tuple[float, float]:
+    """The radius with which a search begins and a length that spans all places: cells of that side hold few places, the most and
+    as met by a place. Sides below 2**-30 of the largest coordinate aren't tried, as rounding would tell on the cells."""
+    ends = [f(c) for c in ("x__", "y__") for f in (F.min, F.max)]
+    west, east, south, north = places.agg(*ends).first()
+    if west is None:
+        return radius, 0.0
+    least = max(abs(v) for v in (west, east, south, north)) * 2.0**-30
+    radius = max(radius, least)
+    while radius / 4 > least:
+        sizes = places.groupBy(cell(F.col("x__"), radius), cell(F.col("y__"), radius)).agg(F.count("*").cast("double").alias("n"))
+        most, met = sizes.agg(F.max("n"), F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()
+        if most <= CROWD and met <= MEAN_CROWD:
+            break
+        radius /= 4
+    return radius, 2 * ((east - west) + (north - south))
 
 
-def _search(left: DataFrame, df: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
-    a = left.select(F.col(key), F.col(x).alias("x"), F.col(y).alias("y"), cell(F.col(x), radius).alias("cx"), cell(F.col(y), radius).alias("cy"))
+def _search(left: DataFrame, places: DataFrame, radius: float, few: bool) -> DataFrame:
+    """(x__, y__, low__, d2) of the places in `left`, each with one key, that have another one within the radius; FEW at most are
+    broadcast, as all places may share a cell then. The margin keeps pairs out whose cells rounding may have moved apart; they are
+    met in the next round."""
     step = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = a.withColumn("s", F.explode(step)).withColumn("cx", F.col("cx") + F.col("s.dx")).withColumn("cy", F.col("cy") + F.col("s.dy"))
-    b = df.select(F.col(key).alias("other"), F.col(x).alias("ox"), F.col(y).alias("oy"), cell(F.col(x), radius).alias("cx"), cell(F.col(y), radius).alias("cy"))
-    d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-    return a.join(b, ["cx", "cy"]).where(F.col(key) != F.col("other")).withColumn("d2", d2).where(F.col("d2") <= radius * radius).groupBy(key).agg(F.min("d2").alias("d2"))
+    a = left.select("*", F.explode(step).alias("s")).select("x__", "y__", "low__", (cell(F.col("x__"), radius) + F.col("s.dx")).alias("cx"), (cell(F.col("y__"), radius) + F.col("s.dy")).alias("cy"))
+    b = places.select(F.col("x__").alias("ox"), F.col("y__").alias("oy"), F.col("low__").alias("from"), F.col("high__").alias("to"), cell(F.col("x__"), radius).alias("cx"), cell(F.col("y__"), radius).alias("cy"))
+    dx, dy = F.col("x__") - F.col("ox"), F.col("y__") - F.col("oy")
+    met = (F.broadcast(a) if few else a).join(b, ["cx", "cy"]).where((F.col("from") != F.col("low__")) | (F.col("to") != F.col("low__"))).withColumn("d2", dx * dx + dy * dy)
+    return met.where(F.col("d2") <= (radius * (1 - 1e-6)) ** 2).groupBy("x__", "y__", "low__").agg(F.min("d2").alias("d2"))
 
 
 def in_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
