@@ -48,6 +48,21 @@ def test_nearest_sources_with_ties(spark, seed, share):
     assert grid.nearest_value(cells, df.limit(0), "v").count() == 0
 
 
+def test_nearest_sources_across_blocks(spark, monkeypatch):
+    """Blocks without sources, or without cells, get theirs from any block above or below; no window looks ahead of each of its
+    rows, which grows with the square of a column."""
+    rng = np.random.default_rng(11)
+    sources = [(int(r), int(c)) for r, c in zip(rng.integers(-30, 60, 9), rng.integers(0, 6, 9), strict=True)] + [(-500, 2), (10**6, 4)]
+    asked = [(r, c) for r in [*range(-40, 90), 5000, 400_000, 2 * 10**6] for c in range(-1, 7)]
+    df = spark.createDataFrame([(r, c, f"{r},{c}") for r, c in sources], "row long, col long, v string")
+    want = {(r, c): min(((r - i) ** 2 + (c - j) ** 2, i, j) for i, j in sources) for r, c in asked}
+    for height in (7, 256):
+        monkeypatch.setattr(grid, "BLOCK_ROWS", height)
+        found = grid.nearest_value(spark.createDataFrame(asked, "row long, col long"), df, "v")
+        assert {(r.row, r.col): (r.d2, r.v) for r in found.collect()} == {k: (d, f"{i},{j}") for k, (d, i, j) in want.items()}
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_counts_below(spark):
     rng = np.random.default_rng(9)
     values = {g: np.sort(rng.choice(2000, 700, replace=False)) for g in "ab"}
