@@ -187,6 +187,18 @@ def test_coverage_equals_clipping(spark):
     assert shares["hole"].area == pytest.approx(sum(clipped_area(SHAPES["hole"], r, c) for r in range(9) for c in range(9)))
 
 
+def test_coverage_tasks_follow_the_pieces(spark, monkeypatch):
+    """More pieces make more tasks, so that none holds more as tables grow; the cells are the same."""
+    rows = [(k, [[{"x": x + k % 9, "y": y + k % 7} for x, y in ((0.1, 0.2), (3.3, 0.2), (3.3, 2.7), (0.1, 2.7))]]) for k in range(300)]
+    df = spark.createDataFrame(rows, f"k long, rings {zones.RINGS}")
+    want = {tuple(r) for r in shapes.coverage(df, ["k"]).collect()}
+    monkeypatch.setattr(shapes, "TASK", 400)
+    monkeypatch.setattr(shapes, "POLYGONS", 100)
+    found = shapes.coverage(df, ["k"])
+    assert {tuple(r) for r in found.collect()} == want
+    assert found.rdd.getNumPartitions() > 8
+
+
 def meets(segment, row, col):
     """Whether a segment meets a half-open square: its part in the closed square is more than the far sides."""
     x1, y1, x2, y2 = segment

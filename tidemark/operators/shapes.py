@@ -16,6 +16,8 @@ from tidemark.operators.linking import ring_order
 LEAST = 1e-12
 #: Cells covered less than this have no cover but rounding.
 NO_COVER = 1e-13
+#: Polygons, and pieces of sides, that a task takes, about.
+POLYGONS, TASK = 1 << 14, 1 << 17
 
 
 def oriented_sides(polygons: DataFrame, zone: list[str]) -> DataFrame:
@@ -74,7 +76,13 @@ def coverage_runs(polygons: DataFrame, zone: list[str], x0: float = 0.0, y0: flo
     """(zone, row, col_from, col_to, fraction): which part of the cells of a run a polygon covers (J23). A piece of a side covers
     what lies right of it in its cell and, by its rise, all of the row further right; sums from the left give each cell, and the
     cells between two of them share one fraction. Cells without cover are left out."""
-    own = pieces(in_cells(oriented_sides(polygons, zone), zone, x0, y0, width, height), zone)
+    checkpoint_dir(polygons.sparkSession)
+    dealt = polygons.repartition(1 + polygons.count() // POLYGONS, *zone, "rings")
+    sides = in_cells(oriented_sides(dealt, zone), zone, x0, y0, width, height).checkpoint()
+    # As many tasks as the pieces ask, both to cut the sides and to add up the pieces.
+    count = F.ceil(F.abs(F.col("x2") - F.col("x1"))) + F.ceil(F.abs(F.col("y2") - F.col("y1"))) + 1
+    tasks = 1 + int((sides.agg(F.sum(count)).first()[0] or 0) // TASK)
+    own = pieces(sides.repartition(tasks, *zone, "x1", "y1", "x2", "y2"), zone).repartition(tasks, *zone, "row")
     rise = F.col("y2") - F.col("y1")
     cells = own.groupBy(*zone, "row", "col").agg(F.sum(rise).alias("rise"), F.sum(rise * (F.col("col") + 1 - (F.col("x1") + F.col("x2")) / 2)).alias("own"))
     w = Window.partitionBy(*zone, "row").orderBy("col")
