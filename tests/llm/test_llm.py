@@ -290,6 +290,50 @@ def test_hot_hashes_are_counted_over_all_levels(spark):
     assert sorted(len(x) for x in out.values()) == sorted(v[1] for v in whole.values())
 
 
+def test_hot_hashes_make_few_rows(spark, monkeypatch):
+    """Shared passages shorter than, as long as and longer than a window, and near copies, under a low limit: no table has a row for
+    each window of the entries of a hot hash."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrst é") for _ in range(n))
+    whole, made, read = word(420), [], []
+    shared = [word(n)[:n] for n in (150, 190, 240)] + [word(500)]
+    texts = [word(rng.choice([0, 40, 250])) + part + word(rng.choice([0, 40, 250])) for part in shared for _ in range(30)]
+    texts += [whole[:k] + "#" + whole[k + 1 :] for k in range(0, 420, 14)] + [shared[3][k:] for k in range(0, 120, 12)]
+    written, held = suffix_dedup.keep, suffix_dedup.Index._without_hot
+
+    def keep(rows, name):
+        out = written(rows, name)
+        made.append((name, out.count()))
+        return out
+
+    def without_hot(index, rows, *more):
+        rows = written(rows, "rows")
+        read.append(rows.count())
+        return held(index, rows, *more)
+
+    monkeypatch.setattr(suffix_dedup, "keep", keep)
+    monkeypatch.setattr(suffix_dedup.Index, "_without_hot", without_hot)
+    for batches in (1, 3):
+        made.clear(), read.clear()
+        assert digest(suffix_dedup.dedup_strings(documents(spark, texts), batches=batches, hot=6)) == brute_removed(texts)
+        assert sum(n for name, n in made if name == "hot-entries") > 100
+        assert max(n for _, n in made) <= suffix_dedup.FAN * sum(read)
+
+
+def test_stretches_hold_every_window():
+    rng = random.Random(3)
+    length, width = 200, 16
+    text = bytes(rng.randrange(97, 123) for _ in range(600))
+    before, last = [168, 90, 33, 0], [20, 90, 1, 0]
+    contexts = [text[300 - a : 300 - b + length] for a, b in zip(before, last, strict=True)]
+    row, core, cover, low, high = suffix_dedup.stretches(np.full(4, 5, np.uint64), np.array(before), contexts, width, length)
+    got = sorted((r, o) for r, a, b in zip(row.tolist(), low.tolist(), high.tolist(), strict=True) for o in range(a, b + 1))
+    assert got == [(r, o) for r in range(4) for o in range(last[r], before[r] + 1)]
+    # One text: entries meet in each stretch that both have windows in, and only equal ranges have equal covers.
+    assert len(set(core.tolist())) == len(set((low // width).tolist()))
+    assert len(set(cover.tolist())) == len(set(zip(low.tolist(), high.tolist(), strict=True)))
+
+
 def test_a_saved_index_is_opened_again(spark, tmp_path):
     texts = [x for x in passages(8) if x]
     rows = documents(spark, texts).select("doc_id", *suffix_dedup.text_names(F.col("text")), "text")

@@ -15,13 +15,15 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
    anchor if no neighbour between them in the first order has a common prefix below length - o and none in the second one below
    o, so one pass over both arrays of common prefixes for each o finds every match, without pairs. Matches of either side are
    noted: those of the batch and those of older texts.
-5. A hash with more than HOT entries in all (the edge of a passage that very many documents share) would fill a task:
-   the windows of its contexts are hashed and counted by Spark, in as many rows as there are windows.
+5. A hash with more than HOT entries in all (the edge of a passage that very many documents share) would fill a task. Its
+   windows are cut by o into FAN stretches: the windows of a stretch share a core, longer than the K bytes, by whose hash the
+   entries part. Those that agree in all that the stretch covers match wholly and go on as one; of the others, cores with HOT
+   entries or fewer are compared as in step 4, and those with more are cut again, down to stretches of one window.
 6. Spans go to their texts, which drop them, and what is left to the documents. A text with copies goes whole.
 
 Rows with null ids count as any other. Null and empty texts have no bytes; texts shorter than `length` neither lose bytes nor
 match. Repeated rows are documents of their own, so each is a copy of the others. An empty table gives an empty result. Texts,
-contexts, and windows of hot hashes are known by 64-bit hashes (two for texts); matches of step 4 are compared byte by byte.
+contexts, and stretches of hot hashes are known by 64-bit hashes (two for texts); matches of step 4 are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ from tidemark.llm._store import drop_table, dropped, folders, give_back, keep, k
 LENGTH, K = 200, 32
 #: Batches of a whole table; entries of one hash, in a batch and all levels, that a task compares at most.
 BATCHES, HOT = 4, 2000
+#: Stretches that the windows of a hot hash, and longer stretches, are cut into.
+FAN = 4
 #: Entries that a task compares at once, about; bytes of texts that are cut into anchors at once.
 BLOCK, SLICE = 8192, 1 << 19
 #: Levels become one where the older has less than this many times the entries of the newer.
@@ -95,19 +99,6 @@ def _padded(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in parts), np.uint8).reshape(-1, width), counts
 
 
-def _window_hashes(parts: list[bytes], keys: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, offset, hash) of every window of some contexts; the hash holds key and place of the anchor. places: of the anchor
-    in its context."""
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    sizes = np.array([len(x) for x in parts], np.int64)
-    counts = sizes - length + 1
-    row = np.repeat(np.arange(len(parts)), counts)
-    offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = (np.cumsum(sizes) - sizes)[row] + offset
-    hashes = _text.span_hashes(data, starts, starts + length) ^ _text.mix(keys[row] + (places[row] - offset).astype(np.uint64))
-    return row, offset, hashes
-
-
 def text_names(text: Column) -> list[Column]:
     """The two hashes that name a text."""
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
@@ -241,17 +232,39 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.select("key", "n", "h1", "h2", "anchor", "first", "bytes").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
-def _windows(contexts: DataFrame, length: int) -> DataFrame:
-    """(window, n, h1, h2, start): every window of the contexts of hot hashes."""
-    names = ["window", "n", "h1", "h2", "start"]
+def stretches(key: np.ndarray, before: np.ndarray, contexts: list[bytes], width: int, length: int) -> tuple[np.ndarray, ...]:
+    """(row, core, cover, low, high) of each stretch of `width` values of o that some entries have windows in: the entry, a hash of
+    its key and of the bytes that all windows of the stretch hold, one of the bytes that its own ones cover, and its own o."""
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    sizes = np.array([len(x) for x in contexts], np.int64)
+    least, at = before - (sizes - length), np.cumsum(sizes) - sizes + before
+    counts = before // width - least // width + 1
+    row = np.repeat(np.arange(len(contexts)), counts)
+    begin = (least // width)[row] * width + (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)) * width
+    end = np.minimum(begin + width - 1, length - K)
+    low, high, at = np.maximum(begin, least[row]), np.minimum(end, before[row]), at[row]
+    core = _text.span_hashes(data, at - begin, at - end + length) ^ _text.mix(key[row] + (begin * length + end).astype(np.uint64))
+    cover = _text.span_hashes(data, at - high, at - low + length) ^ _text.mix((high * length + low).astype(np.uint64) + np.uint64(1))
+    return row, core, cover, low, high
+
+
+def _stretches(contexts: DataFrame, width: int, length: int) -> DataFrame:
+    """(key, context, n, h1, h2, first, last, anchor, bytes): the entries cut into stretches, each an entry of its own whose key is
+    the hash of its core."""
+    names = ["key", "context", "n", *ENTRY]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, n, h1, h2, anchor, first = (batch.column(k).to_numpy() for k in range(6))
-            row, within, hashes = _window_hashes(batch.column(6).to_pylist(), key.view(np.uint64), anchor - first, length)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n[row]), pa.array(h1[row]), pa.array(h2[row]), pa.array(first[row] + within)], names)
+            parts = batch.column(6).to_pylist()
+            row, core, cover, low, high = stretches(key.view(np.uint64), anchor - first, parts, width, length)
+            start, end = anchor[row] - high, anchor[row] - low
+            own = [parts[r][a:b] for r, a, b in zip(row.tolist(), (start - first[row]).tolist(), (end - first[row] + length).tolist(), strict=True)]
+            out = (core.view(np.int64), cover.view(np.int64), n[row], h1[row], h2[row], start, end, anchor[row])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out), pa.array(own, pa.binary())], [*names, "bytes"])
 
-    return contexts.select("key", "n", "h1", "h2", "anchor", "first", "bytes").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    schema = ", ".join(f"{x} long" for x in names) + ", bytes binary"
+    return contexts.select("key", "n", "h1", "h2", "anchor", "first", "bytes").mapInArrow(run, schema)
 
 
 class Level(NamedTuple):
@@ -270,9 +283,9 @@ class Index:
     def __init__(self, spark: SparkSession, length: int = LENGTH, hot: int = HOT):
         self.spark, self.length, self.hot_contexts = spark, length, hot
         self.levels: list[Level] = []
-        #: Hashes with too many contexts for a task, their entries and the windows of these.
+        #: Hashes with too many contexts for a task, and their entries.
         self.hot: list[DataFrame] = []
-        self.windows: list[DataFrame] = []
+        self.held: list[DataFrame] = []
         #: Tables that a saved state refers to: they stay when levels merge.
         self.saved: set[str] = set()
 
@@ -283,7 +296,7 @@ class Index:
             made = [self.spark.sql(f"SHOW CREATE TABLE {name}").first()[0] for name in (level.entries, level.texts)]
             rows += [("level", level.entries, made[0], level.n), ("texts", level.texts, made[1], level.n)]
             self.saved |= {level.entries, level.texts}
-        for kind, tables in (("hot", self.hot), ("windows", self.windows)):
+        for kind, tables in (("hot", self.hot), ("held", self.held)):
             for table in tables:
                 (folder,) = folders(table)
                 rows.append((kind, folder, ", ".join(f"{c} {t}" for c, t in table.dtypes), 0))
@@ -302,25 +315,32 @@ class Index:
                 spark.sql(row.made.replace("CREATE TABLE ", "CREATE TABLE IF NOT EXISTS ", 1))
                 out.saved.add(row.name)
             else:
-                (out.hot if row.kind == "hot" else out.windows).append(spark.read.schema(row.made).parquet(row.name))
+                (out.hot if row.kind == "hot" else out.held).append(spark.read.schema(row.made).parquet(row.name))
         out.levels = [Level(a.name, b.name, a.n) for a, b in zip(rows, rows[1:], strict=False) if a.kind == "level"]
         return out
 
     def texts(self) -> list[DataFrame]:
         return [self.spark.table(level.texts) for level in self.levels]
 
-    def entries(self) -> list[DataFrame]:
+    def _stored(self) -> list[DataFrame]:
+        """The tables of entries. Those of hashes that became hot later stay in them until levels merge: they meet nothing, as no
+        newer level has such hashes."""
         return [self.spark.table(level.entries) for level in self.levels]
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """(h1, h2, start, end): spans that go, from rows (h1, h2, text) named by text_names."""
+    def entries(self) -> list[DataFrame]:
+        """The entries of each level whose hash isn't hot."""
+        return [old.join(self.hot[0], "key", "left_anti") if self.hot else old for old in self._stored()]
+
+    def add(self, docs: DataFrame, more: bool = False) -> DataFrame:
+        """(h1, h2, start, end): spans that go, from rows (h1, h2, text) named by text_names. more: another batch follows, which
+        gives the matches of hot hashes for this one too."""
         self._merge()
         texts = keep_table(distinct_texts(docs, self.length), "texts", "h1")
         every = [*self.texts(), self.spark.table(texts)]
         rows = keep(_anchor_rows(every[-1], self.length), "anchors")
         found = [_unpacked(rows.where(F.col("spans").isNotNull() & (F.col("copies") == 1)))]
         held = rows.where(F.col("spans").isNull())
-        entries, hot = self._without_hot(held, every, found)
+        entries, hot = self._without_hot(held)
         name = keep_table(entries, "level", "key", "context")
         level = self.spark.table(name)
         often = (level if hot is None else level.unionByName(hot)).where(F.col("n") > 1).select("key", "context")
@@ -330,8 +350,12 @@ class Index:
         contested = met.where((F.col("low") != F.col("high")) & (F.col("single") == 1) & (F.col("place") == 1)).select("key", F.col("total").alias("n"), *ENTRY)
         found.append(_compared(self._with_bytes(contested, every).repartition("key").sortWithinPartitions("key"), self.length))
         self.levels.append(Level(name, texts, level.count()))
+        working = [rows, met]
+        if self.held and not more:
+            entries = functools.reduce(DataFrame.unionByName, self.held).select("key", "n", *ENTRY)
+            found += self._settled(self._with_bytes(entries, every), working)
         spans = keep(functools.reduce(DataFrame.unionByName, found), "spans")
-        for table in (rows, met):
+        for table in working:
             dropped(table)
         return spans
 
@@ -358,7 +382,7 @@ class Index:
         columns = ["key", "context", "n", *ENTRY]
         own = level.select(*columns).join(level.groupBy("key").agg(F.count("*").alias("entries")), "key")
         older = []
-        for k, old in enumerate(self.entries()):
+        for k, old in enumerate(self._stored()):
             own = own.join(old.select("key").distinct().withColumn(f"in_{k}", F.lit(True)), "key", "left")
             older.append(old.select(*columns).join(level.select("key"), "key", "left_semi"))
         again = functools.reduce(lambda a, b: a | b, [F.col(f"in_{k}").isNotNull() for k in range(len(older))], F.col("entries") > 1)
@@ -370,41 +394,55 @@ class Index:
     def _new_hot(self, rows: DataFrame) -> DataFrame:
         """(key): hashes that a batch makes hot. One with too many entries in all has more than an even share of these in the
         batch or in some level, so only such hashes are counted everywhere; levels lie by hash and are counted in place."""
-        parts = [part.groupBy("key").agg(F.count("*").alias("held")) for part in (rows, *self.entries())]
+        parts = [part.groupBy("key").agg(F.count("*").alias("held")) for part in (rows, *self._stored())]
         likely = functools.reduce(DataFrame.unionByName, [part.where(F.col("held") > self.hot_contexts / len(parts)).select("key") for part in parts])
+        for known in self.hot:
+            likely = likely.join(known, "key", "left_anti")
         likely = keep(likely.distinct(), "likely-hashes")
         if likely.isEmpty():
             return likely
         counts = functools.reduce(DataFrame.unionByName, [part.join(likely, "key", "left_semi") for part in parts])
         hot = counts.groupBy("key").agg(F.sum("held").alias("held")).where(F.col("held") > self.hot_contexts).select("key")
-        for known in self.hot:
-            hot = hot.join(known, "key", "left_anti")
         return keep(hot, "hot-hashes")
 
-    def _without_hot(self, rows: DataFrame, texts: list[DataFrame], found: list[DataFrame]) -> tuple[DataFrame, DataFrame | None]:
-        """The entries of a batch whose hash isn't hot, and those whose hash is. Matches of the latter go to `found`, as do those
-        of older entries with hashes that have become hot."""
+    def _without_hot(self, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The entries of a batch whose hash isn't hot, and those whose hash is. The latter are held, as are older entries with
+        hashes that have become hot."""
         new = self._new_hot(rows)
         if not new.isEmpty():
-            late = [old.join(new, "key", "left_semi") for old in self.entries()]
+            late = [old.join(new, "key", "left_semi") for old in self._stored()]
             if late:
-                self.windows.append(keep(_windows(self._with_bytes(functools.reduce(DataFrame.unionByName, late).select("key", "n", *ENTRY), texts), self.length), "windows"))
-                rest = [keep_table(old.join(new, "key", "left_anti"), "level", "key", "context") for old in self.entries()]
-                stale = [level.entries for level in self.levels]
-                self.levels = [level._replace(entries=name) for level, name in zip(self.levels, rest, strict=True)]
-                self._drop(*stale)
+                self.held.append(keep(functools.reduce(DataFrame.unionByName, late), "hot-entries"))
             # One table of all hot hashes.
             self.hot = [keep(functools.reduce(DataFrame.unionByName, [*self.hot, new]), "hot-hashes")]
         if not self.hot:
             return _entries(rows), None
         hot = keep(_entries(rows.join(self.hot[0], "key", "left_semi")), "hot-entries")
-        self.windows.append(keep(_windows(self._with_bytes(hot.select("key", "n", *ENTRY), texts), self.length), "windows"))
-        every = functools.reduce(DataFrame.unionByName, self.windows)
-        often = every.groupBy("window").agg(F.sum("n").alias("times")).where(F.col("times") > 1)
-        counted = every.where(F.col("n") == 1).join(often, "window", "left_semi")
-        found.append(counted.select("h1", "h2", "start", (F.col("start") + self.length).alias("end")))
+        self.held.append(hot)
         return _entries(rows.join(self.hot[0], "key", "left_anti")), hot
 
+    def _settled(self, rows: DataFrame, working: list[DataFrame]) -> list[DataFrame]:
+        """(h1, h2, start, end) of the entries of hot hashes that occur once. Tables that these read are added to `working`."""
+        found, width = [], 1
+        while width * FAN < self.length:
+            width *= FAN
+        while width:
+            cut = keep(_stretches(rows, width, self.length), "stretches")
+            alike = cut.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min(F.struct(*ENTRY, "bytes")).alias("one"))
+            left = keep(alike.select("key", "context", "n", "one.*"), "cores")
+            often = left.where(F.col("n") > 1).select("key", "context")
+            found.append(self._whole(cut.where(F.col("n") == 1).join(often, ["key", "context"], "left_semi")))
+            sizes = keep(left.groupBy("key").agg(F.count("*").alias("entries")).where(F.col("entries") > 1), "core-sizes")
+            working += [cut, left, sizes]
+            full = F.col("entries") > self.hot_contexts
+            hot, few = sizes.where(full).select("key"), sizes.where(~full).select("key")
+            some = left.join(hot, "key", "left_anti").join(few, "key", "left_semi")
+            found.append(_compared(some.repartition("key").sortWithinPartitions("key"), self.length))
+            if hot.isEmpty():
+                break
+            rows, width = left.join(hot, "key", "left_semi"), width // FAN
+        return found
+
     def _with_bytes(self, wanted: DataFrame, texts: list[DataFrame]) -> DataFrame:
         """The rows (key, n, h1, h2, first, last, anchor) with the bytes of their contexts. Texts stay in their buckets."""
         packed = keep(wanted.groupBy("h1").agg(F.collect_list(F.struct("key", "n", *ENTRY)).alias("contexts")), "wanted")
@@ -454,7 +492,7 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", *text_names(F.col("text")), "text")
     index = Index(docs.sparkSession, length, hot)
-    spans = [index.add(plain.where(F.pmod("h2", F.lit(batches)) == k).select("h1", "h2", "text")) for k in range(batches)]
+    spans = [index.add(plain.where(F.pmod("h2", F.lit(batches)) == k).select("h1", "h2", "text"), k < batches - 1) for k in range(batches)]
     for level in index.levels:
         drop_table(docs.sparkSession, level.entries)
     cut = keep(_cut(index, functools.reduce(DataFrame.unionByName, spans), with_text), "cut-texts")
